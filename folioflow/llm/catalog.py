@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import kdtree
+from .kdtree import op10_kdtree_topk
+from .prefix_hash import op8_prefix_fingerprints
 from .secrets import op1_secret_scan
+from .spm import op5_sentencepiece
+from .tokens import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secret_scan": op1_secret_scan}
+    return {f.__name__: f for f in (op1_secret_scan, op5_sentencepiece, op8_prefix_fingerprints, op9_token_counts, op10_kdtree_topk)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op10_kdtree_topk": kdtree.ORACLE}
