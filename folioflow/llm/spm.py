@@ -131,6 +131,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, threads: int = 2,
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
     text = free_name(kept, "spm_text")
     source = kept.withColumn(text, whole_text())
+    names = [*kept.columns, *[f.name for f in new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +155,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, threads: int = 2,
                 if keep_ids:
                     columns.append(pa.array(ids, pa.list_(pa.int32())))
                 at += len(part)
-                yield pa.RecordBatch.from_arrays(columns, [*kept.columns, *[f.name for f in new]])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return source.mapInArrow(run, T.StructType([*kept.schema.fields, *new.fields]))
 
