@@ -10,13 +10,14 @@ from . import kdtree
 from .kdtree import op10_kdtree_topk
 from .pii import op4_personal_data
 from .prefix_hash import op8_prefix_fingerprints
+from .quality import op2_quality_classifier
 from .secrets import op1_secret_scan
 from .spm import op5_sentencepiece
 from .tokens import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op4_personal_data, op5_sentencepiece, op8_prefix_fingerprints, op9_token_counts, op10_kdtree_topk)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op4_personal_data, op5_sentencepiece, op8_prefix_fingerprints, op9_token_counts, op10_kdtree_topk)}
 
 
 def oracles() -> dict[str, str]:
