@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import kdtree, mixing
 from .kdtree import op10_kdtree_topk
 from .mixing import op6_source_mixing
+from .near_dup import op7_near_duplicates
 from .pii import op4_personal_data
 from .prefix_hash import op8_prefix_fingerprints
 from .quality import op2_quality_classifier
@@ -18,7 +19,7 @@ from .tokens import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op4_personal_data, op5_sentencepiece, op6_source_mixing, op8_prefix_fingerprints, op9_token_counts, op10_kdtree_topk)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op4_personal_data, op5_sentencepiece, op6_source_mixing, op7_near_duplicates, op8_prefix_fingerprints, op9_token_counts, op10_kdtree_topk)}
 
 
 def oracles() -> dict[str, str]:
