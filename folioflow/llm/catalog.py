@@ -15,11 +15,12 @@ from .prefix_hash import op8_prefix_fingerprints
 from .quality import op2_quality_classifier
 from .secrets import op1_secret_scan
 from .spm import op5_sentencepiece
+from .suffix_dedup import op3_suffix_dedup
 from .tokens import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op4_personal_data, op5_sentencepiece, op6_source_mixing, op7_near_duplicates, op8_prefix_fingerprints, op9_token_counts, op10_kdtree_topk)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_suffix_dedup, op4_personal_data, op5_sentencepiece, op6_source_mixing, op7_near_duplicates, op8_prefix_fingerprints, op9_token_counts, op10_kdtree_topk)}
 
 
 def oracles() -> dict[str, str]:

@@ -57,9 +57,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
+    spark.sparkContext._jvm.System.gc()  # the shuffle files of the finished job can go
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove the written table that ``df`` reads, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/tables/" in path:
+            _delete(df.sparkSession, path)
+
+
 def spans_digest(spans: Column) -> Column:
     """array<struct<s, k, e, kind>> sorted by start, then kind: ``kind:start:end`` joined by commas."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
