@@ -230,10 +230,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, same columns."""
+def keep_good(docs: DataFrame, labels: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """The documents that the classifier accepts, same columns; it learns from the texts of ``labelled`` (``docs`` unless given)."""
     score = free_name(docs, "quality_score")
-    kept = with_score(docs, train(docs, labels), score)
+    kept = with_score(docs, train(docs if labelled is None else labelled, labels), score)
     return kept.where(F.col(score) >= THRESHOLD).drop(score)
 
 
