@@ -126,7 +126,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, threads: int = 2,
     path = path or model_path()
     new = T.StructType().add("n_tokens", "long").add("ids_crc32", "long").add("parity", "boolean").add("round_trip", "boolean")
     if keep_ids:
-        new = new.add("token_ids", "array<int>")
+        new = new.add("token_ids", T.ArrayType(T.IntegerType()))
     made = {f.name for f in new}
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
     text = free_name(kept, "spm_text")
