@@ -32,7 +32,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,64 +214,49 @@ def _row(text: str, following: str, own: str | None = None) -> tuple[str, str, s
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
 def with_neighbours(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """Fingerprints of every text and its edited text.
 
-    One range shuffle by doc_id. Each task holds one row ahead; only the first
-    text and the last text of each partition travel on, as one small row per
-    partition, to be joined where partitions meet.
+    The ids are cut into ranges at quantiles. The first text of each range (a
+    map-side minimum: one row per range) is added to the range before it as a
+    last row, so one shuffle of the texts brings every row together with the
+    next one, also where ranges meet.
     """
     spark = docs.sparkSession
     n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = doc_texts(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = doc_texts(docs)
+    cuts = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)))
+    cuts = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>")
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c < F.col("doc_id")))))
+    first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text"))
+    heads = materialise(rows.groupBy("part").agg(first.alias("x")).select("part", "x.text"), "heads")
+    # the ranges that hold rows, in order: one integer for each range
+    order = [r[0] for r in heads.select("part").orderBy("part").collect()]
+    before = [(p, order[i - 1]) for i, p in enumerate(order)] or [(-1, -1)]
+    moved = F.broadcast(spark.createDataFrame(before, "part int, last_of int"))
+    tails = heads.join(moved, "part").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("last_of").alias("part"), F.lit(True).alias("tail"))
+    both = rows.withColumn("tail", F.lit(False)).unionByName(tails)
+    both = both.repartition(n, "part").sortWithinPartitions("part", "tail", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        first = held = None
-        own = None
-
-        def pack(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(NAMES, r, strict=True)) for r in rows], schema=SCHEMA)
-
+        held = own = None
         for b in batches:
-            rows = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if first is None:
-                    first = text
+            out = []
+            for doc_id, text, _, tail in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held is not None:
+                    fp, sha, efp, near_edited, near_next, own = _row(held[1], text, own)
+                    out.append((held[0], len(held[1]), sha, fp, efp, near_edited, near_next))
+                if tail:
+                    held = own = None
                 else:
-                    fp, sha, efp, ne, nn, nxt = _row(held[1], text, own)
-                    rows.append((held[0], len(held[1]), sha, fp, efp, ne, nn, None, None, None))
-                    own = nxt
-                held = (doc_id, text)
-            if rows:
-                yield pack(rows)
-        if held is not None:
-            yield pack([(held[0], None, None, None, None, None, None, part, first, held[1])])
-
-    done = materialise(ranged.mapInArrow(run, f"{OUT}, part int, first_text string, last_text string"), "neighbours")
-    rest = done.where(F.col("part").isNotNull()).select("doc_id", "part", "first_text", "last_text")
-    # the parts that hold rows, in order: one integer for each partition
-    order = [r[0] for r in rest.select("part").orderBy("part").collect()]
-    following = {p: order[(i + 1) % len(order)] for i, p in enumerate(order)}
-    pairs = spark.createDataFrame(list(following.items()) or [(-1, -1)], "part int, next int")
-    heads = rest.select(F.col("part").alias("next"), F.col("first_text").alias("following"))
-    edge = rest.join(F.broadcast(pairs), "part").join(heads, "next").select("doc_id", "last_text", "following")
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc_id, text, nxt in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                fp, sha, efp, ne, nn, _ = _row(text, nxt)
-                yield pa.RecordBatch.from_pylist([dict(zip(NAMES[:7], (doc_id, len(text), sha, fp, efp, ne, nn), strict=True))], schema=pa.schema(list(SCHEMA)[:7]))
-
-    return done.where(F.col("part").isNull()).select(*NAMES[:7]).unionByName(edge.mapInArrow(close, OUT))
-
+                    held = (doc_id, text)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "part", "first_text", "last_text"]
-SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("part", pa.int32()), ("first_text", pa.string()), ("last_text", pa.string())]
-)
+    return both.select("doc_id", "text", "part", "tail").mapInArrow(run, OUT)
 
 
 def op8_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
