@@ -38,9 +38,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import doc_texts, free_name, materialise, read_table, whole_text
 from .components import components
@@ -56,6 +56,10 @@ _U = np.uint64
 _GOLD, _M1, _M2, _ODD = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB), _U(0xD6E8FEB86659FD93)
 
 
+#: Odd multipliers of the places in a shingle.
+_POWERS = [_U(pow(0xD6E8FEB86659FD93, i + 1, 1 << 64)) for i in range(SHINGLE)]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = (x + _GOLD).astype(_U)
     x = (x ^ (x >> _U(30))) * _M1
@@ -79,7 +83,7 @@ class Words:
         if h is None:
             if len(self.known) > 400_000:
                 self.known.clear()
-            h = self.known[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+            h = self.known[word] = xxhash.xxh64_intdigest(word)
         return h
 
 
@@ -89,45 +93,62 @@ def bag(text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
     if not found:
         return np.zeros(0, _U), np.zeros(0, np.int64)
     h = np.fromiter(map(words, found), _U, len(found))
-    n = max(1, len(h) - SHINGLE + 1)
-    out = np.full(n, len(h[:SHINGLE]), _U)
-    for i in range(min(SHINGLE, len(h))):
-        out = mix64(out * _ODD + h[i : i + n])
-    return np.unique(out, return_counts=True)
+    k = min(SHINGLE, len(h))
+    n = len(h) - k + 1
+    out = h[:n] * _POWERS[0]
+    for i in range(1, k):
+        out += h[i : i + n] * _POWERS[i]
+    return np.unique(mix64(out + _U(k)), return_counts=True)
 
 
 def bag_key(hashes: np.ndarray, counts: np.ndarray) -> str:
     return hashlib.blake2b(hashes.tobytes() + counts.astype(np.int64).tobytes(), digest_size=16).hexdigest()
 
 
-def signature(hashes: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """First times of the components, as float64."""
-    best = np.full(size, np.inf)
-    if not len(hashes):
-        return best
-    seeds, lows, spans, tops = [hashes], [np.zeros(len(hashes))], [np.ones(len(hashes))], [counts.astype(np.float64)]
-    low, more = 1, counts > 1
-    while more.any():
-        k = int(more.sum())
-        seeds.append(mix64(hashes[more] ^ mix64(np.full(k, low, _U))))
-        lows.append(np.full(k, float(low)))
-        spans.append(np.full(k, float(low)))
-        tops.append(counts[more].astype(np.float64))
+def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> np.ndarray:
+    """First times of the components, one row per bag; infinite for the empty bag.
+
+    Many bags go through the processes side by side: each point is a lane, and
+    lanes whose next point comes too late for their document leave.
+    """
+    best = np.full(len(bags) * size, np.inf)
+    if not bags or not any(len(h) for h, _ in bags):
+        return best.reshape(len(bags), size)
+    hashes, counts = np.concatenate([h for h, _ in bags]), np.concatenate([c for _, c in bags])
+    owner = np.repeat(np.arange(len(bags)), [len(h) for h, _ in bags])
+    seeds, owners, lows, tops = [hashes], [owner], [np.zeros(len(hashes))], [counts]
+    low, more = 1, np.flatnonzero(counts > 1)
+    while len(more):
+        seeds.append(mix64(hashes[more] ^ mix64(np.full(len(more), low, _U))))
+        owners.append(owner[more])
+        lows.append(np.full(len(more), float(low)))
+        tops.append(counts[more])
         low *= 2
-        more = counts > low
-    seed, base, span, top = map(np.concatenate, (seeds, lows, spans, tops))
-    state, t = seed, np.zeros(len(seed))
-    rate = span * size
+        more = more[counts[more] > low]
+    state, owner, base, top = map(np.concatenate, (seeds, owners, lows, tops))
+    span = np.maximum(base, 1.0)
+    thin = top < base + span
+    rate, t = span * size, np.zeros(len(state))
     while len(state):
         state = mix64(state)
         t = t - np.log(unit(state)) / rate
         other = mix64(state ^ _ODD)
-        part = (other % _U(size)).astype(np.int64)
-        kept = base + span * unit(mix64(other)) <= top
-        np.minimum.at(best, part[kept], t[kept])
-        on = t < best.max()
-        state, t, rate, base, span, top = state[on], t[on], rate[on], base[on], span[on], top[on]
-    return best
+        cell = owner * size + (other % _U(size)).astype(np.int64)
+        if thin.any():
+            k = np.flatnonzero(thin)
+            late = base[k] + span[k] * unit(mix64(other[k])) > top[k]
+            kept = np.ones(len(state), bool)
+            kept[k[late]] = False
+            np.minimum.at(best, cell[kept], t[kept])
+        else:
+            np.minimum.at(best, cell, t)
+        on = t < best.reshape(-1, size).max(axis=1)[owner]
+        state, t, rate, owner, base, span, top, thin = (x[on] for x in (state, t, rate, owner, base, span, top, thin))
+    return best.reshape(len(bags), size)
+
+
+def signature(hashes: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.ndarray:
+    return signatures([(hashes, counts)], size)[0]
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -151,25 +172,34 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return shared / (total - shared)
 
 
-def with_bag(docs: DataFrame, key: str, bands: str | None = None) -> DataFrame:
-    """Add the bag key of the whole text (and the band keys) to every row, all columns kept."""
-    text = free_name(docs, "near_text")
-    names = [*docs.columns, key] + ([bands] if bands else [])
-    fields = [*docs.schema.fields, T.StructField(key, T.StringType())] + ([T.StructField(bands, T.ArrayType(T.LongType()))] if bands else [])
+#: Shingles whose processes run side by side.
+LANES = 1 << 16
+
+
+def with_bands(rows: DataFrame) -> DataFrame:
+    """``doc_id, thash, text`` -> ``doc_id, thash, bag, bands``; one narrow pass."""
+    fields = "doc_id long, thash long, bag string, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
+
+        def keys(bags: list) -> list:
+            return [band_keys(s) if len(h) else np.zeros(0, np.int64) for s, (h, _) in zip(signatures(bags), bags, strict=True)]
+
         for b in batches:
-            keys, made = [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
+            names, made, held, lanes = [], [], [], 0
+            for t in b.column(2).to_pylist():
                 h, c = bag(t, words)
-                keys.append(bag_key(h, c))
-                if bands:
-                    made.append(band_keys(signature(h, c)) if len(h) else np.zeros(0, np.int64))
-            more = [pa.array(keys, pa.string())] + ([pa.array(made, pa.list_(pa.int64()))] if bands else [])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], names)
+                names.append(bag_key(h, c))
+                held.append((h, c))
+                lanes += len(h)
+                if lanes > LANES:
+                    made += keys(held)
+                    held, lanes = [], 0
+            made += keys(held)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "thash", "bag", "bands"])
 
-    return docs.withColumn(text, whole_text()).mapInArrow(run, T.StructType(fields))
+    return rows.select("doc_id", "thash", "text").mapInArrow(run, fields)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -210,18 +240,18 @@ def _later_pairs(buckets: DataFrame, roots: DataFrame, tested: DataFrame, width:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, bag, class_key``: one row per row of ``docs``; equal class keys are one near-duplicate class."""
-    ids = doc_texts(docs)
-    bagged = materialise(with_bag(ids, "bag", "bands").select("doc_id", "bag", "bands"), "bags")
-    nodes = bagged.groupBy("bag").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("rep"))
-    rows = nodes.select(F.col("bag").alias("node"), F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialise(rows.join(shared, "key"), "buckets")
-    wanted = buckets.select("node").distinct()
-    # the text of each node in a bucket: any row of its bag has an equal bag
-    reps = nodes.join(wanted, nodes["bag"] == wanted["node"], "left_semi").select("bag", "rep")
-    texts = ids.join(reps, F.col("doc_id").eqNullSafe(F.col("rep"))).select("bag", "text")
-    texts = materialise(with_bag(texts, "real").where("bag = real").groupBy(F.col("bag").alias("node")).agg(F.min("text").alias("text")), "texts")
+    """``doc_id, thash, bag, class_key``: one row per row of ``docs``; equal class keys are one near-duplicate class."""
+    rows = doc_texts(docs).withColumn("thash", F.xxhash64("text"))
+    bagged = materialise(with_bands(rows), "bags")
+    nodes = bagged.groupBy("bag").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash", "bands")).alias("x"))
+    nodes = materialise(nodes.select(F.col("bag").alias("node"), "x.doc_id", "x.thash", "x.bands"), "nodes")
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    buckets = materialise(keyed.join(shared, "key"), "buckets")
+    # the text of each node in a bucket, by its representative row
+    reps = nodes.select("node", F.col("doc_id").alias("rep_id"), F.col("thash").alias("rep_hash")).join(buckets.select("node").distinct(), "node")
+    same = rows["doc_id"].eqNullSafe(reps["rep_id"]) & (rows["thash"] == reps["rep_hash"])
+    texts = materialise(rows.join(reps, same).groupBy("node").agg(F.min("text").alias("text")), "texts")
     tested = materialise(_verified(_first_pairs(buckets), texts), "tested")
     links, width = tested.where("linked"), 2
     while True:
@@ -235,7 +265,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
             break
         links = tested.where("linked")
     roots = roots.select(F.col("node").alias("bag"), "root")
-    return bagged.select("doc_id", "bag").join(roots, "bag", "left").select("doc_id", "bag", F.coalesce("root", "bag").alias("class_key"))
+    return bagged.select("doc_id", "thash", "bag").join(roots, "bag", "left").select("doc_id", "thash", "bag", F.coalesce("root", "bag").alias("class_key"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -248,12 +278,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents with one row of each class: that of the least doc_id; of rows that repeat it, one."""
     rows = near_classes(docs)
-    keep = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bag")).alias("x"))
-    keep = keep.select(F.col("x.doc_id").alias("keep_id"), F.col("x.bag").alias("keep_bag"))
-    key, turn = free_name(docs, "near_bag"), free_name(docs, "near_turn")
-    bagged = with_bag(docs, key)
-    kept = bagged.join(keep, F.col(key).eqNullSafe(F.col("keep_bag")) & F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
-    order = Window.partitionBy(key, F.col("doc_id").cast("long")).orderBy(F.col("text"))
+    keep = rows.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")).alias("x"))
+    keep = keep.select(F.col("x.doc_id").alias("keep_id"), F.col("x.thash").alias("keep_hash"))
+    own, turn = free_name(docs, "near_hash"), free_name(docs, "near_turn")
+    hashed = docs.withColumn(own, F.xxhash64(whole_text()))
+    kept = hashed.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("keep_id")) & (F.col(own) == F.col("keep_hash")), "left_semi")
+    order = Window.partitionBy(F.col("doc_id").cast("long"), own).orderBy(F.col("text"))
     return kept.withColumn(turn, F.row_number().over(order)).where(F.col(turn) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
