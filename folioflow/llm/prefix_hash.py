@@ -228,7 +228,7 @@ def with_neighbours(docs: DataFrame, partitions: int | None = None) -> DataFrame
     spark = docs.sparkSession
     n = partitions or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = doc_texts(docs)
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n)))
+    cuts = sorted(set(rows.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
     cuts = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<long>")
     rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(cuts, lambda c: c < F.col("doc_id")))))
     first = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "text"))
