@@ -17,9 +17,9 @@ later than the latest component, so the work is about words + m log m.
 *Candidates.* ``BANDS`` bands of ``ROWS`` components. Texts of equal bags are one
 node from the start. In each bucket the leader (least node) is paired with the
 others; verified pairs are linked. Buckets that still hold more than one
-component then pair each member outside their largest component with all
-members of other components, 2, 4, 8, ... of them a round, until no untested
-pair is left: a pair of a bucket stays untested only inside one component.
+component then pair their members outside the largest component with all
+members of other components, 2, 4, 8, ... of them a round, until each has
+asked: a pair of a bucket stays untested only inside one component.
 
 *Verification.* The exact overlap sum(min) / sum(max) of both bags, ``SIMILARITY``
 or more. Classes are the connected components of verified pairs.
@@ -225,18 +225,27 @@ def _first_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(leads, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _later_pairs(buckets: DataFrame, roots: DataFrame, tested: DataFrame, width: int) -> DataFrame:
-    """Pairs across components of a bucket: ``width`` untested members outside the largest component with all others."""
+def _askers(buckets: DataFrame, roots: DataFrame, asked: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets with more than one component, and of each the next ``width`` members outside its largest one that have not asked yet."""
     rows = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     per = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
     rows = materialise(rows.join(largest.select("key", F.col("x.root").alias("main")), "key"), "open-buckets")
-    outside = rows.where("root <> main").select("key", F.col("node").alias("a"), F.col("root").alias("root_a"))
-    pairs = outside.join(rows.select("key", F.col("node").alias("b"), F.col("root").alias("root_b")), "key").where("root_a <> root_b")
-    fresh = pairs.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("a").alias("asks"))
-    fresh = fresh.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    turn = F.dense_rank().over(Window.partitionBy("key").orderBy("asks"))
-    return fresh.withColumn("turn", turn).where(F.col("turn") <= width).select("a", "b").distinct()
+    waiting = rows.where("root <> main").join(asked, ["key", "node"], "left_anti")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+    return rows, materialise(waiting.withColumn("turn", turn).where(F.col("turn") <= width).select("key", "node", "root"), "askers")
+
+
+def _asked_pairs(rows: DataFrame, askers: DataFrame, tested: DataFrame) -> DataFrame:
+    """Each asker with the members of other components of its bucket, without pairs tested before."""
+    asks = askers.select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
+    pairs = rows.select("key", F.col("node").alias("y"), F.col("root").alias("root_y")).join(asks, "key").where("root_x <> root_y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
+def _roots(tested: DataFrame) -> DataFrame:
+    return components(tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -253,17 +262,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     same = rows["doc_id"].eqNullSafe(reps["rep_id"]) & (rows["thash"] == reps["rep_hash"])
     texts = materialise(rows.join(reps, same).groupBy("node").agg(F.min("text").alias("text")), "texts")
     tested = materialise(_verified(_first_pairs(buckets), texts), "tested")
-    links, width = tested.where("linked"), 2
+    asked = buckets.groupBy("key").agg(F.min("node").alias("node"))
+    width, roots = 2, _roots(tested)
     while True:
-        roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-        pairs = materialise(_later_pairs(buckets, roots, tested, width), "later-pairs")
-        if pairs.isEmpty():
-            break
-        more = materialise(_verified(pairs, texts), "tested")
-        tested, width = tested.unionByName(more), width * 2
-        if more.where("linked").isEmpty() and width > 1 << 20:
+        rows, askers = _askers(buckets, roots, asked, width)
+        if askers.isEmpty():  # every member outside the largest component of its bucket has asked all others
             break
-        links = tested.where("linked")
+        more = materialise(_verified(_asked_pairs(rows, askers, tested), texts), "tested")
+        asked, width = asked.unionByName(askers.select("key", "node")), width * 2
+        tested = tested.unionByName(more)
+        if not more.where("linked").isEmpty():
+            roots = _roots(tested)
     roots = roots.select(F.col("node").alias("bag"), "root")
     return bagged.select("doc_id", "thash", "bag").join(roots, "bag", "left").select("doc_id", "thash", "bag", F.coalesce("root", "bag").alias("class_key"))
 
