@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab
-from ..operators import gap, metering, parse_arrow, profile, render, store, vector
+from ..operators import extras, gap, metering, parse_arrow, profile, render, store, vector
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -589,6 +589,52 @@ def bullet_quality(spark, d):
     return spark.createDataFrame(_TRAPS, "id int, text string").select("id", X.bullet_quality(m, X.tools(F.col("text")), X.confidence(m)).alias("quality"))
 
 
+_COMPANIES = [(1, "Come and join Acme Data. We hire."), (2, "Beta Labs is growing"), (3, "an engineer at Gamma & Co needs SQL"), (4, "nothing here"), (5, "")]
+_NAME = r"([A-Z][A-Za-z0-9&.]*(?: [A-Z][A-Za-z0-9&.]*){0,3})"
+
+
+@_query(f"SELECT id, rtrim(CASE WHEN regexp_extract(text, {_q(chr(92) + 'b(?:at|At|join|Join) ' + _NAME)}, 1) <> '' THEN regexp_extract(text, {_q(chr(92) + 'b(?:at|At|join|Join) ' + _NAME)}, 1) ELSE regexp_extract(text, {_q('(?m)^' + _NAME + ' is' + chr(92) + 'b')}, 1) END, '.') AS company FROM {_values(_COMPANIES, 'id, text')}")
+def company_from_jd(spark, d):
+    return spark.createDataFrame(_COMPANIES, "id int, text string").select("id", extras.company_of(F.col("text")).alias("company"))
+
+
+_READMES = [(1, "# T\n- short\n- a bullet that is long enough\n-- no\n- another one that is long\n- third of the long bullets\n- a fourth long bullet line"), (2, ""), (3, "no dashes at all here")]
+
+
+@_query(f"SELECT id, coalesce(array_to_string(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda l: starts_with(trim(l), '- ')), lambda l: trim(trim(l)[3:])), lambda l: length(l) > 15)[1:3], '|'), '') AS bullets FROM {_values(_READMES, 'id, text')}")
+def readme_bullets(spark, d):
+    return spark.createDataFrame(_READMES, "id int, text string").select("id", F.array_join(extras.readme_bullets(F.col("text")), "|").alias("bullets"))
+
+
+@_query("SELECT p_brand, p_partkey, p_name FROM (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_name) AS rn FROM part WHERE NOT (p_size % 2 = 0)) WHERE rn <= 3")
+def own_repositories(spark, d):
+    """Parts stand in for repositories: the brand owns them, even sizes are forks, the price is the date."""
+    rows = _t(spark, d, "part").select(F.col("p_brand").alias("user"), F.col("p_name").alias("name"), (F.col("p_size") % 2 == 0).alias("is_fork"), F.col("p_retailprice").alias("updated"), "p_partkey")
+    return extras.own_repositories(rows, 3).select(F.col("user").alias("p_brand"), "p_partkey", F.col("name").alias("p_name"))
+
+
+@_query("SELECT user_id, filename FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY filename DESC) AS rn FROM (SELECT DISTINCT user_id, CASE WHEN event_id % 2 = 0 THEN event_id || '.tex' ELSE event_id || '.meta.json' END AS filename FROM events) WHERE filename LIKE '%.tex') WHERE rn <= 2")
+def version_listing(spark, d):
+    name = F.concat(F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, ".tex").otherwise(".meta.json"))
+    return extras.versions(_events(spark, d).select("user_id", name.alias("filename")).distinct(), 2).select("user_id", "filename")
+
+
+@_query(f"{_FIXED} SELECT jd_id, doc_id, score AS formula, score AS model FROM scores")
+def score_compare(spark, d):
+    return extras.compare(_jds(spark, d), _docs(spark, d))
+
+
+@_query()
+def embedding_score(spark, d):
+    return extras.score(_jds(spark, d), _docs(spark, d), "embedding")
+
+
+@_query("SELECT c_custkey, 'Dear hiring team, I would like to join ' || c_mktsegment || '. My work includes SQL, Spark. Sincerely, ' || c_name AS txt FROM customer")
+def cover_letter(spark, d):
+    letter = extras.cover_letter(F.col("c_name"), F.col("c_mktsegment"), F.array(F.lit("SQL"), F.lit("Spark")))
+    return _t(spark, d, "customer").select("c_custkey", letter.alias("l")).select("c_custkey", "l.txt")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
