@@ -14,7 +14,17 @@ blocks that both texts share as a multiset give what is equal elsewhere.
 ``likeness`` is shared length over the longer length: 1 for equal
 fingerprints, 0 for texts that share no block. Equal texts have equal
 fingerprints; different texts of equal length and hash have probability
-below n / 2**61.
+below n / 2**61. A fingerprint alone can't see a span that another text holds
+at an offset off the grid.
+
+``near_edited`` and ``near_next`` are therefore made from the whole texts
+(``alike``): behind the common prefix, the hash of every span of ``SPAN``
+characters of one text (a quarter of the shorter text, where that is less) is
+looked up among those of the other, at any offset; a span that occurs more
+often in one text counts as often as in the other, first ones first. The value
+is the length that such spans and the common prefix cover, the lesser of both
+texts, over the longer length. Common spans shorter than that are not counted,
+and the order of long spans does not matter.
 
 Defined cases: null and empty texts have length 0 and fingerprint ``0:1:``; two
 empty texts are alike (1), an empty and a non-empty one are not (0). The next
@@ -40,6 +50,8 @@ from .common import doc_texts, materialise, read_table
 PRIME = (1 << 61) - 1
 BASE = 1_000_003_579
 POINTS = 64
+#: Characters of the spans that two whole texts are compared by.
+SPAN = 32
 #: Characters summed before a reduction: 2**21 * 2**31 * LANE stays below 2**64.
 LANE = 2048
 
@@ -199,18 +211,97 @@ def likeness(a: str, b: str) -> float:
     return (px[lo] + sum(k[0] * c for k, c in shared.items())) / max(n, m)
 
 
+def window_hashes(c: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of every span of ``width`` characters, by doubling: span hashes of two neighbours make that of both."""
+    n = len(c)
+    if n < width:
+        return np.zeros(0, np.uint64)
+
+    def joined(x: np.ndarray, p: int, y: np.ndarray, q: int) -> np.ndarray:
+        k = n - p - q + 1
+        return _mod(_mulmod(x[:k], power(q)) + y[p : p + k])
+
+    part, size = c.astype(np.uint64) + np.uint64(1), 1
+    out, done = None, 0
+    while True:
+        if width & size:
+            out, done = (part, size) if out is None else (joined(out, done, part, size), done + size)
+        if 2 * size > width:
+            return out
+        part, size = joined(part, size, part, size), 2 * size
+
+
+class Spans:
+    """Characters of a text, and the hashes of all its spans of one width once asked for."""
+
+    def __init__(self, text: str):
+        self.codes, self._width, self._hashes = codes(text), 0, None
+
+    def hashes(self, width: int, start: int) -> np.ndarray:
+        """Hashes of the spans from ``start`` on."""
+        if width != self._width:
+            if start:
+                return window_hashes(self.codes[start:], width)
+            self._width, self._hashes = width, window_hashes(self.codes, width)
+        return self._hashes[start:]
+
+
+def _matches(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in x and in y of the values that both hold, each value as often as in both, first ones first."""
+    mask = np.uint64((1 << max(10, (8 * max(len(x), len(y))).bit_length())) - 1)
+    low_x, low_y = (x & mask).astype(np.int64), (y & mask).astype(np.int64)
+    table = np.zeros(int(mask) + 1, bool)  # spares the sort what the other side can't hold
+    table[low_y] = True
+    at_x = np.flatnonzero(table[low_x])
+    table[:] = False
+    table[low_x[at_x]] = True
+    at_y = np.flatnonzero(table[low_y])
+    if not len(at_x) or not len(at_y):
+        return at_x[:0], at_y[:0]
+    values = np.concatenate([x[at_x], y[at_y]])
+    order = np.argsort(values, kind="stable")  # of equal values those of x first, by position
+    values, of_x = values[order], order < len(at_x)
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    sizes = np.diff(np.append(starts, len(values)))
+    in_x = np.add.reduceat(of_x.astype(np.int64), starts)
+    least = np.repeat(np.minimum(in_x, sizes - in_x), sizes)
+    rank = np.arange(len(values)) - np.repeat(starts, sizes) - np.where(of_x, 0, np.repeat(in_x, sizes))
+    kept = rank < least
+    return np.sort(at_x[order[kept & of_x]]), np.sort(at_y[order[kept & ~of_x] - len(at_x)])
+
+
+def alike(a: Spans, b: Spans) -> float:
+    """Shared length over the longer length, 0 to 1, from two whole texts, whatever the offsets of the shared spans."""
+    n, m = len(a.codes), len(b.codes)
+    if not n or not m:
+        return float(n == m)
+    differs = np.flatnonzero(a.codes[: min(n, m)] != b.codes[: min(n, m)])
+    prefix = int(differs[0]) if len(differs) else min(n, m)
+    if prefix == n == m:
+        return 1.0
+    width = min(SPAN, max(1, min(n, m) // 4))
+    start = max(0, prefix - width + 1)  # spans within the common prefix match each other
+
+    def covered(at: np.ndarray) -> int:
+        ends = at + start + width
+        return prefix + int(np.minimum(width, ends - np.concatenate([[prefix], ends])[:-1]).sum())
+
+    return min(map(covered, _matches(a.hashes(width, start), b.hashes(width, start)))) / max(n, m)
+
+
 def edited(text: str, following: str) -> str:
     """The last floor(n / 4) characters replaced by the first as many (or all) of the next text."""
     cut = len(text) // 4
     return text[: len(text) - cut] + following[:cut]
 
 
-def _row(text: str, following: str, own: str | None = None) -> tuple[str, str, str, float, float, str]:
-    fp = own or fingerprint(text)
+def _row(text: str, following: str, own: tuple[str, Spans] | None = None) -> tuple[str, str, str, float, float, tuple[str, Spans]]:
+    fp, spans = own or (fingerprint(text), Spans(text))
     new = edited(text, following)
-    efp = fingerprint(new)
-    nxt = fingerprint(following)
-    return fp, hashlib.sha256(new.encode()).hexdigest(), efp, likeness(fp, efp), likeness(fp, nxt), nxt
+    nxt = fingerprint(following), Spans(following)
+    # the next text first: that call keeps the hashes which the shorter comparison then takes a part of
+    near_next = alike(spans, nxt[1])
+    return fp, hashlib.sha256(new.encode()).hexdigest(), fingerprint(new), alike(spans, Spans(new)), near_next, nxt
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -338,6 +338,25 @@ def test_sampled_prefixes_are_the_prefix_array():
     assert prefix_hash.longest_common_extension(a, 2, b, 0) == 11
 
 
+def test_whole_texts_are_compared_at_any_offset(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    t, p = text(100_000), text(2000)
+    near = lambda a, b: prefix_hash.alike(prefix_hash.Spans(a), prefix_hash.Spans(b))
+    for other in ("x" + t, t[:50_000] + "x" + t[50_000:], t[:-1], t[1:]):
+        assert near(t, other) > 0.999 and near(other, t) > 0.999
+    assert near(p + text(98_000), text(50_001) + p + text(47_999)) == pytest.approx(0.02, abs=1e-3)
+    assert near("ab" * 500, "ab" * 50) == pytest.approx(0.1)
+    x, y = text(500), text(500)
+    assert near(x * 4 + y, x + y * 4) == pytest.approx(0.4, abs=0.02)
+    assert near(t, text(100_000)) == 0
+    h = prefix_hash.prefix_hashes(p)
+    for width in (1, 5, 32):
+        assert prefix_hash.window_hashes(prefix_hash.codes(p), width).tolist() == [prefix_hash.span_hash(h, i, i + width) for i in range(len(p) - width + 1)]
+    got = {r.doc_id: r.near_next for r in prefix_hash.with_neighbours(frame(spark, [(1, t), (2, "x" + t), (3, "")]), 1).collect()}
+    assert got[1] > 0.999 and got[2] == got[3] == 0
+
+
 def test_likeness():
     fp = prefix_hash.fingerprint
     t = sample_texts(3, 2)[0] * 5
