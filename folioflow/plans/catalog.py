@@ -2,9 +2,10 @@
 
 Each query runs over its whole tables. ``documents`` stand in for résumés,
 ``benchmark`` for job descriptions, ``events`` for the usage log, ``embeddings``
-for stored vectors and ``conversations`` for ordered lines. Where the driver's
-texts hold nothing that an operator looks for, both sides read the same small
-inline relation.
+for stored vectors and ``conversations`` for ordered lines. Parsers and scores
+whose SQL reads a small inline relation are registered twice: under their name
+over that relation, and as ``name_documents`` (``name_benchmark``) over the
+whole table united with it, its ids negated.
 """
 
 from __future__ import annotations
@@ -32,6 +33,34 @@ def _query(sql: str | None = None):
     return add
 
 
+def _query_both(sql: str, rows: list[tuple], names: str = "id, text", table: str = "documents", check: bool = True):
+    """Register a function of a frame over inline rows, and over a whole table united with them.
+
+    The SQL of the second is that of the first with the union as its source, left out where ``check`` is off.
+    """
+    key, table_key = names.split(", ")[0], {"documents": "doc_id", "benchmark": "item_id"}[table]
+    schema = f"{key} long, text string"
+
+    def add(f):
+        def inline(spark, d):
+            return f(spark.createDataFrame(rows, schema)).withColumn(key, F.col(key).cast("int"))
+
+        def whole(spark, d):
+            found = _t(spark, d, table).select(F.col(table_key).alias(key), "text")
+            return f(found.unionByName(spark.createDataFrame([(-i, t) for i, t in rows], schema)))
+
+        name = f.__name__
+        _QUERIES[name], _QUERIES[f"{name}_{table}"] = inline, whole
+        _ORACLES[name] = sql
+        if check:
+            source = _values(rows, names)
+            assert source in sql
+            _ORACLES[f"{name}_{table}"] = sql.replace(source, f"(SELECT {table_key} AS {key}, text FROM {table} UNION ALL SELECT -{key} AS {key}, text FROM {source})")
+        return f
+
+    return add
+
+
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -145,10 +174,10 @@ _TRAPS = [(1, "cut costs by 68% and 12.5 % more"), (2, "68% saving $4,100"), (3,
 _METRICS_SQL = "list_sort(list_distinct(" + " || ".join(f"list_transform(regexp_extract_all(text, {_q('(?i)' + p)}, {g}), lambda x: coalesce(x, ''))" for p, g in vocab.METRICS) + "))"
 
 
-@_query(f"SELECT id, array_to_string({_METRICS_SQL}, '|') AS found, CAST(len({_METRICS_SQL}) AS INTEGER) AS n, CASE WHEN len({_METRICS_SQL}) >= 2 THEN 'high' WHEN len({_METRICS_SQL}) = 1 THEN 'medium' ELSE 'low' END AS confidence FROM {_values(_TRAPS, 'id, text')}")
-def metric_extract(spark, d):
-    rows = spark.createDataFrame(_TRAPS, "id int, text string").withColumn("m", X.metrics(F.col("text")))
-    return rows.select("id", F.array_join(F.sort_array("m"), "|").alias("found"), F.size("m").alias("n"), X.confidence(F.col("m")).alias("confidence"))
+@_query_both(f"SELECT id, array_to_string({_METRICS_SQL}, '|') AS found, CAST(len({_METRICS_SQL}) AS INTEGER) AS n, CASE WHEN len({_METRICS_SQL}) >= 2 THEN 'high' WHEN len({_METRICS_SQL}) = 1 THEN 'medium' ELSE 'low' END AS confidence FROM {_values(_TRAPS, 'id, text')}", _TRAPS)
+def metric_extract(rows):
+    found = rows.withColumn("m", X.metrics(F.col("text")))
+    return found.select("id", F.array_join(F.sort_array("m"), "|").alias("found"), F.size("m").alias("n"), X.confidence(F.col("m")).alias("confidence"))
 
 
 @_query(f"SELECT CASE WHEN n >= 2 THEN 'high' WHEN n = 1 THEN 'medium' ELSE 'low' END AS confidence, count(*) AS docs FROM (SELECT len({_METRICS_SQL}) AS n FROM documents) GROUP BY ALL")
@@ -168,9 +197,9 @@ def tool_extract(spark, d):
 _FORMATS = [(1, "\\documentclass{article}\n## x"), (2, "intro\n## Skills\nx"), (3, "plain text # not a heading"), (4, "\\resumeItem{a}"), (5, "####  deep"), (6, "# \n"), (7, "###\tTabbed")]
 
 
-@_query(f"SELECT id, CASE WHEN contains(text, '\\documentclass') OR contains(text, '\\resumeSubheading') OR contains(text, '\\resumeItem') THEN 'latex' WHEN regexp_matches(text, '(?m)^#{{1,3}}\\s+\\w') THEN 'markdown' ELSE 'blob' END AS format FROM {_values(_FORMATS, 'id, text')}".replace("'intro\n", "'intro\n"))
-def format_detect(spark, d):
-    return spark.createDataFrame(_FORMATS, "id int, text string").select("id", X.detect_format(F.col("text")).alias("format"))
+@_query_both(f"SELECT id, CASE WHEN contains(text, '\\documentclass') OR contains(text, '\\resumeSubheading') OR contains(text, '\\resumeItem') THEN 'latex' WHEN regexp_matches(text, '(?m)^#{{1,3}}\\s+\\w') THEN 'markdown' ELSE 'blob' END AS format FROM {_values(_FORMATS, 'id, text')}".replace("'intro\n", "'intro\n"), _FORMATS)
+def format_detect(rows):
+    return rows.select("id", X.detect_format(F.col("text")).alias("format"))
 
 
 _DATES = [(1, "Jan 2022 – Present"), (2, "July 2024 -- Present"), (3, "2019 - 2021"), (4, "May2020–Jun2021"), (5, "2020"), (6, "a — b – c"), (7, " x--y "), (8, "2019-2020")]
@@ -178,9 +207,9 @@ _START = "CASE " + " ".join(f"WHEN contains(text, {_q(s)}) THEN trim(text[:instr
 _END = "CASE " + " ".join(f"WHEN contains(text, {_q(s)}) THEN trim(text[instr(text, {_q(s)}) + {len(s)}:])" for s in vocab.DATE_SEPARATORS) + " ELSE '' END"
 
 
-@_query(f'SELECT id, {_START} AS "start", {_END} AS "end" FROM {_values(_DATES, "id, text")}')
-def date_split(spark, d):
-    return spark.createDataFrame(_DATES, "id int, text string").select("id", X.date_range(F.col("text")).alias("r")).select("id", "r.start", "r.end")
+@_query_both(f'SELECT id, {_START} AS "start", {_END} AS "end" FROM {_values(_DATES, "id, text")}', _DATES)
+def date_split(rows):
+    return rows.select("id", X.date_range(F.col("text")).alias("r")).select("id", "r.start", "r.end")
 
 
 _LATEX = [(1, "\\textbf{A \\emph{b}} -- 5\\% \\& more"), (2, "\\href{http://x}{label} \\url{y}"), (3, "\\foo{bar} \\baz qux --- end"), (4, "a\n\n b\t c"), (5, "\\textbf{\\textit{\\small{deep}}}")]
@@ -196,9 +225,9 @@ def _clean_sql(c: str) -> str:
     return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
 
-@_query(f"SELECT id, {_clean_sql('text')} AS clean FROM {_values(_LATEX, 'id, text')}")
-def latex_clean(spark, d):
-    return spark.createDataFrame(_LATEX, "id int, text string").select("id", X.clean_latex(F.col("text")).alias("clean"))
+@_query_both(f"SELECT id, {_clean_sql('text')} AS clean FROM {_values(_LATEX, 'id, text')}", _LATEX)
+def latex_clean(rows):
+    return rows.select("id", X.clean_latex(F.col("text")).alias("clean"))
 
 
 def _escape_sql(c: str) -> str:
@@ -227,7 +256,10 @@ _HEADS = [(1, "PROFESSIONAL EXPERIENCE"), (2, "Technical Skills:"), (3, "Foo Tec
 
 @_query()
 def section_headers(spark, d):
-    return spark.createDataFrame(_HEADS, "id int, line string").select("id", X.section_of(F.col("line")).alias("section"), X.is_title_like(F.col("line")).alias("titled"), X.is_bullet(F.col("line")).alias("bullet"))
+    """Every line of the documents, and the inline lines under negated ids."""
+    lines = _docs(spark, d).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    lines = lines.unionByName(spark.createDataFrame([(-i, 0, x) for i, x in _HEADS], "id long, at int, line string"))
+    return lines.select("id", "at", X.section_of(F.col("line")).alias("section"), X.is_title_like(F.col("line")).alias("titled"), X.is_bullet(F.col("line")).alias("bullet"))
 
 
 # --- gap analysis ------------------------------------------------------------
@@ -515,36 +547,36 @@ SELECT doc_id, CAST(role AS INTEGER) AS role,
 FROM r WHERE role > 0 GROUP BY ALL"""
 
 
-@_query(_BLOB_SQL)
-def blob_parse(spark, d):
-    p = profile.parse_blob(spark.createDataFrame(_BLOBS, "doc_id long, text string"))
-    return p.select("doc_id", F.posexplode("profile.experience").alias("at", "r")).select(F.col("doc_id").cast("int").alias("doc_id"), (F.col("at") + 1).alias("role"), "r.company", "r.title", "r.start", F.size("r.bullets").alias("n_bullets"))
+@_query_both(_BLOB_SQL, _BLOBS, "doc_id, text")
+def blob_parse(rows):
+    p = profile.parse_blob(rows)
+    return p.select("doc_id", F.posexplode("profile.experience").alias("at", "r")).select("doc_id", (F.col("at") + 1).alias("role"), "r.company", "r.title", "r.start", F.size("r.bullets").alias("n_bullets"))
 
 
 _MARKDOWN = [(1, "## Experience\n**Engineer** | Acme | 2020 - 2021\n- Built it with Spark\n- Shipped 5 things\n## Skills\nPython, SQL | Spark\n- Kafka\n## Education\nx"), (2, "## Frameworks & Skills\n**Lead** @ Beta @ 2022\n* Led"), (3, "no sections")]
 
 
-@_query(f"""WITH l AS (SELECT doc_id, pos, trim(line) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {_values(_MARKDOWN, "doc_id, text")})),
+@_query_both(f"""WITH l AS (SELECT doc_id, pos, trim(line) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {_values(_MARKDOWN, "doc_id, text")})),
 x AS (SELECT *, last_value(CASE WHEN starts_with(s, '## ') THEN lower(s[4:]) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l)
 SELECT doc_id, trim(regexp_extract(s, '^\\*\\*(.+?)\\*\\*\\s*[|@]\\s*(.+?)\\s*[|@]\\s*(.+)', 1)) AS title, trim(regexp_extract(s, '^\\*\\*(.+?)\\*\\*\\s*[|@]\\s*(.+?)\\s*[|@]\\s*(.+)', 2)) AS company, trim(regexp_extract(s, '^\\*\\*(.+?)\\*\\*\\s*[|@]\\s*(.+?)\\s*[|@]\\s*(.+)', 3)) AS "start"
-FROM x WHERE (contains(section, 'experience') OR contains(section, 'work')) AND regexp_matches(s, '^\\*\\*(.+?)\\*\\*\\s*[|@]\\s*(.+?)\\s*[|@]\\s*(.+)')""")
-def markdown_parse(spark, d):
-    p = profile.parse_markdown(spark.createDataFrame(_MARKDOWN, "doc_id long, text string"))
-    return p.select(F.col("doc_id").cast("int").alias("doc_id"), F.explode("profile.experience").alias("r")).select("doc_id", "r.title", "r.company", "r.start")
+FROM x WHERE (contains(section, 'experience') OR contains(section, 'work')) AND regexp_matches(s, '^\\*\\*(.+?)\\*\\*\\s*[|@]\\s*(.+?)\\s*[|@]\\s*(.+)')""", _MARKDOWN, "doc_id, text")
+def markdown_parse(rows):
+    p = profile.parse_markdown(rows)
+    return p.select("doc_id", F.explode("profile.experience").alias("r")).select("doc_id", "r.title", "r.company", "r.start")
 
 
-@_query(f"""WITH l AS (SELECT doc_id, pos, trim(line) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {_values(_MARKDOWN, "doc_id, text")})),
+@_query_both(f"""WITH l AS (SELECT doc_id, pos, trim(line) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM {_values(_MARKDOWN, "doc_id, text")})),
 x AS (SELECT *, last_value(CASE WHEN starts_with(s, '## ') THEN lower(s[4:]) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l)
-SELECT doc_id, skill, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(s, '[,|•]'), lambda k: trim(k, ' -*')), lambda k: k <> '')) AS skill FROM x WHERE contains(section, 'skill') AND NOT contains(section, 'experience') AND NOT contains(section, 'work') AND NOT starts_with(s, '## ') AND s <> '') GROUP BY ALL""")
-def markdown_skills(spark, d):
-    p = profile.parse_markdown(spark.createDataFrame(_MARKDOWN, "doc_id long, text string"))
-    return p.select(F.col("doc_id").cast("int").alias("doc_id"), F.explode("profile.skills").alias("skill")).groupBy("doc_id", "skill").agg(F.count("*").alias("n"))
+SELECT doc_id, skill, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(list_transform(string_split_regex(s, '[,|•]'), lambda k: trim(k, ' -*')), lambda k: k <> '')) AS skill FROM x WHERE contains(section, 'skill') AND NOT contains(section, 'experience') AND NOT contains(section, 'work') AND NOT starts_with(s, '## ') AND s <> '') GROUP BY ALL""", _MARKDOWN, "doc_id, text")
+def markdown_skills(rows):
+    p = profile.parse_markdown(rows)
+    return p.select("doc_id", F.explode("profile.skills").alias("skill")).groupBy("doc_id", "skill").agg(F.count("*").alias("n"))
 
 
 @_query()
 def latex_parse(spark, d):
     tex = "\\section{Experience}\n\\resumeSubheading{Engineer}{Jan 2020 -- Present}{Acme}{Berlin}\n\\resumeItemListStart\n\\resumeItem{Cut cost by \\textbf{40\\%} with \\href{u}{Spark}}\n\\section{Education}\n\\resumeSubheading{Uni}{City}{MSc}{2019}\n\\section{Technical Skills}\n\\textbf{Languages}{: Python, SQL}"
-    return parse_arrow.parse_latex(spark.createDataFrame([(1, tex)], "doc_id long, text string"))
+    return parse_arrow.parse_latex(_docs(spark, d).unionByName(spark.createDataFrame([(-1, tex)], "doc_id long, text string")))
 
 
 @_query()
@@ -569,41 +601,41 @@ def render_certifications(spark, d):
 
 @_query()
 def render_profile(spark, d):
-    """A blob résumé as a whole LaTeX document."""
-    p = profile.parse_blob(spark.createDataFrame(_BLOBS, "doc_id long, text string"))
+    """Each blob résumé as a whole LaTeX document."""
+    p = profile.parse_blob(_docs(spark, d).unionByName(spark.createDataFrame([(-i, t) for i, t in _BLOBS], "doc_id long, text string")))
     return p.select("doc_id", render.build(F.col("profile"), F.lit("{{NAME}}\n{{EXPERIENCE_SECTION}}\n{{SKILLS_SECTION}}\n{{EDUCATION_SECTION}}"), {"NAME": F.lit("A & B")}).alias("tex"))
 
 
 _STAR = f"list_contains({_list(X.ACTION_VERBS)}, lower(regexp_extract(text, '^[^0-9A-Za-z_]*([0-9A-Za-z_]+)', 1)))"
 
 
-@_query(f"SELECT id, {_STAR} AS has_action, len({_METRICS_SQL}) > 0 AS has_result, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS word_count, CAST({_STAR} AS INTEGER) + CAST(len({_METRICS_SQL}) > 0 AS INTEGER) AS star_score FROM {_values(_TRAPS, 'id, text')}")
-def star_score(spark, d):
+@_query_both(f"SELECT id, {_STAR} AS has_action, len({_METRICS_SQL}) > 0 AS has_result, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS INTEGER) AS word_count, CAST({_STAR} AS INTEGER) + CAST(len({_METRICS_SQL}) > 0 AS INTEGER) AS star_score FROM {_values(_TRAPS, 'id, text')}", _TRAPS)
+def star_score(rows):
     s = X.star_score(F.col("text"), X.metrics(F.col("text")))
-    return spark.createDataFrame(_TRAPS, "id int, text string").select("id", s.alias("s")).select("id", "s.has_action", "s.has_result", "s.word_count", "s.star_score")
+    return rows.select("id", s.alias("s")).select("id", "s.has_action", "s.has_result", "s.word_count", "s.star_score")
 
 
-@_query(f"""SELECT id, round(0.4 * least(m, 2) / 2 + 0.2 * least(t, 2) / 2 + 0.4 * CASE WHEN m >= 2 THEN 1.0 WHEN m = 1 THEN 0.5 ELSE 0.0 END, 4) AS quality FROM (SELECT id, len({_METRICS_SQL}) AS m, len(list_filter({_list(vocab.TOOLS)}, lambda t: contains(lower(text), lower(t)))) AS t FROM {_values(_TRAPS, 'id, text')})""")
-def bullet_quality(spark, d):
+@_query_both(f"""SELECT id, round(0.4 * least(m, 2) / 2 + 0.2 * least(t, 2) / 2 + 0.4 * CASE WHEN m >= 2 THEN 1.0 WHEN m = 1 THEN 0.5 ELSE 0.0 END, 4) AS quality FROM (SELECT id, len({_METRICS_SQL}) AS m, len(list_filter({_list(vocab.TOOLS)}, lambda t: contains(lower(text), lower(t)))) AS t FROM {_values(_TRAPS, 'id, text')})""", _TRAPS)
+def bullet_quality(rows):
     m = X.metrics(F.col("text"))
-    return spark.createDataFrame(_TRAPS, "id int, text string").select("id", X.bullet_quality(m, X.tools(F.col("text")), X.confidence(m)).alias("quality"))
+    return rows.select("id", X.bullet_quality(m, X.tools(F.col("text")), X.confidence(m)).alias("quality"))
 
 
 _COMPANIES = [(1, "Come and join Acme Data. We hire."), (2, "Beta Labs is growing"), (3, "an engineer at Gamma & Co needs SQL"), (4, "nothing here"), (5, "")]
 _NAME = r"([A-Z][A-Za-z0-9&.]*(?: [A-Z][A-Za-z0-9&.]*){0,3})"
 
 
-@_query(f"SELECT id, rtrim(CASE WHEN regexp_extract(text, {_q(chr(92) + 'b(?:at|At|join|Join) ' + _NAME)}, 1) <> '' THEN regexp_extract(text, {_q(chr(92) + 'b(?:at|At|join|Join) ' + _NAME)}, 1) ELSE regexp_extract(text, {_q('(?m)^' + _NAME + ' is' + chr(92) + 'b')}, 1) END, '.') AS company FROM {_values(_COMPANIES, 'id, text')}")
-def company_from_jd(spark, d):
-    return spark.createDataFrame(_COMPANIES, "id int, text string").select("id", extras.company_of(F.col("text")).alias("company"))
+@_query_both(f"SELECT id, rtrim(CASE WHEN regexp_extract(text, {_q(chr(92) + 'b(?:at|At|join|Join) ' + _NAME)}, 1) <> '' THEN regexp_extract(text, {_q(chr(92) + 'b(?:at|At|join|Join) ' + _NAME)}, 1) ELSE regexp_extract(text, {_q('(?m)^' + _NAME + ' is' + chr(92) + 'b')}, 1) END, '.') AS company FROM {_values(_COMPANIES, 'id, text')}", _COMPANIES, table="benchmark")
+def company_from_jd(rows):
+    return rows.select("id", extras.company_of(F.col("text")).alias("company"))
 
 
 _READMES = [(1, "# T\n- short\n- a bullet that is long enough\n-- no\n- another one that is long\n- third of the long bullets\n- a fourth long bullet line"), (2, ""), (3, "no dashes at all here")]
 
 
-@_query(f"SELECT id, coalesce(array_to_string(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda l: starts_with(trim(l), '- ')), lambda l: trim(trim(l)[3:])), lambda l: length(l) > 15)[1:3], '|'), '') AS bullets FROM {_values(_READMES, 'id, text')}")
-def readme_bullets(spark, d):
-    return spark.createDataFrame(_READMES, "id int, text string").select("id", F.array_join(extras.readme_bullets(F.col("text")), "|").alias("bullets"))
+@_query_both(f"SELECT id, coalesce(array_to_string(list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda l: starts_with(trim(l), '- ')), lambda l: trim(trim(l)[3:])), lambda l: length(l) > 15)[1:3], '|'), '') AS bullets FROM {_values(_READMES, 'id, text')}", _READMES)
+def readme_bullets(rows):
+    return rows.select("id", F.array_join(extras.readme_bullets(F.col("text")), "|").alias("bullets"))
 
 
 @_query("SELECT p_brand, p_partkey, p_name FROM (SELECT p_brand, p_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_name) AS rn FROM part WHERE NOT (p_size % 2 = 0)) WHERE rn <= 3")
