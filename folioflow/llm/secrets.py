@@ -13,11 +13,15 @@ uniform draws: chi-squared over the alphabet, runs above/below the middle, and
 lag-1 serial correlation, each as a z score with exact finite-length moments.
 
 *Length-aware false-discovery control.* The opposite null hypothesis, "this is
-written text", is tested by the number of changes between letter case and
-digits: written text changes class at a rate of at most ``TEXT_CHANGE``, so a
-Chernoff bound on the binomial tail is a valid p value that gets smaller with
-length. Candidates of the whole corpus are counted by (length band, integer
--log10 p), and Benjamini-Hochberg at ``FDR`` runs in each band over those bins.
+written text", is tested by a likelihood ratio of uniform draws in the inferred
+encoding against text: text changes between letter cases and digits at a rate of
+at most ``TEXT_CHANGE`` (the encoding at its own rate), and holds each letter
+as often as the likeliest language of ``LETTER_RATES`` (the encoding each of its
+letters and digits equally often). Signs tell nothing. One over the ratio is a
+valid p value under that model (Markov's inequality; a quarter of the ratio
+counts, as one of four encodings is chosen), and gets smaller with length.
+Candidates of the whole corpus are counted by (length band, integer -log10 p),
+and Benjamini-Hochberg at ``FDR`` runs in each band over those bins.
 A candidate is reported where the text hypothesis is discovered false and no
 test of the battery rejects randomness.
 
@@ -29,6 +33,8 @@ are dropped, base spans stay.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,11 +50,19 @@ LONG_RUN = "[A-Za-z0-9+/_-]{20}"
 KEY_PARTS = ("password", "passwd", "secret", "token", "api")
 
 TEXT_CHANGE = 0.1
+#: Letters a to z in English, German, French and Spanish text, a thousand letters (rounded, at least 5; fixed values).
+LETTER_RATES = (
+    (82, 15, 28, 43, 127, 22, 20, 61, 70, 5, 8, 40, 24, 67, 75, 19, 5, 60, 63, 91, 28, 10, 24, 5, 20, 5),
+    (65, 19, 30, 51, 170, 17, 30, 48, 76, 5, 13, 34, 25, 98, 25, 8, 5, 70, 73, 62, 43, 8, 19, 5, 5, 11),
+    (78, 9, 33, 37, 160, 11, 9, 7, 75, 6, 5, 55, 30, 71, 58, 28, 13, 67, 79, 72, 63, 18, 5, 5, 5, 5),
+    (125, 18, 42, 58, 137, 7, 12, 8, 65, 5, 5, 52, 30, 68, 88, 25, 9, 68, 79, 46, 39, 11, 5, 5, 10, 5),
+)
 FDR = 0.01
 MAX_Z = 4.0
 BANDS = (32, 48, 80)
 MAX_BIN = 60
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HEX_ALPHABET = "0123456789abcdef"
 B32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 B62_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -88,6 +102,12 @@ def base_spans(text: Column) -> Column:
 
 def _battery(token: Column) -> Column:
     """struct<n, bin, ok> of one candidate: length, floor(-log10 p) that it is written text, no test rejects randomness."""
+
+    def by_encoding(of) -> Column:
+        """``of(letters of a case, digits, class changes a pair)`` of the encoding, as a literal."""
+        change = lambda *sizes: 1 - sum((x / sum(sizes)) ** 2 for x in sizes)
+        return F.when(hexed, of(6, 10, change(6, 10))).when(b32, of(26, 6, change(26, 6))).otherwise(of(26, 10, change(26, 26, 10)))
+
     body = F.regexp_replace(token, "=+$", "")
     n = F.char_length(body).cast("double")
     hexed, b32 = body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), body.rlike("^[A-Z2-7]+$")
@@ -102,10 +122,17 @@ def _battery(token: Column) -> Column:
     half = size / 2
     sort_of = F.transform(F.split(body, ""), lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4))
     kinds = F.arrays_zip(F.slice(sort_of, 1, F.size(sort_of) - 1).alias("x"), F.slice(sort_of, 2, F.size(sort_of) - 1).alias("y"))
+    rarity = [F.array(F.lit(0.0), *[F.lit(-math.log10(p / sum(rates))) for p in rates]) for rates in LETTER_RATES]
+    places = F.transform(F.split(F.lower(body), ""), lambda c: F.instr(F.lit(LETTERS), c))
     stats = F.struct(
         n.alias("n"), size.alias("k"), squares.alias("sq"), fold(at, lambda x: x).alias("sx"), fold(at, lambda x: x * x).alias("sxx"),
         fold(pairs, lambda p: p["x"] * p["y"]).alias("sxy"), fold(at, lambda x: (x >= half).cast("double")).alias("hi"),
         fold(pairs, lambda p: ((p["x"] >= half) != (p["y"] >= half)).cast("double")).alias("turns"),
+        fold(kinds, lambda p: ((p["x"] == p["y"]) & (p["x"] < 4)).cast("double")).alias("stays"),
+        F.least(*[fold(places, lambda i, r=r: F.get(r, i)) for r in rarity]).alias("rare"),
+        F.char_length(F.regexp_replace(body, "[^A-Za-z]", "")).alias("letters"), F.char_length(F.regexp_replace(body, "[^0-9]", "")).alias("digits"),
+        by_encoding(lambda l, d, r: F.lit(math.log10(r / TEXT_CHANGE))).alias("move"), by_encoding(lambda l, d, r: F.lit(math.log10((1 - r) / (1 - TEXT_CHANGE)))).alias("stay"),
+        by_encoding(lambda l, d, r: F.lit(math.log10(1 / l))).alias("letter"), by_encoding(lambda l, d, r: F.lit(math.log10(10 / d))).alias("digit"),
         # a change counts between letter cases and digits alone: joined words change at "-", "_" and "/"
         fold(kinds, lambda p: ((p["x"] != p["y"]) & (p["x"] < 4) & (p["y"] < 4)).cast("double")).alias("moves"),
         (body.rlike("[A-Za-z]") & body.rlike("[0-9]")).alias("mixed"),
@@ -121,9 +148,8 @@ def _battery(token: Column) -> Column:
         var = n * v["sxx"] - v["sx"] * v["sx"]
         ends = F.greatest(var, F.lit(1e-9))
         serial = ((n * v["sxy"] - v["sx"] * v["sx"]) / ends + 1 / (n - 1)) / F.sqrt(n * n / ((n - 1) * (n - 1) * (n - 2)))
-        rate = F.least(F.greatest(v["moves"] / (n - 1), F.lit(TEXT_CHANGE)), F.lit(1 - 1e-9))
-        kl = rate * F.log(rate / TEXT_CHANGE) + (1 - rate) * F.log((1 - rate) / (1 - TEXT_CHANGE))
-        bin_ = F.least(F.floor((n - 1) * kl / F.log(F.lit(10.0))).cast("int"), F.lit(MAX_BIN))
+        ratio = v["moves"] * v["move"] + v["stays"] * v["stay"] + v["rare"] + v["letters"] * v["letter"] + v["digits"] * v["digit"] - math.log10(4)
+        bin_ = F.least(F.greatest(F.floor(ratio).cast("int"), F.lit(0)), F.lit(MAX_BIN))
         ok = v["mixed"] & (F.abs(chi) <= MAX_Z) & (F.abs(runs) <= MAX_Z) & (F.abs(serial) <= MAX_Z)
         return F.struct(v["n"].cast("int").alias("n"), bin_.alias("bin"), ok.alias("ok"))
 

@@ -59,6 +59,22 @@ def test_secret_battery_and_bands(spark):
     assert all(not v for k, v in found.items() if k < 100 or k == 102)
 
 
+def test_secret_recall_by_encoding_and_length(spark):
+    """Share of uniform tokens that reach bin 4 and pass the battery; joined words do not."""
+    rng = random.Random(3)
+    b62 = secrets.B62_ALPHABET
+    alphabets = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": secrets.B32_ALPHABET, "base62": b62, "base64": b62 + "+/"}
+    least = {("hex", 20): 0.75, ("HEX", 20): 0.75, ("hex", 24): 0.85, ("HEX", 24): 0.85, ("base32", 20): 0.4, ("base32", 32): 0.75, ("base32", 52): 0.95, ("base62", 20): 0.85, ("base64", 20): 0.8, ("base64", 32): 0.95}
+    rows = [(k, n, "".join(rng.choices(alphabets[k], k=n))) for k, n in least for _ in range(300)]
+    words = "time people account server between history running language morning question".split()
+    joined = ("".join(x.capitalize() for x in rng.choices(words, k=5)) + "7" for _ in range(300))
+    rows += [("words", 0, t) for t in joined] + [("words", 0, "/".join(rng.choices(words, k=5)).upper() + "2024") for _ in range(300)]
+    j = frame(spark, rows, "k string, n int, t string").select("k", "n", secrets._battery(F.col("t")).alias("j"))
+    got = {(r.k, r.n): r.p for r in j.groupBy("k", "n").agg(F.avg((F.col("j.ok") & (F.col("j.bin") >= 4)).cast("double")).alias("p")).collect()}
+    assert got.pop(("words", 0)) == 0
+    assert {k: p for k, p in got.items() if p < least[k]} == {}
+
+
 def test_secret_redaction_keeps_rows_and_columns(spark):
     docs = frame(spark, [(1, 'a password="abcdefgh" b token: zzzzzz1', 3, "s"), (2, None, None, None), (3, "plain", 1, "t")], "doc_id long, text string, secret_base int, spans string")
     out = secrets.redact_documents(docs)
