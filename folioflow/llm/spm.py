@@ -13,8 +13,8 @@ bookkeeping of character offsets.
 
 *Parity.* Each batch also encodes its rows with the ``sentencepiece`` library;
 ``parity`` says for each row that the ids are equal and ``round_trip`` that
-decoding gives back the text. Rows that differ keep the reference library's
-ids, so the output is right whatever the model holds.
+decoding gives back the text. The ids are those of ``tokenizers``; only a row
+that differs, its ``parity`` false, gets the reference library's ids instead.
 
 Defined cases: null and empty texts have no tokens and decode to the empty
 text; very long texts are encoded whole; repeated rows are encoded each;
@@ -115,6 +115,14 @@ def encode_batch(texts: list[str], path: str, threads: int) -> list[list[int]]:
     return [e.ids for e in encode(texts, add_special_tokens=False)]
 
 
+def encode_checked(texts: list[str], path: str, threads: int) -> tuple[list[list[int]], list[bool]]:
+    """The ids of every text and whether the reference library has the same; its ids replace those of unequal rows alone."""
+    ids = encode_batch(texts, path, threads)
+    want = oracle(path).encode(texts, num_threads=threads)
+    same = [x == y for x, y in zip(ids, want, strict=True)]
+    return [x if equal else y for x, y, equal in zip(ids, want, same, strict=True)], same
+
+
 def decode_batch(ids: list[list[int]], path: str) -> list[str]:
     return build(path).decode_batch(ids, skip_special_tokens=False)
 
@@ -152,13 +160,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, threads: int = 2,
         for b in batches:
             at = 0
             for part in blocks(b.column(b.num_columns - 1).to_pylist()):
-                ids = encode_batch(part, path, threads)
-                if verify:
-                    want = oracle(path).encode(part, num_threads=threads)
-                    same = [x == y for x, y in zip(ids, want, strict=True)]
-                    ids = want
-                else:
-                    same = [None] * len(part)
+                ids, same = encode_checked(part, path, threads) if verify else (encode_batch(part, path, threads), [None] * len(part))
                 back = [x == y for x, y in zip(decode_batch(ids, path), part, strict=True)]
                 columns = [
                     *b.slice(at, len(part)).columns[:-1],

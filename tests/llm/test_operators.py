@@ -234,6 +234,21 @@ def test_tokenizer_parity_and_round_trip():
     assert spm.decode_batch(ids, path) == spm.oracle(path).decode(ids)
 
 
+def test_reference_ids_replace_unequal_rows_alone(monkeypatch):
+    path = tokens.model_path()
+    own = spm.encode_batch(["a b", "", "c d e"], path, 1)
+
+    class Other:
+        def encode(self, texts, num_threads):
+            return [list(own[0]), [], [7]]
+
+    monkeypatch.setattr(spm, "encode_batch", lambda *_: own)
+    monkeypatch.setattr(spm, "oracle", lambda _: Other())
+    ids, same = spm.encode_checked(["a b", "", "c d e"], path, 1)
+    assert same == [True, True, False] and ids == [own[0], [], [7]]
+    assert ids[0] is own[0] and ids[1] is own[1]
+
+
 def test_encode_rows(spark):
     docs = frame(spark, [(1, "a b", 7), (2, None, 8), (2, None, 8), (3, "", None)], "doc_id long, text string, n_tokens int")
     out = spm.encode_documents(docs)
