@@ -33,7 +33,6 @@ empty result.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import os
 import tempfile
 from collections.abc import Iterator
@@ -187,25 +186,29 @@ class SpillQueue:
             self._spill()
         step = max(1024, self.limit // (len(self.files) + 1))
         runs = [np.memmap(p, np.int64, "r").reshape(-1, w) for p, w in self.files]
-        heads, at = [], [0] * len(runs)
-        for k, run in enumerate(runs):
-            heapq.heappush(heads, (int(run[min(step, len(run)) - 1, 0]), k))
+        at = [0] * len(runs)
         pending: list[np.ndarray] = [run[:0] for run in runs]
-        while heads:
-            # everything up to the least block end is final
-            end, k = heads[0]
-            block = []
+        more = True
+        while more:
             for j, run in enumerate(runs):
-                have = np.concatenate([pending[j], run[at[j] : at[j] + step]]) if len(pending[j]) < step else pending[j]
-                at[j] += len(have) - len(pending[j])
-                cut = int(np.searchsorted(have[:, 0], end, "right"))
+                if len(pending[j]) < step and at[j] < len(run):
+                    new = run[at[j] : at[j] + step]
+                    pending[j] = np.concatenate([pending[j], new])
+                    at[j] += len(new)
+            # everything up to the least (block end, run) of the runs with rows to read is final: later runs keep their ties of that key
+            ends = [(int(pending[j][-1, 0]), j) for j in range(len(runs)) if at[j] < len(runs[j])]
+            more = bool(ends)
+            block = []
+            for j, have in enumerate(pending):
+                cut = len(have)
+                if ends:
+                    end, k = min(ends)
+                    cut = int(np.searchsorted(have[:, 0], end, "right" if j <= k else "left"))
                 block.append(have[:cut])
                 pending[j] = have[cut:]
             rows = np.concatenate(block)
             if len(rows):
                 yield rows[np.argsort(rows[:, 0], kind="stable")]
-            heads = [(int(pending[j][-1, 0]) if len(pending[j]) else int(runs[j][min(len(runs[j]), at[j] + step) - 1, 0]), j) for j in range(len(runs)) if len(pending[j]) or at[j] < len(runs[j])]
-            heapq.heapify(heads)
         del runs, pending
         for p, _ in self.files:
             os.unlink(p)

@@ -156,6 +156,15 @@ def test_queue_spills_in_order(tmp_path):
     assert (np.concatenate(list(q.pop_all())) == rows[np.argsort(rows[:, 0], kind="stable")]).all()
 
 
+def test_queue_keeps_push_order_where_runs_are_longer_than_a_block():
+    keys = np.random.default_rng(1).integers(0, 26, 400_000)
+    rows = np.stack([keys, np.arange(len(keys))], 1)
+    q = suffix_dedup.SpillQueue(limit=1 << 17)
+    for part in np.array_split(rows, 10):
+        q.push(part)
+    assert (np.concatenate(list(q.pop_all())) == rows[np.argsort(rows[:, 0], kind="stable")]).all()
+
+
 def test_induction_with_spilling_queue():
     rng = random.Random(2)
     core = bytes(rng.choice(b"xyz") for _ in range(120))
