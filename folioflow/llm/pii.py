@@ -108,25 +108,29 @@ REPEATS = {"double": 2, "triple": 3}
 _DIGIT = "(?:(?:double|triple)[ -])?(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
 #: At least three digit words, or digit words among digits, in one number.
 SPELLED = re.compile(rf"(?<!\w){_DIGIT}(?:[ ,.-]{{1,2}}(?:{_DIGIT}(?!\w)|[0-9]+))*(?!\w)", re.I)
-SPELLED_HINT = re.compile(rf"(?<!\w)(?:{_DIGIT})[ ,.-]{{1,2}}(?:{_DIGIT})(?!\w)", re.I)
+#: The least that three digit words in one number hold: one, and a digit word or digits behind it.
+SPELLED_HINT = re.compile(rf"(?<!\w){_DIGIT}[ ,.-]{{1,2}}(?:{_DIGIT}(?!\w)|[0-9])", re.I)
 AT = r"(?:\s{0,2}[\(\[\{<]\s?(?:at|@|arroba|arobase|ät)\s?[\)\]\}>]\s{0,2}|\s(?:at|AT|arroba|arobase)\s)"
-DOT = r"(?:\s{0,2}[\(\[\{<]\s?(?:dot|punkt|point|punto|\.)\s?[\)\]\}>]\s{0,2}|\s(?:dot|DOT|punkt|punto)\s)"
+BARE_DOT = r"\s(?:dot|DOT|punkt|punto)\s"
+DOT = rf"(?:\s{{0,2}}[\(\[\{{<]\s?(?:dot|punkt|point|punto|\.)\s?[\)\]\}}>]\s{{0,2}}|{BARE_DOT})"
 ADDRESS = re.compile(rf"(?<![A-Za-z0-9._%+-])([A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,4}})({AT}|@)([A-Za-z0-9-]{{1,63}}(?:(?:\.|{DOT})[A-Za-z0-9-]{{1,63}}){{1,4}})(?![A-Za-z0-9-])", re.I)
 AT_ONLY, DOT_ONLY = re.compile(AT, re.I), re.compile(DOT, re.I)
-#: Defanged dots of an IP address.
-NUMBER_DOT = re.compile(r"(?<=[0-9])\s?[\(\[\{<]\s?(?:dot|punkt|punto|\.)\s?[\)\]\}>]\s?(?=[0-9])", re.I)
-#: Endings of an address whose at and dot are bare words (fixed values).
-ENDINGS = frozenset("com net org edu gov io info biz de fr es uk eu us example test mail".split())
+#: Defanged dots of an IP address, in brackets or as bare words.
+NUMBER_DOT = re.compile(rf"(?<=[0-9])(?:\s?[\(\[\{{<]\s?(?:dot|punkt|punto|\.)\s?[\)\]\}}>]\s?|{BARE_DOT})(?=[0-9])", re.I)
+#: Endings of an address whose at and dot are bare words (fixed values); any two letters are one as well.
+ENDINGS = frozenset("com net org edu gov mil int io info biz name pro dev app xyz site online shop store tech cloud blog page email wiki news agency media mobi jobs aero coop museum asia example test mail".split())
+COUNTRY = re.compile("[a-z]{2}")
 #: What each rewriting needs to find in the lower-cased text, as plain substrings.
 OPENERS = ("(", "[", "{", "<")
-DOT_WORDS = (" dot ", " punkt ", " punto ")
+DOT_WORDS = ("dot", "punkt", "punto")
+BARE_DOT_ONLY = re.compile(BARE_DOT, re.I)
 BREAKS = str.maketrans(",.-;:!?()\n\t", " " * 11)
 
 
 def may_hide(low: str) -> tuple[bool, bool]:
     """(spelled digits, address marks) may occur in a lower-cased text; never wrongly no."""
     words = not DIGITS.keys().isdisjoint(low.translate(BREAKS).split())
-    marks = any(x in low for x in OPENERS) or any(x in low for x in DOT_WORDS)
+    marks = any(x in low for x in OPENERS) or (any(x in low for x in DOT_WORDS) and BARE_DOT_ONLY.search(low) is not None)
     return words and SPELLED_HINT.search(low) is not None, marks
 
 
@@ -206,8 +210,8 @@ def addresses(r: Rewritten) -> Rewritten:
         marks = re.search(r"[\(\[\{<]", m[0]) is not None
         spelled = DOT_ONLY.search(m[0]) is not None
         ending = re.split(r"[^A-Za-z0-9-]+", m[3])[-1].lower()
-        # "look at example.com" is prose: a bare at counts beside a spelled dot and a known ending only
-        if not marks and not (spelled and ending in ENDINGS):
+        # "look at example.com" is prose: a bare at counts beside a spelled dot and a known or two-letter ending only
+        if not marks and not (spelled and (ending in ENDINGS or COUNTRY.fullmatch(ending))):
             continue
         for k, pattern, new in ((1, DOT_ONLY, "."), (2, AT_ONLY, "@"), (3, DOT_ONLY, ".")):
             edits += [(m.start(k) + x.start(), m.start(k) + x.end(), new) for x in pattern.finditer(m[k]) if x[0] != new]

@@ -196,6 +196,26 @@ def test_pii_base_equals_patterns():
         assert pii.detect(t) == brute_pii(t)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("write anna at firma dot ch now", "email", "anna at firma dot ch"),
+        ("write anna at firma dot dev now", "email", "anna at firma dot dev"),
+        ("write anna at firma dot\ncom now", "email", "anna at firma dot\ncom"),
+        ("host 10 dot 20 dot 30 dot 41 is up", "ip", "10 dot 20 dot 30 dot 41"),
+        ("call +49 four 1 five 2 six 3 4 5 6 7", "phone", "+49 four 1 five 2 six 3 4 5 6 7"),
+    ],
+)
+def test_bare_words_and_mixed_digits_are_found(text, kind, span):
+    found = [(k, text[s:e]) for s, k, e in pii.disguised(text, pii.detect(text))]
+    assert any(k == pii.KINDS.index(kind) and x.strip() in span and span.split()[0] in x for k, x in found), found
+
+
+def test_bare_words_in_prose_are_no_address():
+    for text in ("look at the red dot there", "version 3 dot 5 at noon", "we met at noon dot nothing else"):
+        assert pii.disguised(text, pii.detect(text)) == []
+
+
 @pytest.mark.parametrize(
     ("text", "kind", "span"),
     [
