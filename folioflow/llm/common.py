@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_scratch: dict[str, str] = {}
+#: Tables that are still there, with their session.
+_written: dict[str, SparkSession] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +29,12 @@ def doc_texts(docs: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own (one machine) or the warehouse."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = tempfile.mkdtemp(prefix="scratch-")
@@ -47,25 +51,50 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Removes the shuffle files of a query when it ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
-    A written table survives the loss of any executor. It is removed when the
-    driver's Python ends.
+    A written table survives the loss of any executor. :func:`discard` removes
+    it; what is left goes when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_delete, spark, path)
-    spark.sparkContext._jvm.System.gc()  # the shuffle files of the finished job can go
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEAN, "false")
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+@atexit.register
+def _clear() -> None:
+    for path, spark in _written.items():
+        _delete(spark, path)
 
 
 def discard(df: DataFrame) -> None:
-    """Remove the written table that ``df`` reads, once nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tables/" in path:
-            _delete(df.sparkSession, path)
+    """Remove the table that :func:`materialise` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_written_path", None)
+    if path in _written:
+        _delete(_written.pop(path), path)
+
+
+def spread_by(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """``df`` aggregated by ``key``, grouped by a second expression of it as well.
+
+    A join on the key then gets exchanges of its own on both sides, which
+    adaptive execution can split where one key holds a large share of the rows.
+    """
+    return df.groupBy(key, F.pmod(F.hash(key), F.lit(1 << 16)).alias("_cell")).agg(*aggregates).drop("_cell")
 
 
 def spans_digest(spans: Column) -> Column:

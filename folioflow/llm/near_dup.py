@@ -15,14 +15,27 @@ Points come in order of time, and a process is left as soon as its next point is
 later than the latest component, so the work is about words + m log m.
 
 *Candidates.* ``BANDS`` bands of ``ROWS`` components. Texts of equal bags are one
-node from the start. In each bucket the leader (least node) is paired with the
-others; verified pairs are linked. Buckets that still hold more than one
-component then pair their members outside the largest component with all
-members of other components, 2, 4, 8, ... of them a round, until each has
-asked: a pair of a bucket stays untested only inside one component.
+node from the start. In each bucket the leader is the node that meets the most
+others in all its buckets: near copies of one text meet their least edited
+member most. The others are verified against it, and verified pairs are linked.
+
+*What is left of a bucket.* A pair x, y of a bucket in different components is
+similar only if their difference is at most (size x + size y) / 9. Seen from the
+leader c the difference is at least
+
+    |in(x) - in(y)| + own(x) + own(y) + |out(x) - out(y)|
+
+where ``in`` is the mass on shingles of c, ``own`` the mass on shingles that no
+other node verified against c has, ``out`` the rest. These are a few numbers a
+node, so most pairs are proven apart without a look at their texts. Members outside
+the leader's component ask the remaining ones of other components: first those
+of a hash-chosen few, then 16 times as many a round, until all are asked or the
+asker is linked. Components only grow, so in the end no pair of a bucket is left
+that is neither tested, nor proven apart, nor inside one component.
 
 *Verification.* The exact overlap sum(min) / sum(max) of both bags, ``SIMILARITY``
-or more. Classes are the connected components of verified pairs.
+or more. Askers' texts go out once for each ``CHUNK`` of their partners. Classes
+are the connected components of verified pairs.
 
 Defined cases: null and empty texts have the empty bag and are copies of each
 other; very long texts are read whole; repeated rows are copies, each has its
@@ -42,11 +55,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_texts, free_name, materialise, read_table, whole_text
-from .components import components
+from .common import discard, doc_texts, free_name, materialise, read_table, spread_by, whole_text
+from .components import components, joined_roots
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Similar pairs differ by at most this part of the sum of their sizes: (1 - 0.8) / (1 + 0.8).
+DIFFERENCE = (1, 9)
 #: A pair at 0.8 shares no band with probability (1 - 0.8**5)**25 = 5e-5.
 BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
@@ -101,8 +116,8 @@ def bag(text: str, words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(mix64(out + _U(k)), return_counts=True)
 
 
-def bag_key(hashes: np.ndarray, counts: np.ndarray) -> str:
-    return hashlib.blake2b(hashes.tobytes() + counts.astype(np.int64).tobytes(), digest_size=16).hexdigest()
+def bag_key(hashes: np.ndarray, counts: np.ndarray) -> bytes:
+    return hashlib.blake2b(hashes.tobytes() + counts.astype(np.int64).tobytes(), digest_size=16).digest()
 
 
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int = SIZE) -> np.ndarray:
@@ -165,20 +180,31 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     total = int(a[1].sum() + b[1].sum())
     if not total:
         return 1.0
-    at = np.searchsorted(b[0], a[0])
-    at[at == len(b[0])] = 0
-    hit = b[0][at] == a[0] if len(b[0]) else np.zeros(len(a[0]), bool)
+    hit, at = _meeting(a, b)
     shared = int(np.minimum(a[1][hit], b[1][at[hit]]).sum())
     return shared / (total - shared)
 
 
+def _meeting(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles of ``a`` are in ``b``, and where."""
+    if not len(b[0]):
+        return np.zeros(len(a[0]), bool), np.zeros(len(a[0]), np.int64)
+    at = np.searchsorted(b[0], a[0])
+    at[at == len(b[0])] = 0
+    return b[0][at] == a[0], at
+
+
 #: Shingles whose processes run side by side.
 LANES = 1 << 16
+#: Partners for which a text is sent once.
+CHUNK = 256
+#: Partners asked in the first round; 16 times as many in each that follows.
+FIRST_ASKS = 16
 
 
 def with_bands(rows: DataFrame) -> DataFrame:
     """``doc_id, thash, text`` -> ``doc_id, thash, bag, bands``; one narrow pass."""
-    fields = "doc_id long, thash long, bag string, bands array<long>"
+    fields = "doc_id long, thash long, bag binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -197,90 +223,153 @@ def with_bands(rows: DataFrame) -> DataFrame:
                     made += keys(held)
                     held, lanes = [], 0
             made += keys(held)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "thash", "bag", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.binary()), pa.array(made, pa.list_(pa.int64()))], ["doc_id", "thash", "bag", "bands"])
 
     return rows.select("doc_id", "thash", "text").mapInArrow(run, fields)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, linked``: the exact overlap of each pair is SIMILARITY or more. ``texts``: node, text."""
-    member = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    both = member.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, held = Words(), None, None
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                if (a := batch.column(0)[k].as_py()) != last:  # a leader's rows follow each other
-                    last, held = a, bag(batch.column(2)[k].as_py(), words)
-                out.append(overlap(held, bag(batch.column(3)[k].as_py(), words)) >= SIMILARITY)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.bool_())], ["a", "b", "linked"])
+VERIFIED = "a long, b long, linked boolean, size_a long, size_b long, inside long, rest array<long>, weight array<long>"
 
-    return both.mapInArrow(run, "a string, b string, linked boolean")
 
+def _verified(pairs: DataFrame, texts: DataFrame, rest: bool = False) -> DataFrame:
+    """``a, b, linked, size_a, size_b`` of the written ``pairs`` by their texts (``node, text``).
 
-def _first_pairs(buckets: DataFrame) -> DataFrame:
-    leads = buckets.groupBy("key").agg(F.min("node").alias("a"))
-    return buckets.join(leads, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    With ``rest`` also ``inside``, the mass of b on shingles of a, and the
+    shingles of b outside a with their counts.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    second = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
+    first = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    dealt = second.unionByName(first).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    names = [c.split()[0] for c in VERIFIED.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = Words(), None, 0
+        for batch in batches:
+            made: list[tuple] = []
+            for a, b, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                this = bag(text, words)
+                if b is None:  # the partners of a follow
+                    held, size = this, int(this[1].sum())
+                    continue
+                linked = overlap(held, this) >= SIMILARITY
+                more = (None, None, None)
+                if rest:
+                    inside, _ = _meeting(this, held)
+                    more = int(this[1][inside].sum()), this[0][~inside].view(np.int64), this[1][~inside]
+                made.append((a, b, linked, size, int(this[1].sum()), *more))
+            columns = zip(*made, strict=True) if made else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return dealt.mapInArrow(run, VERIFIED)
+
+
+def _led_buckets(nodes: DataFrame) -> DataFrame:
+    """``key, node, m, lead``: the nodes of each bucket of two or more, its size and its leader. A leader is any of those with the most meetings."""
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = spread_by(keyed, "key", F.count("*").alias("m")).where("m > 1")
+    buckets = materialise(keyed.join(shared, "key"), "buckets")
+    meetings = buckets.groupBy("node").agg(F.sum(F.col("m") - 1).alias("meetings"))
+    leads = spread_by(buckets.join(meetings, "node"), "key", F.max_by("node", "meetings").alias("lead"))
+    led = materialise(buckets.join(leads, "key"), "led")
+    discard(buckets)
+    return led
 
-def _askers(buckets: DataFrame, roots: DataFrame, asked: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of buckets with more than one component, and of each the next ``width`` members outside its largest one that have not asked yet."""
-    rows = buckets.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    per = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = per.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count("*").alias("parts")).where("parts > 1")
-    rows = materialise(rows.join(largest.select("key", F.col("x.root").alias("main")), "key"), "open-buckets")
-    waiting = rows.where("root <> main").join(asked, ["key", "node"], "left_anti")
-    turn = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-    return rows, materialise(waiting.withColumn("turn", turn).where(F.col("turn") <= width).select("key", "node", "root"), "askers")
 
+def _with_root(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataFrame:
+    known = roots.select(F.col("node").alias(node), F.col("root").alias("_root"))
+    return rows.join(known, node, "left").withColumn(name, F.coalesce("_root", node)).drop("_root")
 
-def _asked_pairs(rows: DataFrame, askers: DataFrame, tested: DataFrame) -> DataFrame:
-    """Each asker with the members of other components of its bucket, without pairs tested before."""
-    asks = askers.select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
-    pairs = rows.select("key", F.col("node").alias("y"), F.col("root").alias("root_y")).join(asks, "key").where("root_x <> root_y")
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
+def _open_buckets(led: DataFrame, roots: DataFrame, first: DataFrame) -> DataFrame:
+    """The buckets of more than one component: ``key, node, lead, spot, size, inside, own, outside``.
 
-def _roots(tested: DataFrame) -> DataFrame:
-    return components(tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    ``spot`` is a hash-chosen place of the node among the members of its bucket.
+    """
+    rooted = _with_root(led, roots, "node", "root")
+    several = spread_by(rooted, "key", F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rows = led.join(several, "key")
+    leads = rows.select(F.col("lead").alias("a")).distinct()
+    seen = first.join(leads, "a")
+    strange = seen.select("a", "b", F.explode(F.arrays_zip("rest", "weight")).alias("x")).select("a", "b", F.col("x.rest").alias("h"), F.col("x.weight").alias("w"))
+    alone = strange.groupBy("a", "h").agg(F.count("*").alias("n"), F.max("b").alias("b"), F.sum("w").alias("w")).where("n = 1")
+    own = alone.groupBy("a", "b").agg(F.sum("w").alias("own"))
+    marks = seen.join(own, ["a", "b"], "left").select("a", "b", F.col("size_b").alias("size"), "inside", F.coalesce("own", F.lit(0)).alias("own"))
+    marks = marks.unionByName(seen.groupBy("a").agg(F.max("size_a").alias("size")).select("a", F.col("a").alias("b"), "size", F.col("size").alias("inside"), F.lit(0).alias("own")))
+    marks = marks.select(F.col("a").alias("lead"), F.col("b").alias("node"), "size", "inside", "own", (F.col("size") - F.col("inside") - F.col("own")).alias("outside"))
+    spot = F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("m") / (1 << 20))
+    return rows.join(marks, ["lead", "node"]).select("key", "node", "lead", spot.alias("spot"), "size", "inside", "own", "outside")
+
+
+def _asked_pairs(rows: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
+    """``a, b``: members outside the leader's component with those of other components at spots ``low`` to ``high`` that are not proven apart."""
+    one, nine = DIFFERENCE
+    slack = one * F.col("size") - nine * F.col("own")
+    at = _with_root(_with_root(rows, roots, "node", "root"), roots, "lead", "main").select("key", "node", "root", "main", "spot", "size", "inside", "own", "outside", slack.alias("slack"))
+    # no member of the bucket is near enough to an asker outside these bounds
+    ends = spread_by(at, "key", F.max(F.col("slack") + nine * F.col("inside")).alias("top"), F.max(F.col("slack") - nine * F.col("inside")).alias("bottom"))
+    asks = at.where("root <> main").join(ends, "key").where((F.col("top") >= nine * F.col("inside") - F.col("slack")) & (F.col("bottom") >= -nine * F.col("inside") - F.col("slack")))
+    asks = asks.select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "size", "inside", "own", "outside")])
+    told = at.where((F.col("spot") >= low) & (F.col("spot") < high))
+    apart = F.abs(F.col("inside") - F.col("inside_x")) + F.abs(F.col("outside") - F.col("outside_x")) + F.col("own") + F.col("own_x")
+    near = (F.col("root") != F.col("root_x")) & (nine * apart <= one * (F.col("size") + F.col("size_x")))
+    return asks.join(told, (asks["key"] == told["key"]) & near).select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
+
+
+def _links(tested: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """``u, v``: linked pairs, or the components they join."""
+    links = tested.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if roots is None:
+        return links
+    return _with_root(_with_root(links, roots, "u", "p"), roots, "v", "q").where("p <> q").select(F.col("p").alias("u"), F.col("q").alias("v"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """``doc_id, thash, bag, class_key``: one row per row of ``docs``; equal class keys are one near-duplicate class."""
+    """``doc_id, thash, class_key``: one row per row of ``docs``; equal class keys are one near-duplicate class."""
     rows = doc_texts(docs).withColumn("thash", F.xxhash64("text"))
     bagged = materialise(with_bands(rows), "bags")
     nodes = bagged.groupBy("bag").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash", "bands")).alias("x"))
-    nodes = materialise(nodes.select(F.col("bag").alias("node"), "x.doc_id", "x.thash", "x.bands"), "nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = materialise(keyed.join(shared, "key"), "buckets")
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "bag", "x.doc_id", "x.thash", "x.bands"), "nodes")
+    led = _led_buckets(nodes)
     # the text of each node in a bucket, by its representative row
-    reps = nodes.select("node", F.col("doc_id").alias("rep_id"), F.col("thash").alias("rep_hash")).join(buckets.select("node").distinct(), "node")
+    reps = nodes.select("node", F.col("doc_id").alias("rep_id"), F.col("thash").alias("rep_hash")).join(led.select("node").distinct(), "node")
     same = rows["doc_id"].eqNullSafe(reps["rep_id"]) & (rows["thash"] == reps["rep_hash"])
     texts = materialise(rows.join(reps, same).groupBy("node").agg(F.min("text").alias("text")), "texts")
-    tested = materialise(_verified(_first_pairs(buckets), texts), "tested")
-    asked = buckets.groupBy("key").agg(F.min("node").alias("node"))
-    width, roots = 2, _roots(tested)
-    while True:
-        rows, askers = _askers(buckets, roots, asked, width)
-        if askers.isEmpty():  # every member outside the largest component of its bucket has asked all others
-            break
-        more = materialise(_verified(_asked_pairs(rows, askers, tested), texts), "tested")
-        asked, width = asked.unionByName(askers.select("key", "node")), width * 2
-        tested = tested.unionByName(more)
-        if not more.where("linked").isEmpty():
-            roots = _roots(tested)
-    roots = roots.select(F.col("node").alias("bag"), "root")
-    return bagged.select("doc_id", "thash", "bag").join(roots, "bag", "left").select("doc_id", "thash", "bag", F.coalesce("root", "bag").alias("class_key"))
+    pairs = materialise(led.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    first = materialise(_verified(pairs, texts, rest=True), "first")
+    discard(pairs)
+    roots = components(_links(first))
+    rows = materialise(_open_buckets(led, roots, first), "open")
+    tested = [materialise(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "tested")]
+    last = rows.agg(F.max("spot")).first()[0]
+    discard(first)
+    discard(led)
+    low, high = 0, FIRST_ASKS
+    while last is not None and low <= last:
+        pairs = _asked_pairs(rows, roots, low, high)
+        for done in tested:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        more = materialise(_verified(pairs, texts).select("a", "b", "linked"), "more")
+        found = joined_roots(roots, components(_links(more, roots)))
+        tested.append(pairs)
+        discard(more)
+        discard(roots)
+        roots = found
+        low, high = high, high * 16
+    for used in (rows, texts, *tested):
+        discard(used)
+    slim = nodes.select("bag", "node")
+    classes = bagged.select("doc_id", "thash", "bag").join(slim, "bag")
+    return _with_root(classes, roots, "node", "class_key").select("doc_id", "thash", "class_key")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, class_size`` of every row."""
     rows = materialise(near_classes(docs), "classes")
-    classes = rows.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    classes = spread_by(rows, "class_key", F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return rows.join(classes, "class_key").select("doc_id", "class_id", "class_size")
 
 

@@ -391,14 +391,14 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> D
     rows = _texts(docs)
     every = materialise(_contexts(rows, length), "contexts")
     inside = every.where(F.col("gram").isNull()).select("doc_id", "thash", "lo", "hi")
-    every = every.where(F.col("gram").isNotNull())
-    named = every.groupBy("gram", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "thash", "lo", "hi", "off")).alias("rep"))
+    placed = every.where(F.col("gram").isNotNull())
+    named = placed.groupBy("gram", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "thash", "lo", "hi", "off")).alias("rep"))
     named = materialise(named, "named")
     grams = named.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1")
     reps = named.join(grams, "gram").select("gram", "rep.*", (F.col("n") > 1).alias("known"), (F.col("d") > hot).alias("hot"))
     cut = materialise(_cut(rows, reps, length), "cut")
     twice = named.where("n > 1").select("gram", "c1", "c2")
-    copies = every.join(twice, ["gram", "c1", "c2"]).select("doc_id", "thash", "lo", "hi")
+    copies = placed.join(twice, ["gram", "c1", "c2"]).select("doc_id", "thash", "lo", "hi")
     found = inside.unionByName(copies).unionByName(_sorted_runs(cut, length))
     if not cut.where("hot").isEmpty():
         found = found.unionByName(_counted_windows(cut, length))

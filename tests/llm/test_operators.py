@@ -359,6 +359,26 @@ def test_near_classes_equal_brute_force(spark):
             for _ in range(rng.randint(1, 9)):
                 w[rng.randrange(200)] = "zz"
             texts.append(" ".join(w))
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == brute_classes(texts)[0]
+
+
+def group_of_copies(n, seed, edits):
+    """Copies of one text, each with some words replaced, dropped or taken from a second pool that copies share."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+    pool = ["".join(rng.choice("klmnop") for _ in range(6)) for _ in range(40)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for _ in range(rng.randint(0, edits)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[f"new{rng.randrange(10**6)}"], [], [rng.choice(pool)], [w[at], w[at]]])
+        out.append(" ".join(w))
+    return out
+
+
+def brute_classes(texts):
     words = near_dup.Words()
     bags = [near_dup.bag(t or "", words) for t in texts]
     root = list(range(len(texts)))
@@ -368,13 +388,48 @@ def test_near_classes_equal_brute_force(spark):
             x = root[x]
         return x
 
+    links = 0
     for i in range(len(texts)):
         for j in range(i):
             if near_dup.overlap(bags[i], bags[j]) >= 0.8:
+                links += 1
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
+    return {i: find(i) for i in range(len(texts))}, links
+
+
+def test_large_bucket_of_unlike_members_equals_brute_force(spark, monkeypatch):
+    """Most members of a bucket are below 0.8 to each other; every class is found, and few pairs are verified."""
+    texts = group_of_copies(400, 8, 14) + group_of_copies(100, 9, 30)
+    want, links = brute_classes(texts)
+    assert links > 3000 and len(set(want.values())) > 150
+    asked, plain = [], near_dup._verified
+
+    def counted(pairs, *args, **more):
+        asked.append(pairs.count())
+        return plain(pairs, *args, **more)
+
+    monkeypatch.setattr(near_dup, "_verified", counted)
     got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
+    assert got == want
+    assert sum(asked) < 0.25 * len(texts) ** 2 / 2
+
+
+def test_pairs_said_to_be_apart_are_apart():
+    """The bound that spares a verification never exceeds the true difference of two bags."""
+    rng = np.random.default_rng(4)
+    one, nine = near_dup.DIFFERENCE
+    for _ in range(200):
+        bags = [np.where(rng.random(30) < rng.random(), rng.integers(1, 4, 30), 0) for _ in range(5)]
+        c, x, y = bags[:3]
+        inside = [int(b[c > 0].sum()) for b in (x, y)]
+        own = [int(b[(c == 0) & (sum((o > 0).astype(int) for o in bags[1:]) == 1)].sum()) for b in (x, y)]
+        outside = [int(b.sum()) - i - o for b, i, o in zip((x, y), inside, own, strict=True)]
+        bound = abs(inside[0] - inside[1]) + abs(outside[0] - outside[1]) + sum(own)
+        assert bound <= np.abs(x - y).sum()
+        total = int(x.sum() + y.sum())
+        if total and np.minimum(x, y).sum() / np.maximum(x, y).sum() >= 0.8:
+            assert nine * bound <= one * total
 
 
 def test_one_of_each(spark):
