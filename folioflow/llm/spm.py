@@ -7,14 +7,20 @@ model has one, the leading mark, spaces to marks), the word mark, the scores
 fallback. Whole batches are encoded by the library's own threads.
 
 Pieces of marks only share one score; SentencePiece then merges from the left,
-which is the order given to their merges here. Where the normaliser does no more
-than set marks, texts are marked before they go in, which spares the library its
-bookkeeping of character offsets.
+which is the order given to their merges here.
 
-*Parity.* Each batch also encodes its rows with the ``sentencepiece`` library;
-``parity`` says for each row that the ids are equal and ``round_trip`` that
-decoding gives back the text. The ids are those of ``tokenizers``; only a row
-that differs, its ``parity`` false, gets the reference library's ids instead.
+*Units.* Where the normaliser does no more than set marks and no piece holds a
+mark or a line break behind another character, no token crosses the border
+between two units (a run of marks with what follows it). The library then
+encodes each unit that a worker has not seen lately; the ids of a text are those of its
+units. Other models get whole texts.
+
+*Parity.* Each row is also encoded as a whole with the ``sentencepiece`` library;
+``parity`` says for each row that the ids are equal. The ids given out are those
+of ``tokenizers``, always (two splits of exactly equal unigram score may be told
+apart by rounding: such a row has parity false). ``round_trip`` says that decoding gives back the text:
+pieces are taken from a table of their bytes, which is what the library's decoder
+gives for valid UTF-8; anything else goes through that decoder.
 
 Defined cases: null and empty texts have no tokens and decode to the empty
 text; very long texts are encoded whole; repeated rows are encoded each;
@@ -29,16 +35,20 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, read_table, whole_text
-from .tokens import BYTE, CONTROL, MARK, NORMAL, UNKNOWN, load_model, model_path
+from .tokens import BYTE, MARK, NORMAL, UNIT, UNKNOWN, load_model, model_path
 
 #: Characters handed to the library at once: bounds what a worker holds in tokens.
 BATCH_CHARS = 1 << 20
+#: Units that one worker keeps, and the length beyond which it keeps none (memory only, never results).
+CACHE_UNITS = 400_000
+LONG_UNIT = 64
 
 
 @lru_cache(maxsize=2)
@@ -104,6 +114,7 @@ def build_marked(path: str):
 
 
 def encode_batch(texts: list[str], path: str, threads: int) -> list[list[int]]:
+    """The ids of every text, encoded as a whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     tok = build_marked(path)
@@ -111,22 +122,80 @@ def encode_batch(texts: list[str], path: str, threads: int) -> list[list[int]]:
         tok = build(path)
     else:
         texts = [MARK + t.replace(" ", MARK) if t else t for t in texts]
-    encode = getattr(tok, "encode_batch_fast", tok.encode_batch)
-    return [e.ids for e in encode(texts, add_special_tokens=False)]
+    return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class Units:
+    """Packed ids (32-bit, little-endian) of texts, by their units."""
+
+    def __init__(self, path: str):
+        self.path, self.known = path, {}
+        joined = any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p, _, _ in load_model(path)["pieces"])
+        self.whole = joined or build_marked(path) is None
+
+    def encode(self, texts: list[str], threads: int) -> list[bytes]:
+        if self.whole:
+            return [packed(x) for x in encode_batch(texts, self.path, threads)]
+        known = self.known
+        if len(known) > CACHE_UNITS:
+            known.clear()
+        units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        new = list({u for us in units for u in us if u not in known})
+        if new:
+            os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
+            os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
+            known.update((u, packed(e.ids)) for u, e in zip(new, build_marked(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True))
+        out = [b"".join([known[u] for u in us]) for us in units]
+        for u in new:
+            if len(u) > LONG_UNIT:  # met once, as a rule
+                del known[u]
+        return out
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def units_of(path: str) -> Units:
+    return Units(path)
+
+
+def parity(ids: list[bytes], texts: list[str], path: str, threads: int) -> list[bool]:
+    """For every text, whether the reference library gives the same ids for it as a whole."""
+    want = oracle(path).encode_as_numpy(texts, num_threads=threads)
+    return [x == y.astype("<i4", copy=False).tobytes() for x, y in zip(ids, want, strict=True)]
 
 
-def encode_checked(texts: list[str], path: str, threads: int) -> tuple[list[list[int]], list[bool]]:
-    """The ids of every text and whether the reference library has the same; its ids replace those of unequal rows alone."""
-    ids = encode_batch(texts, path, threads)
-    want = oracle(path).encode(texts, num_threads=threads)
-    same = [x == y for x, y in zip(ids, want, strict=True)]
-    return [x if equal else y for x, y, equal in zip(ids, want, same, strict=True)], same
+@lru_cache(maxsize=2)
+def piece_bytes(path: str) -> pa.Array:
+    """What each id stands for."""
+    m = load_model(path)
+    return pa.array([bytes([int(p[1:-1], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in m["pieces"]], pa.binary())
 
 
 def decode_batch(ids: list[list[int]], path: str) -> list[str]:
+    """The texts of ids, by the library's decoder."""
     return build(path).decode_batch(ids, skip_special_tokens=False)
 
 
+def decode_packed(ids: list[bytes], path: str) -> list[str]:
+    """The texts of packed ids."""
+    flat = np.frombuffer(b"".join(ids), "<i4")
+    taken = piece_bytes(path).take(pa.array(flat))
+    data, ends = memoryview(taken.buffers()[2] or b""), np.frombuffer(taken.buffers()[1], np.int32) if len(flat) else np.zeros(1, np.int32)
+    out, at, strip = [], 0, load_model(path)["dummy_prefix"]
+    for x in ids:
+        to = at + len(x) // 4
+        raw = bytes(data[ends[at] : ends[to]])
+        try:
+            out.append(raw.decode()[strip and raw[:1] == b" " :])
+        except UnicodeDecodeError:
+            out += decode_batch([flat[at:to].tolist()], path)
+        at = to
+    return out
+
+
 def blocks(texts: list[str]) -> Iterator[list[str]]:
     """The texts in order, in lists of about ``BATCH_CHARS`` characters."""
     out, n = [], 0
@@ -160,17 +229,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, threads: int = 2,
         for b in batches:
             at = 0
             for part in blocks(b.column(b.num_columns - 1).to_pylist()):
-                ids, same = encode_checked(part, path, threads) if verify else (encode_batch(part, path, threads), [None] * len(part))
-                back = [x == y for x, y in zip(decode_batch(ids, path), part, strict=True)]
+                ids = units_of(path).encode(part, threads)
+                same = parity(ids, part, path, threads) if verify else [None] * len(part)
+                back = [x == y for x, y in zip(decode_packed(ids, path), part, strict=True)]
+                sizes = [len(x) // 4 for x in ids]
                 columns = [
                     *b.slice(at, len(part)).columns[:-1],
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(pa.array(x, pa.int32()).buffers()[1] or b"") if x else 0 for x in ids], pa.int64()),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([zlib.crc32(x) for x in ids], pa.int64()),
                     pa.array(same, pa.bool_()),
                     pa.array(back, pa.bool_()),
                 ]
                 if keep_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
+                    ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())))
                 at += len(part)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
