@@ -12,28 +12,38 @@ its index in that alphabet, and three tests ask whether the indexes look like
 uniform draws: chi-squared over the alphabet, runs above/below the middle, and
 lag-1 serial correlation, each as a z score with exact finite-length moments.
 
-*Length-aware false-discovery control.* The opposite null hypothesis, "this is
-written text", is tested by a likelihood ratio of uniform draws in the inferred
-encoding against text: text changes between letter cases and digits at a rate of
-at most ``TEXT_CHANGE`` (the encoding at its own rate), and holds each letter
+*Length-aware false-discovery control.* Two hypotheses are tested for each
+candidate, and Benjamini-Hochberg at ``FDR`` runs for both in each length band
+over all candidates of the corpus, counted by the integer part of -log10 p.
+
+"This is written text" is tested by a likelihood ratio of uniform draws in the
+inferred encoding against text: text changes between letter cases and digits at
+a rate of at most ``TEXT_CHANGE`` (the encoding at its own rate), and holds each letter
 as often as the likeliest language of ``LETTER_RATES`` (the encoding each of its
 letters and digits equally often). Signs tell nothing. One over the ratio is a
 valid p value under that model (Markov's inequality; a quarter of the ratio
 counts, as one of four encodings is chosen), and gets smaller with length.
-Candidates of the whole corpus are counted by (length band, integer -log10 p),
-and Benjamini-Hochberg at ``FDR`` runs in each band over those bins.
-A candidate is reported where the text hypothesis is discovered false and no
-test of the battery rejects randomness.
+
+"These are uniform draws" is tested by the battery: the largest of the three z
+scores has the p value 3 exp(-z^2 / 2), which bounds the normal tails of all three.
+
+A candidate is reported where the first hypothesis is discovered false and the
+second is not.
+
+*Long texts.* Each stage of the battery is bound once and works on counts of the
+alphabet's characters, so a token costs time in proportion to its length. Running
+sums and maxima go through blocks of ``BLOCK`` finds.
 
 Defined cases: null and empty texts have no spans; repeated rows are judged row
-by row (and count as often in the bands); an empty table gives an empty result;
-other columns are not read. The spans of the method that overlap a base span
-are dropped, base spans stay.
+by row (and count as often in the bands); texts and tokens of any length are
+read whole; an empty table gives an empty result; other columns are not read.
+The spans of the method that overlap a base span are dropped, base spans stay.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,9 +68,11 @@ LETTER_RATES = (
     (125, 18, 42, 58, 137, 7, 12, 8, 65, 5, 5, 52, 30, 68, 88, 25, 9, 68, 79, 46, 39, 11, 5, 5, 10, 5),
 )
 FDR = 0.01
-MAX_Z = 4.0
 BANDS = (32, 48, 80)
+#: Bins of -log10 p that are told apart; smaller p values count as this one.
 MAX_BIN = 60
+#: Finds or characters that one step of a running sum or cut goes through.
+BLOCK = 512
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HEX_ALPHABET = "0123456789abcdef"
@@ -69,21 +81,39 @@ B62_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 SPAN = "array<struct<s:int,k:int,e:int,kind:string>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, op=lambda a, x: a + x) -> Column:
+    """For each integer of an array the fold of those before it, from 0."""
+
+    def grown(xs: Column, first: Column) -> Column:
+        return F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    def made(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: F.slice(v, i * BLOCK + 1, BLOCK))
+        inside = lambda b, heads: F.flatten(F.transform(b, lambda x, i: F.slice(grown(x, heads[i]), 1, F.size(x))))
+        return let(blocks, lambda b: let(grown(F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda a, y: op(a, y))), F.lit(0)), lambda heads: inside(b, heads)))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, F.array().cast("array<int>")).otherwise(made(v)))
+
+
 def _located(text: Column, pattern: str, k: int, keep=None, group: int | None = None) -> Column:
     """array<struct<s,k,e,kind>> of the leftmost non-overlapping matches for which ``keep(match, group)`` holds."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("hit"), inner.alias("part"))
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    rows = F.arrays_zip(gaps.alias("gap"), found.alias("hit"), inner.alias("part"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.char_length(x["gap"])
-        e = s + F.coalesce(F.char_length(x["hit"]), F.lit(0))
-        good = x["hit"].isNotNull() & (keep(x["hit"], x["part"]) if keep else F.lit(True))
-        span = F.array(F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e"), F.lit(KINDS[k]).alias("kind")))
-        return F.struct(e.alias("at"), F.when(good, F.concat(acc["out"], span.cast(SPAN))).otherwise(acc["out"]).alias("out"))
+    def spans(rows: Column) -> Column:
+        before = running(F.transform(rows, lambda x: x["gap"] + F.coalesce(F.char_length(x["hit"]), F.lit(0))))
+        placed = F.filter(F.arrays_zip(rows.alias("x"), before.alias("at")), lambda y: y["x"]["hit"].isNotNull() & (keep(y["x"]["hit"], y["x"]["part"]) if keep else F.lit(True)))
+        span = lambda s, n: F.struct(s.alias("s"), F.lit(k).alias("k"), (s + n).alias("e"), F.lit(KINDS[k]).alias("kind"))
+        return F.transform(placed, lambda y: span(y["at"] + y["x"]["gap"], F.char_length(y["x"]["hit"]))).cast(SPAN)
 
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(rows, empty, step, lambda acc: acc["out"])
+    return let(rows, spans)
 
 
 def base_spans(text: Column) -> Column:
@@ -101,59 +131,56 @@ def base_spans(text: Column) -> Column:
 
 
 def _battery(token: Column) -> Column:
-    """struct<n, bin, ok> of one candidate: length, floor(-log10 p) that it is written text, no test rejects randomness."""
-
-    def by_encoding(of) -> Column:
-        """``of(letters of a case, digits, class changes a pair)`` of the encoding, as a literal."""
-        change = lambda *sizes: 1 - sum((x / sum(sizes)) ** 2 for x in sizes)
-        return F.when(hexed, of(6, 10, change(6, 10))).when(b32, of(26, 6, change(26, 6))).otherwise(of(26, 10, change(26, 26, 10)))
-
-    body = F.regexp_replace(token, "=+$", "")
-    n = F.char_length(body).cast("double")
-    hexed, b32 = body.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), body.rlike("^[A-Z2-7]+$")
-    url = body.rlike("[_-]")
-    alphabet = F.when(hexed, HEX_ALPHABET).when(b32, B32_ALPHABET).when(~body.rlike("[+/_-]"), B62_ALPHABET).when(url, B62_ALPHABET + "-_").otherwise(B62_ALPHABET + "+/")
-    chars = F.split(F.when(hexed, F.lower(body)).otherwise(body), "")
-    size = F.char_length(alphabet).cast("double")
-    at = F.transform(chars, lambda c: F.instr(alphabet, c).cast("double") - 1)
+    """struct<n, bin, odd, mixed> of one candidate: length, floor(-log10 p) of "written text" and of "uniform draws", letters and digits."""
+    change = lambda *sizes: 1 - sum((x / sum(sizes)) ** 2 for x in sizes)
     fold = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-    pairs = F.arrays_zip(F.slice(at, 1, F.size(at) - 1).alias("x"), F.slice(at, 2, F.size(at) - 1).alias("y"))
-    squares = fold(F.array_distinct(chars), lambda c: F.pow(F.size(F.filter(chars, lambda d: d == c)).cast("double"), 2.0))
-    half = size / 2
-    sort_of = F.transform(F.split(body, ""), lambda c: F.when(c.rlike("[a-z]"), 1).when(c.rlike("[A-Z]"), 2).when(c.rlike("[0-9]"), 3).otherwise(4))
-    kinds = F.arrays_zip(F.slice(sort_of, 1, F.size(sort_of) - 1).alias("x"), F.slice(sort_of, 2, F.size(sort_of) - 1).alias("y"))
-    rarity = [F.array(F.lit(0.0), *[F.lit(-math.log10(p / sum(rates))) for p in rates]) for rates in LETTER_RATES]
-    places = F.transform(F.split(F.lower(body), ""), lambda c: F.instr(F.lit(LETTERS), c))
-    stats = F.struct(
-        n.alias("n"), size.alias("k"), squares.alias("sq"), fold(at, lambda x: x).alias("sx"), fold(at, lambda x: x * x).alias("sxx"),
-        fold(pairs, lambda p: p["x"] * p["y"]).alias("sxy"), fold(at, lambda x: (x >= half).cast("double")).alias("hi"),
-        fold(pairs, lambda p: ((p["x"] >= half) != (p["y"] >= half)).cast("double")).alias("turns"),
-        fold(kinds, lambda p: ((p["x"] == p["y"]) & (p["x"] < 4)).cast("double")).alias("stays"),
-        F.least(*[fold(places, lambda i, r=r: F.get(r, i)) for r in rarity]).alias("rare"),
-        F.char_length(F.regexp_replace(body, "[^A-Za-z]", "")).alias("letters"), F.char_length(F.regexp_replace(body, "[^0-9]", "")).alias("digits"),
-        by_encoding(lambda l, d, r: F.lit(math.log10(r / TEXT_CHANGE))).alias("move"), by_encoding(lambda l, d, r: F.lit(math.log10((1 - r) / (1 - TEXT_CHANGE)))).alias("stay"),
-        by_encoding(lambda l, d, r: F.lit(math.log10(1 / l))).alias("letter"), by_encoding(lambda l, d, r: F.lit(math.log10(10 / d))).alias("digit"),
-        # a change counts between letter cases and digits alone: joined words change at "-", "_" and "/"
-        fold(kinds, lambda p: ((p["x"] != p["y"]) & (p["x"] < 4) & (p["y"] < 4)).cast("double")).alias("moves"),
-        (body.rlike("[A-Za-z]") & body.rlike("[0-9]")).alias("mixed"),
-    )
-
-    def judge(v: Column) -> Column:
-        n, k = v["n"], v["k"]
+    rarity = [F.array(*[F.lit(-math.log10(p / sum(rates))) for p in rates]) for rates in LETTER_RATES]
+    count = lambda t, c: (F.char_length(t) - F.char_length(F.replace(t, c))).cast("double")  # noqa: E731  c: one character
+    total = lambda xs, of: F.aggregate(F.arrays_zip(xs.alias("n"), of.alias("w")), F.lit(0.0), lambda a, x: a + x["n"] * x["w"])
+
+    def encoded(t: Column) -> Column:
+        hexed, b32 = t.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), t.rlike("^[A-Z2-7]+$")
+        by = lambda of: F.when(hexed, of(6, 10, change(6, 10))).when(b32, of(26, 6, change(26, 6))).otherwise(of(26, 10, change(26, 26, 10)))
+        wide = F.when(~t.rlike("[+/_-]"), B62_ALPHABET).when(t.rlike("[_-]"), B62_ALPHABET + "-_").otherwise(B62_ALPHABET + "+/")
+        # classes of characters: a, A, 0 and - for signs
+        sorts = F.translate(t, LETTERS + LETTERS.upper() + "0123456789+/_-", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
+        return F.struct(
+            F.when(hexed, F.lower(t)).otherwise(t).alias("text"), F.when(hexed, HEX_ALPHABET).when(b32, B32_ALPHABET).otherwise(wide).alias("alphabet"),
+            sorts.alias("sorts"), F.transform(F.split(F.lit(LETTERS), ""), lambda c: count(F.lower(t), c)).alias("letters"), count(sorts, F.lit("0")).alias("digits"),
+            by(lambda l, d, r: F.lit(math.log10(r / TEXT_CHANGE))).alias("move"), by(lambda l, d, r: F.lit(math.log10((1 - r) / (1 - TEXT_CHANGE)))).alias("stay"),
+            by(lambda l, d, r: F.lit(math.log10(1 / l))).alias("letter"), by(lambda l, d, r: F.lit(math.log10(10 / d))).alias("digit"),
+        )
+
+    def counted(e: Column) -> Column:
+        size = F.char_length(e["alphabet"])
+        counts = F.transform(F.split(e["alphabet"], ""), lambda c: count(e["text"], c))
+        places = F.transform(F.sequence(F.lit(0), size - 1), lambda i: i.cast("double"))
+        half = F.floor(size / 2).cast("int")
+        sides = F.call_function("translate", e["text"], e["alphabet"], F.concat(F.repeat(F.lit("L"), half), F.repeat(F.lit("H"), half)))
+        at = F.transform(F.split(e["text"], ""), lambda c: F.instr(e["alphabet"], c).cast("double") - 1)
+        products = let(at, lambda v: fold(F.zip_with(v, F.slice(v, 2, F.size(v)), lambda x, y: x * F.coalesce(y, F.lit(0.0))), lambda x: x))
+        alike = F.char_length(F.regexp_replace(e["sorts"], "-", "")) - F.regexp_count(e["sorts"], F.lit("a+|A+|0+"))
+        return F.struct(
+            e.alias("e"), F.char_length(e["text"]).cast("double").alias("n"), size.cast("double").alias("k"), counts.alias("counts"), fold(counts, lambda c: c * c).alias("sq"),
+            total(counts, places).alias("sx"), total(counts, F.transform(places, lambda i: i * i)).alias("sxx"), products.alias("sxy"),
+            count(sides, F.lit("H")).alias("hi"), F.regexp_count(sides, F.lit("L+|H+")).cast("double").alias("runs"),
+            alike.alias("stays"), F.regexp_count(e["sorts"], F.lit("(?<=a)[A0]|(?<=A)[a0]|(?<=0)[aA]")).alias("moves"), F.aggregate(e["letters"], F.lit(0.0), lambda a, x: a + x).alias("letters"),
+        )
+
+    def judged(v: Column) -> Column:
+        n, k, e = v["n"], v["k"], v["e"]
         chi = (k / n * v["sq"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        lo = n - v["hi"]
-        mean = 1 + 2 * lo * v["hi"] / n
-        spread = F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9))
-        runs = (1 + v["turns"] - mean) / F.sqrt(spread)
-        var = n * v["sxx"] - v["sx"] * v["sx"]
-        ends = F.greatest(var, F.lit(1e-9))
-        serial = ((n * v["sxy"] - v["sx"] * v["sx"]) / ends + 1 / (n - 1)) / F.sqrt(n * n / ((n - 1) * (n - 1) * (n - 2)))
-        ratio = v["moves"] * v["move"] + v["stays"] * v["stay"] + v["rare"] + v["letters"] * v["letter"] + v["digits"] * v["digit"] - math.log10(4)
-        bin_ = F.least(F.greatest(F.floor(ratio).cast("int"), F.lit(0)), F.lit(MAX_BIN))
-        ok = v["mixed"] & (F.abs(chi) <= MAX_Z) & (F.abs(runs) <= MAX_Z) & (F.abs(serial) <= MAX_Z)
-        return F.struct(v["n"].cast("int").alias("n"), bin_.alias("bin"), ok.alias("ok"))
+        mean = 1 + 2 * (n - v["hi"]) * v["hi"] / n
+        runs = (v["runs"] - mean) / F.sqrt(F.greatest((mean - 1) * (mean - 2) / (n - 1), F.lit(1e-9)))
+        var = F.greatest(n * v["sxx"] - v["sx"] * v["sx"], F.lit(1e-9))
+        serial = ((n * v["sxy"] - v["sx"] * v["sx"]) / var + 1 / (n - 1)) / F.sqrt(n * n / ((n - 1) * (n - 1) * (n - 2)))
+        z = F.greatest(F.abs(chi), F.abs(runs), F.abs(serial))
+        rare = F.least(*[total(e["letters"], r) for r in rarity])
+        ratio = v["moves"] * e["move"] + v["stays"] * e["stay"] + rare + v["letters"] * e["letter"] + e["digits"] * e["digit"] - math.log10(4)
+        binned = lambda x: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(MAX_BIN)).cast("int")
+        return F.struct(n.cast("int").alias("n"), binned(ratio).alias("bin"), binned(z * z / 2 / math.log(10) - math.log10(3)).alias("odd"), ((v["letters"] > 0) & (e["digits"] > 0)).alias("mixed"))
 
-    return F.transform(F.array(stats), judge)[0]
+    return let(F.regexp_replace(token, "=+$", ""), lambda t: let(encoded(t), lambda e: let(counted(e), judged)))
 
 
 def band(n: Column) -> Column:
@@ -163,52 +190,75 @@ def band(n: Column) -> Column:
     return out
 
 
-def fit_thresholds(docs: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """Benjamini-Hochberg in each length band over all candidates of the corpus.
+def rejected_from(counts: dict[int, int], fdr: float) -> int | None:
+    """Benjamini-Hochberg over bins of -log10 p: the least bin whose candidates are rejected."""
+    total, above, out = sum(counts.values()), 0, None
+    for k in range(MAX_BIN, 0, -1):
+        above += counts.get(k, 0)
+        if above and total * 10.0**-k <= fdr * above:
+            out = k
+    return out
+
+
+def fit_thresholds(docs: DataFrame, fdr: float = FDR) -> dict[int, tuple[int, int]]:
+    """For each length band the least bin discovered not to be text, and the least one discovered not to be uniform.
 
-    What comes to the driver is one count for each (band, bin): at most
-    ``(len(BANDS) + 1) * (MAX_BIN + 1)`` rows.
+    What comes to the driver is one count for each (band, bin, bin): at most
+    ``(len(BANDS) + 1) * (MAX_BIN + 1) ** 2`` rows.
     """
     tokens = F.regexp_extract_all(F.col("text"), F.lit(CANDIDATE), F.lit(0))
     text = doc_texts(docs).select("text").where(F.col("text").rlike(LONG_RUN))
     judged = text.select(F.explode(tokens).alias("t")).select(_battery(F.col("t")).alias("j"))
-    rows = judged.groupBy(band(F.col("j.n")).alias("band"), F.col("j.bin").alias("bin")).count().collect()
-    out: dict[int, int] = {}
+    rows = judged.groupBy(band(F.col("j.n")).alias("band"), F.col("j.bin").alias("bin"), F.col("j.odd").alias("odd")).count().collect()
+    out: dict[int, tuple[int, int]] = {}
     for b in range(len(BANDS) + 1):
-        counts = {r["bin"]: r["count"] for r in rows if r["band"] == b}
-        total, above = sum(counts.values()), 0
-        for k in range(MAX_BIN, 0, -1):
-            above += counts.get(k, 0)
-            if above and total * 10.0**-k <= fdr * above:
-                out[b] = k
+        text_bins, odd_bins = Counter(), Counter()
+        for r in rows:
+            if r["band"] == b:
+                text_bins[r["bin"]] += r["count"]
+                odd_bins[r["odd"]] += r["count"]
+        if (k := rejected_from(text_bins, fdr)) is not None:
+            out[b] = k, rejected_from(odd_bins, fdr) or MAX_BIN + 1
     return out
 
 
-def random_spans(text: Column, thresholds: dict[int, int]) -> Column:
+def random_spans(text: Column, thresholds: dict[int, tuple[int, int]]) -> Column:
     none = F.array().cast(SPAN)
     if not thresholds:
         return none
-    need = F.lit(MAX_BIN + 1)
 
     def keep(token: Column, _: Column) -> Column:
-        def judged(j: Column) -> Column:
-            least = need
-            for b, k in thresholds.items():
-                least = F.when(band(j["n"]) == b, k).otherwise(least)
-            return j["ok"] & (j["bin"] >= least)
+        def found(j: Column) -> Column:
+            here = band(j["n"])
+            good = F.lit(False)
+            for b, (text_bin, odd_bin) in thresholds.items():
+                good = F.when(here == b, (j["bin"] >= text_bin) & (j["odd"] < odd_bin)).otherwise(good)
+            return j["mixed"] & good
 
-        return F.transform(F.array(_battery(token)), judged)[0]
+        return let(_battery(token), found)
 
     return F.when(text.rlike(LONG_RUN), _located(text, CANDIDATE, 3, keep)).otherwise(none)
 
 
-def with_spans(docs: DataFrame, thresholds: dict[int, int], text: str, base: str, spans: str) -> DataFrame:
+def _apart_from(spans: Column, base: Column) -> Column:
+    """The ``spans`` that overlap none of ``base``: at the end of each, no base span that began before has ended after its start."""
+    ends = F.transform(base, lambda b: F.struct(b["s"].alias("at"), F.lit(1).alias("sort"), b["e"].alias("end"), b.alias("span")))
+    asks = F.transform(spans, lambda r: F.struct(r["e"].alias("at"), F.lit(0).alias("sort"), F.lit(0).alias("end"), r.alias("span")))
+
+    def kept(events: Column) -> Column:
+        latest = running(F.transform(events, lambda x: x["end"]), F.greatest)
+        return F.transform(F.filter(F.arrays_zip(events.alias("x"), latest.alias("end")), lambda y: (y["x"]["sort"] == 0) & (y["end"] <= y["x"]["span"]["s"])), lambda y: y["x"]["span"])
+
+    return let(spans, lambda r: F.when(F.size(r) == 0, r).otherwise(let(F.array_sort(F.concat(ends, asks)), kept)))
+
+
+def with_spans(docs: DataFrame, thresholds: dict[int, tuple[int, int]], text: str, base: str, spans: str) -> DataFrame:
     """Add ``base`` and ``spans`` (base and method, sorted) to documents whose whole text is in column ``text``."""
-    drop = F.filter(random_spans(F.col(text), thresholds), lambda r: ~F.exists(F.col(base), lambda b: (b["s"] < r["e"]) & (r["s"] < b["e"])))
-    return docs.withColumn(base, base_spans(F.col(text))).withColumn(spans, F.array_sort(F.concat(F.col(base), drop)))
+    added = _apart_from(random_spans(F.col(text), thresholds), F.col(base))
+    return docs.withColumn(base, base_spans(F.col(text))).withColumn(spans, F.array_sort(F.concat(F.col(base), added)))
 
 
-def scan(docs: DataFrame, thresholds: dict[int, int] | None = None) -> DataFrame:
+def scan(docs: DataFrame, thresholds: dict[int, tuple[int, int]] | None = None) -> DataFrame:
     """``doc_id, text, base, spans`` of every document; thresholds are fitted on the same documents unless given."""
     limits = fit_thresholds(docs) if thresholds is None else thresholds
     return with_spans(doc_texts(docs), limits, "text", "base", "spans")
@@ -217,13 +267,22 @@ def scan(docs: DataFrame, thresholds: dict[int, int] | None = None) -> DataFrame
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each maximal run of spans replaced by ``mark``."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["s"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text)))))
+    def cut(pieces: Column, s: Column, e: Column) -> Column:
+        """Characters ``s`` to ``e`` of a text in pieces of ``BLOCK``."""
+        first = F.floor(s / BLOCK).cast("int")
+        near = F.array_join(F.slice(pieces, first + 1, F.ceil(e / BLOCK).cast("int") - first), "")
+        return F.when(e > s, F.substring(near, s - first * BLOCK + 1, e - s)).otherwise("")
+
+    def rest(rows: Column, pieces: Column) -> Column:
+        # a row stands for the text before its span, from where earlier spans end, and its mark
+        fresh = F.filter(rows, lambda y: y["x"]["s"] >= y["end"])
+        before = F.array_join(F.transform(fresh, lambda y: F.concat(cut(pieces, y["end"], y["x"]["s"]), F.lit(mark))), "")
+        last = F.element_at(rows, -1)
+        return F.concat(before, cut(pieces, F.greatest(last["end"], last["x"]["e"]), F.char_length(text)))
+
+    rows = F.arrays_zip(spans.alias("x"), running(F.transform(spans, lambda x: x["e"]), F.greatest).alias("end"))
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    return F.when(F.size(spans) == 0, text).otherwise(let(rows, lambda r: let(pieces, lambda p: rest(r, p))))
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
