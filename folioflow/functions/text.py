@@ -90,11 +90,9 @@ def _chain(text: Column, steps: list[tuple[str, str]]) -> Column:
 
 def clean_latex(text: Column) -> Column:
     """Readable text of LaTeX source: formatting unwrapped, commands dropped, blanks collapsed."""
-    unwrap = (r"\\(?:textbf|textit|emph|underline|small|large|tiny|huge|scshape)\{([^{}]*)\}", "$1")
-    out = _chain(text, [unwrap] * 4 + [(r"\\href\{[^{}]*\}\{([^{}]*)\}", "$1"), (r"\\url\{([^{}]*)\}", "($1)"), (r"\\[a-zA-Z]+\{([^{}]*)\}", "$1"), (r"\\[a-zA-Z@]+\*?", " ")])
-    for mark in "%$_&#~":
-        out = F.replace(out, F.lit("\\" + mark), F.lit(mark))
-    out = F.replace(F.replace(out, F.lit("---"), F.lit("—")), F.lit("--"), F.lit("–"))
+    out = _chain(text, vocab.LATEX_CLEAN)
+    for old, new in vocab.LATEX_MARKS_READ:
+        out = F.replace(out, F.lit(old), F.lit(new))
     return strip(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
