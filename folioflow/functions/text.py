@@ -138,7 +138,7 @@ def month_key(ts: Column) -> Column:
 
 
 def split_list(text: Column, pattern: str = "[,;]") -> Column:
-    return F.filter(F.transform(F.split(text, pattern), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), lambda x: strip(x)), lambda x: x != "")
 
 
 def detect_format(text: Column) -> Column:
@@ -215,3 +215,30 @@ def bullet_quality(found: Column, named: Column, sure: Column) -> Column:
     """0 to 1 from metrics, tools and confidence. The weights (0.4, 0.2, 0.4) are this engine's."""
     level = F.when(sure == "high", 1.0).when(sure == "medium", 0.5).otherwise(0.0)
     return F.bround(0.4 * F.least(F.size(found), F.lit(2)) / 2 + 0.2 * F.least(F.size(named), F.lit(2)) / 2 + 0.4 * level, 4)
+
+
+def enforce_star(bullets: Column, found: Callable[[Column], Column] | None = None) -> Column:
+    """Bullets (an array of structs with ``text``) with ``star_score, star_passes, star_violations`` added; other fields stay."""
+
+    def add(b: Column) -> Column:
+        return let(star_score(b["text"], (found or metrics)(b["text"])), lambda s: b.withField("star_score", s["star_score"]).withField("star_passes", s["passes"]).withField("star_violations", s["violations"]))
+
+    return F.transform(bullets, add)
+
+
+def sentence_limit(text: Column, limit: int = 250) -> Column:
+    """At most ``limit`` words, back to the end of the last whole sentence among them; without one, "..." follows."""
+
+    def cut(w: Column) -> Column:
+        head = F.slice(w, 1, limit)
+        last = F.aggregate(F.transform(head, lambda x, i: F.when(x.rlike("[.!?]$"), i + 1).otherwise(0)), F.lit(0), lambda a, x: F.greatest(a, x))
+        short = let(last, lambda n: F.when(n > 0, F.array_join(F.slice(head, 1, n), " ")).otherwise(F.concat(F.array_join(head, " "), F.lit("..."))))
+        return F.when(F.size(w) <= limit, text).otherwise(short)
+
+    return let(words(text), cut)
+
+
+def path_format(argument: Column) -> Column:
+    """struct<path, format> of ``PATH:FORMAT``: split at the last colon; without one the format is "blob"."""
+    at = F.length(argument) - F.length(F.substring_index(argument, ":", -1))
+    return F.struct(F.when(at > 0, F.substring(argument, F.lit(1), at - 1)).otherwise(argument).alias("path"), F.when(at > 0, F.substring_index(argument, ":", -1)).otherwise("blob").alias("format"))

@@ -62,7 +62,7 @@ def score(jds: DataFrame, docs: DataFrame, method: str = "formula") -> DataFrame
     left = vector.embed(docs).withColumnRenamed("embedding", "a")
     right = vector.embed(jds, "jd_id").withColumnRenamed("embedding", "b")
     similar = F.least(F.greatest(F.floor(vector.cosine(F.col("a"), F.col("b")) * 100 + 1e-9), F.lit(0)), F.lit(100)).cast("int")
-    return left.crossJoin(gap._sized(right)).select("jd_id", "doc_id", similar.alias("score"), F.lit("embedding (tfidf fallback)").alias("method_used"))
+    return gap._meet(left, right).select("jd_id", "doc_id", similar.alias("score"), F.lit("embedding (tfidf fallback)").alias("method_used"))
 
 
 def compare(jds: DataFrame, docs: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 Inputs are frames ``jd_id, text`` and ``doc_id, text``. Vocabulary work is done
 once per text, never per pair: keyword hits are a short array of keyword
 numbers, token overlap is an equi-join on tokens. Pairs only meet as arrays.
-The description side is broadcast while its counted size allows.
+Scores and advice are expressions on one row of a pair. The description side is
+broadcast while its counted bytes allow, else it is dealt in blocks.
 """
 
 from __future__ import annotations
@@ -14,13 +15,32 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocab
 
-#: Descriptions up to this many rows are broadcast as pre-computed arrays.
-BROADCAST_ROWS = 20_000
+#: A side of up to this many bytes, as counted, is broadcast.
+BROADCAST_BYTES = 64 << 20
 
+def _bytes(df: DataFrame) -> int:
+    """Bytes of the values of ``df``: 8 a number, text and arrays by their own size."""
+    return df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast a side whose counted rows allow it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+def _small(side: DataFrame) -> DataFrame:
+    """A side to join, broadcast where its counted bytes allow."""
+    return F.broadcast(side) if _bytes(side) <= BROADCAST_BYTES else side
+
+
+def _meet(docs: DataFrame, side: DataFrame) -> DataFrame:
+    """Every row of ``docs`` beside every row of ``side``, an output of all pairs by contract.
+
+    ``side`` goes out whole while its bytes allow; beyond that both are dealt to
+    blocks, and each block of ``side`` meets ``docs`` in tasks of its own.
+    """
+    size = _bytes(side)
+    if size <= BROADCAST_BYTES:
+        return docs.crossJoin(F.broadcast(side))
+    blocks = -(-size // BROADCAST_BYTES) * 4
+    dealt = side.withColumn("_block", F.pmod(F.xxhash64(*side.columns[:1]), F.lit(blocks)))
+    spread = docs.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    return spread.join(dealt.hint("shuffle_hash"), "_block").drop("_block")
 
 
 def keyword_hits(texts: DataFrame, key: str, words: list[tuple[int, str, int, str]]) -> DataFrame:
@@ -45,7 +65,7 @@ def category_coverage(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[
     jd = keyword_hits(jds, "jd_id", words).select("jd_id", F.explode("hits").alias("h")).groupBy("jd_id", F.col("h.cat_ord").alias("cat_ord"))
     jd = jd.agg(F.sort_array(F.collect_list("h.kw_ord")).alias("want"), F.sum("h.n").cast("long").alias("frequency"))
     doc = keyword_hits(docs, "doc_id", words).select("doc_id", "hits")
-    pairs = doc.crossJoin(_sized(jd))
+    pairs = _meet(doc, jd)
     have = F.transform(F.filter("hits", lambda h: h["cat_ord"] == F.col("cat_ord")), lambda h: h["kw_ord"])
     shared = F.array_intersect("want", "have")
     rows = pairs.withColumn("have", have).withColumn("shared", F.size(shared)).withColumn("lacks", F.array_except("want", "have"))
@@ -85,10 +105,10 @@ def keyword_gaps(jds: DataFrame, docs: DataFrame, min_freq: int = 2, top_n: int
     """
     asked = doc_terms(jds, "jd_id").where((F.col("freq") >= min_freq) & (F.length("term") > 3))
     wanted = asked.groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("nf"), "first_pos", "term"))).alias("want"))
-    terms = F.broadcast(asked.select("term").distinct()) if asked.limit(BROADCAST_ROWS * 10 + 1).count() <= BROADCAST_ROWS * 10 else asked.select("term").distinct()
+    terms = _small(asked.select("term").distinct())
     have = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(terms, "term").groupBy("doc_id").agg(F.collect_set("term").alias("have"))
     spine = docs.select("doc_id").join(have, "doc_id", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
-    gaps = spine.crossJoin(_sized(wanted)).select("jd_id", "doc_id", F.posexplode(F.slice(F.filter("want", lambda w: ~F.array_contains("have", w["term"])), 1, top_n)).alias("at", "w"))
+    gaps = _meet(spine, wanted).select("jd_id", "doc_id", F.posexplode(F.slice(F.filter("want", lambda w: ~F.array_contains("have", w["term"])), 1, top_n)).alias("at", "w"))
     return gaps.select("jd_id", "doc_id", (F.col("at") + 1).alias("rank"), F.col("w.term").alias("term"), (-F.col("w.nf")).alias("freq"))
 
 
@@ -98,44 +118,70 @@ def token_overlap(jds: DataFrame, docs: DataFrame) -> DataFrame:
     sizes = jd.select("jd_id", F.size("t").alias("jd_tokens"))
     terms = jd.select("jd_id", F.explode("t").alias("term"))
     have = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    both = have.join(_sized(terms.groupBy("term").agg(F.collect_list("jd_id").alias("jd_ids"))), "term").select("doc_id", F.explode("jd_ids").alias("jd_id"))
-    return both.groupBy("jd_id", "doc_id").agg(F.count("*").alias("shared")).join(_sized(sizes), "jd_id")
+    both = have.join(_small(terms.groupBy("term").agg(F.collect_list("jd_id").alias("jd_ids"))), "term").select("doc_id", F.explode("jd_ids").alias("jd_id"))
+    return both.groupBy("jd_id", "doc_id").agg(F.count("*").alias("shared")).join(_small(sizes), "jd_id")
 
 
-def match_scores(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
-    """``jd_id, doc_id, overlap, category_mean, score`` of every pair.
+def covered(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
+    """``jd_id, doc_id, jd_tokens, cover`` of every pair; nothing is shuffled after the pair is made.
+
+    ``cover`` has ``struct<cat_ord, frequency, coverage>`` for each category that
+    the description names. Keywords are numbers, 1000 to a category.
+    """
+    words = vocab.taxonomy_rows(taxonomy)
+    number = lambda h: h["cat_ord"] * 1000 + h["kw_ord"]
+    asked = keyword_hits(jds, "jd_id", words).select("jd_id", F.explode("hits").alias("h")).groupBy("jd_id", F.col("h.cat_ord").alias("cat_ord"))
+    asked = asked.agg(F.collect_list(number(F.col("h"))).alias("want"), F.sum("h.n").cast("long").alias("frequency")).groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct("cat_ord", "frequency", "want"))).alias("cats"))
+    side = jds.select("jd_id", F.size(F.array_distinct(X.tokens(F.col("text")))).alias("jd_tokens")).join(asked, "jd_id", "left")
+    pairs = _meet(keyword_hits(docs, "doc_id", words).select("doc_id", F.transform("hits", number).alias("have")), side)
+    one = lambda c: F.struct(c["cat_ord"].alias("cat_ord"), c["frequency"].alias("frequency"), F.bround(F.size(F.array_intersect(c["want"], F.col("have"))) / F.size(c["want"]), 2).alias("coverage"))
+    return pairs.select("jd_id", "doc_id", "jd_tokens", F.when(F.col("cats").isNotNull(), F.transform("cats", one)).alias("cover"))
+
+
+def scored(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
+    """:func:`covered` with ``overlap, category_mean, score``.
 
     The score is half token overlap, half mean coverage of the description's
     categories, times 100, truncated. Coverage is summed in whole hundredths, so
-    the sum is exact in any order.
+    the sum is exact in any order. Of the pairs only those that share a token
+    meet their overlap, in one join.
     """
-    hundredths = category_coverage(jds, docs, taxonomy).groupBy("jd_id", "doc_id").agg(F.sum(F.bround(F.col("coverage") * 100).cast("long")).alias("cents"), F.count("*").alias("cats"))
-    sizes = jds.select("jd_id", F.size(F.array_distinct(X.tokens(F.col("text")))).alias("jd_tokens"))
-    spine = docs.select("doc_id").crossJoin(_sized(sizes))
     shared = token_overlap(jds, docs).select("jd_id", "doc_id", "shared")
-    rows = spine.join(shared, ["jd_id", "doc_id"], "left").join(hundredths, ["jd_id", "doc_id"], "left")
-    overlap = F.coalesce("shared", F.lit(0)) / F.greatest("jd_tokens", F.lit(1))
-    mean = F.coalesce(F.col("cents") / F.col("cats") / 100, F.lit(0.0))
-    rows = rows.withColumn("overlap", overlap).withColumn("category_mean", mean)
-    return rows.select("jd_id", "doc_id", "overlap", "category_mean", F.least(F.floor((0.5 * F.col("overlap") + 0.5 * F.col("category_mean")) * 100).cast("int"), F.lit(100)).alias("score"))
+    cents = F.aggregate("cover", F.lit(0).cast("long"), lambda a, x: a + F.bround(x["coverage"] * 100).cast("long"))
+    rows = covered(jds, docs, taxonomy).join(shared, ["jd_id", "doc_id"], "left").withColumn("overlap", F.coalesce("shared", F.lit(0)) / F.greatest("jd_tokens", F.lit(1)))
+    rows = rows.withColumn("category_mean", F.when(F.col("cover").isNotNull(), cents / F.size("cover") / 100).otherwise(0.0))
+    return rows.withColumn("score", F.least(F.floor((0.5 * F.col("overlap") + 0.5 * F.col("category_mean")) * 100).cast("int"), F.lit(100)))
+
+
+def match_scores(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
+    """``jd_id, doc_id, overlap, category_mean, score`` of every pair."""
+    return scored(jds, docs, taxonomy).select("jd_id", "doc_id", "overlap", "category_mean", "score")
 
 
 def band(score: Column) -> Column:
     return F.when(score >= 80, "strong").when(score >= 60, "moderate").when(score >= 50, "weak").otherwise("decline")
 
 
-def recommendations(scores: DataFrame, signals: DataFrame) -> DataFrame:
-    """``jd_id, doc_id, score, advice array<string>``; depends on the signals that were kept."""
-    flags = signals.groupBy("jd_id", "doc_id").agg(F.max((F.col("label") == "Testing Ci Cd").cast("int")).alias("testing"), F.max((F.col("label") == "Data Quality Observability").cast("int")).alias("quality"))
-    rows = scores.join(flags, ["jd_id", "doc_id"], "left")
-    given = F.filter(F.array(F.when(F.col("score") < 50, vocab.ADVICE["critical"]), F.when(F.col("testing") == 1, vocab.ADVICE["testing"]), F.when(F.col("quality") == 1, vocab.ADVICE["quality"])), lambda a: a.isNotNull())
-    return rows.select("jd_id", "doc_id", "score", F.when(F.size(given) == 0, F.array(F.lit(vocab.ADVICE["good"]))).otherwise(given).alias("advice"))
+def top_signals(cover: Column, top_n: int = 5) -> Column:
+    """The same signals of one pair as an array of ``struct<low, less, cat_ord>`` in order, without a shuffle."""
+    told = F.filter(cover, lambda x: priority(x["coverage"], x["frequency"]) != "low")
+    keys = F.transform(told, lambda x: F.struct((priority(x["coverage"], x["frequency"]) != "high").alias("low"), (-x["frequency"]).alias("less"), x["cat_ord"].alias("cat_ord")))
+    return F.slice(F.array_sort(keys), 1, top_n)
+
+
+def recommendations(jds: DataFrame, docs: DataFrame, top_n: int = 5) -> DataFrame:
+    """``jd_id, doc_id, score, advice array<string>`` of every pair; depends on the ``top_n`` signals."""
+    ords = {name: c for c, name in enumerate(vocab.TAXONOMY)}
+    empty = F.array().cast("array<int>")
+    rows = scored(jds, docs).withColumn("kept", F.when(F.col("cover").isNotNull(), F.transform(top_signals(F.col("cover"), top_n), lambda x: x["cat_ord"])).otherwise(empty))
+    holds = lambda name: F.array_contains("kept", F.lit(ords[name]))
+    given = F.filter(F.array(F.when(F.col("score") < 50, vocab.ADVICE["critical"]), F.when(holds("testing_ci_cd"), vocab.ADVICE["testing"]), F.when(holds("data_quality_observability"), vocab.ADVICE["quality"])), lambda a: a.isNotNull())
+    return rows.select("jd_id", "doc_id", "score", X.let(given, lambda g: F.when(F.size(g) == 0, F.array(F.lit(vocab.ADVICE["good"]))).otherwise(g)).alias("advice"))
 
 
 def full_report(jds: DataFrame, docs: DataFrame, top_n: int = 5) -> DataFrame:
     """One nested row per pair: score, signals, keyword gaps and recommendations."""
     signals = gap_signals(category_coverage(jds, docs), top_n)
-    scores = match_scores(jds, docs)
     told = with_angles(signals).groupBy("jd_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "label", "jd_keywords", "frequency", "coverage", "priority", "angles"))).alias("signals"))
     gaps = keyword_gaps(jds, docs).groupBy("jd_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "freq"))).alias("gaps"))
-    return recommendations(scores, signals).join(told, ["jd_id", "doc_id"], "left").join(gaps, ["jd_id", "doc_id"], "left")
+    return recommendations(jds, docs, top_n).join(told, ["jd_id", "doc_id"], "left").join(gaps, ["jd_id", "doc_id"], "left")

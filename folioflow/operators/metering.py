@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -51,3 +51,27 @@ def customer_of(plans: DataFrame, revoked: DataFrame) -> DataFrame:
     gone = revoked.select("customer_id").distinct().withColumn("gone", F.lit(True))
     rows = plans.join(gone, "customer_id", "left")
     return rows.withColumn("plan", F.when(F.col("gone"), "free").otherwise(F.col("plan"))).select(plans.columns)
+
+
+def night_bulk(events: DataFrame, until: int = 6, limit: int = 50) -> DataFrame:
+    """``user_id, day, n``: more than ``limit`` events of a user between midnight and ``until`` o'clock."""
+    rows = events.where(F.hour("ts") < until).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    return rows.where(F.col("n") > limit)
+
+
+def repeated_requests(events: DataFrame, text: str = "text", seconds: int = 300, limit: int = 10) -> DataFrame:
+    """Events that are more than ``limit`` of a user's events with one text within the last ``seconds``."""
+    w = Window.partitionBy("user_id", F.xxhash64(text), text).orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
+    rows = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("in_window", F.count("*").over(w))
+    return rows.where(F.col("in_window") > limit).drop("at")
+
+
+def seed_month(ts: Column, back: int) -> Column:
+    """Month key of the first of the month, ``back`` times 28 days earlier."""
+    return X.month_key(F.date_sub(F.trunc(ts, "month"), 28 * back).cast("timestamp"))
+
+
+def with_plan_columns(usage: DataFrame) -> DataFrame:
+    """Rows of an older table under the newer schema: ``plan`` (free) and ``customer_id`` (null) where they are missing."""
+    new = {"plan": F.lit("free"), "customer_id": F.lit(None).cast("string")}
+    return usage.withColumns({c: v for c, v in new.items() if c not in usage.columns})

@@ -254,14 +254,6 @@ def category_labels(spark, d):
 _HEADS = [(1, "PROFESSIONAL EXPERIENCE"), (2, "Technical Skills:"), (3, "Foo Technologies"), (4, "I have ten years of experience in very many fields of work and study"), (5, "Awards"), (6, "1234 5678"), (7, "Education")]
 
 
-@_query()
-def section_headers(spark, d):
-    """Every line of the documents, and the inline lines under negated ids."""
-    lines = _docs(spark, d).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    lines = lines.unionByName(spark.createDataFrame([(-i, 0, x) for i, x in _HEADS], "id long, at int, line string"))
-    return lines.select("id", "at", X.section_of(F.col("line")).alias("section"), X.is_title_like(F.col("line")).alias("titled"), X.is_bullet(F.col("line")).alias("bullet"))
-
-
 # --- gap analysis ------------------------------------------------------------
 
 
@@ -327,7 +319,7 @@ def score_bands(spark, d):
 SELECT jd_id, doc_id, score, coalesce(nullif(array_to_string(list_filter([CASE WHEN score < 50 THEN {_q(vocab.ADVICE["critical"])} END, CASE WHEN t THEN {_q(vocab.ADVICE["testing"])} END, CASE WHEN q THEN {_q(vocab.ADVICE["quality"])} END], lambda x: x IS NOT NULL), '|'), ''), {_q(vocab.ADVICE["good"])}) AS advice FROM scores LEFT JOIN fl USING (jd_id, doc_id)""")
 def recommendations(spark, d):
     jds, docs = _jds(spark, d), _docs(spark, d)
-    rows = gap.recommendations(gap.match_scores(jds, docs), gap.gap_signals(gap.category_coverage(jds, docs)))
+    rows = gap.recommendations(jds, docs)
     return rows.select("jd_id", "doc_id", "score", F.array_join("advice", "|").alias("advice"))
 
 
@@ -668,10 +660,14 @@ def cover_letter(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import more_queries  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    from . import more_queries  # noqa: F401
+
     return dict(_ORACLES)
 
 

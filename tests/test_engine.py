@@ -36,7 +36,7 @@ def test_scores_are_bounded_and_self_match_is_best(spark):
     assert rows[1, 1] == 100
     assert rows[1, 2] == 0
     assert rows[2, 1] == 0
-    advice = {r.doc_id: r.advice for r in gap.recommendations(gap.match_scores(jd, doc), gap.gap_signals(gap.category_coverage(jd, doc))).where("jd_id = 1").collect()}
+    advice = {r.doc_id: r.advice for r in gap.recommendations(jd, doc).where("jd_id = 1").collect()}
     assert advice[1][0].startswith("Good")
     assert advice[2][0].startswith("Critical")
 
