@@ -9,6 +9,18 @@ the shared folder and read back, so a lost executor never repeats a whole stage.
 3. secrets: each secret in a text is replaced by ``[SECRET]``; ``n_chars`` follows.
 4. mixing: the rows that the mix takes, each at most once (one epoch).
 5. tokens: SentencePiece ids of each document, with parity and round trip.
+
+Defined cases, all stages: a null text is read as empty and stays null; a null
+``doc_id``, ``lang`` or ``source`` is a value like any other; texts of any length
+are read whole; an empty table gives an empty table; further columns pass
+untouched, whatever their names. Ties and repeated rows:
+
+1. each row is judged alone, so equal texts of equal size share one fate;
+2. of rows that are copies, one stays (least doc_id, a null one last); of rows
+   that repeat its doc_id and text, one;
+3. rows are redacted alone; repeated rows count as often in the thresholds;
+4. rows of one doc_id and leaf are ordered by the seed and then by text;
+5. each row is encoded; columns with the names of the new ones are replaced.
 """
 
 from __future__ import annotations
