@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, mixing
+from . import kdtree, mixing, near_dup
 from .kdtree import op10_kdtree_topk
 from .mixing import op6_source_mixing
 from .near_dup import op7_near_duplicates
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.ORACLE, "op10_kdtree_topk": kdtree.ORACLE}
+    return {"op6_source_mixing": mixing.ORACLE, "op7_near_duplicates": near_dup.ORACLE, "op10_kdtree_topk": kdtree.ORACLE}

@@ -387,3 +387,18 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+#: All pairs by exact multiset overlap, then the transitive closure of links: what the operator finds without looking at all pairs.
+ORACLE = r"""WITH RECURSIVE w AS (SELECT doc_id, CASE WHEN len(a) > 0 THEN a ELSE list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') END AS ws
+    FROM (SELECT doc_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS a FROM documents)),
+  s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END AS x FROM w),
+  g AS (SELECT doc_id, sh, count(*) AS n FROM (SELECT doc_id, unnest(x) AS sh FROM s) GROUP BY ALL),
+  z AS (SELECT doc_id, sum(n) AS t FROM g GROUP BY doc_id),
+  p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS m FROM g a JOIN g b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+  e AS (SELECT x, y FROM p JOIN z zx ON zx.doc_id = x JOIN z zy ON zy.doc_id = y WHERE CAST(m AS DOUBLE) / CAST(zx.t + zy.t - m AS DOUBLE) >= 0.8
+    UNION ALL SELECT min(doc_id) OVER (), doc_id FROM s WHERE len(x) = 0),
+  l AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+  r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+  c AS (SELECT doc_id, least(doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = doc_id), doc_id)) AS class_id FROM documents)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM c"""
