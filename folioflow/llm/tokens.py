@@ -14,11 +14,13 @@ exactly these two), so every transition is deterministic and carries the change
 of the token count. States are compiled on demand, numbered and kept; a unit
 seen before is one lookup of its composed transitions.
 
-*Chunks.* A chunk of text maps a state to a state and a count. Since a unit
-border resets the automaton, the map of a chunk is (head before its first
-border, tokens of the whole units, tail after its last border); maps compose
-associatively, and :func:`scan_maps` does the prefix scan over the chunks of
-long texts, so that no chunk border changes a count.
+*Chunks.* A chunk of text maps the state before it to the state after it and a
+count. Behind the chunk's first unit border neither depends on the state before:
+the map is (head before that border, tokens from there on, state at the end). The
+head is the part that still waits for a state; without a border the whole chunk
+is head. Maps compose associatively by running a waiting head from the state
+that the map before ends in, no text is read twice, and :meth:`CountTransducer.scan_maps` does the
+prefix scan over the chunks of long texts, so that no chunk border changes a count.
 
 Defined cases: a null text counts as empty, an empty text has no tokens, very
 long texts are read in chunks of ``CHUNK`` characters, repeated rows are
@@ -44,6 +46,8 @@ LIMIT = 4096
 #: Units and states that one worker keeps; beyond it compiles them anew (memory only, never results).
 CACHE_UNITS = 800_000
 CACHE_STATES = 300_000
+#: The state at a unit border.
+START = (("", "", 0),)
 UNIT = re.compile(rf"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 
 
@@ -125,7 +129,7 @@ class CountTransducer:
 
     def _reset(self) -> None:
         # a state: tuple of (text since the position, piece ending at the position, tokens emitted there - tokens now)
-        self.states: list[tuple] = [(("", "", 0),)]
+        self.states: list[tuple] = [START]
         self.numbers = {self.states[0]: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
 
@@ -164,20 +168,29 @@ class CountTransducer:
                 grown.append((t, piece, count))
         last, change = found
         nxt = tuple((t, p, k - change) for t, p, k in grown) + (("", last, 0),)
-        number = self.numbers.get(nxt)
-        if number is None:
-            number = self.numbers[nxt] = len(self.states)
-            self.states.append(nxt)
-            self.moves.append({})
+        number = self.number(nxt)
         self.moves[state][c] = number, change
         return number, change
 
+    def number(self, state: tuple) -> int:
+        """The number of a state, which holds until the compiled states are dropped."""
+        n = self.numbers.get(state)
+        if n is None:
+            n = self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+        return n
+
     def run(self, text: str, state: int = 0) -> tuple[int, int]:
         """(state, tokens) after ``text``."""
         total, moves = 0, self.moves
         for c in text:
             move = moves[state].get(c)
             if move is None:
+                if len(self.states) > CACHE_STATES:  # one unit can be longer than the cache holds states
+                    here = self.states[state]
+                    self._reset()
+                    state, moves = self.number(here), self.moves
                 move = self._compile(state, c)
             state = move[0]
             total += move[1]
@@ -195,8 +208,8 @@ class CountTransducer:
                 self.units[text] = n
         return n
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """(head, tokens of the whole units, tail) of a chunk of marked text; tail None: no unit border inside."""
+    def chunk_map(self, chunk: str) -> tuple[str, int, tuple | None]:
+        """(head, tokens behind it, state at the end) of a chunk of marked text; no state: all of it is head."""
         cuts = [i for i in (chunk.find(MARK), chunk.find("\n")) if i >= 0]
         if not cuts:
             return chunk, 0, None
@@ -206,7 +219,12 @@ class CountTransducer:
             last -= 1
         last = max(last, chunk.rfind("\n"))
         total = self.body(chunk[first:last])
-        return chunk[:first], total, chunk[last:]
+        # behind a line break the next character begins a unit
+        tail = chunk[last:]
+        if tail[0] == "\n":
+            total, tail = total + self.unit("\n"), tail[1:]
+        state, n = self.run(tail)
+        return chunk[:first], total + n, self.states[state]
 
     def body(self, text: str) -> int:
         """Tokens of marked text that ends at a unit border."""
@@ -234,13 +252,12 @@ class CountTransducer:
         """The map of chunk ``a`` followed by chunk ``b``; associative."""
         if a[2] is None:
             return a[0] + b[0], b[1], b[2]
-        if b[2] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.body(a[2] + b[0]) + b[1], b[2]
+        state, n = self.run(b[0], self.number(a[2]))
+        return a[0], a[1] + n + b[1], self.states[state] if b[2] is None else b[2]
 
     def scan_maps(self, text: str) -> int:
-        """Tokens of a whole marked text: chunk maps, then the prefix scan."""
-        maps, i = [], 0
+        """Tokens of a whole marked text: chunk maps, then the prefix scan from the start state."""
+        maps, i = [("", 0, START)], 0
         while i < len(text):
             j = min(len(text), i + CHUNK)
             while j < len(text) and text[j] == MARK:  # a run of marks stays in one chunk
@@ -249,8 +266,7 @@ class CountTransducer:
             i = j
         while len(maps) > 1:
             maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        head, total, tail = maps[0]
-        return total + self.body(head) + self.body(tail or "")
+        return maps[0][1]
 
     def count(self, text: str) -> int:
         """Tokens of a raw text."""

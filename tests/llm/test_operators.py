@@ -446,6 +446,23 @@ def test_chunk_maps_compose_associatively():
     assert fst.compose(fst.compose(a, b), c) == fst.compose(a, fst.compose(b, c))
 
 
+def test_maps_of_any_cut_give_the_whole_count(monkeypatch):
+    path = tokens.model_path()
+    fst, rng = tokens.CountTransducer({p: s for p, s, kind in tokens.load_model(path)["pieces"] if kind == tokens.NORMAL}), random.Random(6)
+    for t in nasty_texts(200):
+        marked = "▁" + t.replace(" ", "▁") if t else ""
+        cuts = sorted({0, len(marked), *(i for i in (rng.randrange(len(marked) + 1) for _ in range(5)) if not (0 < i < len(marked) and marked[i] == "▁"))})
+        maps = [("", 0, tokens.START)] + [fst.chunk_map(marked[a:b]) for a, b in zip(cuts, cuts[1:])]
+        while len(maps) > 1:  # in any order
+            k = rng.randrange(len(maps) - 1)
+            maps[k : k + 2] = [fst.compose(*maps[k : k + 2])]
+        assert maps[0][1] == fst.count(t)
+    # one unit that needs more states than are kept
+    long = "".join(rng.choices(secrets.B62_ALPHABET, k=20_000))
+    monkeypatch.setattr(tokens, "CACHE_STATES", 500)
+    assert fst.count(long) == len(spm.oracle(path).encode(long)) and len(fst.states) <= 502
+
+
 def test_count_rows(spark):
     rows = {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.token_counts(frame(spark, [(1, "é a"), (2, None), (3, "")]), limit=1).collect()}
     assert rows == {(1, 4, 2, True), (2, 0, 0, False), (3, 0, 0, False)}
