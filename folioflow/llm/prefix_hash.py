@@ -17,12 +17,13 @@ fingerprints; different texts of equal length and hash have probability
 below n / 2**61. A fingerprint alone can't see a span that another text holds
 at an offset off the grid.
 
-``near_edited`` and ``near_next`` are therefore made from the whole texts
-(``alike``): behind the common prefix, the hash of every span of ``SPAN``
-characters of one text (a quarter of the shorter text, where that is less) is
+``near_edited`` and ``near_next`` are therefore made from the whole prefix
+arrays (``alike``): the common prefix is the longest common extension of both
+starts; behind it, the hash of every span of ``SPAN`` characters of one text (a
+quarter of the shorter text, where that is less), two entries of its array, is
 looked up among those of the other, at any offset; a span that occurs more
-often in one text counts as often as in the other, first ones first. The value
-is the length that such spans and the common prefix cover, the lesser of both
+often in one text counts as often as in the other, first ones first. The edited
+text's array continues that of its text by that of the next. The value is the length that such spans and the common prefix cover, the lesser of both
 texts, over the longer length. Common spans shorter than that are not counted,
 and the order of long spans does not matter.
 
@@ -52,18 +53,18 @@ BASE = 1_000_003_579
 POINTS = 64
 #: Characters of the spans that two whole texts are compared by.
 SPAN = 32
-#: Characters summed before a reduction: 2**21 * 2**31 * LANE stays below 2**64.
-LANE = 2048
+#: Characters whose prefixes are made together; the tables of powers are as long.
+BLOCK = 1 << 16
 
 
 def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def _mulmod(a: np.ndarray, b: int) -> np.ndarray:
-    """a * b modulo 2**61 - 1 for a < 2**61, in 64-bit arithmetic."""
-    a = a.astype(np.uint64)
-    bh, bl = np.uint64(b >> 31), np.uint64(b & 0x7FFFFFFF)
+def _mulmod(a: np.ndarray, b: int | np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1 for a, b < 2**61, in 64-bit arithmetic."""
+    a, b = a.astype(np.uint64, copy=False), np.asarray(b, np.uint64)
+    bh, bl = b >> np.uint64(31), b & np.uint64(0x7FFFFFFF)
     ah, al = a >> np.uint64(31), a & np.uint64(0x7FFFFFFF)
     mid = al * bh + ah * bl
     midh, midl = mid >> np.uint64(30), mid & np.uint64(0x3FFFFFFF)
@@ -74,39 +75,53 @@ def _mulmod(a: np.ndarray, b: int) -> np.ndarray:
 def _mod(x: np.ndarray) -> np.ndarray:
     p = np.uint64(PRIME)
     x = (x & p) + (x >> np.uint64(61))
-    return np.where(x >= p, x - p, x)
+    return np.minimum(x, x - p)  # below p the difference wraps to a greater value
+
+
+@lru_cache(maxsize=1)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to ``BLOCK`` of the base and of its inverse."""
+
+    def table(b: int) -> np.ndarray:
+        out = np.ones(1, np.uint64)
+        while len(out) <= BLOCK:
+            out = np.concatenate([out, _mulmod(out, pow(b, len(out), PRIME))])
+        return out[: BLOCK + 1]
+
+    return table(BASE), table(pow(BASE, -1, PRIME))
 
 
 def prefix_hashes(text: str | np.ndarray) -> np.ndarray:
     """H[0..n], H[0] = 0: the modular polynomial hash of every prefix, in O(n).
 
-    Rows of about sqrt(n) characters run side by side; the rows' own totals are
-    then carried into the rows behind them.
+    H[i] is B**(i-1) times the sum of code[j] * B**-j. The terms lie below
+    2**61; their high and low bits are summed apart, which can't overflow, so
+    no character waits for the one before it. Blocks carry their total on.
     """
     c = codes(text) if isinstance(text, str) else text
-    n = len(c)
-    if n == 0:
-        return np.zeros(1, np.uint64)
-    width = max(1, int(n**0.5))
-    rows = -(-n // width)
-    grid = np.zeros(rows * width, np.uint64)
-    grid[:n] = c.astype(np.uint64) + np.uint64(1)
-    grid = grid.reshape(rows, width)
-    h = np.zeros((rows, width), np.uint64)
-    last = np.zeros(rows, np.uint64)
-    for j in range(width):
-        last = _mod(_mulmod(last, BASE) + grid[:, j])
-        h[:, j] = last
-    powers = [1]
-    for _ in range(width):
-        powers.append(powers[-1] * BASE % PRIME)
-    carry, carries = 0, np.zeros(rows, np.uint64)
-    for r in range(rows):
-        carries[r] = carry
-        carry = (carry * powers[width] + int(last[r])) % PRIME
-    for j in range(width):
-        h[:, j] = _mod(h[:, j] + _mulmod(carries, powers[j + 1]))
-    return np.concatenate([np.zeros(1, np.uint64), h.reshape(-1)[:n]])
+    up, down = _tables()
+    out = np.zeros(len(c) + 1, np.uint64)
+    for s in range(0, len(c), BLOCK):
+        part = c[s : s + BLOCK].astype(np.uint64) + np.uint64(1)
+        k = len(part)
+        terms = _mulmod(part, down[:k])
+        high = _mod(np.cumsum(terms >> np.uint64(32)))
+        low = np.cumsum(terms & np.uint64(0xFFFFFFFF))
+        # high * 2**32 modulo 2**61 - 1 is a rotation of 61 bits
+        total = _mod(((high << np.uint64(32)) & np.uint64(PRIME)) + (high >> np.uint64(29)) + low)
+        out[s + 1 : s + k + 1] = _mulmod(total, up[:k])
+        if s:
+            out[s + 1 : s + k + 1] = _mod(out[s + 1 : s + k + 1] + _mulmod(up[1 : k + 1], int(out[s])))
+    return out
+
+
+def appended(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Prefix array of two texts in a row, from theirs."""
+    up, last, out = _tables()[0], int(h[-1]), [h]
+    for s in range(1, len(g), BLOCK):
+        part = g[s : s + BLOCK]
+        out.append(_mod(part + _mulmod(up[1 : len(part) + 1], last * power(s - 1) % PRIME)))
+    return np.concatenate(out)
 
 
 def span_hash(h: np.ndarray, s: int, e: int) -> int:
@@ -137,44 +152,12 @@ def power(k: int) -> int:
     return pow(BASE, k, PRIME)
 
 
-@lru_cache(maxsize=1)
-def _lane_powers() -> tuple[np.ndarray, np.ndarray]:
-    p = np.array([power(LANE - 1 - j) for j in range(LANE)], np.uint64)
-    return p >> np.uint64(31), p & np.uint64(0x7FFFFFFF)
-
-
-def sampled_prefixes(text: str, stride: int) -> list[int]:
-    """The entries of the prefix array at the multiples of ``stride`` below the length, and at the length.
-
-    The same values as ``prefix_hashes`` has there, from the hashes of the
-    blocks between: one weighted sum per block instead of one step per character.
-    """
-    c = codes(text).astype(np.uint64) + np.uint64(1)
-    n = len(c)
-    if n == 0:
-        return []
-    lane = min(stride, LANE)
-    hi, lo = (x[LANE - lane :] for x in _lane_powers())
-    full = n // lane
-    grid = c[: full * lane].reshape(full, lane)
-    sums = list(zip((grid * hi).sum(axis=1).tolist(), (grid * lo).sum(axis=1).tolist(), strict=True))
-    out, h, step = [], 0, power(lane)
-    for k, (x, y) in enumerate(sums, 1):
-        h = (h * step + (x << 31) + y) % PRIME
-        if k * lane % stride == 0 and k * lane < n:
-            out.append(h)
-    rest = c[full * lane :]
-    if len(rest):
-        hi, lo = (x[LANE - len(rest) :] for x in _lane_powers())
-        h = (h * power(len(rest)) + (int((rest * hi).sum()) << 31) + int((rest * lo).sum())) % PRIME
-    return [*out, h]
-
-
-def fingerprint(text: str) -> str:
-    """``length:stride:`` and the sampled prefix hashes in hex."""
-    n = len(text)
+def fingerprint(h: np.ndarray) -> str:
+    """``length:stride:`` and the sampled prefix hashes in hex, from a text's prefix array."""
+    n = len(h) - 1
     stride = stride_of(n)
-    return f"{n}:{stride}:" + ".".join(format(x, "x") for x in sampled_prefixes(text, stride))
+    points = [*h[stride:n:stride].tolist(), *h[n:].tolist()] if n else []
+    return f"{n}:{stride}:" + ".".join(format(x, "x") for x in points)
 
 
 def parse(print_: str) -> tuple[int, int, list[int]]:
@@ -211,38 +194,28 @@ def likeness(a: str, b: str) -> float:
     return (px[lo] + sum(k[0] * c for k, c in shared.items())) / max(n, m)
 
 
-def window_hashes(c: np.ndarray, width: int) -> np.ndarray:
-    """``span_hash`` of every span of ``width`` characters, by doubling: span hashes of two neighbours make that of both."""
-    n = len(c)
-    if n < width:
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """``span_hash`` of every span of ``width`` characters of a prefix array."""
+    if len(h) <= width:
         return np.zeros(0, np.uint64)
-
-    def joined(x: np.ndarray, p: int, y: np.ndarray, q: int) -> np.ndarray:
-        k = n - p - q + 1
-        return _mod(_mulmod(x[:k], power(q)) + y[p : p + k])
-
-    part, size = c.astype(np.uint64) + np.uint64(1), 1
-    out, done = None, 0
-    while True:
-        if width & size:
-            out, done = (part, size) if out is None else (joined(out, done, part, size), done + size)
-        if 2 * size > width:
-            return out
-        part, size = joined(part, size, part, size), 2 * size
+    return _mod(h[width:] + np.uint64(PRIME) - _mulmod(h[:-width], power(width)))
 
 
 class Spans:
-    """Characters of a text, and the hashes of all its spans of one width once asked for."""
+    """A text's prefix array, and the hashes of all its spans of one width once asked for."""
 
-    def __init__(self, text: str):
-        self.codes, self._width, self._hashes = codes(text), 0, None
+    def __init__(self, prefixes: np.ndarray):
+        self.prefixes, self._width, self._hashes = prefixes, 0, None
+
+    def __len__(self) -> int:
+        return len(self.prefixes) - 1
 
     def hashes(self, width: int, start: int) -> np.ndarray:
         """Hashes of the spans from ``start`` on."""
         if width != self._width:
             if start:
-                return window_hashes(self.codes[start:], width)
-            self._width, self._hashes = width, window_hashes(self.codes, width)
+                return window_hashes(self.prefixes[start:], width)
+            self._width, self._hashes = width, window_hashes(self.prefixes, width)
         return self._hashes[start:]
 
 
@@ -272,11 +245,10 @@ def _matches(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def alike(a: Spans, b: Spans) -> float:
     """Shared length over the longer length, 0 to 1, from two whole texts, whatever the offsets of the shared spans."""
-    n, m = len(a.codes), len(b.codes)
+    n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
-    differs = np.flatnonzero(a.codes[: min(n, m)] != b.codes[: min(n, m)])
-    prefix = int(differs[0]) if len(differs) else min(n, m)
+    prefix = longest_common_extension(a.prefixes, 0, b.prefixes, 0)
     if prefix == n == m:
         return 1.0
     width = min(SPAN, max(1, min(n, m) // 4))
@@ -295,13 +267,22 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
+def edited_prefixes(h: np.ndarray, following: np.ndarray) -> np.ndarray:
+    """Prefix array of the edited text, from those of the text and the next one."""
+    cut = (len(h) - 1) // 4
+    return appended(h[: len(h) - cut], following[: cut + 1])
+
+
 def _row(text: str, following: str, own: tuple[str, Spans] | None = None) -> tuple[str, str, str, float, float, tuple[str, Spans]]:
-    fp, spans = own or (fingerprint(text), Spans(text))
-    new = edited(text, following)
-    nxt = fingerprint(following), Spans(following)
+    def printed(h: np.ndarray) -> tuple[str, Spans]:
+        return fingerprint(h), Spans(h)
+
+    fp, spans = own or printed(prefix_hashes(text))
+    nxt = printed(prefix_hashes(following))
+    efp, new = printed(edited_prefixes(spans.prefixes, nxt[1].prefixes))
     # the next text first: that call keeps the hashes which the shorter comparison then takes a part of
     near_next = alike(spans, nxt[1])
-    return fp, hashlib.sha256(new.encode()).hexdigest(), fingerprint(new), alike(spans, Spans(new)), near_next, nxt
+    return fp, hashlib.sha256(edited(text, following).encode()).hexdigest(), efp, alike(spans, new), near_next, nxt
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

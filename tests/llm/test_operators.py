@@ -605,12 +605,19 @@ def test_one_of_each(spark):
 # 8 ---------------------------------------------------------------------------
 
 
-def test_sampled_prefixes_are_the_prefix_array():
+def test_prefix_arrays_are_the_polynomial():
     rng = random.Random(3)
-    for _ in range(60):
-        t = "".join(rng.choice("abé🙂") for _ in range(rng.choice([0, 1, 63, 64, 65, 300, 5000])))
-        step, h = rng.choice([1, 2, 64, 4096]), prefix_hash.prefix_hashes(t)
-        assert prefix_hash.sampled_prefixes(t, step) == [int(h[p]) for p in [*range(step, len(t), step), *([len(t)] if t else [])]]
+    for size in (0, 1, 63, 64, 65, 300, 5000, 70_000):
+        t, u = ("".join(rng.choice("abé🙂\U0010ffff") for _ in range(n)) for n in (size, size // 3))
+        want, h = [0], prefix_hash.prefix_hashes(t)
+        for c in t:
+            want.append((want[-1] * prefix_hash.BASE + ord(c) + 1) % prefix_hash.PRIME)
+        assert h.tolist() == want
+        g = prefix_hash.prefix_hashes(u)
+        assert prefix_hash.appended(h, g).tolist() == prefix_hash.prefix_hashes(t + u).tolist()
+        assert prefix_hash.edited_prefixes(h, g).tolist() == prefix_hash.prefix_hashes(prefix_hash.edited(t, u)).tolist()
+        n, step, points = prefix_hash.parse(prefix_hash.fingerprint(h))
+        assert n == len(t) and points == [want[p] for p in [*range(step, len(t), step), *([len(t)] if t else [])]]
     a, b = prefix_hash.prefix_hashes("xxhello world"), prefix_hash.prefix_hashes("hello worlds")
     assert prefix_hash.longest_common_extension(a, 2, b, 0) == 11
 
@@ -619,7 +626,7 @@ def test_whole_texts_are_compared_at_any_offset(spark):
     rng = random.Random(8)
     text = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
     t, p = text(100_000), text(2000)
-    near = lambda a, b: prefix_hash.alike(prefix_hash.Spans(a), prefix_hash.Spans(b))
+    near = lambda *x: prefix_hash.alike(*(prefix_hash.Spans(prefix_hash.prefix_hashes(t)) for t in x))
     for other in ("x" + t, t[:50_000] + "x" + t[50_000:], t[:-1], t[1:]):
         assert near(t, other) > 0.999 and near(other, t) > 0.999
     assert near(p + text(98_000), text(50_001) + p + text(47_999)) == pytest.approx(0.02, abs=1e-3)
@@ -629,13 +636,13 @@ def test_whole_texts_are_compared_at_any_offset(spark):
     assert near(t, text(100_000)) == 0
     h = prefix_hash.prefix_hashes(p)
     for width in (1, 5, 32):
-        assert prefix_hash.window_hashes(prefix_hash.codes(p), width).tolist() == [prefix_hash.span_hash(h, i, i + width) for i in range(len(p) - width + 1)]
+        assert prefix_hash.window_hashes(h, width).tolist() == [prefix_hash.span_hash(h, i, i + width) for i in range(len(p) - width + 1)]
     got = {r.doc_id: r.near_next for r in prefix_hash.with_neighbours(frame(spark, [(1, t), (2, "x" + t), (3, "")]), 1).collect()}
     assert got[1] > 0.999 and got[2] == got[3] == 0
 
 
 def test_likeness():
-    fp = prefix_hash.fingerprint
+    fp = lambda t: prefix_hash.fingerprint(prefix_hash.prefix_hashes(t))
     t = sample_texts(3, 2)[0] * 5
     assert prefix_hash.likeness(fp(t), fp(t)) == 1
     assert 0.7 < prefix_hash.likeness(fp(t), fp(prefix_hash.edited(t, "§" * len(t)))) < 0.8
