@@ -13,13 +13,17 @@ size on disk; only suffixes that decide something are sorted here.
    (pre-aggregated in each document, then map-side). All windows of a context
    that occurs twice are repeated; one occurrence goes on as representative.
 3. *Induction.* Among representatives with the same anchor string, the suffixes
-   from the anchor on are sorted with their common-prefix values. From the order
-   of the suffixes ``r`` bytes left of the anchors, the order ``r + 1`` bytes left
-   is induced: the tuples (byte in front, rank, common prefix) pass through a
-   priority queue that spills sorted runs to disk, and the new common-prefix
-   value is one more than the least one between. A window is repeated exactly if
-   a neighbour's common prefix reaches ``LENGTH``. Tuples that cannot reach it
-   any more leave the queue.
+   from the anchor on are sorted with their common-prefix values: runs in memory,
+   merged from a mapped file that holds the contexts. From the order of the
+   suffixes ``r`` bytes left of the anchors, the order ``r + 1`` bytes left is
+   induced: the tuples (byte in front, suffix, common prefix) stream block by
+   block from one priority queue into the next, each of which spills sorted runs
+   to disk; the new common-prefix value is one more than the least one since the
+   last tuple with the same byte in front. A window is repeated exactly if a
+   neighbour's common prefix reaches ``LENGTH``. Tuples that cannot reach it any
+   more leave the queue. A task holds ``QUEUE`` tuples of a queue and a few
+   numbers for each context in memory, the rest in Spark's own local folders: a
+   lost executor repeats the task.
 4. *Hot anchors.* Anchor strings with more than ``HOT`` different contexts are not
    gathered in one task: their windows are hashed (128 bits) and counted.
 
@@ -33,6 +37,7 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
 import tempfile
 from collections.abc import Iterator
@@ -48,10 +53,10 @@ LENGTH = 400
 GRAM = 32
 #: Contexts of one anchor string that one task sorts; beyond it, the windows are counted by hash.
 HOT = 50_000
-#: Contexts that a task sorts together.
-BATCH = 16_384
+#: Bytes of contexts after which a task sorts what it has, at the next anchor string.
+SHARD = 1 << 26
 #: Tuples that the priority queue holds before it writes a sorted run.
-QUEUE = 1 << 17
+QUEUE = 1 << 14
 POSITION_BITS = 25
 SEGMENT = 1 << 24
 
@@ -147,15 +152,23 @@ def document_contexts(text: bytes, length: int = LENGTH) -> tuple[list[tuple], l
     return [tuple(x) for x in found.values()], merge_runs(again)
 
 
+def spill_folder() -> str | None:
+    """Where a task spills: the folder that Spark itself spills to and clears (None outside of a task: the system's)."""
+    return os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None
+
+
 class SpillQueue:
     """Priority queue of (key, payload columns) with sorted runs on disk beyond ``limit`` tuples.
 
-    All pushes come before the pops of a level. Runs lie in a temporary folder
-    of the task and go with it: a lost executor repeats the task.
+    All pushes come before the pops of a level. Runs lie in a folder of the
+    task and go with it: a lost executor repeats the task.
     """
 
-    def __init__(self, limit: int = QUEUE, folder: str | None = None):
-        self.limit, self.parts, self.held, self.files, self.folder = limit, [], 0, [], folder
+    def __init__(self, limit: int = QUEUE):
+        self.limit, self.parts, self.held, self.files, self.folder = limit, [], 0, [], None
+
+    def __bool__(self) -> bool:
+        return bool(self.parts or self.files)
 
     def push(self, rows: np.ndarray) -> None:
         """``rows``: int64 matrix whose first column is the key; equal keys keep the order of their pushes."""
@@ -169,7 +182,7 @@ class SpillQueue:
         return rows[np.argsort(rows[:, 0], kind="stable")]
 
     def _spill(self) -> None:
-        self.folder = self.folder or tempfile.mkdtemp(prefix="induce-")
+        self.folder = self.folder or tempfile.mkdtemp(prefix="induce-", dir=spill_folder())
         path = os.path.join(self.folder, f"run{len(self.files)}")
         rows = self._sorted()
         rows.tofile(path)
@@ -215,72 +228,124 @@ class SpillQueue:
         os.rmdir(self.folder)
 
 
-def _right_order(contexts: list[bytes], offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes that start at the anchors, and each one's common prefix with the one before it."""
-    keys = [c[o:] for c, o in zip(contexts, offsets.tolist(), strict=True)]
-    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
-    common = np.zeros(len(keys), np.int64)
-    for k in range(1, len(order)):
-        a, b = keys[order[k - 1]], keys[order[k]]
-        n = min(len(a), len(b))
-        if a[:n] == b[:n]:
-            common[k] = n
-            continue
-        x = np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)
-        common[k] = int(x.argmax())
-    return order, common
+class Shard:
+    """Contexts that are sorted together: their bytes in a mapped file of the task, three numbers each in memory."""
+
+    def __init__(self):
+        self._file = tempfile.TemporaryFile(prefix="contexts-", dir=spill_folder())
+        self.size, self._starts, self._offsets, self._lasts = 0, [], [], []
+
+    def __len__(self) -> int:
+        return len(self._starts)
+
+    def add(self, context: bytes, offset: int, last: int) -> None:
+        """``offset``: the anchor's position in the context, which is also the most bytes to go left; ``last``: the last window."""
+        self._file.write(context)
+        self._starts.append(self.size)
+        self._offsets.append(offset)
+        self._lasts.append(last)
+        self.size += len(context)
+
+    def seal(self) -> None:
+        self._file.flush()
+        self.data = np.memmap(self._file, np.uint8, "r") if self.size else np.zeros(0, np.uint8)
+        self.offsets, self.lasts = np.array(self._offsets, np.int64), np.array(self._lasts, np.int64)
+        self.starts, self.ends = np.array(self._starts, np.int64), np.array([*self._starts[1:], self.size], np.int64)
+        self.anchors = self.starts + self.offsets
+
+    def from_anchor(self, k: int) -> bytes:
+        return self.data[self.anchors[k] : self.ends[k]].tobytes()
+
+
+Blocks = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def _right_order(shard: Shard, limit: int) -> Blocks:
+    """Suffixes that start at the anchors, in order, and each one's common prefix with the one before it."""
+    runs = [sorted(range(s, min(s + limit, len(shard))), key=shard.from_anchor) for s in range(0, len(shard), limit)]
+    item, common, before = [], [], b""
+    for k in heapq.merge(*runs, key=shard.from_anchor) if len(runs) > 1 else runs[0]:
+        key = shard.from_anchor(k)
+        n = min(len(before), len(key))
+        if before[:n] != key[:n]:
+            n = int((np.frombuffer(before, np.uint8, n) != np.frombuffer(key, np.uint8, n)).argmax())
+        item.append(k)
+        common.append(n)
+        before = key
+        if len(item) >= limit:
+            yield np.array(item, np.int64), np.array(common, np.int64)
+            item, common = [], []
+    if item:
+        yield np.array(item, np.int64), np.array(common, np.int64)
+
+
+def _with_next(blocks: Blocks) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each block with the common prefix of every tuple and the next one, also across blocks."""
+    held = None
+    for item, common in blocks:
+        if held:
+            yield *held, np.append(held[1][1:], common[0])
+        held = item, common
+    if held:
+        yield *held, np.append(held[1][1:], 0)
+
+
+_NO_BOUND = np.iinfo(np.int64).max
 
 
-def induce(contexts: list[bytes], offsets: np.ndarray, lasts: np.ndarray, length: int = LENGTH, limit: int = QUEUE) -> list[list[tuple[int, int]]]:
-    """For each context the runs of its windows (relative, half-open) that occur in another context as well.
+def _induced_common(common: np.ndarray, kept: np.ndarray, front: np.ndarray, carry: np.ndarray) -> np.ndarray:
+    """Common prefix of each kept tuple, its byte in front included, with the last one that has the same byte in front.
 
-    ``offsets``: the anchor's position in the context, which is also the most
-    bytes to go left; ``lasts``: the last window.
+    ``carry``: for each byte the least common prefix since its last tuple in the
+    blocks before (-1: none yet); brought up to the end of this block.
     """
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    if len(contexts) < 2:
+    order = np.argsort(front, kind="stable")
+    at, byte = kept[order], front[order]
+    first = np.concatenate([[True], byte[1:] != byte[:-1]])
+    ahead = np.minimum.accumulate(common)
+    behind = np.append(np.minimum.accumulate(common[::-1])[::-1], _NO_BOUND)
+    least = np.minimum(carry[byte], ahead[at])
+    k = np.flatnonzero(~first)
+    if len(k):
+        between = np.stack([at[k - 1] + 1, at[k] + 1], 1).reshape(-1)
+        least[k] = np.minimum.reduceat(np.append(common, _NO_BOUND), between)[::2]
+    np.minimum(carry, ahead[-1], out=carry)
+    last = np.append(first[1:], True)
+    carry[byte[last]] = behind[at[last] + 1]
+    out = np.empty_like(least)
+    out[order] = least + 1
+    return out
+
+
+def induce(shard: Shard, length: int = LENGTH, limit: int = QUEUE) -> list[list[tuple[int, int]]]:
+    """For each context of a shard the runs of its windows (relative, half-open) that occur in another context as well."""
+    out: list[list[tuple[int, int]]] = [[] for _ in range(len(shard))]
+    if len(shard) < 2:
         return out
-    item, common = _right_order(contexts, offsets)
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    starts = np.concatenate([[0], np.cumsum([len(c) for c in contexts])[:-1]]).astype(np.int64) + offsets
-    r = 0
-    while len(item) > 1:
-        after = np.concatenate([common[1:], [0]])
-        best = np.maximum(common, after)
-        hit = item[(best >= length) & (offsets[item] - r <= lasts[item])]
-        for k in hit.tolist():
-            w = int(offsets[k]) - r
-            if out[k] and out[k][-1][0] == w + 1:
-                out[k][-1] = (w, out[k][-1][1])
-            else:
-                out[k].append((w, w + 1))
-        # a tuple goes on if it can go left and its best neighbour can still give a whole window
-        alive = (offsets[item] > r) & (best - r + offsets[item] >= length)
-        if not alive.any():
-            break
-        keep = np.flatnonzero(alive)
-        # common prefix of neighbours that are left: the least one since the last that stays
-        common = np.minimum.reduceat(common[: keep[-1] + 1], np.concatenate([[0], keep[:-1] + 1]))
-        common[0] = 0
-        item = item[keep]
+    shard.seal()
+    offsets, blocks, r = shard.offsets, _right_order(shard, limit), 0
+    while True:
+        queue, carry = SpillQueue(limit), np.full(256, -1, np.int64)
+        for item, common, after in _with_next(blocks):
+            best = np.maximum(common, after)
+            hit = item[(best >= length) & (offsets[item] - r <= shard.lasts[item])]
+            for k, w in zip(hit.tolist(), (offsets[hit] - r).tolist(), strict=True):
+                if out[k] and out[k][-1][0] == w + 1:
+                    out[k][-1] = (w, out[k][-1][1])
+                else:
+                    out[k].append((w, w + 1))
+            # a tuple goes on if it can go left and its best neighbour can still give a whole window
+            kept = np.flatnonzero((offsets[item] > r) & (best - r + offsets[item] >= length))
+            if not len(kept):
+                np.minimum(carry, common.min(), out=carry)
+                continue
+            on = item[kept]
+            front = shard.data[shard.anchors[on] - r - 1].astype(np.int64)
+            queue.push(np.stack([front, on, _induced_common(common, kept, front, carry)], 1))
+        if not queue:
+            return out
+        blocks = ((rows[:, 1], rows[:, 2]) for rows in queue.pop_all())
         r += 1
-        front = data[starts[item] - r].astype(np.int64)
-        queue = SpillQueue(limit)
-        for s in range(0, len(item), limit):
-            rank = np.arange(s, min(s + limit, len(item)))
-            queue.push(np.stack([front[rank], rank, item[rank]], 1))
-        moved = list(queue.pop_all())
-        moved = np.concatenate(moved) if len(moved) > 1 else moved[0]
-        rank, same = moved[:, 1], np.zeros(len(moved), bool)
-        same[1:] = moved[1:, 0] == moved[:-1, 0]
-        fresh = np.zeros(len(moved), np.int64)
-        k = np.flatnonzero(same)
-        if len(k):
-            pairs = np.stack([rank[k - 1] + 1, rank[k] + 1], 1).reshape(-1)
-            padded = np.concatenate([common, [0]])
-            fresh[k] = 1 + np.minimum.reduceat(padded, pairs)[::2]
-        item, common = moved[:, 2], fresh
-    return out
 
 
 CONTEXT = "doc_id long, thash long, gram long, c1 long, c2 long, lo int, hi int, off int, n int"
@@ -345,25 +410,26 @@ def _sorted_runs(cut: DataFrame, length: int) -> DataFrame:
     """Window runs found by induction; anchor strings lie together, each task goes through its own in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(group: list[tuple]) -> pa.RecordBatch:
-            rows = list(dict.fromkeys(group))  # rows of repeated documents come twice
-            found = induce([x[6] for x in rows], np.array([x[4] for x in rows], np.int64), np.array([x[3] - x[2] for x in rows], np.int64), length)
-            made = [(x[0], x[1], x[2] + s, x[2] + e - 1) for x, runs in zip(rows, found, strict=True) if not x[5] for s, e in runs]
+        def solve() -> pa.RecordBatch:
+            made = [(doc_id, thash, lo + s, lo + e - 1) for (doc_id, thash, lo, known), runs in zip(held, induce(shard, length), strict=True) if not known for s, e in runs]
             columns = zip(*made, strict=True) if made else [[], [], [], []]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], ["doc_id", "thash", "lo", "hi"])
 
-        held: list[tuple] = []
-        gram = None
+        held, shard, seen, gram = [], Shard(), set(), None
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-            for g, *x in zip(*cols, strict=True):
-                if g != gram and len(held) >= BATCH:
-                    yield solve(held)
-                    held = []
-                gram = g
-                held.append(tuple(x))
+            for g, doc_id, thash, lo, hi, off, known, context in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != gram:
+                    if shard.size >= SHARD:
+                        yield solve()
+                        held, shard = [], Shard()
+                    gram, seen = g, set()
+                if (doc_id, thash, lo, off) in seen:  # rows of repeated documents come twice
+                    continue
+                seen.add((doc_id, thash, lo, off))
+                held.append((doc_id, thash, lo, known))
+                shard.add(context, off, hi - lo)
         if held:
-            yield solve(held)
+            yield solve()
 
     rows = cut.where("not hot").select("gram", "doc_id", "thash", "lo", "hi", "off", "known", "context")
     return rows.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, RUNS)

@@ -266,18 +266,39 @@ def test_queue_keeps_push_order_where_runs_are_longer_than_a_block():
     assert (np.concatenate(list(q.pop_all())) == rows[np.argsort(rows[:, 0], kind="stable")]).all()
 
 
+def shard_of(contexts, at, last):
+    shard = suffix_dedup.Shard()
+    for x in zip(contexts, at, last, strict=True):
+        shard.add(*x)
+    return shard
+
+
 def test_induction_with_spilling_queue():
     rng = random.Random(2)
     core = bytes(rng.choice(b"xyz") for _ in range(120))
     contexts = [bytes(rng.choice(b"ab") for _ in range(40)) + core + bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(40)]
-    at, last = np.full(40, 80, np.int64), np.full(40, 110, np.int64)
-    got = suffix_dedup.induce(contexts, at, last, length=100)
-    assert got == suffix_dedup.induce(contexts, at, last, length=100, limit=7)
+    got = suffix_dedup.induce(shard_of(contexts, [80] * 40, [110] * 40), length=100)
+    for limit in (1, 7, 39):
+        assert got == suffix_dedup.induce(shard_of(contexts, [80] * 40, [110] * 40), length=100, limit=limit)
     seen = Counter(c[i : i + 100] for c in contexts for i in range(81))
     for c, runs in zip(contexts, got, strict=True):
         assert {i for s, e in runs for i in range(s, e)} == {i for i in range(81) if seen[c[i : i + 100]] > 1}
 
 
+def test_induction_spills_at_the_limits_of_production(monkeypatch):
+    """More contexts than the queue holds, with the lengths that op3 uses; spilled runs are counted."""
+    rng = random.Random(5)
+    core, n, spilled = bytes(rng.choice(b"xyz") for _ in range(396)), 3 * suffix_dedup.QUEUE, []
+    spill = suffix_dedup.SpillQueue._spill
+    monkeypatch.setattr(suffix_dedup.SpillQueue, "_spill", lambda q: (spilled.append(q.held), spill(q)))
+    contexts = [bytes(rng.choices(b"abcdefgh", k=6)) + core + bytes(rng.choices(b"abcdefgh", k=6)) for _ in range(n)]
+    got = suffix_dedup.induce(shard_of(contexts, [20] * n, [8] * n))
+    seen = Counter(c[i : i + 400] for c in contexts for i in range(9))
+    assert len(spilled) > 20
+    for c, runs in zip(contexts, got, strict=True):
+        assert {i for s, e in runs for i in range(s, e)} == {i for i in range(9) if seen[c[i : i + 400]] > 1}
+
+
 # 4 ---------------------------------------------------------------------------
 
 
