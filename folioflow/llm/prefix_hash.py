@@ -311,7 +311,7 @@ def with_neighbours(docs: DataFrame, partitions: int | None = None) -> DataFrame
     moved = F.broadcast(spark.createDataFrame(before, "part int, last_of int"))
     tails = heads.join(moved, "part").select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("last_of").alias("part"), F.lit(True).alias("tail"))
     both = rows.withColumn("tail", F.lit(False)).unionByName(tails)
-    both = both.repartition(n, "part").sortWithinPartitions("part", "tail", "doc_id", "text")
+    both = both.repartitionById(n, "part").sortWithinPartitions("part", "tail", "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = own = None
