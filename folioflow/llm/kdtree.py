@@ -18,7 +18,9 @@ Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part, neither do rows with a null id. Dimensions may differ:
 only vectors of a query's own dimension are its candidates. Of rows that repeat
 an id with the same vector all are kept as candidates but those with the
-query's own id. Ties go to the smaller id. An empty table gives an empty result.
+query's own id. Ties go to the smaller id. Components and scores of any size are exact
+as far as a long goes; beyond, they saturate at its bounds (and tie there). An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ SHARD = 16_384
 BLOCK = 8_192
 LEAF = 128
 RESULT = "query_id long, vec_id long, score long"
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -49,14 +52,22 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.select("vec_id", F.transform(x, lambda v: F.floor(v.cast("double") * scale)).alias("q"))
 
 
+def _long(scores: np.ndarray) -> np.ndarray:
+    """Scores of unbounded integers brought into the range of a long; others are within it."""
+    return np.clip(scores, LOWEST, HIGHEST) if scores.dtype == object else scores
+
+
+def _reach(x: np.ndarray) -> int:
+    return max(-int(x.min(initial=0)), int(x.max(initial=0)))
+
+
 class BoxTree:
     """KD-tree over integer vectors: ids sorted into leaves, a bounding box for each node."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
         order = np.argsort(ids, kind="stable")
         self.ids, self.points = ids[order], points[order]
-        self.exact = float(np.abs(points).max(initial=0)) ** 2 * points.shape[1] < 2**53
-        self.floats = None
+        self.reach = _reach(points) * points.shape[1]
         perm = np.arange(len(ids))
         self.nodes: list[tuple[int, int, int, int]] = []  # start, end, left, right
         low, high = [], []
@@ -74,28 +85,29 @@ class BoxTree:
                 a[2 + side] = number
                 self.nodes[parent] = tuple(a)
             if e - s > leaf:
-                axis = int(np.argmax(hi - lo))
+                axis = int(np.argmax(hi.astype(np.float64) - lo))
                 if hi[axis] > lo[axis]:
                     mid = (e - s) // 2
                     perm[s:e] = perm[s:e][np.argpartition(part[:, axis], mid)]
                     stack += [(s, s + mid, number, 0), (s + mid, e, number, 1)]
         self.ids, self.points = self.ids[perm], self.points[perm]
         self.low, self.high = np.array(low), np.array(high)
-        if self.exact:
-            self.floats = self.points.astype(np.float64)
-            self.boxes = self.low.astype(np.float64), self.high.astype(np.float64)
-        else:
-            self.boxes = self.low, self.high
-
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        """The most that any vector of each node can score."""
-        lo, hi = self.boxes
-        q = q.astype(lo.dtype)
-        return (np.where(q > 0, hi, lo) * q).sum(axis=1)
-
-    def search(self, q: np.ndarray, own: int, k: int, least: float) -> list[tuple[int, int]]:
+        self._cast: dict[type, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def _for(self, q: np.ndarray) -> tuple[type, np.ndarray, np.ndarray, np.ndarray]:
+        """Points and boxes in the narrowest type in which every product sum with q is exact."""
+        most = self.reach * _reach(q)
+        kind = np.float64 if most < 1 << 53 else np.int64 if most < 1 << 63 else object
+        if kind not in self._cast:
+            self._cast[kind] = tuple(x.astype(kind) for x in (self.points, self.low, self.high))
+        return kind, *self._cast[kind]
+
+    def search(self, q: np.ndarray, own: int, k: int, least: int) -> list[tuple[int, int]]:
         """The best k (score, id) by score, then smaller id, among those that score at least ``least``."""
-        bound = self.bounds(q)
+        kind, points, low, high = self._for(q)
+        q = q.astype(kind)
+        # the most that any vector of each node can score
+        bound = _long((np.where(q > 0, high, low) * q).sum(axis=1))
         found: list[tuple[int, int]] = []  # heap of (score, -id): its head is the worst kept
         heap = [(-bound[0], 0)]
         while heap:
@@ -108,7 +120,7 @@ class BoxTree:
                 heapq.heappush(heap, (-bound[left], left))
                 heapq.heappush(heap, (-bound[right], right))
                 continue
-            scores = self.floats[s:e] @ q.astype(np.float64) if self.exact else self.points[s:e] @ q
+            scores = _long(points[s:e] @ q)
             for i in np.flatnonzero(scores >= floor):
                 if self.ids[s + i] != own:
                     item = (int(scores[i]), -int(self.ids[s + i]))
@@ -144,18 +156,17 @@ def topk(vectors: DataFrame, is_query, k: int = 5, shard: int = SHARD, block: in
     data = rows.select("dim", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "vec_id", "q")
     asks = query_rows.select("dim", F.pmod(F.shiftright("h", 7), F.lit(blocks)).cast("int").alias("block"), F.pmod("h", F.lit(shards)).cast("int").alias("home"), "vec_id", "q").distinct()
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    points = data.select("dim", "shard", every.alias("block"), "vec_id", "q", F.lit(False).alias("asks"), F.lit(0.0).alias("least"))
-    lowest = -(2.0**63)
+    points = data.select("dim", "shard", every.alias("block"), "vec_id", "q", F.lit(False).alias("asks"), F.lit(LOWEST).alias("least"))
 
     def searched(points: DataFrame, asked: DataFrame) -> DataFrame:
         both = points.unionByName(asked)
         return both.groupBy("dim", "shard", "block").applyInPandas(lambda key, x: _search_shard(key, x, k), RESULT)
 
-    home = asks.select("dim", F.col("home").alias("shard"), "block", "vec_id", "q", F.lit(True).alias("asks"), F.lit(lowest).alias("least"))
+    home = asks.select("dim", F.col("home").alias("shard"), "block", "vec_id", "q", F.lit(True).alias("asks"), F.lit(LOWEST).alias("least"))
     seed = materialise(searched(points, home), "seed")
     kth = seed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("worst")).where(F.col("n") >= k)
     told = asks.join(kth, asks["vec_id"] == kth["query_id"], "left")
-    away = told.select("dim", "home", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "vec_id", "q", F.lit(True).alias("asks"), F.coalesce(F.col("worst").cast("double"), F.lit(lowest)).alias("least"))
+    away = told.select("dim", "home", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", "vec_id", "q", F.lit(True).alias("asks"), F.coalesce("worst", F.lit(LOWEST)).alias("least"))
     found = seed
     if shards > 1:
         found = seed.unionByName(searched(points, away.where("shard <> home").drop("home")))

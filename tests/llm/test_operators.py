@@ -703,6 +703,22 @@ def test_topk_equals_brute_force(spark):
     assert kdtree.topk(frame_.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_components_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    sizes = [1e-2, 1.0, 1e6, 1e7, 1e9, 1e15, 1e300]
+    rows = [(i, (rng.normal(size=3) * sizes[i % len(sizes)]).tolist()) for i in range(140)]
+    rows += [(200, [1e9, 0.0, 0.0]), (201, [1e15, 0.0, 0.0]), (202, [-1e15, 0.0, 0.0])]
+    low, high = -(2**63), 2**63 - 1
+    long = lambda x: min(max(x, low), high)
+    q = {i: [long(math.floor(256 * x)) for x in v] for i, v in rows}
+    got = [tuple(r) for r in kdtree.topk(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 4, shard=30, block=9).orderBy("query_id", "rank").collect()]
+    want = []
+    for i in sorted(x for x in q if x % 5 == 0):
+        best = sorted((-long(sum(a * b for a, b in zip(q[i], w, strict=True))), j) for j, w in q.items() if j != i)[:4]
+        want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+    assert got == want
+
+
 # pipeline ----------------------------------------------------------------------
 
 
