@@ -117,7 +117,8 @@ def from_json(text: Column) -> Column:
     roles = F.transform(F.coalesce(p["experience"], _empty(ROLE)), lambda r: F.struct(nn(r["title"]).alias("title"), nn(r["company"]).alias("company"), nn(r["start"]).alias("start"), nn(r["end"]).alias("end"), nn(r["location"]).alias("location"), good(r["bullets"]).alias("bullets")))
     projects = F.transform(F.coalesce(p["projects"], _empty(PROJECT)), lambda r: F.struct(nn(r["name"]).alias("name"), F.coalesce(r["tech"], _empty("string")).alias("tech"), good(r["bullets"]).alias("bullets"), nn(r["date"]).alias("date")))
     whole = F.struct(roles.alias("experience"), projects.alias("projects"), F.array_distinct(F.coalesce(p["skills"], _empty("string"))).alias("skills"), F.coalesce(p["education"], _empty(EDUCATION)).alias("education"), F.coalesce(p["certifications"], _empty("string")).alias("certifications"))
-    return F.when(p.isNotNull(), whole.cast(PROFILE))
+    # from_json gives a struct of nulls for malformed texts; the whole document as a path is null for them
+    return F.when(F.startswith(F.get_json_object(text, "$"), F.lit("{")), whole.cast(PROFILE))
 
 
 def counts(profile: Column) -> Column:

@@ -660,13 +660,13 @@ def cover_letter(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more_queries  # noqa: F401  registers its own
+    from . import more_queries, source_queries  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    from . import more_queries  # noqa: F401
+    from . import more_queries, source_queries  # noqa: F401
 
     return dict(_ORACLES)
 

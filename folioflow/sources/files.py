@@ -33,9 +33,13 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("format", X.format_of_extension(F.col("path")))
 
 
+def lossy(data: bytes) -> str:
+    """Text of any bytes; what is no UTF-8 becomes U+FFFD."""
+    return data.decode("utf-8", "replace")
+
+
 def read_lossy(spark: SparkSession, path: str) -> DataFrame:
-    """Texts of any bytes; what is no UTF-8 becomes U+FFFD."""
-    return extract(read_bytes(spark, path), lambda b: b.decode("utf-8", "replace"))
+    return extract(read_bytes(spark, path), lossy)
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -49,7 +53,7 @@ def json_or_text(text):
     from ..operators.profile import flatten, from_json
 
     p = from_json(text)
-    return F.when(text.rlike(r"^\s*\{") & p.isNotNull(), flatten(p)).otherwise(text)
+    return F.when(p.isNotNull(), flatten(p)).otherwise(text)
 
 
 def extract(rows: DataFrame, reader: Callable[[bytes], str]) -> DataFrame:
