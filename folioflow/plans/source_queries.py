@@ -97,10 +97,13 @@ def _show(text: str) -> str:
 
 
 def _two_lines(name: str, brand: str, key: int) -> bytes:
-    return _pdf(f"BT /F1 12 Tf 1 0 0 1 72 700 Tm {_show(name)} 0 -20 Td {_show(brand)} ET", key % 2 == 0)
+    """The name in two runs of one word, then the brand in a block of its own or behind a line break, with a piece beside it."""
+    first = f"BT /F1 12 Tf 1 0 0 1 72 700 Tm {_show(name[:3])} {_show(name[3:])}"
+    second = f"ET BT 72 680 Td {_show(brand)}" if key % 3 else f"-20 TL T* [{_show(brand)[:-3]} -200 (x)] TJ"
+    return _pdf(f"{first} {second} ET BT 200 681 Td (beside) Tj ET", key % 2 == 0)
 
 
-@_query("SELECT p_partkey, p_name || chr(10) || p_brand AS extracted FROM part")
+@_query("SELECT p_partkey, p_name || chr(10) || p_brand || CASE WHEN p_partkey % 3 = 0 THEN ' x' ELSE '' END || ' beside' AS extracted FROM part")
 def pdf_text(spark, d):
     """Two lines of each part, every other file with a compressed stream."""
     rows = _t(spark, d, "part").select("p_partkey", "p_name", "p_brand", F.col("p_partkey").alias("key"))

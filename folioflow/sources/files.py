@@ -85,8 +85,11 @@ def docx_text(data: bytes) -> str:
 _PDF_TOKEN = re.compile(rb"\s+|%[^\r\n]*|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<str>\()|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<open>\[)|(?P<close>\])|/[^\s()<>\[\]/]*|(?P<op>[A-Za-z'\"*]+)|.", re.S)
 _ESCAPE = re.compile(r"\\([0-7]{1,3}|\r\n|.)", re.S)
 _CONTROL = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\n": "", "\r": "", "\r\n": ""}
+# Kerning that is a blank, heights of one line, gap between columns, leading, move within a line, width of a character.
 _KERN_SPACE = -150
 _LINE_Y, _COLUMN_GAP = 3.0, 18.0
+_LEADING, _SAME_LINE = 12.0, 0.5
+_CHAR_WIDTH, _WIDTH_SLACK = 4.0, 1.1
 
 
 def _literal(data: bytes, at: int) -> tuple[str, int]:
@@ -117,11 +120,19 @@ def pdf_hex(text: str) -> str:
 
 
 def _pieces(content: bytes) -> Iterator[tuple[float, float, str]]:
-    """(x, y, text) of each text run of a content stream, in stream order."""
+    """(x, y, text) of each text run of a content stream, in stream order: what is shown until the line changes is one run."""
     stack: list = []
     array: list | None = None
+    shown: list[str] = []
     x = y = lead = 0.0
     inside, at = False, 0
+
+    def ended() -> Iterator[tuple[float, float, str]]:
+        run = "".join(shown)
+        shown.clear()
+        if run.strip():
+            yield x, y, run
+
     while at < len(content) and (m := _PDF_TOKEN.match(content, at)):
         at = m.end()
         target = stack if array is None else array
@@ -140,37 +151,53 @@ def _pieces(content: bytes) -> Iterator[tuple[float, float, str]]:
         elif op := m["op"]:
             numbers = [v for v in stack if isinstance(v, float)]
             if op == b"BT":
-                inside, x, y = True, 0.0, 0.0
+                inside, x, y, lead = True, 0.0, 0.0, _LEADING
             elif op == b"ET":
+                yield from ended()
                 inside = False
             elif op == b"Tm" and len(numbers) >= 6:
+                yield from ended()
                 x, y = numbers[-2:]
             elif op == b"TL" and numbers:
-                lead = numbers[-1]
+                lead = abs(numbers[-1])
             elif op in (b"Td", b"TD") and len(numbers) >= 2:
+                if abs(numbers[-1]) > _SAME_LINE:
+                    yield from ended()
                 x, y = x + numbers[-2], y + numbers[-1]
-                lead = -numbers[-1] if op == b"TD" else lead
             elif op in (b"T*", b"'", b'"'):
-                y -= lead or 12.0
+                yield from ended()
+                y -= lead
             if inside and op in (b"Tj", b"'", b'"') and stack and isinstance(stack[-1], str):
-                yield x, y, stack[-1]
+                shown.append(stack[-1])
             elif inside and op == b"TJ" and stack and isinstance(stack[-1], list):
-                yield x, y, "".join(v if isinstance(v, str) else " " if v < _KERN_SPACE else "" for v in stack[-1])
+                shown.append("".join(v if isinstance(v, str) else " " if v < _KERN_SPACE else "" for v in stack[-1]))
             stack.clear()
+    yield from ended()
+
+
+def _joined(line: list[tuple[float, str]]) -> str:
+    """Pieces of a line from left to right; one that begins where the one before it ends belongs to the same word."""
+    out, before = "", None
+    for x, t in sorted(line, key=lambda p: p[0]):
+        if before and x - before[0] > len(before[1]) * _CHAR_WIDTH * _WIDTH_SLACK:
+            out += " "
+        out, before = out + t, (x, t)
+    return out
 
 
 def _grouped(pieces: list[tuple[float, float, str]]) -> list[str]:
-    """Lines by height: pieces within three units of a line's first piece belong to it, left to right."""
+    """Lines by height: pieces within three units of a line's first piece belong to it."""
     out: list[tuple[float, list]] = []
     for x, y, t in sorted(pieces, key=lambda p: (-p[1], p[0])):
         if out and abs(out[-1][0] - y) <= _LINE_Y:
             out[-1][1].append((x, t))
         else:
             out.append((y, [(x, t)]))
-    return [" ".join(t.strip() for _, t in sorted(line, key=lambda p: p[0]) if t.strip()) for _, line in out]
+    return [_joined(line) for _, line in out]
 
 
 def _useful(line: str) -> bool:
+    line = line.strip()
     letters = sum(c.isalpha() for c in line)
     return len(line) >= 2 and (letters / len(line) >= 0.25 or any(c.isdigit() for c in line))
 
@@ -181,7 +208,7 @@ def pdf_text(data: bytes) -> str:
     bodies = []
     for s in streams:
         try:
-            bodies.append(zlib.decompress(s))
+            bodies.append(zlib.decompressobj().decompress(s))  # the checksum's last byte may read as the line end before the keyword
         except zlib.error:
             bodies.append(s)
     pieces = [p for body in bodies or [data] for p in _pieces(body)]
@@ -190,8 +217,7 @@ def pdf_text(data: bytes) -> str:
         for a, b in vocab.OT1:
             t = t.replace(a, b)
         t = "".join(c for c in t if c.isprintable())
-        if t.strip():
-            cleaned.append((x, y, t))
+        cleaned.append((x, y, t if t.strip() else " "))
     if not cleaned:
         return ""
     starts = sorted({p[0] for p in cleaned})

@@ -1,5 +1,6 @@
 import io
 import zipfile
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +150,13 @@ def test_pdf():
     pdf = b"%PDF-1.4\nstream\n" + body + b"\nendstream"
     assert files.pdf_text(pdf).splitlines()[:2] == ["Hello", "World again"]
     assert "x(y)" in files.pdf_text(pdf)
+    shown = lambda body: files.pdf_text(b"stream\n" + body + b"\nendstream").splitlines()
+    assert shown(b"BT (EXPERIENCE) Tj T* (Data) Tj ( Engineer) Tj 0 -14 Td (Senior) Tj 5 0 Td (ity) Tj ET") == ["EXPERIENCE", "Data Engineer", "Seniority"]
+    assert shown(b"BT 1 0 0 1 50 700 Tm (Mi) Tj ET BT 1 0 0 1 58 700 Tm (ssouri) Tj ET BT 1 0 0 1 120 700 Tm (State) Tj ET") == ["Missouri State"]
+    # a packed stream whose checksum ends in a line break
+    texts = (f"BT (text {'a' * i}) Tj ET" for i in range(256))
+    packed = next(z for t in texts if (z := zlib.compress(t.encode())).endswith(b"\n"))
+    assert shown(packed)[0].startswith("text ")
     assert files.pdf_hex("00480069") == "Hi"
     assert files.pdf_hex("5458") == "TX"
     assert files.pdf_text(b"") == ""
