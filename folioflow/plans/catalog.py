@@ -323,9 +323,18 @@ def recommendations(spark, d):
     return rows.select("jd_id", "doc_id", "score", F.array_join("advice", "|").alias("advice"))
 
 
-@_query()
+_TOLD = f"""{_FIXED} SELECT jd_id, doc_id, string_agg(concat_ws(':', rank, priority, frequency, CAST(round_even(coverage * 100, 0) AS INTEGER), coalesce((SELECT string_agg(angle, '|' ORDER BY ord) FROM {_ANGLES} a WHERE a.category = top.category), '')), ';' ORDER BY rank) AS signals FROM top GROUP BY ALL"""
+
+
+@_query(f"""SELECT jd_id, doc_id, score, advice, coalesce(signals, '') AS signals, coalesce(gaps, '') AS gaps FROM ({_ORACLES["recommendations"]}) r LEFT JOIN ({_TOLD}) t USING (jd_id, doc_id)
+LEFT JOIN (SELECT jd_id, doc_id, string_agg(concat_ws(':', rank, term, freq), ';' ORDER BY rank) AS gaps FROM ({_ORACLES["keyword_gaps"]}) GROUP BY ALL) g USING (jd_id, doc_id)""")
 def full_report(spark, d):
-    return gap.full_report(_jds(spark, d), _docs(spark, d))
+    """The nested report of each pair, its lists written as texts."""
+    cents = lambda x: F.bround(x["coverage"] * 100).cast("int")
+    signal = lambda x: F.concat_ws(":", x["rank"], x["priority"], x["frequency"], cents(x), F.coalesce(F.array_join(x["angles"], "|"), F.lit("")))
+    text = lambda name, one: F.coalesce(F.array_join(F.transform(name, one), ";"), F.lit("")).alias(name)
+    rows = gap.full_report(_jds(spark, d), _docs(spark, d))
+    return rows.select("jd_id", "doc_id", "score", F.array_join("advice", "|").alias("advice"), text("signals", signal), text("gaps", lambda x: F.concat_ws(":", x["rank"], x["term"], x["freq"])))
 
 
 _SETS = f"WITH a AS (SELECT DISTINCT unnest({_TOKENS}) AS term FROM benchmark), b AS (SELECT DISTINCT unnest({_TOKENS}) AS term FROM documents) "
@@ -648,7 +657,14 @@ def score_compare(spark, d):
     return extras.compare(_jds(spark, d), _docs(spark, d))
 
 
-@_query()
+def _buckets(table: str, key: str) -> str:
+    return f"(SELECT {key}, b, count(*) AS n FROM (SELECT {key}, CAST(('0x' || right(md5(unnest({_WORDS})), 2))::INT % 128 AS INTEGER) AS b FROM {table}) GROUP BY ALL)"
+
+
+@_query(f"""WITH a AS {_buckets("documents", "doc_id")}, b AS {_buckets("benchmark", "item_id")}, na AS (SELECT doc_id, sum(n * n) AS s FROM a GROUP BY ALL), nb AS (SELECT item_id, sum(n * n) AS s FROM b GROUP BY ALL),
+dots AS (SELECT item_id, doc_id, sum(a.n * b.n) AS dot FROM a JOIN b USING (b) GROUP BY ALL)
+SELECT j.item_id AS jd_id, d.doc_id, CAST(least(floor(coalesce(dot / (sqrt(na.s) * sqrt(nb.s)), 0) * 100 + 1e-9), 100) AS INTEGER) AS score, 'embedding (tfidf fallback)' AS method_used
+FROM benchmark j CROSS JOIN documents d LEFT JOIN na ON na.doc_id = d.doc_id LEFT JOIN nb ON nb.item_id = j.item_id LEFT JOIN dots ON dots.doc_id = d.doc_id AND dots.item_id = j.item_id""")
 def embedding_score(spark, d):
     return extras.score(_jds(spark, d), _docs(spark, d), "embedding")
 
