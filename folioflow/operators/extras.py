@@ -51,6 +51,17 @@ def versions(files: DataFrame, limit: int) -> DataFrame:
     return files.where(F.endswith("filename", F.lit(".tex"))).withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= limit)
 
 
+def version_rows(rows: DataFrame) -> DataFrame:
+    """``user_id, company, role, first_name, tex, meta`` with each version's tag, branch, file name and score; ``meta`` is JSON.
+
+    The tag leaves out a first name that is not given.
+    """
+    blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
+    tag = F.concat_ws("_", blank(F.col("first_name")), F.col("company"), F.col("role"))
+    out = rows.withColumn("version_tag", tag).withColumn("branch", F.concat(F.lit("vault/"), "user_id"))
+    return out.withColumn("filename", F.concat("version_tag", F.lit(".tex"))).withColumn("ats_score", F.get_json_object("meta", "$.ats_score").cast("int"))
+
+
 def score(jds: DataFrame, docs: DataFrame, method: str = "formula") -> DataFrame:
     """``jd_id, doc_id, score, method_used``: the formula, or cosine of hashed embeddings; a language model falls back to the formula."""
     kind = method.lower()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vector
@@ -80,5 +80,6 @@ class ProfileStore:
         return self.rows().where(F.col("user_id") == user_id)
 
 
-def newest_first(rows: DataFrame, user: str, seq: str) -> DataFrame:
-    return rows.withColumn("recency", F.row_number().over(Window.partitionBy(user).orderBy(F.desc(seq))))
+def append_versions(rows: DataFrame, path: str) -> None:
+    """Add versions (``extras.version_rows``) to the table at ``path``, a folder for each branch; earlier ones stay."""
+    rows.write.mode("append").partitionBy("branch").parquet(path)

@@ -40,6 +40,15 @@ def embed(texts: DataFrame, key: str = "doc_id", dim: int = DIM) -> DataFrame:
     return texts.select(key, X.let(dense_counts(F.col("text"), dim), lambda v: X.let(norm(v), lambda n: F.transform(v, lambda x: x / n))).alias("embedding"))
 
 
+def embedder(backend: str = "hash"):
+    """The embedding of a backend by name: ``hash``, or ``given`` for frames that bring an ``embedding`` column of another model."""
+    if backend == "hash":
+        return embed
+    if backend == "given":
+        return lambda texts, key="doc_id": texts.select(key, F.col("embedding").cast("array<double>").alias("embedding"))
+    raise ValueError(f"unknown embedding backend {backend!r}")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Dot product over the shorter length, norms over each whole vector, a zero norm counted as 1."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x.cast("double"), F.lit(0.0)) * F.coalesce(y.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import profile
+from ..operators import extras, profile
 from ..sources import files
 from ..streaming import usage
 from . import api
@@ -146,6 +146,16 @@ def json_profiles(spark, d):
     return rows.select("c_custkey", F.when(F.col("p").isNotNull(), n["roles"]).alias("roles"), F.when(F.col("p").isNotNull(), n["bullets"]).alias("bullets"))
 
 
+@_query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name || '_' ELSE '' END || c_mktsegment || '_Engineer' AS version_tag, 'vault/' || c_custkey AS branch,
+  CASE WHEN c_custkey % 2 = 0 THEN c_name || '_' ELSE '' END || c_mktsegment || '_Engineer.tex' AS filename, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 100 AS INTEGER) END AS ats_score FROM customer""")
+def vault_versions(spark, d):
+    """A version of each customer, every other one with a first name, every third without a score."""
+    key = F.col("c_custkey")
+    meta = F.when(key % 3 != 0, F.to_json(F.struct((key % 100).alias("ats_score")))).otherwise("{}")
+    rows = _t(spark, d, "customer").select("c_custkey", key.cast("string").alias("user_id"), F.col("c_mktsegment").alias("company"), F.lit("Engineer").alias("role"), F.when(key % 2 == 0, F.col("c_name")).otherwise(" ").alias("first_name"), F.lit("x").alias("tex"), meta.alias("meta"))
+    return extras.version_rows(rows).select("c_custkey", "version_tag", "branch", "filename", "ats_score")
+
+
 # --- streams -----------------------------------------------------------------
 # The operators are the same plan over a table and over a stream; here the table is read at once.
 

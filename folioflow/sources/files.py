@@ -250,3 +250,12 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
 def write_documents(rows: DataFrame, path: str, name: str = "doc_id", body: str = "tex") -> None:
     """One Parquet table of rendered documents with their Base64 form (null stays null)."""
     rows.select(name, body, F.base64(F.col(body).cast("binary")).alias("base64")).write.mode("overwrite").parquet(path)
+
+
+def write_profiles(rows: DataFrame, path: str, profile: str = "profile") -> None:
+    """One JSON object a line; ``read_json_lines`` and any JSON reader take it back."""
+    rows.select(F.to_json(profile).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.from_json("value", PROFILE).alias("profile"))

@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import gap, metering, parse_arrow, profile, render, store, vector
+from folioflow.operators import extras, gap, metering, parse_arrow, profile, render, store, vector
 from folioflow.sources import files
 
 
@@ -246,3 +246,19 @@ def test_parsers_and_scores_cover_whole_tables(spark):
         assert got == sorted(str(tuple(plain(r[at[c]]) for c in cols)) for r in rel.fetchall()), name
     assert catalog.queries()["latex_parse"](spark, d).count() == n["documents"] + 1
     assert catalog.queries()["section_headers"](spark, d).count() > n["documents"]
+
+
+def test_sinks_and_backends(spark, tmp_path):
+    rows = spark.createDataFrame([("u1", "Acme", "SRE", "Jane", "x", '{"ats_score": 82}'), ("u2", "Acme", "SRE", None, "y", "{}")], "user_id string, company string, role string, first_name string, tex string, meta string")
+    for _ in range(2):
+        store.append_versions(extras.version_rows(rows), str(tmp_path / "versions"))
+    kept = spark.read.parquet(str(tmp_path / "versions"))
+    assert sorted((r.branch, r.version_tag, r.ats_score) for r in kept.collect()) == 2 * [("vault/u1", "Jane_Acme_SRE", 82)] + 2 * [("vault/u2", "Acme_SRE", None)]
+    parsed = profile.parse_blob(texts(spark, [(1, "Built a thing with Spark\n- cut cost by 40%")], "doc_id"))
+    files.write_profiles(parsed, str(tmp_path / "profiles"))
+    assert files.read_json_lines(spark, str(tmp_path / "profiles")).first().profile == parsed.first().profile
+    given = spark.createDataFrame([(1, "a", [1.0, 2.0])], "doc_id long, text string, embedding array<float>")
+    assert vector.embedder("given")(given).first().embedding == [1.0, 2.0]
+    assert vector.embedder()(given).first().embedding == vector.embed(given).first().embedding
+    with pytest.raises(ValueError):
+        vector.embedder("remote")
