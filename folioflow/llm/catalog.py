@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kdtree, mixing, near_dup
+from .alignment import op13_token_alignment
 from .kdtree import op10_kdtree_topk
 from .mixing import op6_source_mixing
 from .near_dup import op7_near_duplicates
@@ -20,7 +21,7 @@ from .tokens import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_suffix_dedup, op4_personal_data, op5_sentencepiece, op6_source_mixing, op7_near_duplicates, op8_prefix_fingerprints, op9_token_counts, op10_kdtree_topk)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_suffix_dedup, op4_personal_data, op5_sentencepiece, op6_source_mixing, op7_near_duplicates, op8_prefix_fingerprints, op9_token_counts, op10_kdtree_topk, op13_token_alignment)}
 
 
 def oracles() -> dict[str, str]:

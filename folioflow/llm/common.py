@@ -97,6 +97,25 @@ def spread_by(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
     return df.groupBy(key, F.pmod(F.hash(key), F.lit(1 << 16)).alias("_cell")).agg(*aggregates).drop("_cell")
 
 
+def in_cells(tables: DataFrame, slices: DataFrame, salts: list[int], spread: str) -> DataFrame:
+    """Every row of ``slices`` in one task with all rows of ``tables`` that have its ``block``.
+
+    Both sides have the same columns and ``block``, 0 up to the number of salts. Block b is dealt to
+    ``salts[b]`` cells: its slices by the hash of ``spread``, its table rows to
+    each of them. A cell is one task, which reads its table rows before its
+    slices (column ``is_slice``). Nothing goes through the driver.
+    """
+    first, total = [], 0
+    for n in salts:
+        first.append(total)
+        total += n
+    numbers = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("block").cast("int") + 1)
+    begin, width = numbers(first), numbers(salts)
+    copies = tables.withColumn("cell", F.explode(F.sequence(begin, begin + width - 1))).withColumn("is_slice", F.lit(False))
+    dealt = slices.withColumn("cell", begin + F.pmod(F.xxhash64(spread), width).cast("int")).withColumn("is_slice", F.lit(True))
+    return copies.unionByName(dealt).repartitionById(total, "cell").sortWithinPartitions("cell", "is_slice")
+
+
 def spans_digest(spans: Column) -> Column:
     """array<struct<s, k, e, kind>> sorted by start, then kind: ``kind:start:end`` joined by commas."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
