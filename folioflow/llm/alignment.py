@@ -6,8 +6,8 @@ them, and the components are the smallest stretches at whose ends tokens of
 both end. Each A token of a component is linked with each of its B tokens.
 
 *Segments.* A text is cut where neither tokenizer lets a token cross: before a
-space or line break behind a character that is no white space, and behind a
-line break that stands alone or first of two. No component crosses such a cut, so a worker
+space or line break behind a character that is no white space, behind a
+line break that stands alone or first of two, and between a Latin letter or digit and a stop. No component crosses such a cut, so a worker
 aligns each segment once, keeps the result and adds up the segments of a text
 as arrays. Both tokenizers are checked for what the cuts rest on.
 
@@ -31,7 +31,6 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -42,17 +41,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_texts, in_cells, materialise, read_table
-from .spm import build_marked, piece_bytes
-from .tokens import MARK, load_model, model_path
+from .spm import build_marked, oracle, piece_bytes
+from .tokens import MARK, NORMAL, load_model, model_path
 
 #: Pieces of text that both tokenizers may be given alone.
-SEGMENT = re.compile(r"\n(?=\n?\S)|\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
+STOPS, WORD = ".,;:!?*$%&#", "0-9A-Za-zÀ-ÖØ-öø-ɏ"
+SEGMENT = re.compile(rf"\n(?=\n?\S)|\s*[{WORD}]++(?=[{STOPS}])|\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 #: Bits of a B id within a pair's number.
 B_BITS = 15
 #: Characters aligned at once, and what one worker keeps of segments (memory only, never results).
 BATCH_CHARS = 1 << 20
-CACHE_SEGMENTS = 400_000
-CACHE_LINKS = 4_000_000
+CACHE_SEGMENTS = 600_000
+CACHE_LINKS = 6_000_000
+#: Segments encoded as one running text, and links of a component beyond which they are multiplied as counts (the result is the same).
+RUN = 512
+LISTED = 4096
 #: Pair counts that one task gathers before it passes them on.
 HELD_PAIRS = 2_000_000
 #: Pair counts in a block, and bytes of packed pairs in a cell.
@@ -89,73 +92,74 @@ def tokenizer_a(path: str):
 
 @lru_cache(maxsize=2)
 def tokenizer_b(path: str):
-    """(tokenizer for marked text, bytes of each id)."""
+    """(tokenizer for marked text, the reference library, bytes of each id)."""
     m = load_model(path)
     tok = build_marked(path)
-    if tok is None or len(m["pieces"]) > 1 << B_BITS or any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p, _, _ in m["pieces"]):
-        raise ValueError("segments need a model without normalisation whose pieces hold marks and line breaks at their start only")
-    return tok, piece_bytes(path).to_pylist()
-
-
-def components(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """How many A and B tokens each component has, in order; tokens are given by where they end, both lists with one last end."""
-    n = len(ends_a)
-    parent = list(range(n + len(ends_b)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    i = j = 0
-    while i < n and j < len(ends_b):  # the two tokens overlap: an edge
-        x, y = root(i), root(n + j)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-        a, b = ends_a[i], ends_b[j]
-        i += a <= b
-        j += b <= a
-    # the root of a component is its first A token: every B token overlaps one
-    sizes = {}
-    for x in range(len(parent)):
-        r = root(x)
-        a, b = sizes.get(r, (0, 0))
-        sizes[r] = (a + 1, b) if x < n else (a, b + 1)
-    return [sizes[r] for r in sorted(sizes)]
-
-
-def align(ids_a: list[int], ids_b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """The groups of one text, as (A ids, B ids)."""
-    if len(ids_a) == 1 or len(ids_b) == 1:
-        return [(ids_a, ids_b)]
-
-    def ends(ids: list[int], table: list[bytes]) -> list[int]:
-        out, at = [], 0
-        for x in ids:
-            at += len(table[x])
-            out.append(at)
-        return out
-
-    out, i, j = [], 0, 0
-    for a, b in components(ends(ids_a, bytes_a), ends(ids_b, bytes_b)):
-        out.append((ids_a[i : i + a], ids_b[j : j + b]))
-        i, j = i + a, j + b
-    return out
-
-
-def links(groups: list[tuple[list[int], list[int]]]) -> Counter:
-    """Linked id pairs with their occurrences; a component's members are multiplied as counts, never listed."""
-    out: Counter = Counter()
-    for a, b in groups:
-        if len(a) == 1 and len(b) == 1:
-            out[a[0] << B_BITS | b[0]] += 1
-            continue
-        right = Counter(b)
-        for x, n in Counter(a).items():
-            for y, m in right.items():
-                out[x << B_BITS | y] += n * m
-    return out
+    crossing = re.compile(rf"[^{MARK}].*{MARK}|\n.|.\n|[{WORD}][{STOPS}]", re.DOTALL)
+    if tok is None or len(m["pieces"]) > 1 << B_BITS or any(kind == NORMAL and crossing.search(p) for p, _, kind in m["pieces"]):
+        raise ValueError("segments need a model without normalisation none of whose pieces crosses a cut")
+    return tok, oracle(path), piece_bytes(path).to_pylist()
+
+
+def overlaps(starts_a: np.ndarray, ends_a: np.ndarray, starts_b: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges: numbers of the A and B tokens whose ranges share a byte; at most as many as there are tokens."""
+    first = np.searchsorted(ends_b, starts_a, "right")
+    n = np.searchsorted(starts_b, ends_a, "left") - first
+    return np.repeat(np.arange(len(starts_a)), n), np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def components(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
+    """Union-find over whole arrays: the least node of each node's component.
+
+    Each round hooks the greater root of every open edge under the least of its
+    neighbours and then shortens all paths to their roots; rounds grow with the
+    logarithm of the longest component.
+    """
+    parent = np.arange(nodes)
+    while True:
+        x, y = parent[u], parent[v]
+        if not (apart := x != y).any():
+            return parent
+        u, v, x, y = u[apart], v[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while (shorter := parent[parent]).tobytes() != parent.tobytes():
+            parent = shorter
+
+
+def product_counts(ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and occurrences of one component by counts of its ids: its links are never listed."""
+    (x, n), (y, m) = (np.unique(ids, return_counts=True) for ids in (ids_a, ids_b))
+    return (x[:, None] << B_BITS | y[None, :]).ravel(), (n[:, None] * m[None, :]).ravel()
+
+
+def link_pairs(ids_a: np.ndarray, ids_b: np.ndarray, root: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, pair, occurrences), each pair once in a segment; ``root`` has the component of A tokens, then of B tokens."""
+    root_a, root_b = root[: len(ids_a)], root[len(ids_a) :]
+    n_b = np.bincount(root_b, minlength=len(ids_a))
+    first_b = np.cumsum(n_b) - n_b
+    n_a = np.bincount(root_a, minlength=len(ids_a))
+    wide = n_a * n_b > LISTED
+    listed = ~wide[root_a]
+    own, n = root_a[listed], n_b[root_a[listed]]
+    b = np.repeat(first_b[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    keys = [np.repeat(segment[listed], n) << 32 | np.repeat(ids_a[listed], n) << B_BITS | ids_b[b]]
+    times = [np.ones(len(keys[0]), np.int64)]
+    for r in np.flatnonzero(wide):
+        code, count = product_counts(ids_a[r : r + n_a[r]], ids_b[first_b[r] : first_b[r] + n_b[r]])
+        keys.append(segment[r] << 32 | code)
+        times.append(count)
+    key, count = summed(np.concatenate(keys), np.concatenate(times))
+    return key >> 32, key & 0xFFFFFFFF, count
+
+
+def summed(key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with their sums."""
+    if not len(key):
+        return key, value
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[begins], np.add.reduceat(value, begins)
 
 
 class Segments:
@@ -163,7 +167,11 @@ class Segments:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.bytes_a = tokenizer_a(path_a)
-        self.b, self.bytes_b = tokenizer_b(path_b)
+        self.marked, self.library, self.bytes_b = tokenizer_b(path_b)
+        self.length_a, self.length_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.wide = max(len(self.bytes_a), len(self.bytes_b))
+        #: an id as it is printed at the start of a segment, of a group, of a group's B ids, and elsewhere
+        self.texts = np.array([f"{mark}{i}" for mark in ("", ";", "|", ",") for i in range(self.wide)], object)
         self.clear()
 
     def clear(self) -> None:
@@ -174,29 +182,65 @@ class Segments:
         self.starts = np.zeros(1, np.int64)
         self.codes, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, new: list[str]) -> None:
+    def encode(self, chained: list[str], alone: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A and of B over all segments in order; those that may follow each other are encoded as running text."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        sizes, lengths, codes, times = [], [], [], []
-        both = zip(self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode_batch_fast([s.replace(" ", MARK) for s in new], add_special_tokens=False), new, strict=True)
-        for a, b, s in both:
-            ids_a, ids_b, raw = a.ids, b.ids, s.encode()
-            self.number[s] = len(self.printed)
-            if b"".join([self.bytes_b[i] for i in ids_b]) != raw or b"".join([self.bytes_a[i] for i in ids_a]) != raw:
-                sizes.append((-1, 0, 0, 0))
-                lengths.append(0)
-                self.printed.append("")
-                continue
-            groups = align(ids_a, ids_b, self.bytes_a, self.bytes_b)
-            found = links(groups)
-            sizes.append((len(ids_a), len(ids_b), len(groups), sum(found.values())))
-            lengths.append(len(found))
-            codes += found.keys()
-            times += found.values()
-            self.printed.append(";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]))
-        self.sizes = np.concatenate([self.sizes, np.array(sizes, np.int64).reshape(-1, 4)])
+        runs = ["".join(chained[k : k + RUN]) for k in range(0, len(chained), RUN)]
+        a = [e.ids for e in self.a.encode_batch_fast(runs + alone, add_special_tokens=False)]
+        b = [np.asarray(x) for x in self.library.encode_as_numpy([r[1:] for r in runs], num_threads=1)] if runs else []  # the library adds the blank
+        b += [e.ids for e in self.marked.encode_batch_fast([s.replace(" ", MARK) for s in alone], add_special_tokens=False)]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *map(np.array, x)]).astype(np.int64) for x in (a, b))
+
+    def learn(self, new: list[str]) -> None:
+        differ = [s for s in new if MARK in s]
+        chained, alone = [], []
+        for s in new:
+            if MARK not in s:
+                (chained if s[0] == " " and not s[-1].isspace() else alone).append(s)
+        told = chained + alone
+        raw = [s.encode() for s in told]
+        borders = np.cumsum([len(x) for x in raw], dtype=np.int64)
+        ids_a, ids_b = self.encode(chained, alone)
+        whole = b"".join(raw)
+        if any(b"".join([t[i] for i in ids.tolist()]) != whole for t, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b))):
+            raise ValueError("a tokenizer does not give back the bytes of texts without the word mark")
+        n = len(told)
+        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        u, v = overlaps(ends_a - self.length_a[ids_a], ends_a, ends_b - self.length_b[ids_b], ends_b)
+        root = components(u, v + len(ids_a), len(ids_a) + len(ids_b))
+        segment_a, segment_b = (np.searchsorted(borders, e, "left") for e in (ends_a, ends_b))
+        root_a, root_b = root[: len(ids_a)], root[len(ids_a) :]
+        count_a, count_b = (np.bincount(x, minlength=len(ids_a)) for x in (root_a, root_b))
+        leads = np.flatnonzero(count_a)  # first A tokens of components
+        # places in print: a group's A ids, then its B ids
+        place_a = np.arange(len(ids_a)) + (np.cumsum(count_b) - count_b)[root_a]
+        place_b = np.arange(len(ids_b)) + np.cumsum(count_a)[root_b]
+        flat = np.empty(len(ids_a) + len(ids_b), object)
+        opens = np.full(len(ids_a), 3)
+        opens[leads] = 1
+        opens[np.flatnonzero(np.diff(segment_a, prepend=-1))] = 0
+        flat[place_a] = self.texts[opens * self.wide + ids_a]
+        flat[place_b] = self.texts[np.where(np.diff(root_b, prepend=-1) != 0, 2, 3) * self.wide + ids_b]
+        n_a, n_b = np.bincount(segment_a, minlength=n), np.bincount(segment_b, minlength=n)
+        pieces, at = flat.tolist(), 0
+        for end in np.cumsum(n_a + n_b).tolist():
+            self.printed.append("".join(pieces[at:end]))
+            at = end
+        segment, code, times = link_pairs(ids_a, ids_b, root, segment_a)
+        n_links = np.bincount(segment_a[leads], minlength=n).astype(np.int64) * 0
+        np.add.at(n_links, segment_a[leads], count_a[leads] * count_b[leads])
+        sizes = np.stack([n_a, n_b, np.bincount(segment_a[leads], minlength=n), n_links], axis=1)
+        lengths = np.bincount(segment, minlength=n)
+        if differ:
+            self.printed += [""] * len(differ)
+            sizes = np.concatenate([sizes, np.array([[-1, 0, 0, 0]] * len(differ))])
+            lengths = np.concatenate([lengths, np.zeros(len(differ), np.int64)])
+        base = len(self.number)
+        self.number.update((s, base + k) for k, s in enumerate(told + differ))
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int64)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths, dtype=np.int64)])
-        self.codes = np.concatenate([self.codes, np.array(codes, np.int64)])
-        self.times = np.concatenate([self.times, np.array(times, np.int64)])
+        self.codes = np.concatenate([self.codes, code])
+        self.times = np.concatenate([self.times, times])
 
     def documents(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]:
         """For each text: its sizes (A, B, groups, links), the digest of its groups, its distinct pairs and their occurrences."""
@@ -219,17 +263,12 @@ class Segments:
             digests.append("" if end == start or differs[k] else hashlib.sha256(";".join([self.printed[i] for i in numbers[start:end]]).encode()).hexdigest())
             start = end
         keep = ~differs[doc]
-        known = len(self.printed)
-        held, count = np.unique(doc[keep] * known + at[keep], return_counts=True)
-        which, segment = held // max(known, 1), held % max(known, 1)
+        known = max(1, len(self.printed))
+        held, count = summed(doc[keep] * known + at[keep], np.ones(int(keep.sum()), np.int64))
+        which, segment = held // known, held % known
         n = self.starts[segment + 1] - self.starts[segment]
         place = np.repeat(self.starts[segment] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        key = np.repeat(which, n) << 32 | self.codes[place]
-        weight = self.times[place] * np.repeat(count, n)
-        order = np.argsort(key)
-        key, weight = key[order], weight[order]
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        key, weight = key[begins], np.add.reduceat(weight, begins) if len(key) else weight
+        key, weight = summed(np.repeat(which, n) << 32 | self.codes[place], self.times[place] * np.repeat(count, n))
         borders = np.searchsorted(key, np.arange(1, len(texts)) << 32)
         return sizes, digests, np.split((key & 0xFFFFFFFF).astype("<u4"), borders), np.split(weight.astype("<u8"), borders)
 
@@ -252,13 +291,8 @@ class PairCounts:
             self.settle()
 
     def settle(self) -> None:
-        fresh = np.sort(np.concatenate([np.zeros(0, "<u4"), *self.waiting])).astype(np.int64)
-        both = np.concatenate([self.codes, fresh])
-        n = np.concatenate([self.counts, np.ones(len(fresh), np.int64)])
-        order = np.argsort(both, kind="stable")
-        both, n = both[order], n[order]
-        begins = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
-        self.codes, self.counts = both[begins], np.add.reduceat(n, begins) if len(both) else n
+        fresh = np.concatenate([np.zeros(0, "<u4"), *self.waiting]).astype(np.int64)
+        self.codes, self.counts = summed(np.concatenate([self.codes, fresh]), np.concatenate([self.counts, np.ones(len(fresh), np.int64)]))
         self.waiting, self.size = [], 0
 
 

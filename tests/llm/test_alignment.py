@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from folioflow.llm import alignment
@@ -18,7 +19,7 @@ def libraries():
     a = Tokenizer.from_file(model_path("byte_bpe_50k.json"))
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=model_path())
-    return a, b, alignment.tokenizer_a(model_path("byte_bpe_50k.json"))[1], alignment.tokenizer_b(model_path())[1]
+    return a, b, alignment.tokenizer_a(model_path("byte_bpe_50k.json"))[1], alignment.tokenizer_b(model_path())[2]
 
 
 def plain(rows, libraries):
@@ -83,8 +84,8 @@ def test_contract_on_odd_texts(spark, libraries):
 
 def test_contract_on_random_texts_and_small_blocks(spark, libraries, monkeypatch):
     rng = random.Random(5)
-    stock = [" ", "  ", "\n", "\n\n", "\t", "the", "ing", "ß", "é", "語", "😀", "'s", "12", "3.", ",", " ", "\x1d", "Z", "zz", "-", "--", "​", "▁"]
-    weights = [9, 2, 3, 1, 1] + [4] * 17 + [0.05]
+    stock = [" ", "  ", "\n", "\n\n", "\t", "the", "ing", "ß", "é", "語", "😀", "'s", "12", "3.", ",", "a,", "b.;", "x_:", " ", "\x1d", "Z", "zz", "-", "--", "​", "▁"]
+    weights = [9, 2, 3, 1, 1] + [4] * 20 + [0.05]
     rows = [(i % 90, "".join(rng.choices(stock, weights, k=rng.randint(0, 120)))) for i in range(400)]
     want = plain(rows, libraries)
     monkeypatch.setattr(alignment, "BLOCK_PAIRS", 40)
@@ -95,17 +96,22 @@ def test_contract_on_random_texts_and_small_blocks(spark, libraries, monkeypatch
 def test_components_are_the_smallest_groups():
     rng = random.Random(1)
     for _ in range(300):
-        total = rng.randint(1, 30)
-        ends_a, ends_b = (sorted({*rng.sample(range(1, total + 1), rng.randint(0, total)), total}) for _ in "ab")
-        common, want = sorted(set(ends_a) & set(ends_b)), []
+        total = rng.randint(1, 40)
+        ends_a, ends_b = (np.array(sorted({*rng.sample(range(1, total + 1), rng.randint(0, total)), total})) for _ in "ab")
+        u, v = alignment.overlaps(np.concatenate([[0], ends_a[:-1]]), ends_a, np.concatenate([[0], ends_b[:-1]]), ends_b)
+        assert len(u) < len(ends_a) + len(ends_b)
+        root = alignment.components(u, v + len(ends_a), len(ends_a) + len(ends_b))
+        common, want = sorted(set(ends_a.tolist()) & set(ends_b.tolist())), []
         for s, e in zip([0, *common], common, strict=False):
-            want.append((sum(s < x <= e for x in ends_a), sum(s < x <= e for x in ends_b)))
-        assert alignment.components(ends_a, ends_b) == want
+            want.append((int(((s < ends_a) & (ends_a <= e)).sum()), int(((s < ends_b) & (ends_b <= e)).sum())))
+        got = [(int((root[: len(ends_a)] == r).sum()), int((root[len(ends_a) :] == r).sum())) for r in np.unique(root)]
+        assert got == want
 
 
 def test_links_of_a_large_component_are_counts():
-    got = alignment.links([([1] * 4000 + [2], [3] * 4000)])
-    assert got == {(1 << 15) | 3: 16_000_000, (2 << 15) | 3: 4000}
+    a, b = np.array([1] * 40_000 + [2]), np.array([3] * 40_001)
+    got = alignment.link_pairs(a, b, np.zeros(80_002, np.int64), np.zeros(40_001, np.int64))
+    assert [x.tolist() for x in got[1:]] == [[(1 << 15) | 3, (2 << 15) | 3], [40_000 * 40_001, 40_001]]
 
 
 def test_empty_table_and_further_columns(spark):
