@@ -50,14 +50,14 @@ SEGMENT = re.compile(rf"\n(?=\n?\S)|\s*[{WORD}]++(?=[{STOPS}])|\s*\S+(?:[^\S \n]
 #: Bits of a B id within a pair's number.
 B_BITS = 15
 #: Characters aligned at once, and what one worker keeps of segments (memory only, never results).
-BATCH_CHARS = 1 << 20
-CACHE_SEGMENTS = 600_000
-CACHE_LINKS = 6_000_000
+BATCH_CHARS = 1 << 19
+CACHE_SEGMENTS = 250_000
+CACHE_LINKS = 1_500_000
 #: Segments encoded as one running text, and links of a component beyond which they are multiplied as counts (the result is the same).
 RUN = 512
 LISTED = 4096
 #: Pair counts that one task gathers before it passes them on.
-HELD_PAIRS = 2_000_000
+HELD_PAIRS = 1_000_000
 #: Pair counts in a block, and bytes of packed pairs in a cell.
 BLOCK_PAIRS = 4_000_000
 CELL_BYTES = 24 << 20

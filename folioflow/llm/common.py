@@ -75,6 +75,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def owned(spark: SparkSession, path: str) -> str:
+    """A folder of this driver's own, named after ``path``; it goes like the tables of :func:`materialise`."""
+    path = f"{path}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 @atexit.register
 def _clear() -> None:
     for path, spark in _written.items():
