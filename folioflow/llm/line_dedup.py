@@ -131,7 +131,7 @@ class CuckooFilter:
     def _places(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         mark = (high >> np.uint64(48)).astype(np.uint16)
         mark[mark == 0] = 1  # 0 is an empty slot
-        first = (low & np.uint64(self.buckets - 1)).astype(np.int64)
+        first = ((low >> np.uint64(16)) & np.uint64(self.buckets - 1)).astype(np.int64)  # the first two bytes tell the shard
         return mark, first, self._other(first, mark)
 
     def _other(self, bucket, mark):
