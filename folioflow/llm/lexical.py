@@ -109,12 +109,11 @@ def postings(docs: DataFrame, terms: dict[str, int]) -> DataFrame:
                 if not found:
                     continue
                 counts = Counter(found)
-                new = counts.keys() - known.keys()
-                if new:
-                    if len(known) > CACHE_TERMS:
-                        known.clear()
-                        new = counts.keys()
-                    known.update((t, terms.get(folded(t), -1)) for t in new)
+                if len(known) > CACHE_TERMS:
+                    known.clear()
+                for t in counts:
+                    if t not in known:
+                        known[t] = terms.get(folded(t), -1)
                 asked = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
                 n = np.fromiter(counts.values(), np.int64, len(counts))
                 n, asked = n[asked >= 0], asked[asked >= 0]
