@@ -49,18 +49,18 @@ STOPS, WORD = ".,;:!?*$%&#", "0-9A-Za-zÀ-ÖØ-öø-ɏ"
 SEGMENT = re.compile(rf"\n(?=\n?\S)|\s*[{WORD}]++(?=[{STOPS}])|\s*\S+(?:[^\S \n]\s*\S*)*|\s+")
 #: Bits of a B id within a pair's number.
 B_BITS = 15
-#: Characters aligned at once, and what one worker keeps of segments (memory only, never results).
-BATCH_CHARS = 1 << 19
-CACHE_SEGMENTS = 250_000
-CACHE_LINKS = 1_500_000
+#: Characters aligned at once, rows read at once, and what one worker keeps of segments (memory only, never results).
+BATCH_CHARS, ROWS = 1 << 19, 512
+CACHE_SEGMENTS = 160_000
+CACHE_LINKS = 1_000_000
 #: Segments encoded as one running text, and links of a component beyond which they are multiplied as counts (the result is the same).
 RUN = 512
 LISTED = 4096
 #: Pair counts that one task gathers before it passes them on.
-HELD_PAIRS = 1_000_000
+HELD_PAIRS = 500_000
 #: Pair counts in a block, and bytes of packed pairs in a cell.
 BLOCK_PAIRS = 4_000_000
-CELL_BYTES = 24 << 20
+CELL_BYTES = 16 << 20
 
 
 def byte_level() -> dict[str, int]:
@@ -321,7 +321,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             nothing = [pa.nulls(len(texts), pa.int64())] * 2
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), *[pa.array(sizes[:, k]) for k in range(4)], pa.array(digests), *packed, *nothing], schema=schema)
 
-        for b in batches:
+        for b in (part for whole in batches for part in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS))):
             rows, ids, texts, n = [], [], [], 0
             for row, doc_id, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows.append(row)

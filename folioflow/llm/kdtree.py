@@ -16,9 +16,9 @@ most, and the k best over the shards remain. Nothing is broadcast.
 
 Defined cases: vectors that are null, empty or hold null or non-finite
 components take no part, neither do rows with a null id. Dimensions may differ:
-only vectors of a query's own dimension are its candidates. Of rows that repeat
-an id with the same vector all are kept as candidates but those with the
-query's own id. Ties go to the smaller id. Components and scores of any size are exact
+only vectors of a query's own dimension are its candidates. All rows that repeat
+an id are candidates but those with the query's own id; of a query id's
+different vectors the least asks. Ties go to the smaller id. Components and scores of any size are exact
 as far as a long goes; beyond, they saturate at its bounds (and tie there). An
 empty table gives an empty result.
 """
@@ -154,7 +154,8 @@ def topk(vectors: DataFrame, is_query, k: int = 5, shard: int = SHARD, block: in
     shards, query_rows = max(1, -(-n // shard)), rows.where(is_query)
     blocks = max(1, -(-query_rows.count() // block))
     data = rows.select("dim", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "vec_id", "q")
-    asks = query_rows.select("dim", F.pmod(F.shiftright("h", 7), F.lit(blocks)).cast("int").alias("block"), F.pmod("h", F.lit(shards)).cast("int").alias("home"), "vec_id", "q").distinct()
+    place = (F.pmod(F.shiftright("h", 7), F.lit(blocks)).cast("int").alias("block"), F.pmod("h", F.lit(shards)).cast("int").alias("home"))
+    asks = query_rows.groupBy("vec_id").agg(F.min(F.struct("q", "dim", "h")).alias("x")).select("vec_id", "x.*").select("dim", *place, "vec_id", "q")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     points = data.select("dim", "shard", every.alias("block"), "vec_id", "q", F.lit(False).alias("asks"), F.lit(LOWEST).alias("least"))
 

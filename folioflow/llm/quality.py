@@ -130,14 +130,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> DataFrame:
-    """``doc_id, text, quality`` of the bounded training sample."""
+    """``doc_id, text, quality`` of the bounded training sample; of rows that repeat an id the text of the least hash counts."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     marked = marked.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(~held_out())
     marked = marked.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     texts = doc_texts(docs)
     known = marked.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return texts.join(F.broadcast(sample), "doc_id")
+    one = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return one.select("doc_id", F.col("x.text").alias("text"), "quality")
 
 
 def collect_vectors(rows: DataFrame, most: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -147,7 +148,7 @@ def collect_vectors(rows: DataFrame, most: int) -> tuple[list[np.ndarray], list[
             made = [vector(t, hasher) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([a for a, _ in made], pa.list_(pa.int32())), pa.array([x for _, x in made], pa.list_(pa.float32()))], ["doc_id", "quality", "at", "x"])
 
-    got = rows.mapInArrow(run, "doc_id long, quality int, at array<int>, x array<float>").dropDuplicates(["doc_id"]).limit(most).toArrow()
+    got = rows.mapInArrow(run, "doc_id long, quality int, at array<int>, x array<float>").limit(most).toArrow()
     order = np.argsort(got["doc_id"].to_numpy(), kind="stable") if got.num_rows else np.zeros(0, np.int64)
     at, x = got["at"].combine_chunks(), got["x"].combine_chunks()
     return [at[int(i)].values.to_numpy() for i in order], [x[int(i)].values.to_numpy() for i in order], got["quality"].to_numpy()[order].astype(np.float64) if got.num_rows else np.zeros(0)

@@ -7,8 +7,8 @@ the pieces between them; running sums of both lengths (code points) are the
 starts and ends.
 
 *Battery.* A candidate is a run of 20+ characters of the base64/url alphabets.
-Its encoding is inferred (hex, base32, base62, base64), each character becomes
-its index in that alphabet, and three tests ask whether the indexes look like
+Its encoding is inferred (hex, base32 and base36 of one letter case, base62,
+base64), each character becomes its index in that alphabet, and three tests ask whether the indexes look like
 uniform draws: chi-squared over the alphabet, runs above/below the middle, and
 lag-1 serial correlation, each as a z score with exact finite-length moments.
 
@@ -21,8 +21,8 @@ inferred encoding against text: text changes between letter cases and digits at
 a rate of at most ``TEXT_CHANGE`` (the encoding at its own rate), and holds each letter
 as often as the likeliest language of ``LETTER_RATES`` (the encoding each of its
 letters and digits equally often). Signs tell nothing. One over the ratio is a
-valid p value under that model (Markov's inequality; a quarter of the ratio
-counts, as one of four encodings is chosen), and gets smaller with length.
+valid p value under that model (Markov's inequality; a fifth of the ratio
+counts, as one of five encodings is chosen), and gets smaller with length.
 
 "These are uniform draws" is tested by the battery: the largest of the three z
 scores has the p value 3 exp(-z^2 / 2), which bounds the normal tails of all three.
@@ -77,6 +77,7 @@ BLOCK = 512
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 HEX_ALPHABET = "0123456789abcdef"
 B32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+B36_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 B62_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 SPAN = "array<struct<s:int,k:int,e:int,kind:string>>"
 
@@ -139,13 +140,13 @@ def _battery(token: Column) -> Column:
     total = lambda xs, of: F.aggregate(F.arrays_zip(xs.alias("n"), of.alias("w")), F.lit(0.0), lambda a, x: a + x["n"] * x["w"])
 
     def encoded(t: Column) -> Column:
-        hexed, b32 = t.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), t.rlike("^[A-Z2-7]+$")
-        by = lambda of: F.when(hexed, of(6, 10, change(6, 10))).when(b32, of(26, 6, change(26, 6))).otherwise(of(26, 10, change(26, 26, 10)))
+        hexed, b32, b36 = t.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), t.rlike("^(?:[A-Z2-7]+|[a-z2-7]+)$"), t.rlike("^(?:[A-Z0-9]+|[a-z0-9]+)$")
+        by = lambda of: F.when(hexed, of(6, 10, change(6, 10))).when(b32, of(26, 6, change(26, 6))).when(b36, of(26, 10, change(26, 10))).otherwise(of(26, 10, change(26, 26, 10)))
         wide = F.when(~t.rlike("[+/_-]"), B62_ALPHABET).when(t.rlike("[_-]"), B62_ALPHABET + "-_").otherwise(B62_ALPHABET + "+/")
         # classes of characters: a, A, 0 and - for signs
         sorts = F.translate(t, LETTERS + LETTERS.upper() + "0123456789+/_-", "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
         return F.struct(
-            F.when(hexed, F.lower(t)).otherwise(t).alias("text"), F.when(hexed, HEX_ALPHABET).when(b32, B32_ALPHABET).otherwise(wide).alias("alphabet"),
+            F.when(hexed, F.lower(t)).when(b36, F.upper(t)).otherwise(t).alias("text"), F.when(hexed, HEX_ALPHABET).when(b32, B32_ALPHABET).when(b36, B36_ALPHABET).otherwise(wide).alias("alphabet"),
             sorts.alias("sorts"), F.transform(F.split(F.lit(LETTERS), ""), lambda c: count(F.lower(t), c)).alias("letters"), count(sorts, F.lit("0")).alias("digits"),
             by(lambda l, d, r: F.lit(math.log10(r / TEXT_CHANGE))).alias("move"), by(lambda l, d, r: F.lit(math.log10((1 - r) / (1 - TEXT_CHANGE)))).alias("stay"),
             by(lambda l, d, r: F.lit(math.log10(1 / l))).alias("letter"), by(lambda l, d, r: F.lit(math.log10(10 / d))).alias("digit"),
@@ -176,7 +177,7 @@ def _battery(token: Column) -> Column:
         serial = ((n * v["sxy"] - v["sx"] * v["sx"]) / var + 1 / (n - 1)) / F.sqrt(n * n / ((n - 1) * (n - 1) * (n - 2)))
         z = F.greatest(F.abs(chi), F.abs(runs), F.abs(serial))
         rare = F.least(*[total(e["letters"], r) for r in rarity])
-        ratio = v["moves"] * e["move"] + v["stays"] * e["stay"] + rare + v["letters"] * e["letter"] + e["digits"] * e["digit"] - math.log10(4)
+        ratio = v["moves"] * e["move"] + v["stays"] * e["stay"] + rare + v["letters"] * e["letter"] + e["digits"] * e["digit"] - math.log10(5)
         binned = lambda x: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(MAX_BIN)).cast("int")
         return F.struct(n.cast("int").alias("n"), binned(ratio).alias("bin"), binned(z * z / 2 / math.log(10) - math.log10(3)).alias("odd"), ((v["letters"] > 0) & (e["digits"] > 0)).alias("mixed"))
 

@@ -65,11 +65,12 @@ def test_secret_recall_by_encoding_and_length(spark):
     """Share of uniform tokens that reach bin 4 and pass the battery; joined words do not."""
     rng = random.Random(3)
     b62 = secrets.B62_ALPHABET
-    alphabets = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": secrets.B32_ALPHABET, "base62": b62, "base64": b62 + "+/"}
-    least = {("hex", 20): 0.75, ("HEX", 20): 0.75, ("hex", 24): 0.85, ("HEX", 24): 0.85, ("base32", 20): 0.4, ("base32", 32): 0.75, ("base32", 52): 0.95, ("base62", 20): 0.85, ("base64", 20): 0.8, ("base64", 32): 0.95}
+    alphabets = {"hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "base32": secrets.B32_ALPHABET, "lower32": secrets.B32_ALPHABET.lower(), "base36": secrets.B36_ALPHABET, "lower36": secrets.B36_ALPHABET.lower(), "base62": b62, "base64": b62 + "+/"}
+    least = {("hex", 20): 0.75, ("HEX", 20): 0.75, ("hex", 24): 0.85, ("HEX", 24): 0.85, ("base32", 20): 0.4, ("base32", 32): 0.75, ("base32", 52): 0.95, ("lower32", 32): 0.75, ("lower32", 52): 0.95, ("base36", 32): 0.75, ("lower36", 20): 0.4, ("lower36", 32): 0.75, ("lower36", 64): 0.95, ("base62", 20): 0.85, ("base64", 20): 0.8, ("base64", 32): 0.95}
     rows = [(k, n, "".join(rng.choices(alphabets[k], k=n))) for k, n in least for _ in range(300)]
     words = "time people account server between history running language morning question".split()
     joined = ("".join(x.capitalize() for x in rng.choices(words, k=5)) + "7" for _ in range(300))
+    rows += [("words", 0, "".join(rng.choices(words, k=5)) + str(rng.randint(1, 2030))) for _ in range(300)]
     rows += [("words", 0, t) for t in joined] + [("words", 0, "/".join(rng.choices(words, k=5)).upper() + "2024") for _ in range(300)]
     j = frame(spark, rows, "k string, n int, t string").select("k", "n", secrets._battery(F.col("t")).alias("j"))
     got = {(r.k, r.n): r.p for r in j.groupBy("k", "n").agg(F.avg((F.col("j.mixed") & (F.col("j.odd") < 5) & (F.col("j.bin") >= 4)).cast("double")).alias("p")).collect()}
@@ -83,11 +84,13 @@ def brute_battery(token):
     hexed = re.fullmatch("[0-9a-f]+|[0-9A-F]+", t)
     if hexed:
         alphabet, sizes = "0123456789abcdef", (6, 10)
-    elif re.fullmatch("[A-Z2-7]+", t):
+    elif re.fullmatch("[A-Z2-7]+|[a-z2-7]+", t):
         alphabet, sizes = secrets.B32_ALPHABET, (26, 6)
+    elif re.fullmatch("[A-Z0-9]+|[a-z0-9]+", t):
+        alphabet, sizes = secrets.B36_ALPHABET, (26, 10)
     else:
         alphabet, sizes = secrets.B62_ALPHABET + ("" if not re.search("[+/_-]", t) else "-_" if re.search("[_-]", t) else "+/"), (26, 26, 10)
-    x = [float(alphabet.find(c)) for c in (t.lower() if hexed else t)]
+    x = [float(alphabet.find(c)) for c in (t.lower() if hexed else t.upper() if re.fullmatch("[A-Z0-9]+|[a-z0-9]+", t) else t)]
     n, k = len(x), len(alphabet)
     counts = Counter(x)
     chi = (sum((counts[i] - n / k) ** 2 / (n / k) for i in map(float, range(k))) + n / k * sum(1 for c in counts if c < 0) - (k - 1)) / (2 * (k - 1) * (n - 1) / n) ** 0.5
@@ -107,14 +110,14 @@ def brute_battery(token):
     log = math.log10
     rare = min(sum(-log(r[ord(c) - 97] / sum(r)) for c in t.lower() if c.isalpha()) for r in secrets.LETTER_RATES)
     letters, digits = sum(c.isalpha() for c in t), sum(c.isdigit() for c in t)
-    ratio = moves * log(change / secrets.TEXT_CHANGE) + stays * log((1 - change) / (1 - secrets.TEXT_CHANGE)) + rare - letters * log(sizes[0] if len(sizes) == 2 else 26) - digits * log(sizes[-1] / 10) - log(4)
+    ratio = moves * log(change / secrets.TEXT_CHANGE) + stays * log((1 - change) / (1 - secrets.TEXT_CHANGE)) + rare - letters * log(sizes[0] if len(sizes) == 2 else 26) - digits * log(sizes[-1] / 10) - log(5)
     fit = lambda v: min(max(math.floor(v), 0), secrets.MAX_BIN)
     return n, fit(ratio), fit(z * z / 2 / math.log(10) - log(3)), letters > 0 and digits > 0
 
 
 def test_battery_equals_brute_force(spark):
     rng = random.Random(12)
-    sets = ["0123456789abcdef", "0123456789ABCDEF", secrets.B32_ALPHABET, secrets.B62_ALPHABET, secrets.B62_ALPHABET + "+/", secrets.B62_ALPHABET + "-_", "abcdefgh0", "aA0"]
+    sets = ["0123456789abcdef", "0123456789ABCDEF", secrets.B32_ALPHABET, secrets.B62_ALPHABET, secrets.B62_ALPHABET + "+/", secrets.B62_ALPHABET + "-_", "abcdefgh0", "aA0", secrets.B32_ALPHABET.lower(), secrets.B36_ALPHABET, secrets.B36_ALPHABET.lower()]
     rows = ["".join(rng.choices(rng.choice(sets), k=rng.randint(20, 200))) + rng.choice(["", "", "=", "=="]) for _ in range(400)] + ["a" * 30, "0" * 24, "ab" * 20]
     got = {r.t: tuple(r.j) for r in frame(spark, [(t,) for t in rows], "t string").select("t", secrets._battery(F.col("t")).alias("j")).collect()}
     off = {t: (got[t], brute_battery(t)) for t in rows if got[t] != brute_battery(t)}
@@ -215,6 +218,13 @@ def test_quality_edge_cases(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_quality_of_repeated_ids_does_not_hang_on_partitions(spark):
+    rows = [(i % 40, t) for i, t in enumerate(sample_texts(160, 5))]
+    docs, labels = frame(spark, rows), frame(spark, [(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    first, second = (sorted((r.doc_id, r.score) for r in quality.classify(docs.repartition(n), labels).collect()) for n in (3, 7))
+    assert first == second
+
+
 # 3 ---------------------------------------------------------------------------
 
 
@@ -703,6 +713,21 @@ def test_topk_equals_brute_force(spark):
     assert kdtree.topk(frame_.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_ids_with_several_vectors(spark):
+    """The least vector of a query's id asks, once; all rows of other ids are candidates."""
+    rng = random.Random(6)
+    rows = [(rng.choice([50, 50, 100, *range(1, 20)]), [rng.randint(-8, 8) / 4 for _ in range(4)]) for _ in range(120)]
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for own in sorted({i for i, _ in whole if i % 50 == 0}):
+        q = min(v for i, v in whole if i == own)
+        scored = sorted(((-sum(a * b for a, b in zip(q, v, strict=True)), i) for i, v in whole if i != own))[:5]
+        want += [(own, k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+    for n in (2, 5):
+        df = frame(spark, rows, "vec_id long, embedding array<double>").repartition(n)
+        assert sorted(map(tuple, kdtree.topk(df, F.col("vec_id") % 50 == 0, 5, shard=16, block=2).collect())) == want
+
+
 def test_topk_of_components_of_any_size(spark):
     rng = np.random.default_rng(6)
     sizes = [1e-2, 1.0, 1e6, 1e7, 1e9, 1e15, 1e300]
