@@ -1,14 +1,17 @@
 """Gap analysis between job descriptions and résumés, for all pairs of two tables.
 
 Inputs are frames ``jd_id, text`` and ``doc_id, text``. Vocabulary work is done
-once per text, never per pair: keyword hits are a short array of keyword
-numbers, token overlap is an equi-join on tokens. Pairs only meet as arrays.
-Scores and advice are expressions on one row of a pair. The description side is
-broadcast while its counted bytes allow, else it is dealt in blocks.
+once per text, never per pair: keywords are found by one pattern, tokens become
+numbers. A pair is one row of short arrays (:func:`pairs`); overlap, coverage,
+scores, signals, gaps and advice are expressions on that row, so nothing is
+shuffled behind the meeting of the two sides. The description side is broadcast
+while its counted bytes allow, else it is dealt in blocks.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +46,88 @@ def _meet(docs: DataFrame, side: DataFrame) -> DataFrame:
     return spread.join(dealt.hint("shuffle_hash"), "_block").drop("_block")
 
 
+def _trie(words: list[str]) -> str:
+    """A pattern for the longest of ``words`` that begins at a position: one branch a character, an end optional where words go on."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        branches = [(re.escape(c) if c.isascii() else c) + pattern(n) for c, n in sorted(node.items()) if c]
+        if not branches:
+            return ""
+        body = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return body + "?" * ("" in node)
+
+    return pattern(root)
+
+
+def _overlaps_itself(word: str) -> bool:
+    return any(word.startswith(word[k:]) for k in range(1, len(word)))
+
+
+def _keyword_table(words: list[tuple[int, str, int, str]]):
+    """(pattern, map from a longest keyword to the rows of all keywords that begin it, map from a row to its word and the longest ones it begins)."""
+    texts = sorted({w for *_, w in words})
+    begins = {w: [i for i, (*_, x) in enumerate(words) if w.startswith(x)] for w in texts}
+    rows = F.create_map(*[c for w in texts for c in (F.lit(w), F.array(*map(F.lit, begins[w])))])
+    entry = lambda c, k, w: F.struct(
+        F.lit(c).alias("cat_ord"), F.lit(k).alias("kw_ord"), F.lit(w).alias("word"), F.lit(_overlaps_itself(w)).alias("folds"), F.array(*[F.lit(x) for x in texts if x.startswith(w)]).alias("longest")
+    )
+    return f"(?=({_trie(texts)}))", rows, F.array(*[entry(c, k, w) for c, _, k, w in words])
+
+
+def hits_of(text: Column, words: list[tuple[int, str, int, str]]) -> Column:
+    """array<struct<cat_ord, kw_ord, n>>: keywords that occur in a text, in order, with their occurrences that don't overlap.
+
+    The vocabulary is one pattern that tells the longest keyword at each
+    position; all others that begin there are its prefixes. A keyword that can't
+    overlap itself occurs as often as it is told, the few that can are counted in the text. A null text has none.
+    """
+    none = F.array().cast("array<struct<cat_ord:int,kw_ord:int,n:int>>")
+    if not words:
+        return none
+    pattern, rows, table = _keyword_table(words)
+
+    def counted(low: Column, found: Column) -> Column:
+        present = F.array_sort(F.array_distinct(F.flatten(F.transform(F.array_distinct(found), lambda f: F.element_at(rows, f)))))
+        told = lambda w: F.size(F.filter(found, lambda f: F.array_contains(w["longest"], f)))
+        one = lambda w: F.struct(w["cat_ord"].alias("cat_ord"), w["kw_ord"].alias("kw_ord"), F.when(w["folds"], X.occurrences(low, w["word"])).otherwise(told(w)).alias("n"))
+        return F.transform(present, lambda i: one(F.get(table, i)))
+
+    low = F.lower(text)
+    return F.coalesce(X.let(F.struct(low.alias("low"), F.regexp_extract_all(low, F.lit(pattern), F.lit(1)).alias("found")), lambda x: counted(x["low"], x["found"])), none)
+
+
 def keyword_hits(texts: DataFrame, key: str, words: list[tuple[int, str, int, str]]) -> DataFrame:
-    """``key, hits array<struct<cat_ord, kw_ord, n>>``: keywords that occur, with their occurrences."""
-    table = F.array(*[F.struct(F.lit(c).alias("cat_ord"), F.lit(k).alias("kw_ord"), F.lit(w).alias("word")) for c, _, k, w in words])
-    hits = X.let(F.lower("text"), lambda low: F.transform(F.filter(table, lambda w: F.contains(low, w["word"])), lambda w: F.struct(w["cat_ord"].alias("cat_ord"), w["kw_ord"].alias("kw_ord"), X.occurrences(low, w["word"]).alias("n"))))
-    return texts.select(key, hits.alias("hits"))
+    """``key, hits`` (:func:`hits_of`) of every text."""
+    return texts.select(key, hits_of(F.col("text"), words).alias("hits"))
+
+
+def vocabulary_counts(texts: DataFrame, key: str, words: list[tuple[int, str, int, str]]) -> DataFrame:
+    """``key, cat_ord, kw_ord, n``: the same hits as rows, for vocabularies of thousands of words.
+
+    Each text is read once for the longest words at its positions. These are counted by
+    text and word, and a relation from a word to its prefixes (broadcast, as large as the vocabulary)
+    closes the set. Words that can overlap themselves are only marked there, and counted in the texts that hold them.
+    """
+    spark = texts.sparkSession
+    all_words = sorted({w for *_, w in words})
+    ids: dict[str, list[tuple[int, int]]] = {}
+    for c, _, k, w in words:
+        ids.setdefault(w, []).append((c, k))
+    closed = [(w, w[:n], c, k, _overlaps_itself(w[:n])) for w in all_words for n in range(1, len(w) + 1) for c, k in ids.get(w[:n], ())]
+    prefixes = F.broadcast(spark.createDataFrame(closed, "longest string, word string, cat_ord int, kw_ord int, folds boolean"))
+    low = F.lower("text")
+    found = texts.select(key, F.regexp_extract_all(low, F.lit(f"(?=({_trie(all_words)}))"), F.lit(1)).alias("found"))
+    met = found.select(key, F.explode("found").alias("longest")).groupBy(key, "longest").agg(F.count("*").alias("n")).join(prefixes, "longest")
+    plain = met.where(~F.col("folds")).groupBy(key, "cat_ord", "kw_ord").agg(F.sum("n").alias("n"))
+    marked = met.where("folds").select(key, "cat_ord", "kw_ord", "word").distinct().groupBy(key).agg(F.collect_list(F.struct("cat_ord", "kw_ord", "word")).alias("marked"))
+    counted = texts.select(key, low.alias("low")).join(marked, key).select(key, F.explode(F.transform("marked", lambda m: F.struct(m["cat_ord"].alias("cat_ord"), m["kw_ord"].alias("kw_ord"), X.occurrences(F.col("low"), m["word"]).cast("long").alias("n")))).alias("m"))
+    return plain.unionByName(counted.select(key, "m.*"))
 
 
 def keyword_frequency(texts: DataFrame, key: str, words: list[tuple[int, str, int, str]]) -> DataFrame:
@@ -80,7 +160,10 @@ def priority(coverage: Column, frequency: Column) -> Column:
 
 
 def gap_signals(coverage: DataFrame, top_n: int = 5) -> DataFrame:
-    """The ``top_n`` high or medium signals of each pair: high first, then frequency, then the vocabulary's order."""
+    """The ``top_n`` high or medium signals of each pair of a coverage table: high first, then frequency, then the vocabulary's order.
+
+    For signals straight from texts, :func:`pair_signals` needs no shuffle.
+    """
     rows = coverage.withColumn("priority", priority(F.col("coverage"), F.col("frequency"))).where("priority <> 'low'")
     order = Window.partitionBy("jd_id", "doc_id").orderBy(F.when(F.col("priority") == "high", 0).otherwise(1), F.desc("frequency"), "cat_ord")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n).withColumn("label", X.title_label(F.col("category")))
@@ -97,58 +180,84 @@ def doc_terms(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.posexplode(X.tokens(F.col("text"))).alias("pos", "term")).groupBy(key, "term").agg(F.count("*").alias("freq"), F.min("pos").alias("first_pos"))
 
 
-def keyword_gaps(jds: DataFrame, docs: DataFrame, min_freq: int = 2, top_n: int = 10) -> DataFrame:
-    """Terms of a description that a résumé lacks, by frequency, then first occurrence.
+def _numbers(terms: DataFrame):
+    """A function from a term to a number that tells the distinct ``terms`` apart, and their bytes; one action."""
 
-    The résumé keeps, of the terms that any description asks for, those that it
-    has, as one array; the pair is then two arrays.
-    """
-    asked = doc_terms(jds, "jd_id").where((F.col("freq") >= min_freq) & (F.length("term") > 3))
-    wanted = asked.groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("nf"), "first_pos", "term"))).alias("want"))
-    terms = _small(asked.select("term").distinct())
-    have = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term")).join(terms, "term").groupBy("doc_id").agg(F.collect_set("term").alias("have"))
-    spine = docs.select("doc_id").join(have, "doc_id", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
-    gaps = _meet(spine, wanted).select("jd_id", "doc_id", F.posexplode(F.slice(F.filter("want", lambda w: ~F.array_contains("have", w["term"])), 1, top_n)).alias("at", "w"))
-    return gaps.select("jd_id", "doc_id", (F.col("at") + 1).alias("rank"), F.col("w.term").alias("term"), (-F.col("w.nf")).alias("freq"))
+    def seeded(seed: int):
+        return lambda term: F.xxhash64(F.lit(seed), term)
 
+    for number in map(seeded, range(64)):
+        n, told, size = terms.agg(F.count("*"), F.count_distinct(number(F.col("term"))), F.sum(F.octet_length("term") + 8)).first()
+        if n == told:
+            return number, size or 0
+    raise ValueError("no seed tells the terms apart")
 
-def token_overlap(jds: DataFrame, docs: DataFrame) -> DataFrame:
-    """``jd_id, doc_id, shared, jd_tokens``: distinct tokens that both have, for pairs that share any."""
-    jd = jds.select("jd_id", F.array_distinct(X.tokens(F.col("text"))).alias("t"))
-    sizes = jd.select("jd_id", F.size("t").alias("jd_tokens"))
-    terms = jd.select("jd_id", F.explode("t").alias("term"))
-    have = docs.select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    both = have.join(_small(terms.groupBy("term").agg(F.collect_list("jd_id").alias("jd_ids"))), "term").select("doc_id", F.explode("jd_ids").alias("jd_id"))
-    return both.groupBy("jd_id", "doc_id").agg(F.count("*").alias("shared")).join(_small(sizes), "jd_id")
 
+def pairs(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None, min_freq: int = 2) -> DataFrame:
+    """Every pair as one row: ``jd_id, doc_id, jd_tokens, shared, cover, want, have``.
 
-def covered(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
-    """``jd_id, doc_id, jd_tokens, cover`` of every pair; nothing is shuffled after the pair is made.
+    ``shared`` counts the distinct tokens of both; ``cover`` has
+    ``struct<cat_ord, frequency, coverage, asked, lacks>`` for each category that the
+    description names (null if none); ``want`` the description's frequent terms
+    by frequency, then first occurrence; ``have`` the numbers of those of the
+    descriptions' terms that the document holds.
 
-    ``cover`` has ``struct<cat_ord, frequency, coverage>`` for each category that
-    the description names. Keywords are numbers, 1000 to a category.
+    Keywords are numbers, 1000 to a category; so are the descriptions' terms. A document
+    meets the terms by name, once, and keeps their numbers; pairs only compare numbers.
     """
     words = vocab.taxonomy_rows(taxonomy)
-    number = lambda h: h["cat_ord"] * 1000 + h["kw_ord"]
-    asked = keyword_hits(jds, "jd_id", words).select("jd_id", F.explode("hits").alias("h")).groupBy("jd_id", F.col("h.cat_ord").alias("cat_ord"))
-    asked = asked.agg(F.collect_list(number(F.col("h"))).alias("want"), F.sum("h.n").cast("long").alias("frequency")).groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct("cat_ord", "frequency", "want"))).alias("cats"))
-    side = jds.select("jd_id", F.size(F.array_distinct(X.tokens(F.col("text")))).alias("jd_tokens")).join(asked, "jd_id", "left")
-    pairs = _meet(keyword_hits(docs, "doc_id", words).select("doc_id", F.transform("hits", number).alias("have")), side)
-    one = lambda c: F.struct(c["cat_ord"].alias("cat_ord"), c["frequency"].alias("frequency"), F.bround(F.size(F.array_intersect(c["want"], F.col("have"))) / F.size(c["want"]), 2).alias("coverage"))
-    return pairs.select("jd_id", "doc_id", "jd_tokens", F.when(F.col("cats").isNotNull(), F.transform("cats", one)).alias("cover"))
+    tokens = F.array_distinct(X.tokens(F.col("text")))
+    none = F.array().cast("array<long>")
+    asked_terms = jds.select(F.explode(tokens).alias("term")).distinct()
+    number, size = _numbers(asked_terms)
+    keyword = lambda h: h["cat_ord"] * 1000 + h["kw_ord"]
+    of_category = lambda hits, c: F.filter(hits, lambda h: h["cat_ord"] == c)
+    category = lambda hits: lambda c: X.let(of_category(hits, c), lambda hs: F.struct(c.alias("cat_ord"), F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: a + h["n"]).alias("frequency"), F.transform(hs, keyword).alias("asked")))
+    ords = F.array(*[F.lit(c) for c in dict.fromkeys(c for c, *_ in words)]) if words else F.array().cast("array<int>")
+    cats = X.let(hits_of(F.col("text"), words), lambda hits: F.filter(F.transform(ords, category(hits)), lambda c: F.size(c["asked"]) > 0))
+    frequent = doc_terms(jds, "jd_id").where((F.col("freq") >= min_freq) & (F.length("term") > 3))
+    wanted = frequent.groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("nf"), "first_pos", "term", number(F.col("term")).alias("n")))).alias("want"))
+    side = jds.select("jd_id", F.size(tokens).alias("jd_tokens"), F.coalesce(F.transform(tokens, number), none).alias("jd_terms"), cats.alias("cats")).join(wanted, "jd_id", "left")
+
+    terms = asked_terms.select("term", number(F.col("term")).alias("n"))
+    terms = F.broadcast(terms) if size <= BROADCAST_BYTES else terms
+    held = docs.select("doc_id", F.explode(tokens).alias("term")).join(terms, "term").groupBy("doc_id").agg(F.collect_list("n").alias("have"))
+    spine = docs.select("doc_id", F.transform(hits_of(F.col("text"), words), keyword).alias("keywords")).join(held, "doc_id", "left").withColumn("have", F.coalesce("have", none))
+
+    lacks = lambda c: F.array_except(c["asked"], F.col("keywords"))
+    met = lambda c: F.size(F.array_intersect(c["asked"], F.col("keywords")))
+    one = lambda c: F.struct(c["cat_ord"].alias("cat_ord"), c["frequency"].alias("frequency"), F.bround(met(c) / F.size(c["asked"]), 2).alias("coverage"), c["asked"].alias("asked"), lacks(c).alias("lacks"))
+    cover = F.when(F.size("cats") > 0, F.transform("cats", one))
+    return _meet(spine, side).select("jd_id", "doc_id", "jd_tokens", F.size(F.array_intersect("have", "jd_terms")).cast("long").alias("shared"), cover.alias("cover"), "want", "have")
+
+
+def _gaps(top_n: int) -> Column:
+    """``array<struct<rank, term, freq>>``: the first ``top_n`` wanted terms of a pair that the document lacks; null if none."""
+    lacking = F.slice(F.filter("want", lambda w: ~F.array_contains("have", w["n"])), 1, top_n)
+    named = F.transform(lacking, lambda w, i: F.struct((i + 1).alias("rank"), w["term"].alias("term"), (-w["nf"]).alias("freq")))
+    return X.let(named, lambda g: F.when(F.size(g) > 0, g))
+
+
+def keyword_gaps(jds: DataFrame, docs: DataFrame, min_freq: int = 2, top_n: int = 10) -> DataFrame:
+    """``jd_id, doc_id, rank, term, freq``: terms of a description that a résumé lacks, by frequency, then first occurrence."""
+    rows = pairs(jds, docs, {}, min_freq)
+    return rows.select("jd_id", "doc_id", F.explode(_gaps(top_n)).alias("g")).select("jd_id", "doc_id", "g.rank", "g.term", "g.freq")
+
+
+def token_overlap(jds: DataFrame, docs: DataFrame) -> DataFrame:
+    """``jd_id, doc_id, shared, jd_tokens``: distinct tokens that both have, for pairs that share any."""
+    return pairs(jds, docs, {}).where("shared > 0").select("jd_id", "doc_id", "shared", "jd_tokens")
 
 
 def scored(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
-    """:func:`covered` with ``overlap, category_mean, score``.
+    """:func:`pairs` with ``overlap, category_mean, score``.
 
     The score is half token overlap, half mean coverage of the description's
     categories, times 100, truncated. Coverage is summed in whole hundredths, so
-    the sum is exact in any order. Of the pairs only those that share a token
-    meet their overlap, in one join.
+    the sum is exact in any order.
     """
-    shared = token_overlap(jds, docs).select("jd_id", "doc_id", "shared")
     cents = F.aggregate("cover", F.lit(0).cast("long"), lambda a, x: a + F.bround(x["coverage"] * 100).cast("long"))
-    rows = covered(jds, docs, taxonomy).join(shared, ["jd_id", "doc_id"], "left").withColumn("overlap", F.coalesce("shared", F.lit(0)) / F.greatest("jd_tokens", F.lit(1)))
+    rows = pairs(jds, docs, taxonomy).withColumn("overlap", F.col("shared") / F.greatest("jd_tokens", F.lit(1)))
     rows = rows.withColumn("category_mean", F.when(F.col("cover").isNotNull(), cents / F.size("cover") / 100).otherwise(0.0))
     return rows.withColumn("score", F.least(F.floor((0.5 * F.col("overlap") + 0.5 * F.col("category_mean")) * 100).cast("int"), F.lit(100)))
 
@@ -163,25 +272,46 @@ def band(score: Column) -> Column:
 
 
 def top_signals(cover: Column, top_n: int = 5) -> Column:
-    """The same signals of one pair as an array of ``struct<low, less, cat_ord>`` in order, without a shuffle."""
+    """The signals of one pair in order as ``array<struct<low, less, cat_ord, coverage, asked>>``; no shuffle."""
     told = F.filter(cover, lambda x: priority(x["coverage"], x["frequency"]) != "low")
-    keys = F.transform(told, lambda x: F.struct((priority(x["coverage"], x["frequency"]) != "high").alias("low"), (-x["frequency"]).alias("less"), x["cat_ord"].alias("cat_ord")))
+    keys = F.transform(told, lambda x: F.struct((priority(x["coverage"], x["frequency"]) != "high").alias("low"), (-x["frequency"]).alias("less"), x["cat_ord"].alias("cat_ord"), x["coverage"].alias("coverage"), x["asked"].alias("asked")))
     return F.slice(F.array_sort(keys), 1, top_n)
 
 
-def recommendations(jds: DataFrame, docs: DataFrame, top_n: int = 5) -> DataFrame:
-    """``jd_id, doc_id, score, advice array<string>`` of every pair; depends on the ``top_n`` signals."""
+def _told(words: list[tuple[int, str, int, str]], top_n: int) -> Column:
+    """:func:`top_signals` of ``cover`` with names: ``array<struct<rank, category, label, jd_keywords, frequency, coverage, priority, angles>>``, null if none."""
+    word = F.create_map(*[F.lit(x) for c, _, k, w in words for x in (c * 1000 + k, w)])
+    category = F.create_map(*[x for c, n in dict.fromkeys((c, n) for c, n, *_ in words) for x in (F.lit(c), F.struct(F.lit(n).alias("category"), X.title_label(F.lit(n)).alias("label"), F.array(*map(F.lit, vocab.ANGLES.get(n, []))).cast("array<string>").alias("angles")))])
+    one = lambda x, i: X.let(F.element_at(category, x["cat_ord"]), lambda c: F.struct(
+        (i + 1).alias("rank"), c["category"].alias("category"), c["label"].alias("label"), F.transform(x["asked"], lambda k: F.element_at(word, k)).alias("jd_keywords"),
+        (-x["less"]).alias("frequency"), x["coverage"].alias("coverage"), F.when(x["low"], "medium").otherwise("high").alias("priority"), c["angles"].alias("angles"),
+    ))
+    named = F.transform(top_signals(F.col("cover"), top_n), one)
+    return F.when(F.col("cover").isNotNull(), X.let(named, lambda s: F.when(F.size(s) > 0, s)))
+
+
+def pair_signals(jds: DataFrame, docs: DataFrame, top_n: int = 5, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
+    """``jd_id, doc_id, rank, category, label, jd_keywords, frequency, coverage, priority, angles`` of every pair's ``top_n`` signals."""
+    rows = pairs(jds, docs, taxonomy).select("jd_id", "doc_id", F.explode(_told(vocab.taxonomy_rows(taxonomy), top_n)).alias("s"))
+    return rows.select("jd_id", "doc_id", "s.*")
+
+
+def _advised(rows: DataFrame, top_n: int) -> DataFrame:
+    """``advice`` of scored pairs, from their score and the categories of their signals."""
     ords = {name: c for c, name in enumerate(vocab.TAXONOMY)}
     empty = F.array().cast("array<int>")
-    rows = scored(jds, docs).withColumn("kept", F.when(F.col("cover").isNotNull(), F.transform(top_signals(F.col("cover"), top_n), lambda x: x["cat_ord"])).otherwise(empty))
+    rows = rows.withColumn("kept", F.when(F.col("cover").isNotNull(), F.transform(top_signals(F.col("cover"), top_n), lambda x: x["cat_ord"])).otherwise(empty))
     holds = lambda name: F.array_contains("kept", F.lit(ords[name]))
     given = F.filter(F.array(F.when(F.col("score") < 50, vocab.ADVICE["critical"]), F.when(holds("testing_ci_cd"), vocab.ADVICE["testing"]), F.when(holds("data_quality_observability"), vocab.ADVICE["quality"])), lambda a: a.isNotNull())
-    return rows.select("jd_id", "doc_id", "score", X.let(given, lambda g: F.when(F.size(g) == 0, F.array(F.lit(vocab.ADVICE["good"]))).otherwise(g)).alias("advice"))
+    return rows.withColumn("advice", X.let(given, lambda g: F.when(F.size(g) == 0, F.array(F.lit(vocab.ADVICE["good"]))).otherwise(g)))
+
+
+def recommendations(jds: DataFrame, docs: DataFrame, top_n: int = 5) -> DataFrame:
+    """``jd_id, doc_id, score, advice array<string>`` of every pair; depends on the ``top_n`` signals."""
+    return _advised(scored(jds, docs), top_n).select("jd_id", "doc_id", "score", "advice")
 
 
 def full_report(jds: DataFrame, docs: DataFrame, top_n: int = 5) -> DataFrame:
-    """One nested row per pair: score, signals, keyword gaps and recommendations."""
-    signals = gap_signals(category_coverage(jds, docs), top_n)
-    told = with_angles(signals).groupBy("jd_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "label", "jd_keywords", "frequency", "coverage", "priority", "angles"))).alias("signals"))
-    gaps = keyword_gaps(jds, docs).groupBy("jd_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term", "freq"))).alias("gaps"))
-    return recommendations(jds, docs, top_n).join(told, ["jd_id", "doc_id"], "left").join(gaps, ["jd_id", "doc_id"], "left")
+    """One nested row per pair: score, recommendations, signals and keyword gaps, all of one projection of the pair."""
+    rows = _advised(scored(jds, docs), top_n)
+    return rows.select("jd_id", "doc_id", "score", "advice", _told(vocab.taxonomy_rows(), top_n).alias("signals"), _gaps(10).alias("gaps"))

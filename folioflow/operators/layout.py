@@ -1,10 +1,25 @@
-"""Order and joining of text pieces on a page."""
+"""Order, lines and columns of text pieces on a page, and joining of what is printed in parts.
+
+All are frame expressions. What is gathered into one array is a page's distinct
+heights (never its pieces) or one line's pieces, so a page that holds a large
+share of all pieces is spread over tasks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
+#: Heights of one line, gap between columns of pieces and of boxes, width of a character and what may be added to it.
+LINE_HEIGHT, PIECE_GAP, BOX_GAP = 3.0, 18.0, 15.0
+CHAR_WIDTH, WIDTH_SLACK = 4.0, 1.1
+#: Pieces that a page must exceed to have columns.
+FEW_PIECES = 4
+#: Half of a letter page.
+PAGE_MIDDLE = 306.0
+
 
 def box_order(boxes: DataFrame, page: str = "page", top: str = "y1", left: str = "x0") -> DataFrame:
     """Add ``place``, the reading order of text boxes on their page: from the top down, then from the left."""
@@ -18,3 +33,144 @@ def merged_sentences(lines: DataFrame, key: str = "doc_id", at: str = "at", line
     rows = lines.withColumn("begins", F.coalesce(begins, F.lit(False)).cast("int")).withColumn("part", F.sum("begins").over(order))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, line))), lambda x: x[line]), " ")
     return rows.groupBy(key, "part").agg(joined.alias("text"))
+
+
+def anchors(heights: Column, tolerance: float = LINE_HEIGHT) -> Column:
+    """Of heights in falling order those that open a line: each more than ``tolerance`` below the one that opened the line before.
+
+    An ordered greedy fold: a line is measured from its first height, not from
+    its latest, so lines differ from islands between gaps.
+    """
+    opened = lambda acc, y: F.when(F.size(acc) == 0, F.array(y)).when(F.element_at(acc, -1) - y > tolerance, F.concat(acc, F.array(y))).otherwise(acc)
+    return F.aggregate(heights, F.array().cast("array<double>"), opened)
+
+
+def with_lines(pieces: DataFrame, page: str | list[str] = "page", y: str = "y", tolerance: float = LINE_HEIGHT) -> DataFrame:
+    """Add ``line``, from 1 at the top of the page: pieces at most ``tolerance`` below a line's first piece belong to it.
+
+    Distinct heights of a page are folded; pieces without a height have no line.
+    ``page`` is one column or several. Adding the line is one join on the page.
+    """
+    keys = [page] if isinstance(page, str) else list(page)
+    heights = pieces.where(F.col(y).isNotNull()).select(*keys, F.col(y).cast("double").alias("_y")).distinct()
+    opened = heights.groupBy(*keys).agg(anchors(F.reverse(F.array_sort(F.collect_list("_y"))), tolerance).alias("_anchors"))
+    met = _match(pieces, opened, keys)
+    line = F.when(F.col(y).isNotNull(), F.size(F.filter("_anchors", lambda a: a >= F.col(y).cast("double"))))
+    return met.withColumn("line", line).drop("_anchors")
+
+
+def _match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left`` with the row of ``right`` of the same keys, null meeting null; columns of ``left`` stay as they are."""
+    renamed = right.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    return left.join(renamed, on, "left").drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def line_text(pieces: Column) -> Column:
+    """Text of one line from ``array<struct<x, ord, text>>``: from left to right, joined without a blank where one begins about where the one before ends."""
+    step = lambda acc, p: F.struct(
+        F.concat(
+            acc["out"],
+            F.when(acc["x"].isNull() | (p["x"] - acc["x"] <= F.char_length(acc["last"]) * CHAR_WIDTH * WIDTH_SLACK), F.lit("")).otherwise(F.lit(" ")),
+            p["text"],
+        ).alias("out"),
+        p["x"].alias("x"),
+        p["text"].alias("last"),
+    )
+    start = F.struct(F.lit("").alias("out"), F.lit(None).cast("double").alias("x"), F.lit("").alias("last"))
+    return F.aggregate(F.array_sort(pieces), start, step)["out"]
+
+
+def page_lines(pieces: DataFrame, page: str | list[str] = "page", x: str = "x", y: str = "y", text: str = "text", at: str | None = None, tolerance: float = LINE_HEIGHT) -> DataFrame:
+    """``page, line, text``: the lines of each page. Pieces of one place keep the order of ``at`` (of their text, where none is given)."""
+    keys = [page] if isinstance(page, str) else list(page)
+    rows = with_lines(pieces.where(F.col(text).isNotNull() & F.col(x).isNotNull()), keys, y, tolerance).where(F.col("line").isNotNull())
+    piece = F.struct(F.col(x).cast("double").alias("x"), (F.col(at) if at else F.col(text)).alias("ord"), F.col(text).alias("text"))
+    return rows.groupBy(*keys, "line").agg(line_text(F.collect_list(piece)).alias("text"))
+
+
+def column_split(starts: DataFrame, page: str | list[str], x: str, gap: Column, few: Column | None = None, middle: float | None = None) -> DataFrame:
+    """``page, split``: the middle of the widest gap between neighbouring starts, the leftmost of equal ones.
+
+    ``gap`` tells of column ``wide`` whether it separates columns; ``few`` of the
+    page's number of rows whether it has too few; with ``middle`` only gaps that
+    end there or left of it count. Pages without a split have a null.
+    """
+    keys = [page] if isinstance(page, str) else list(page)
+    distinct = starts.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*keys).orderBy("_x")
+    rows = distinct.withColumn("_before", F.lag("_x").over(order)).withColumn("wide", F.col("_x") - F.col("_before"))
+    if middle is not None:
+        rows = rows.withColumn("wide", F.when(F.col("_x") <= middle, F.col("wide")))
+    # a page of one start has no gap; max_by passes over rows without one
+    best = F.max_by(F.struct("wide", ((F.col("_x") + F.col("_before")) / 2).alias("split")), F.when(F.col("wide").isNotNull(), F.struct("wide", (-F.col("_x")).alias("left"))))
+    found = rows.groupBy(*keys).agg(best.alias("_best"), F.sum("_n").alias("_n")).withColumn("wide", F.col("_best.wide"))
+    holds = gap if few is None else gap & ~few
+    return found.select(*keys, F.when(holds, F.col("_best.split")).alias("split"))
+
+
+def piece_columns(pieces: DataFrame, page: str | list[str] = "page", x: str = "x") -> DataFrame:
+    """Add ``column``: 1 left and 2 right of the page's widest gap of at least ``PIECE_GAP``, 1 on pages without one or with few pieces."""
+    keys = [page] if isinstance(page, str) else list(page)
+    splits = column_split(pieces, keys, x, F.col("wide") >= PIECE_GAP, F.col("_n") <= FEW_PIECES)
+    return _match(pieces, splits, keys).withColumn("column", F.when(F.col(x).cast("double") >= F.col("split"), 2).otherwise(1)).drop("split")
+
+
+def useful_line(line: Column) -> Column:
+    """Lines of two characters or more of which a quarter are letters, or that hold a digit; blanks at the ends count."""
+    letters = F.char_length(F.regexp_replace(line, r"[^\p{L}]", ""))
+    return (F.char_length(line) >= 2) & ((letters / F.char_length(line) >= 0.25) | line.rlike(r"\p{Nd}"))
+
+
+def column_lines(pieces: DataFrame, page: str = "page", x: str = "x", y: str = "y", text: str = "text", at: str | None = None) -> DataFrame:
+    """``page, column, line, text``: useful lines of each column of each page, to be read by column, then line."""
+    rows = page_lines(piece_columns(pieces, page, x), [page, "column"], x, y, text, at)
+    return rows.where(useful_line(F.col("text"))).select(page, "column", "line", "text")
+
+
+def columns(boxes: DataFrame, page: str = "page", x: str = "x0", top: str = "y1", middle: float = PAGE_MIDDLE) -> DataFrame:
+    """Add ``right`` and ``place``, the reading order of text boxes: the right column first, each from the top down, then from the left.
+
+    Starts are rounded (halves to even); the split is the widest gap wider than
+    ``BOX_GAP`` between two starts of the left half, the leftmost of equal ones.
+    Boxes of one place are told apart by nothing, so their order is any.
+    """
+    rounded = boxes.withColumn("_start", F.bround(F.col(x).cast("double"), 0))
+    splits = column_split(rounded, page, "_start", F.col("wide") > BOX_GAP, None, middle)
+    rows = _match(boxes, splits, [page]).withColumn("right", F.coalesce(F.col(x).cast("double") >= F.col("split"), F.lit(False))).drop("split")
+    order = Window.partitionBy(page).orderBy(F.desc("right"), F.desc(top), x)
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def box_lines(text: Column) -> Column:
+    """Lines of a text box: several sentences become bullets, else each line that is not blank stays.
+
+    A sentence ends at a blank line, and where a line ends in a full stop and
+    the next begins in upper case.
+    """
+    trimmed = F.transform(F.split(text, "\n", -1), lambda v: X.strip(v))
+
+    def step(acc: Column, line: Column) -> Column:
+        open_, last = acc["open"], acc["last"]
+        ends = F.endswith(last, F.lit(".")) & line.rlike(r"^\p{Lu}")
+        done = F.when((open_ != "") & ((line == "") | ends), F.concat(acc["done"], F.array(open_))).otherwise(acc["done"])
+        still = F.when(line == "", F.lit("")).when((open_ == "") | ends, line).otherwise(F.concat(open_, F.lit(" "), line))
+        return F.struct(done.alias("done"), still.alias("open"), F.when(line == "", F.lit("")).otherwise(line).alias("last"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit("").alias("last"))
+    sentences = F.aggregate(trimmed, start, step, lambda acc: F.when(acc["open"] != "", F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+    return X.let(sentences, lambda s: F.when(F.size(s) > 1, F.transform(s, lambda v: F.concat(F.lit("• "), v))).otherwise(F.filter(trimmed, lambda v: v != "")))
+
+
+def page_text(boxes: DataFrame, page: str = "page", x: str = "x0", top: str = "y1", text: str = "text", middle: float = PAGE_MIDDLE) -> DataFrame:
+    """``page, text``: boxes in reading order as lines, an empty line between the columns; boxes without text are left out."""
+    rows = columns(boxes.where(X.strip(F.col(text)) != ""), page, x, top, middle)
+    box = F.struct("place", "right", box_lines(F.col(text)).alias("lines"))
+    gathered = rows.groupBy(page).agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
+    side = lambda right: F.flatten(F.transform(F.filter("_boxes", lambda b: b["right"] == right), lambda b: b["lines"]))
+    split = F.exists("_boxes", lambda b: b["right"])
+    lines = F.when(split, F.concat(side(True), F.array(F.lit("")), side(False))).otherwise(side(False))
+    return gathered.select(page, F.array_join(lines, "\n").alias("text"))

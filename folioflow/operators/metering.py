@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vocab import FREE_LIMIT
+from . import temporal
 
 
 def monthly_usage(events: DataFrame) -> DataFrame:
@@ -34,16 +35,14 @@ def usage_info(usage: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def admitted(events: DataFrame, limit: int = FREE_LIMIT) -> DataFrame:
-    """Each event with its place in the user's month and whether it is within the limit."""
-    w = Window.partitionBy("user_id", X.month_key(F.col("ts"))).orderBy("ts", "event_id")
-    return events.withColumn("place", F.row_number().over(w)).withColumn("allowed", F.col("place") <= limit)
+    """Each event with its place in the user's month and whether it is within the limit. Places are counted within days and carried over."""
+    placed = temporal.running_place(events, [F.col("user_id"), X.month_key(F.col("ts"))], "ts", "event_id", 86_400_000_000)
+    return placed.withColumn("allowed", F.col("place") <= limit)
 
 
 def busy_hours(events: DataFrame, seconds: int = 3600, limit: int = 20) -> DataFrame:
     """Events that are more than ``limit`` of a user's events within the last ``seconds`` (the event included)."""
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("user_id").orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("at", at).withColumn("in_window", F.count("*").over(w)).where(F.col("in_window") > limit).drop("at")
+    return temporal.trailing_count(events, ["user_id"], "ts", seconds).where(F.col("in_window") > limit)
 
 
 def customer_of(plans: DataFrame, revoked: DataFrame) -> DataFrame:
@@ -61,9 +60,7 @@ def night_bulk(events: DataFrame, until: int = 6, limit: int = 50) -> DataFrame:
 
 def repeated_requests(events: DataFrame, text: str = "text", seconds: int = 300, limit: int = 10) -> DataFrame:
     """Events that are more than ``limit`` of a user's events with one text within the last ``seconds``."""
-    w = Window.partitionBy("user_id", F.xxhash64(text), text).orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-    rows = events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("in_window", F.count("*").over(w))
-    return rows.where(F.col("in_window") > limit).drop("at")
+    return temporal.trailing_count(events, ["user_id", text], "ts", seconds).where(F.col("in_window") > limit)
 
 
 def seed_month(ts: Column, back: int) -> Column:

@@ -121,6 +121,43 @@ def from_json(text: Column) -> Column:
     return F.when(F.startswith(F.get_json_object(text, "$"), F.lit("{")), whole.cast(PROFILE))
 
 
+def from_loose_json(text: Column, source: str = "llm") -> Column:
+    """JSON as a language model writes it to a profile; null for what is no JSON object.
+
+    A code fence around the object goes. The text becomes a variant, so a value of an
+    unexpected kind costs itself and nothing beside it: bullets, skills and
+    certifications that are no texts (bullets may also be objects with a ``text``), or blank
+    bullets, are skipped one by one; roles, projects and schools that are no
+    objects too; names that are numbers are read as texts, other odd ones as empty. ``school`` and ``date`` of
+    an education entry go before ``institution`` and behind ``dates``.
+    """
+    bare = F.regexp_replace(F.regexp_replace(X.strip(text), r"^```[a-z]*\n?", ""), r"\n?```$", "")
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
+    is_object = lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+    items = lambda v, path: F.filter(F.coalesce(F.try_variant_get(v, path, "array<variant>"), _empty("variant")), lambda x: x.isNotNull())
+    said = lambda v, path: F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+    scalar = lambda v, path: X.let(F.try_variant_get(v, path, "variant"), lambda x: F.when(F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)"), "").otherwise(said(x, "$")))
+    texts = lambda v, path: F.transform(F.filter(items(v, path), is_text), lambda x: said(x, "$"))
+    objects = lambda v, path: F.filter(items(v, path), is_object)
+    told = lambda x: F.when(is_text(x), said(x, "$")).when(is_object(x), X.strip(said(x, "$.text"))).otherwise("")
+    bullets = lambda v: F.transform(F.filter(F.transform(items(v, "$.bullets"), told), lambda t: X.strip(t) != ""), lambda t: bullet(t, source))
+    role = lambda r: F.struct(*[scalar(r, f"$.{c}").alias(c) for c in ("title", "company", "start", "end", "location")], bullets(r).alias("bullets"))
+    project = lambda p: F.struct(scalar(p, "$.name").alias("name"), texts(p, "$.tech").alias("tech"), bullets(p).alias("bullets"), scalar(p, "$.date").alias("date"))
+    first = lambda e, a, b: F.when(F.try_variant_get(e, f"$.{a}", "variant").isNotNull(), scalar(e, f"$.{a}")).otherwise(scalar(e, f"$.{b}"))
+    school = lambda e: F.struct(first(e, "school", "institution").alias("institution"), scalar(e, "$.degree").alias("degree"), first(e, "dates", "date").alias("dates"), scalar(e, "$.location").alias("location"))
+
+    def whole(v: Column) -> Column:
+        return F.struct(
+            F.transform(objects(v, "$.experience"), role).alias("experience"),
+            F.transform(objects(v, "$.projects"), project).alias("projects"),
+            F.array_distinct(texts(v, "$.skills")).alias("skills"),
+            F.transform(objects(v, "$.education"), school).alias("education"),
+            texts(v, "$.certifications").alias("certifications"),
+        ).cast(PROFILE)
+
+    return X.let(F.try_parse_json(bare), lambda v: F.when(is_object(v), whole(v)))
+
+
 def counts(profile: Column) -> Column:
     n = lambda f: F.aggregate(profile["experience"], F.lit(0), f)
     rich = lambda b: (F.size(b["metrics"]) > 0) | (F.size(b["tools"]) > 0)

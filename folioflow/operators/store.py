@@ -1,17 +1,17 @@
 """Profile tables: append, latest-wins upsert, delete, retrieval.
 
-Tables are folders of Parquet. A rewrite goes to a new folder which then takes
-the table's place; the folder that is read is never overwritten.
+The store is a table bucketed by user (:mod:`folioflow.operators.keyed_table`): appends
+read nothing, a delete rewrites the buckets that hold one of its users, a caller's
+rows are read from one bucket, and every change is one commit.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vector
+from .keyed_table import KeyedTable
 
 
 def latest(rows: DataFrame, key: str, seq: str) -> DataFrame:
@@ -32,29 +32,21 @@ def merge_new(existing: DataFrame, fresh: DataFrame, name: str = "name") -> Data
 
 
 class ProfileStore:
-    """``store``, ``query``, ``delete``, ``users`` over a Parquet table ``profiles``."""
+    """``store``, ``query``, ``delete``, ``users`` over a bucketed table of profiles in the folder ``path``."""
 
     SCHEMA = "id string, user_id string, vector_id string, profile_json string, embedding array<double>, stored_at double"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path
-        return p(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.table = KeyedTable(spark, path, "user_id", self.SCHEMA, buckets)
 
     def rows(self) -> DataFrame:
-        fs, p = self._fs()
-        if not fs.exists(p(self.path)):
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return self.table.read()
 
     def store(self, profiles: DataFrame) -> None:
         """Append ``user_id, profile_json, text, stored_at``: many rows per user are kept."""
         embedded = vector.embed(profiles.withColumn("row", F.monotonically_increasing_id()).withColumn("key", F.struct("row", "user_id", "profile_json", "stored_at")), "key")
         rows = embedded.select(F.expr("uuid()").alias("id"), "key.user_id", F.concat_ws("_", "key.user_id", F.col("key.stored_at").cast("long").cast("string")).alias("vector_id"), "key.profile_json", "embedding", "key.stored_at")
-        rows.write.mode("append").parquet(self.path)
+        self.table.append(rows)
 
     def query(self, asks: DataFrame, k: int = 3) -> DataFrame:
         """``query_id, user_id, text`` to the k most similar of the user's latest profiles."""
@@ -62,22 +54,15 @@ class ProfileStore:
         return vector.top_k(self.rows(), q, k).select("query_id", "user_id", "rank", "score", "profile_json")
 
     def delete(self, users: DataFrame) -> None:
-        """Rewrite without these users; deleting a user that is not there changes nothing."""
-        fs, p = self._fs()
-        if not fs.exists(p(self.path)):
-            return
-        fresh, old = (f"{self.path}-{x}-{uuid.uuid4().hex}" for x in ("new", "old"))
-        without_users(self.rows(), users).write.parquet(fresh)
-        fs.rename(p(self.path), p(old))
-        fs.rename(p(fresh), p(self.path))
-        fs.delete(p(old), True)
+        """Rows of these users go; deleting a user that is not there changes nothing."""
+        self.table.delete(users.select("user_id"))
 
     def users(self) -> DataFrame:
         return self.rows().select("user_id").distinct()
 
     def for_caller(self, user_id: str) -> DataFrame:
-        """Row-level security: only the caller's rows; the filter reaches the scan."""
-        return self.rows().where(F.col("user_id") == user_id)
+        """Row-level security: only the caller's rows, read from the caller's bucket."""
+        return self.table.lookup(user_id)
 
 
 def append_versions(rows: DataFrame, path: str) -> None:

@@ -97,6 +97,10 @@ _DERIVED = f"""(SELECT CAST((rn - 1) % 10 AS INTEGER) AS cat_ord, 'group_' || CA
   FROM (SELECT term, row_number() OVER (ORDER BY n DESC, term) AS rn FROM (SELECT term, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS term FROM benchmark) GROUP BY term)) WHERE rn <= 100)"""
 
 
+#: The same from the documents themselves, two thousand words.
+_WIDE = _DERIVED.replace("FROM benchmark", "FROM documents").replace("rn <= 100", "rn <= 2000")
+
+
 def derived_taxonomy(jds: DataFrame, size: int = 100) -> dict[str, list[str]]:
     """The ``size`` most frequent tokens dealt to ten categories. The vocabulary is a parameter of the gap operators; this one is made of data."""
     terms = jds.select(F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("term").count().orderBy(F.desc("count"), "term").limit(size).collect()
@@ -262,6 +266,14 @@ def kw_frequency(spark, d):
     return gap.keyword_frequency(_docs(spark, d), "doc_id", vocab.taxonomy_rows())
 
 
+@_query(f"SELECT doc_id, CAST(cat_ord AS INTEGER) AS cat_ord, count(*) AS n_keywords, CAST(sum(n) AS BIGINT) AS frequency FROM {_hits('documents', 'doc_id', _WIDE)} GROUP BY doc_id, cat_ord")
+def vocabulary_frequency(spark, d):
+    """Two thousand words, many of them prefixes of others, in one reading of each text."""
+    words = vocab.taxonomy_rows(derived_taxonomy(_docs(spark, d), 2000))
+    hits = gap.vocabulary_counts(_docs(spark, d), "doc_id", words)
+    return hits.groupBy("doc_id", "cat_ord").agg(F.count("*").alias("n_keywords"), F.sum("n").alias("frequency"))
+
+
 def _coverage_rows(df: DataFrame) -> DataFrame:
     return df.select("jd_id", "doc_id", "category", "frequency", "shared", "coverage")
 
@@ -278,8 +290,8 @@ def category_coverage_derived(spark, d):
 
 @_query(f"{_OWN} SELECT jd_id, doc_id, CAST(rank AS INTEGER) AS rank, category, priority, frequency, coverage FROM top")
 def gap_signals_topn(spark, d):
-    cover = gap.category_coverage(_jds(spark, d), _docs(spark, d), derived_taxonomy(_jds(spark, d)))
-    return gap.gap_signals(cover).select("jd_id", "doc_id", "rank", "category", "priority", "frequency", "coverage")
+    rows = gap.pair_signals(_jds(spark, d), _docs(spark, d), taxonomy=derived_taxonomy(_jds(spark, d)))
+    return rows.select("jd_id", "doc_id", "rank", "category", "priority", "frequency", "coverage")
 
 
 _ANGLES = _values([(c, i, a) for c, xs in vocab.ANGLES.items() for i, a in enumerate(xs)], "category, ord, angle")
@@ -287,7 +299,7 @@ _ANGLES = _values([(c, i, a) for c, xs in vocab.ANGLES.items() for i, a in enume
 
 @_query(f"{_FIXED} SELECT jd_id, doc_id, CAST(rank AS INTEGER) AS rank, top.category, (SELECT string_agg(angle, '|' ORDER BY ord) FROM {_ANGLES} a WHERE a.category = top.category) AS angles FROM top")
 def signal_angles(spark, d):
-    rows = gap.with_angles(gap.gap_signals(gap.category_coverage(_jds(spark, d), _docs(spark, d))))
+    rows = gap.pair_signals(_jds(spark, d), _docs(spark, d))
     return rows.select("jd_id", "doc_id", "rank", "category", F.array_join("angles", "|").alias("angles"))
 
 
@@ -676,13 +688,13 @@ def cover_letter(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import more_queries, source_queries  # noqa: F401  register their own
+    from . import more_queries, order_queries, source_queries  # noqa: F401  register their own
 
     return dict(_QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    from . import more_queries, source_queries  # noqa: F401
+    from . import more_queries, order_queries, source_queries  # noqa: F401
 
     return dict(_ORACLES)
 

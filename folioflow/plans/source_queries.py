@@ -43,8 +43,7 @@ def _as_files(rows: DataFrame, writer: Callable[..., bytes]) -> DataFrame:
 def lossy_bytes(spark, d):
     """Each text with a byte behind it that is no UTF-8."""
     content = F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("FF41")))
-    rows = files.extract(_docs(spark, d).select(F.col("doc_id").cast("string").alias("path"), content.alias("content")), files.lossy)
-    return rows.select(F.col("path").cast("long").alias("doc_id"), _digest("text").alias("decoded"))
+    return _docs(spark, d).withColumn("text", files.lossy(content)).select("doc_id", _digest("text").alias("decoded"))
 
 
 _FLAT = f"c_mktsegment || ' at ' || c_name || ' ' || {_BULLETS} || ' Tool of ' || c_name || ' ' || {_BULLETS} || ' ' || c_mktsegment || ' SQL Cert 1'"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -28,6 +30,14 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir; where that is unset, the machine's own (one machine) or the warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.startswith("local"):
+        base = tempfile.mkdtemp(prefix="folioflow-")
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package from where the driver has it (a cluster gets it by --py-files)."""
     env = spark.sparkContext.environment

@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -33,13 +33,15 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("format", X.format_of_extension(F.col("path")))
 
 
-def lossy(data: bytes) -> str:
-    """Text of any bytes; what is no UTF-8 becomes U+FFFD."""
-    return data.decode("utf-8", "replace")
+def lossy(data: Column) -> Column:
+    """Text of any bytes; what is no UTF-8 becomes U+FFFD, one for each part that could have gone on."""
+    return F.make_valid_utf8(data.cast("string"))
 
 
 def read_lossy(spark: SparkSession, path: str) -> DataFrame:
-    return extract(read_bytes(spark, path), lossy)
+    """``path, text, error``, without Python workers."""
+    rows = read_bytes(spark, path).select("path", F.coalesce(lossy(F.col("content")), F.lit("")).alias("text"))
+    return rows.withColumn("error", F.when(X.strip(F.col("text")) == "", "no text could be extracted"))
 
 
 def read_profiles(spark: SparkSession, path: str) -> DataFrame:
@@ -85,9 +87,9 @@ def docx_text(data: bytes) -> str:
 _PDF_TOKEN = re.compile(rb"\s+|%[^\r\n]*|(?P<num>[+-]?(?:\d+\.?\d*|\.\d+))|(?P<str>\()|<(?P<hex>[0-9A-Fa-f\s]*)>|(?P<open>\[)|(?P<close>\])|/[^\s()<>\[\]/]*|(?P<op>[A-Za-z'\"*]+)|.", re.S)
 _ESCAPE = re.compile(r"\\([0-7]{1,3}|\r\n|.)", re.S)
 _CONTROL = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f", "\n": "", "\r": "", "\r\n": ""}
-# Kerning that is a blank, heights of one line, gap between columns, leading, move within a line, width of a character.
+# Kerning that is a blank, heights of one line, gap between columns, pieces that make none, leading, move within a line, width of a character.
 _KERN_SPACE = -150
-_LINE_Y, _COLUMN_GAP = 3.0, 18.0
+_LINE_Y, _COLUMN_GAP, _FEW_PIECES = 3.0, 18.0, 4
 _LEADING, _SAME_LINE = 12.0, 0.5
 _CHAR_WIDTH, _WIDTH_SLACK = 4.0, 1.1
 
@@ -197,7 +199,6 @@ def _grouped(pieces: list[tuple[float, float, str]]) -> list[str]:
 
 
 def _useful(line: str) -> bool:
-    line = line.strip()
     letters = sum(c.isalpha() for c in line)
     return len(line) >= 2 and (letters / len(line) >= 0.25 or any(c.isdigit() for c in line))
 
@@ -220,12 +221,11 @@ def pdf_text(data: bytes) -> str:
         cleaned.append((x, y, t if t.strip() else " "))
     if not cleaned:
         return ""
-    starts = sorted({p[0] for p in cleaned})
-    gaps = [(b - a, b) for a, b in zip(starts, starts[1:], strict=False)]
-    widest = max(gaps, default=(0.0, 0.0))
-    heights = {round(p[1]) for p in cleaned if p[0] < widest[1]} & {round(p[1]) for p in cleaned if p[0] >= widest[1]}
-    if widest[0] >= _COLUMN_GAP and len(heights) >= 3:
-        lines = _grouped([p for p in cleaned if p[0] < widest[1]]) + _grouped([p for p in cleaned if p[0] >= widest[1]])
+    starts = sorted(p[0] for p in cleaned)
+    # the first of equal gaps
+    gap, split = max(((b - a, (a + b) / 2) for a, b in zip(starts, starts[1:], strict=False)), key=lambda g: g[0], default=(0.0, 0.0))
+    if len(cleaned) > _FEW_PIECES and gap >= _COLUMN_GAP:
+        lines = _grouped([p for p in cleaned if p[0] < split]) + _grouped([p for p in cleaned if p[0] >= split])
     else:
         lines = _grouped(cleaned)
     text = "\n".join(x for x in lines if _useful(x))

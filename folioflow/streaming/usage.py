@@ -1,4 +1,4 @@
-"""Streaming counterparts of metering: monthly counts and rate alarms over an event stream.
+"""Streaming counterparts of metering: monthly counts, admission and rate alarms over an event stream.
 
 The input is a streaming frame ``user_id, ts, event_id``. Late events within the
 watermark count; later ones are dropped by Spark. State is bounded by the
@@ -7,10 +7,15 @@ watermark plus the window length, per active user.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
+from ..functions.vocab import FREE_LIMIT
 
 
 def monthly_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -19,6 +24,42 @@ def monthly_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
     return marked.groupBy("user_id", X.month_key(F.col("ts")).alias("month")).agg(F.count("*").alias("resume_count"))
 
 
+def admissions(events: DataFrame, limit: int = FREE_LIMIT, late: str = "2 days") -> DataFrame:
+    """``event_id, user_id, ts, place, allowed``: each event's place in its user's month, in append mode.
+
+    The state of a user's month is one number. It is dropped when the watermark
+    passes the month's end, so what is kept follows the users of the present
+    month. Events of one micro-batch are placed in the order of ``ts`` and
+    ``event_id``, those of a later batch behind them; where batches follow time the
+    places are those of the whole log.
+    """
+    month_end = F.add_months(F.trunc("ts", "month"), 1).cast("timestamp")
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    keyed = marked.select("event_id", "user_id", "ts", F.unix_millis(month_end).alias("ends"))
+
+    def place(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n = state.get[0] if state.exists else 0
+        batch = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        places = range(n + 1, n + 1 + len(batch))
+        state.update((n + len(batch),))
+        # a month that is over already can't wait for its end
+        state.setTimeoutTimestamp(max(int(key[1]), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "user_id": key[0], "ts": batch["ts"].to_numpy(), "place": list(places), "allowed": [p <= limit for p in places]})
+
+    kinds = dict(events.dtypes)
+    out = f"event_id {kinds['event_id']}, user_id {kinds['user_id']}, ts timestamp, place int, allowed boolean"
+    return keyed.groupBy("user_id", "ends").applyInPandasWithState(place, out, "n long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_admissions(events: DataFrame, path: str, checkpoint: str, limit: int = FREE_LIMIT, late: str = "2 days") -> None:
+    """Place all events that are there now and end; the next run goes on where this one stopped."""
+    sink = admissions(events, limit, late).writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+    sink.trigger(availableNow=True).start().awaitTermination()
+
+
 def rate_alarms(events: DataFrame, window: str = "60 minutes", slide: str = "5 minutes", limit: int = 20, late: str = "10 minutes") -> DataFrame:
     """``user_id, start, n`` of windows in which a user has more than ``limit`` events."""
     marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
