@@ -267,6 +267,16 @@ def match_scores(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]]
     return scored(jds, docs, taxonomy).select("jd_id", "doc_id", "overlap", "category_mean", "score")
 
 
+def best_descriptions(jds: DataFrame, docs: DataFrame, k: int = 3, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
+    """``doc_id, rank, jd_id, score``: the ``k`` best descriptions of each document, the smaller id first among equals.
+
+    Pairs are ranked where they are made; only ``k`` of a document are shuffled from a task.
+    """
+    w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "jd_id")
+    rows = match_scores(jds, docs, taxonomy).select("doc_id", "jd_id", "score").withColumn("rank", F.row_number().over(w))
+    return rows.where(F.col("rank") <= k).select("doc_id", "rank", "jd_id", "score")
+
+
 def band(score: Column) -> Column:
     return F.when(score >= 80, "strong").when(score >= 60, "moderate").when(score >= 50, "weak").otherwise("decline")
 

@@ -321,6 +321,11 @@ def ats_score(spark, d):
     return gap.match_scores(_jds(spark, d), _docs(spark, d)).select("jd_id", "doc_id", F.round("overlap", 9).alias("overlap"), F.round("category_mean", 9).alias("category_mean"), "score")
 
 
+@_query(f"{_OWN} SELECT doc_id, CAST(rn AS INTEGER) AS rank, jd_id, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, jd_id) AS rn FROM scores) WHERE rn <= 3")
+def best_descriptions(spark, d):
+    return gap.best_descriptions(_jds(spark, d), _docs(spark, d), 3, derived_taxonomy(_jds(spark, d)))
+
+
 @_query(f"{_OWN} SELECT CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'moderate' WHEN score >= 50 THEN 'weak' ELSE 'decline' END AS band, count(*) AS pairs, CAST(sum(score) AS BIGINT) AS total FROM scores GROUP BY ALL")
 def score_bands(spark, d):
     s = gap.match_scores(_jds(spark, d), _docs(spark, d), derived_taxonomy(_jds(spark, d)))

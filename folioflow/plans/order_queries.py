@@ -10,6 +10,7 @@ from ..session import scratch_folder
 from ..streaming import usage as stream_usage
 from .catalog import _COS, _TYPES, _docs, _events, _query, _t, _values
 from .more_queries import _digest
+from .source_queries import event_stream
 
 # --- lines and columns of a page -----------------------------------------------
 
@@ -198,9 +199,7 @@ def keyed_upsert_delete(spark, d):
 def stream_admission(spark, d):
     """The events as a stream: each is told its place in its user's month, from state that ends with the month."""
     folder = scratch_folder(spark, "admission")
-    # a pattern, as the source takes no path of one file
-    events = spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/events.parque[t]")
-    stream_usage.run_admissions(events, f"{folder}/out", f"{folder}/checkpoint")
+    stream_usage.run_admissions(event_stream(spark, d), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out").select("event_id", "user_id", "place", "allowed")
 
 

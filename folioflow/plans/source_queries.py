@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import extras, profile
 from ..sources import files
+from ..session import scratch_folder
 from ..streaming import usage
 from . import api
 from .catalog import _docs, _events, _q, _query, _t
@@ -159,20 +160,33 @@ def vault_versions(spark, d):
 # The operators are the same plan over a table and over a stream; here the table is read at once.
 
 
+def event_stream(spark, d) -> DataFrame:
+    """The events table as a stream; by a pattern, as the source takes no path of one file."""
+    return spark.readStream.schema(_events(spark, d).schema).parquet(f"{d}/events.parque[t]")
+
+
+def _counted(spark, counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    folder = scratch_folder(spark, "stream")
+    return usage.run_counts(counts, keys, value, f"{folder}/out", f"{folder}/checkpoint")
+
+
 @_query("SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) AS resume_count FROM events GROUP BY ALL")
 def stream_monthly(spark, d):
-    return usage.monthly_counts(_events(spark, d)).select("user_id", "month", "resume_count")
+    """The events as a stream, counted by user and month."""
+    return _counted(spark, usage.monthly_counts(event_stream(spark, d)), ["user_id", "month"], "resume_count")
 
 
 @_query("""SELECT user_id, strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (
 SELECT user_id, unnest(list_transform(range(0, 12), lambda k: time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE)) AS start FROM (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events)) GROUP BY ALL HAVING count(*) > 1""")
 def stream_rate_alarms(spark, d):
-    """More than one event within an hour, as events are far apart here."""
-    return usage.rate_alarms(_events(spark, d), limit=1).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+    """More than one event within an hour, as events are far apart here; a stream with windows and a watermark."""
+    found = _counted(spark, usage.rate_alarms(event_stream(spark, d), limit=1), ["user_id", "start"], "n")
+    return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
 
 
 @_query("SELECT text_hash, strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (SELECT event_type AS text_hash, time_bucket(INTERVAL 5 MINUTE, CAST(ts AS TIMESTAMP)) AS start FROM events) GROUP BY ALL HAVING count(*) > 1")
 def stream_repeated_requests(spark, d):
     """The type stands in for the description."""
-    rows = _events(spark, d).select("ts", F.col("event_type").alias("text_hash"))
-    return usage.repeated_requests(rows, limit=1).select("text_hash", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
+    rows = event_stream(spark, d).select("ts", F.col("event_type").alias("text_hash"))
+    found = _counted(spark, usage.repeated_requests(rows, limit=1), ["text_hash", "start"], "n")
+    return found.select("text_hash", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -9,6 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Scratch folders that are still there, with their session.
+_scratch: list[tuple[SparkSession, str]] = []
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -31,11 +35,26 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that driver and executors share: below spark.checkpoint.dir; where that is unset, the machine's own (one machine) or the warehouse."""
+    """A fresh folder that driver and executors share: below spark.checkpoint.dir; where that is unset, the machine's own (one machine) or the warehouse.
+
+    It goes when the driver's Python ends.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="folioflow-")
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clear_scratch() -> None:
+    for spark, path in _scratch:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone; the folder's owner clears it
+            return
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -252,6 +252,12 @@ def write_documents(rows: DataFrame, path: str, name: str = "doc_id", body: str
     rows.select(name, body, F.base64(F.col(body).cast("binary")).alias("base64")).write.mode("overwrite").parquet(path)
 
 
+def write_tex(rows: DataFrame, path: str, name: str = "doc_id", body: str = "tex") -> None:
+    """Each document as a text file of its own, in the folder ``name=value``; documents without a body are left out."""
+    texts = rows.where(F.col(body).isNotNull()).select(F.col(name), F.col(body).alias("value"))
+    texts.repartition(F.col(name), F.xxhash64("value")).sortWithinPartitions(name).write.mode("overwrite").partitionBy(name).text(path)
+
+
 def write_profiles(rows: DataFrame, path: str, profile: str = "profile") -> None:
     """One JSON object a line; ``read_json_lines`` and any JSON reader take it back."""
     rows.select(F.to_json(profile).alias("value")).write.mode("overwrite").text(path)

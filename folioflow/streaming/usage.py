@@ -81,3 +81,10 @@ def upsert_counts(counts: DataFrame, path: str, checkpoint: str):
         batch.withColumn("generation", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+
+
+def run_counts(counts: DataFrame, keys: list[str], value: str, path: str, checkpoint: str) -> DataFrame:
+    """Count all events that are there now and end: ``keys, value`` as the newest batch that told of a key has it."""
+    upsert_counts(counts, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    told = counts.sparkSession.read.parquet(path)
+    return told.groupBy(*keys).agg(F.max_by(value, "generation").alias(value))

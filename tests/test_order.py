@@ -442,3 +442,10 @@ def test_pdf_columns_of_unequal_height():
     # the first of equal gaps parts the columns
     even = [(72, 700, "a1"), (172, 700, "b1"), (272, 700, "c1"), (72, 680, "a2"), (172, 680, "b2")]
     assert files.pdf_text(pdf(even)).split("\n") == ["a1", "a2", "b1 c1", "b2"]
+
+
+def test_tex_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a\nb"), (2, "c"), (3, None)], "doc_id long, tex string")
+    files.write_tex(rows, str(tmp_path / "tex"))
+    got = {r.doc_id: r.value for r in spark.read.text(str(tmp_path / "tex"), wholetext=True).collect()}
+    assert got == {1: "a\nb\n", 2: "c\n"}
