@@ -267,12 +267,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, rest: bool = False) -> DataFra
 
 
 def _led_buckets(nodes: DataFrame) -> DataFrame:
-    """``key, node, m, lead``: the nodes of each bucket of two or more, its size and its leader. A leader is any of those with the most meetings."""
+    """``key, node, m, lead``: the nodes of each bucket of two or more, its size and its leader: that of the most meetings, the greatest of equals, so buckets with the same members share one."""
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     shared = spread_by(keyed, "key", F.count("*").alias("m")).where("m > 1")
     buckets = materialise(keyed.join(shared, "key"), "buckets")
     meetings = buckets.groupBy("node").agg(F.sum(F.col("m") - 1).alias("meetings"))
-    leads = spread_by(buckets.join(meetings, "node"), "key", F.max_by("node", "meetings").alias("lead"))
+    leads = spread_by(buckets.join(meetings, "node"), "key", F.max_by("node", F.struct("meetings", "node")).alias("lead"))
     led = materialise(buckets.join(leads, "key"), "led")
     discard(buckets)
     return led
