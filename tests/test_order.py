@@ -1,6 +1,7 @@
 """Ordered operators against plain versions: lines, columns, lookahead, brackets, as-of joins, sliding counts, keyed tables, streams."""
 
 import bisect
+import math
 import random
 from datetime import datetime, timedelta
 
@@ -449,3 +450,22 @@ def test_tex_files(spark, tmp_path):
     files.write_tex(rows, str(tmp_path / "tex"))
     got = {r.doc_id: r.value for r in spark.read.text(str(tmp_path / "tex"), wholetext=True).collect()}
     assert got == {1: "a\nb\n", 2: "c\n"}
+
+
+# --- ties and repeats ---------------------------------------------------------------------
+
+
+def test_exact_search_of_repeated_queries_and_equal_vectors(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(5)]) for i in range(60)]
+    rows += [(100 + i, rows[7][1]) for i in range(20)] + [(200, [0.0] * 5)]
+    index = vector_index.VectorIndex(spark, str(tmp_path / "v"), cells=4)
+    index.build(spark.createDataFrame(rows, "id long, embedding array<double>"))
+    asks = [(1, rows[7][1]), (1, rows[3][1]), (2, [0.0] * 5), (3, [1e200] * 5), (4, [1.0, None, 0.0, 0.0, 0.0])]
+    got = {(r.query_id, r["rank"]): r.id for r in index.search(spark.createDataFrame(asks, "query_id long, q array<double>"), 21, None).collect()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+    both = [(-sum(a * b for a, b in zip(q, v, strict=True)) / (norm(q) * norm(v)), i) for q in (rows[7][1], rows[3][1]) for i, v in rows]
+    assert [got[1, k + 1] for k in range(21)] == [i for _, i in sorted(both)][:21]
+    assert [got[2, k + 1] for k in range(21)] == list(range(21))
+    assert [got[4, k + 1] for k in range(21)] == list(range(21))
+    assert len({got[3, k + 1] for k in range(21)}) == 21
