@@ -70,9 +70,9 @@ t AS (SELECT page, max(r - before) AS wide, arg_max((r + before) / 2, (r - befor
 o AS (SELECT b.*, coalesce(t.wide > 15 AND b.x >= t.split, false) AS "right" FROM b LEFT JOIN t ON t.page = b.page)
 SELECT page, sha256(coalesce(string_agg(body, chr(10) ORDER BY y DESC, x) FILTER (WHERE "right") || chr(10) || chr(10), '') || string_agg(body, chr(10) ORDER BY y DESC, x) FILTER (WHERE NOT "right")) AS text FROM o GROUP BY page""")
 def page_text(spark, d):
-    """Text boxes in reading order, the right column first, with their sentences as bullets."""
-    boxes = _t(spark, d, "customer").select(F.col("c_nationkey").alias("page"), F.expr(f"CAST({_BOX_X} AS DOUBLE)").alias("x0"), F.col("c_acctbal").alias("y1"), F.expr(_BOX_TEXT.replace("chr(10)", "char(10)")).alias("text"))
-    return layout.page_text(boxes).select("page", _digest("text").alias("text"))
+    """Text boxes in reading order, the right column first, with their sentences as bullets; boxes of one place in the order of their keys."""
+    boxes = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("page"), F.expr(f"CAST({_BOX_X} AS DOUBLE)").alias("x0"), F.col("c_acctbal").alias("y1"), F.expr(_BOX_TEXT.replace("chr(10)", "char(10)")).alias("text"))
+    return layout.page_text(boxes, at="c_custkey").select("page", _digest("text").alias("text"))
 
 
 # --- lookahead -------------------------------------------------------------------

@@ -476,3 +476,9 @@ def test_a_text_printed_twice_at_one_place_is_one_piece(spark):
     df = spark.createDataFrame(pieces, "page int, x double, y double, text string")
     assert [r.text for r in layout.column_lines(df).collect()] == ["- word 1"]
     assert [r.text for r in layout.page_lines(df).collect()] == ["- word 1"]
+
+
+def test_boxes_of_one_place_keep_the_given_order(spark):
+    boxes = [(1, 10.0, 5.0, f"box {i}", i) for i in (3, 1, 2, 0)]
+    df = spark.createDataFrame(boxes, f"{BOX}, at int")
+    assert layout.page_text(df, at="at").first().text == "box 0\nbox 1\nbox 2\nbox 3"
