@@ -2,16 +2,21 @@
 
 Inputs are frames ``jd_id, text`` and ``doc_id, text``. Vocabulary work is done
 once per text, never per pair: keywords are found by one pattern, tokens become
-numbers. A pair is one row of short arrays (:func:`pairs`); overlap, coverage,
-scores, signals, gaps and advice are expressions on that row, so nothing is
-shuffled behind the meeting of the two sides. The description side is broadcast
+numbers. Both sides are packed, some hundred texts a row, and each row of one meets
+each row of the other; what the pairs of two rows share is then one
+product of matrices (:class:`_Side`). Scores, signals and gaps of a pair come from these
+counts, so nothing is shuffled behind the meeting. The description side is broadcast
 while its counted bytes allow, else it is dealt in blocks.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +25,10 @@ from ..functions import vocab
 
 #: A side of up to this many bytes, as counted, is broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Texts in one packed row of either side, pairs that are told at once, and cells of a matrix.
+PACK = 256
+PAIRS = 1 << 16
+CELLS = 1 << 23
 
 def _bytes(df: DataFrame) -> int:
     """Bytes of the values of ``df``: 8 a number, text and arrays by their own size."""
@@ -46,6 +55,128 @@ def _meet(docs: DataFrame, side: DataFrame) -> DataFrame:
     return spread.join(dealt.hint("shuffle_hash"), "_block").drop("_block")
 
 
+def _packed(rows: DataFrame, size: int = PACK) -> DataFrame:
+    """``rows`` with up to ``size`` of them in one: each column is an array. Nothing is shuffled."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cuts = pa.array([*range(0, b.num_rows, size), b.num_rows], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, c) for c in b.columns], names)
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` array<{t}>" for c, t in rows.dtypes))
+
+
+def packed_meeting(docs: DataFrame, side: DataFrame, tell: Callable[[dict, dict, dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Every row of ``docs`` with every row of ``side``: ``tell`` gets the columns of a packed row of each (Arrow arrays) and a store for what it keeps of the latter."""
+    few = side.repartition(max(1, -(-side.count() // PACK)))
+    met = _meet(_packed(docs), _packed(few))
+    left, right = docs.columns, side.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, kept = None, {}
+        for b in batches:
+            for i in range(b.num_rows):
+                one = lambda names, i=i, b=b: {c: b.column(c)[i].values for c in names}
+                block = one(right)
+                if before is None or any(not block[c].equals(before[c]) for c in right):
+                    before, kept = block, {}
+                yield from tell(one(left), block, kept)
+
+    return met.select(*left, *right).mapInArrow(run, schema)
+
+
+def _lists(column: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """(values of all lists, length of each); null lists are empty."""
+    return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+
+
+def _holds(column: pa.ListArray, known: np.ndarray) -> np.ndarray:
+    """A row for each list and a column for each of the ascending ``known`` numbers: 1 where the list holds it."""
+    values, sizes = _lists(column)
+    values = values.to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), len(known)), np.float32)
+    if len(known) and len(values):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        told = known[at] == values
+        out[np.repeat(np.arange(len(sizes)), sizes)[told], at[told]] = 1
+    return out
+
+
+class _Side:
+    """A block of descriptions as matrices. Their categories and wanted terms lie one behind the other, in order of description, then of rank."""
+
+    def __init__(self, block: dict):
+        n = self.n = len(block["jd_id"])
+        self.tokens = pc.fill_null(block["jd_tokens"], 0).to_numpy(zero_copy_only=False)
+        terms, sizes = _lists(block["jd_terms"])
+        self.terms, at = np.unique(terms.to_numpy(zero_copy_only=False), return_inverse=True)
+        self.by_term = np.zeros((len(self.terms), n), np.float32)
+        self.by_term[at, np.repeat(np.arange(n), sizes)] = 1
+        cats, self.n_cats = _lists(block["cats"])
+        jd = np.repeat(np.arange(n), self.n_cats)
+        order = np.lexsort((cats.field("cat_ord").to_numpy(), -cats.field("frequency").to_numpy(), jd))
+        cats = cats.take(pa.array(order))
+        self.jd, self.cat, self.frequency, self.asked = jd, cats.field("cat_ord"), cats.field("frequency").to_numpy(), cats.field("asked")
+        self.starts = np.cumsum(self.n_cats) - self.n_cats
+        self.slot = np.arange(len(jd)) - self.starts[jd]
+        asked, self.sizes = _lists(self.asked)
+        self.words, self.asked_at = np.unique(asked.to_numpy(zero_copy_only=False), return_inverse=True)
+        self.by_word = np.zeros((len(self.words), len(jd)), np.float32)
+        self.by_word[self.asked_at, np.repeat(np.arange(len(jd)), self.sizes)] = 1
+        # coverage in hundredths, halves to even, by the number of shared keywords
+        shared, size = 100 * np.arange(self.sizes.max(initial=0) + 1), self.sizes[:, None]
+        low, rest = shared // size, shared % size
+        self.cents = (low + ((2 * rest > size) | ((2 * rest == size) & (low % 2 == 1)))).astype(np.int16)
+        want, self.n_want = _lists(block["want"])
+        self.want_jd, self.want_term, self.want_freq = np.repeat(np.arange(n), self.n_want), want.field("term"), -want.field("nf").to_numpy(zero_copy_only=False)
+        self.want_at = np.searchsorted(self.terms, want.field("n").to_numpy(zero_copy_only=False))
+
+    def steps(self, docs: dict) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, terms, keywords, shared keywords by category) of some of the documents at a time; a few pairs and cells each."""
+        step = max(1, min(PAIRS // max(1, self.n), CELLS // max(1, len(self.terms), len(self.words), len(self.jd))))
+        for at in range(0, len(docs["doc_id"]), step):
+            some = {c: x.slice(at, step) for c, x in docs.items()}
+            holds, knows = _holds(some["have"], self.terms), _holds(some["keywords"], self.words)
+            yield some["doc_id"], holds, knows, (knows @ self.by_word).astype(np.int64)
+
+    def coverage(self, met: np.ndarray) -> np.ndarray:
+        return self.cents[np.arange(len(self.jd)), met]
+
+    def scores(self, holds: np.ndarray, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(shared, overlap, category_mean, score), a row for each document and a column for each description."""
+        shared = (holds @ self.by_term).astype(np.int64)
+        overlap = shared / np.maximum(self.tokens, 1)
+        total = np.concatenate([np.zeros((len(cents), 1), np.int64), np.cumsum(cents, axis=1, dtype=np.int64)], axis=1)
+        mean = (total[:, self.starts + self.n_cats] - total[:, self.starts]) / np.maximum(self.n_cats, 1) / 100
+        return shared, overlap, mean, np.minimum(np.floor((0.5 * overlap + 0.5 * mean) * 100), 100).astype(np.int32)
+
+    def signals(self, cents: np.ndarray, top_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, category entry, whether it is medium, rank) of the ``top_n`` signals of each pair: high ones first, then by frequency and the vocabulary's order."""
+        width = int(self.n_cats.max(initial=0))
+        keys = np.full((len(cents), self.n, width), 2 * width, np.int32)
+        high = (cents < 30) & (self.frequency >= 2)
+        medium = ~high & (cents < 60) & (self.frequency >= 1)
+        keys[:, self.jd, self.slot] = np.where(high, self.slot, np.where(medium, self.slot + width, 2 * width))
+        keys = np.sort(keys, axis=2)[:, :, :top_n].reshape(len(cents) * self.n, -1)
+        pair, rank = np.nonzero(keys < 2 * width)
+        key = keys[pair, rank]
+        return pair, self.starts[pair % self.n] + key % width if width else key, key >= width, rank + 1
+
+    def gaps(self, holds: np.ndarray, top_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, wanted entry, rank) of the first ``top_n`` wanted terms that a document lacks."""
+        lacks = holds[:, self.want_at] == 0
+        seen = np.concatenate([np.zeros((len(lacks), 1), np.int64), np.cumsum(lacks, axis=1)], axis=1)
+        rank = seen[:, 1:] - seen[:, (np.cumsum(self.n_want) - self.n_want)[self.want_jd]]
+        doc, entry = np.nonzero(lacks & (rank <= top_n))
+        return doc * self.n + self.want_jd[entry], entry, rank[doc, entry]
+
+
+def _grouped(pair: np.ndarray, pairs: int, values: pa.Array) -> pa.ListArray:
+    """A list for each pair of the values that are told in order of pairs."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(pair, minlength=pairs))]).astype(np.int32)), values)
+
+
 def _trie(words: list[str]) -> str:
     """A pattern for the longest of ``words`` that begins at a position: one branch a character, an end optional where words go on."""
     root: dict = {}
@@ -102,6 +233,18 @@ def hits_of(text: Column, words: list[tuple[int, str, int, str]]) -> Column:
     return F.coalesce(X.let(F.struct(low.alias("low"), F.regexp_extract_all(low, F.lit(pattern), F.lit(1)).alias("found")), lambda x: counted(x["low"], x["found"])), none)
 
 
+def keywords_in(text: Column, words: list[tuple[int, str, int, str]]) -> Column:
+    """array<struct<cat_ord, kw_ord>>: the keywords of :func:`hits_of` without their numbers."""
+    none = F.array().cast("array<struct<cat_ord:int,kw_ord:int>>")
+    if not words:
+        return none
+    pattern, rows, _ = _keyword_table(words)
+    table = F.array(*[F.struct(F.lit(c).alias("cat_ord"), F.lit(k).alias("kw_ord")) for c, _, k, _ in words])
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
+    present = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda f: F.element_at(rows, f)))))
+    return F.coalesce(F.transform(present, lambda i: F.get(table, i)), none)
+
+
 def keyword_hits(texts: DataFrame, key: str, words: list[tuple[int, str, int, str]]) -> DataFrame:
     """``key, hits`` (:func:`hits_of`) of every text."""
     return texts.select(key, hits_of(F.col("text"), words).alias("hits"))
@@ -136,23 +279,63 @@ def keyword_frequency(texts: DataFrame, key: str, words: list[tuple[int, str, in
     return rows.select(key, F.element_at(names, F.col("cat_ord")).alias("category"), "n_keywords", "frequency")
 
 
-def category_coverage(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
-    """``jd_id, doc_id, cat_ord, category, jd_hits, frequency, shared, coverage, missing`` for categories that the description names.
+def _doc_keywords(words: list[tuple[int, str, int, str]]) -> Column:
+    """The numbers of the keywords of a text, 1000 to a category."""
+    return F.transform(keywords_in(F.col("text"), words), lambda h: h["cat_ord"] * 1000 + h["kw_ord"])
+
+
+def _asked(text: Column, words: list[tuple[int, str, int, str]]) -> Column:
+    """``array<struct<cat_ord, frequency, asked>>`` of the categories that a text names."""
+    keyword = lambda h: h["cat_ord"] * 1000 + h["kw_ord"]
+    of_category = lambda hits, c: F.filter(hits, lambda h: h["cat_ord"] == c)
+    category = lambda hits: lambda c: X.let(of_category(hits, c), lambda hs: F.struct(c.alias("cat_ord"), F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: a + h["n"]).alias("frequency"), F.transform(hs, keyword).alias("asked")))
+    ords = F.array(*[F.lit(c) for c in dict.fromkeys(c for c, *_ in words)]) if words else F.array().cast("array<int>")
+    return X.let(hits_of(text, words), lambda hits: F.filter(F.transform(ords, category(hits)), lambda c: F.size(c["asked"]) > 0))
+
+
+def _keyword_sides(jds: DataFrame, docs: DataFrame, words: list[tuple[int, str, int, str]]) -> tuple[DataFrame, DataFrame]:
+    """:func:`_sides` without terms: nothing is shuffled before the meeting either."""
+    none = F.array().cast("array<long>")
+    unwanted = F.lit(None).cast("array<struct<nf:long,first_pos:int,term:string,n:long>>")
+    side = jds.select("jd_id", F.lit(0).alias("jd_tokens"), none.alias("jd_terms"), _asked(F.col("text"), words).alias("cats"), unwanted.alias("want"))
+    return docs.select("doc_id", _doc_keywords(words).alias("keywords"), none.alias("have")), side
+
+
+def category_coverage(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None, named: bool = True) -> DataFrame:
+    """``jd_id, doc_id, cat_ord, category, jd_keywords, frequency, shared, coverage, missing`` for categories that the description names.
 
-    Coverage is shared / description keywords, rounded half-even to hundredths.
+    Coverage is shared / description keywords, rounded half-even to hundredths. Unless ``named``, the lists of keywords are left out.
     """
     words = vocab.taxonomy_rows(taxonomy)
-    jd = keyword_hits(jds, "jd_id", words).select("jd_id", F.explode("hits").alias("h")).groupBy("jd_id", F.col("h.cat_ord").alias("cat_ord"))
-    jd = jd.agg(F.sort_array(F.collect_list("h.kw_ord")).alias("want"), F.sum("h.n").cast("long").alias("frequency"))
-    doc = keyword_hits(docs, "doc_id", words).select("doc_id", "hits")
-    pairs = _meet(doc, jd)
-    have = F.transform(F.filter("hits", lambda h: h["cat_ord"] == F.col("cat_ord")), lambda h: h["kw_ord"])
-    shared = F.array_intersect("want", "have")
-    rows = pairs.withColumn("have", have).withColumn("shared", F.size(shared)).withColumn("lacks", F.array_except("want", "have"))
-    word = F.create_map(*[F.lit(x) for c, _, k, w in words for x in (c * 1000 + k, w)])
+    spine, side = _keyword_sides(jds, docs, words)
+    names = ["jd_id", "doc_id", "cat_ord", "frequency", "shared", "coverage", *(["asked", "lacks"] if named else [])]
+
+    def tell(some: dict, block: dict, kept: dict) -> Iterator[pa.RecordBatch]:
+        side = kept["side"] = kept.get("side") or _Side(block)
+        jd_of, n = block["jd_id"].take(pa.array(side.jd)), len(side.jd)
+        for ids, _, knows, met in side.steps(some):
+            entry, doc = np.tile(np.arange(n), len(ids)), np.repeat(np.arange(len(ids)), n)
+            at = pa.array(entry)
+            made = [jd_of.take(at), ids.take(pa.array(doc)), side.cat.take(at), pa.array(side.frequency[entry]), pa.array(met.ravel().astype(np.int32)), pa.array(side.coverage(met).ravel() / 100)]
+            if named:
+                owner = np.repeat(np.arange(n), side.sizes)
+                row, lacking = np.nonzero(knows[:, side.asked_at] == 0)
+                made += [side.asked.take(at), _grouped(row * n + owner[lacking], len(entry), pa.array(side.words[side.asked_at[lacking]].astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays(made, names)
+
+    kinds = ["cat_ord int, frequency long, shared int, coverage double", *(["asked array<int>, lacks array<int>"] if named else [])]
+    rows = packed_meeting(spine, side, tell, ", ".join([_ids(jds, docs), *kinds]))
     name = F.create_map(*[F.lit(x) for c, n in dict.fromkeys((c, n) for c, n, _, _ in words) for x in (c, n)])
-    named = lambda ords: F.transform(ords, lambda k: F.element_at(word, F.col("cat_ord") * 1000 + k))
-    return rows.select("jd_id", "doc_id", "cat_ord", F.element_at(name, F.col("cat_ord")).alias("category"), named(F.col("want")).alias("jd_keywords"), "frequency", "shared", F.bround(F.col("shared") / F.size("want"), 2).alias("coverage"), named(F.col("lacks")).alias("missing"))
+    rows = rows.withColumn("category", F.element_at(name, F.col("cat_ord")))
+    if not named:
+        return rows.select("jd_id", "doc_id", "cat_ord", "category", "frequency", "shared", "coverage")
+    word = F.create_map(*[F.lit(x) for c, _, k, w in words for x in (c * 1000 + k, w)])
+    said = lambda numbers: F.transform(numbers, lambda k: F.element_at(word, k))
+    return rows.select("jd_id", "doc_id", "cat_ord", "category", said("asked").alias("jd_keywords"), "frequency", "shared", "coverage", said("lacks").alias("missing"))
+
+
+def _ids(jds: DataFrame, docs: DataFrame) -> str:
+    return f"jd_id {dict(jds.dtypes)['jd_id']}, doc_id {dict(docs.dtypes)['doc_id']}"
 
 
 def priority(coverage: Column, frequency: Column) -> Column:
@@ -193,55 +376,69 @@ def _numbers(terms: DataFrame):
     raise ValueError("no seed tells the terms apart")
 
 
-def pairs(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None, min_freq: int = 2) -> DataFrame:
-    """Every pair as one row: ``jd_id, doc_id, jd_tokens, shared, cover, want, have``.
-
-    ``shared`` counts the distinct tokens of both; ``cover`` has
-    ``struct<cat_ord, frequency, coverage, asked, lacks>`` for each category that the
-    description names (null if none); ``want`` the description's frequent terms
-    by frequency, then first occurrence; ``have`` the numbers of those of the
-    descriptions' terms that the document holds.
+def _sides(jds: DataFrame, docs: DataFrame, words: list[tuple[int, str, int, str]], min_freq: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, keywords, have`` and ``jd_id, jd_tokens, jd_terms, cats, want``.
 
-    Keywords are numbers, 1000 to a category; so are the descriptions' terms. A document
-    meets the terms by name, once, and keeps their numbers; pairs only compare numbers.
+    ``have`` holds the numbers of those of the descriptions' terms that the document
+    holds; ``cats`` a description's categories, ``want`` its frequent terms by frequency, then first occurrence.
+    Keywords are numbers, 1000 to a category; so are the descriptions' terms. A document meets the terms by name, once.
     """
-    words = vocab.taxonomy_rows(taxonomy)
     tokens = F.array_distinct(X.tokens(F.col("text")))
     none = F.array().cast("array<long>")
     asked_terms = jds.select(F.explode(tokens).alias("term")).distinct()
     number, size = _numbers(asked_terms)
-    keyword = lambda h: h["cat_ord"] * 1000 + h["kw_ord"]
-    of_category = lambda hits, c: F.filter(hits, lambda h: h["cat_ord"] == c)
-    category = lambda hits: lambda c: X.let(of_category(hits, c), lambda hs: F.struct(c.alias("cat_ord"), F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: a + h["n"]).alias("frequency"), F.transform(hs, keyword).alias("asked")))
-    ords = F.array(*[F.lit(c) for c in dict.fromkeys(c for c, *_ in words)]) if words else F.array().cast("array<int>")
-    cats = X.let(hits_of(F.col("text"), words), lambda hits: F.filter(F.transform(ords, category(hits)), lambda c: F.size(c["asked"]) > 0))
     frequent = doc_terms(jds, "jd_id").where((F.col("freq") >= min_freq) & (F.length("term") > 3))
     wanted = frequent.groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("nf"), "first_pos", "term", number(F.col("term")).alias("n")))).alias("want"))
-    side = jds.select("jd_id", F.size(tokens).alias("jd_tokens"), F.coalesce(F.transform(tokens, number), none).alias("jd_terms"), cats.alias("cats")).join(wanted, "jd_id", "left")
-
+    side = jds.select("jd_id", F.size(tokens).alias("jd_tokens"), F.coalesce(F.transform(tokens, number), none).alias("jd_terms"), _asked(F.col("text"), words).alias("cats")).join(wanted, "jd_id", "left")
     terms = asked_terms.select("term", number(F.col("term")).alias("n"))
     terms = F.broadcast(terms) if size <= BROADCAST_BYTES else terms
     held = docs.select("doc_id", F.explode(tokens).alias("term")).join(terms, "term").groupBy("doc_id").agg(F.collect_list("n").alias("have"))
-    spine = docs.select("doc_id", F.transform(hits_of(F.col("text"), words), keyword).alias("keywords")).join(held, "doc_id", "left").withColumn("have", F.coalesce("have", none))
+    spine = docs.select("doc_id", _doc_keywords(words).alias("keywords")).join(held, "doc_id", "left").withColumn("have", F.coalesce("have", none))
+    return spine.select("doc_id", "keywords", "have"), side
 
-    lacks = lambda c: F.array_except(c["asked"], F.col("keywords"))
-    met = lambda c: F.size(F.array_intersect(c["asked"], F.col("keywords")))
-    one = lambda c: F.struct(c["cat_ord"].alias("cat_ord"), c["frequency"].alias("frequency"), F.bround(met(c) / F.size(c["asked"]), 2).alias("coverage"), c["asked"].alias("asked"), lacks(c).alias("lacks"))
-    cover = F.when(F.size("cats") > 0, F.transform("cats", one))
-    return _meet(spine, side).select("jd_id", "doc_id", "jd_tokens", F.size(F.array_intersect("have", "jd_terms")).cast("long").alias("shared"), cover.alias("cover"), "want", "have")
 
+SIGNAL = "struct<low: boolean, less: long, cat_ord: int, coverage: double, asked: array<int>>"
 
-def _gaps(top_n: int) -> Column:
-    """``array<struct<rank, term, freq>>``: the first ``top_n`` wanted terms of a pair that the document lacks; null if none."""
-    lacking = F.slice(F.filter("want", lambda w: ~F.array_contains("have", w["n"])), 1, top_n)
-    named = F.transform(lacking, lambda w, i: F.struct((i + 1).alias("rank"), w["term"].alias("term"), (-w["nf"]).alias("freq")))
-    return X.let(named, lambda g: F.when(F.size(g) > 0, g))
+
+def pairs(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None, min_freq: int = 2, signals: int | None = None, gaps: int | None = None) -> DataFrame:
+    """Every pair as one row: ``jd_id, doc_id, jd_tokens, shared, overlap, category_mean, score``.
+
+    ``shared`` counts the distinct tokens of both. The score is half token overlap, half mean coverage of the
+    description's categories, times 100, truncated. Coverage is summed in whole hundredths, so
+    the sum is exact in any order. With ``signals`` also ``kept``, the pair's first signals as
+    ``array<struct<low, less, cat_ord, coverage, asked>>``; with ``gaps`` also ``gaps``, the first wanted terms that the
+    document lacks as ``array<struct<rank, term, freq>>`` (null if none).
+    """
+    spine, side = _sides(jds, docs, vocab.taxonomy_rows(taxonomy), min_freq)
+    names = ["jd_id", "doc_id", "jd_tokens", "shared", "overlap", "category_mean", "score", *(["kept"] if signals else []), *(["gaps"] if gaps else [])]
+
+    def tell(some: dict, block: dict, kept: dict) -> Iterator[pa.RecordBatch]:
+        side = kept["side"] = kept.get("side") or _Side(block)
+        for ids, holds, _, met in side.steps(some):
+            cents, n = side.coverage(met), len(ids) * side.n
+            at = pa.array(np.tile(np.arange(side.n), len(ids)))
+            numbers = [pa.array(x.ravel()) for x in side.scores(holds, cents)]
+            made = [block["jd_id"].take(at), ids.take(pa.array(np.repeat(np.arange(len(ids)), side.n))), block["jd_tokens"].take(at), *numbers]
+            if signals:
+                pair, entry, medium, _ = side.signals(cents, signals)
+                e = pa.array(entry)
+                fields = [pa.array(medium), pa.array(-side.frequency[entry]), side.cat.take(e), pa.array(cents[pair // side.n, entry] / 100), side.asked.take(e)]
+                made.append(_grouped(pair, n, pa.StructArray.from_arrays(fields, ["low", "less", "cat_ord", "coverage", "asked"])))
+            if gaps:
+                pair, entry, rank = side.gaps(holds, gaps)
+                fields = [pa.array(rank.astype(np.int32)), side.want_term.take(pa.array(entry)), pa.array(side.want_freq[entry])]
+                made.append(_grouped(pair, n, pa.StructArray.from_arrays(fields, ["rank", "term", "freq"])))
+            yield pa.RecordBatch.from_arrays(made, names)
+
+    kinds = [_ids(jds, docs), "jd_tokens int, shared long, overlap double, category_mean double, score int", *([f"kept array<{SIGNAL}>"] if signals else []), *(["gaps array<struct<rank: int, term: string, freq: long>>"] if gaps else [])]
+    rows = packed_meeting(spine, side, tell, ", ".join(kinds))
+    return rows.withColumn("gaps", F.when(F.size("gaps") > 0, F.col("gaps"))) if gaps else rows
 
 
 def keyword_gaps(jds: DataFrame, docs: DataFrame, min_freq: int = 2, top_n: int = 10) -> DataFrame:
     """``jd_id, doc_id, rank, term, freq``: terms of a description that a résumé lacks, by frequency, then first occurrence."""
-    rows = pairs(jds, docs, {}, min_freq)
-    return rows.select("jd_id", "doc_id", F.explode(_gaps(top_n)).alias("g")).select("jd_id", "doc_id", "g.rank", "g.term", "g.freq")
+    rows = pairs(jds, docs, {}, min_freq, gaps=top_n)
+    return rows.select("jd_id", "doc_id", F.explode("gaps").alias("g")).select("jd_id", "doc_id", "g.rank", "g.term", "g.freq")
 
 
 def token_overlap(jds: DataFrame, docs: DataFrame) -> DataFrame:
@@ -249,22 +446,9 @@ def token_overlap(jds: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs(jds, docs, {}).where("shared > 0").select("jd_id", "doc_id", "shared", "jd_tokens")
 
 
-def scored(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
-    """:func:`pairs` with ``overlap, category_mean, score``.
-
-    The score is half token overlap, half mean coverage of the description's
-    categories, times 100, truncated. Coverage is summed in whole hundredths, so
-    the sum is exact in any order.
-    """
-    cents = F.aggregate("cover", F.lit(0).cast("long"), lambda a, x: a + F.bround(x["coverage"] * 100).cast("long"))
-    rows = pairs(jds, docs, taxonomy).withColumn("overlap", F.col("shared") / F.greatest("jd_tokens", F.lit(1)))
-    rows = rows.withColumn("category_mean", F.when(F.col("cover").isNotNull(), cents / F.size("cover") / 100).otherwise(0.0))
-    return rows.withColumn("score", F.least(F.floor((0.5 * F.col("overlap") + 0.5 * F.col("category_mean")) * 100).cast("int"), F.lit(100)))
-
-
 def match_scores(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
     """``jd_id, doc_id, overlap, category_mean, score`` of every pair."""
-    return scored(jds, docs, taxonomy).select("jd_id", "doc_id", "overlap", "category_mean", "score")
+    return pairs(jds, docs, taxonomy).select("jd_id", "doc_id", "overlap", "category_mean", "score")
 
 
 def best_descriptions(jds: DataFrame, docs: DataFrame, k: int = 3, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
@@ -281,47 +465,55 @@ def band(score: Column) -> Column:
     return F.when(score >= 80, "strong").when(score >= 60, "moderate").when(score >= 50, "weak").otherwise("decline")
 
 
-def top_signals(cover: Column, top_n: int = 5) -> Column:
-    """The signals of one pair in order as ``array<struct<low, less, cat_ord, coverage, asked>>``; no shuffle."""
-    told = F.filter(cover, lambda x: priority(x["coverage"], x["frequency"]) != "low")
-    keys = F.transform(told, lambda x: F.struct((priority(x["coverage"], x["frequency"]) != "high").alias("low"), (-x["frequency"]).alias("less"), x["cat_ord"].alias("cat_ord"), x["coverage"].alias("coverage"), x["asked"].alias("asked")))
-    return F.slice(F.array_sort(keys), 1, top_n)
-
-
-def _told(words: list[tuple[int, str, int, str]], top_n: int) -> Column:
-    """:func:`top_signals` of ``cover`` with names: ``array<struct<rank, category, label, jd_keywords, frequency, coverage, priority, angles>>``, null if none."""
+def _told(words: list[tuple[int, str, int, str]]) -> Column:
+    """``kept`` of :func:`pairs` with names: ``array<struct<rank, category, label, jd_keywords, frequency, coverage, priority, angles>>``, null if none."""
     word = F.create_map(*[F.lit(x) for c, _, k, w in words for x in (c * 1000 + k, w)])
     category = F.create_map(*[x for c, n in dict.fromkeys((c, n) for c, n, *_ in words) for x in (F.lit(c), F.struct(F.lit(n).alias("category"), X.title_label(F.lit(n)).alias("label"), F.array(*map(F.lit, vocab.ANGLES.get(n, []))).cast("array<string>").alias("angles")))])
     one = lambda x, i: X.let(F.element_at(category, x["cat_ord"]), lambda c: F.struct(
         (i + 1).alias("rank"), c["category"].alias("category"), c["label"].alias("label"), F.transform(x["asked"], lambda k: F.element_at(word, k)).alias("jd_keywords"),
         (-x["less"]).alias("frequency"), x["coverage"].alias("coverage"), F.when(x["low"], "medium").otherwise("high").alias("priority"), c["angles"].alias("angles"),
     ))
-    named = F.transform(top_signals(F.col("cover"), top_n), one)
-    return F.when(F.col("cover").isNotNull(), X.let(named, lambda s: F.when(F.size(s) > 0, s)))
+    return F.when(F.size("kept") > 0, F.transform("kept", one))
 
 
-def pair_signals(jds: DataFrame, docs: DataFrame, top_n: int = 5, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
-    """``jd_id, doc_id, rank, category, label, jd_keywords, frequency, coverage, priority, angles`` of every pair's ``top_n`` signals."""
-    rows = pairs(jds, docs, taxonomy).select("jd_id", "doc_id", F.explode(_told(vocab.taxonomy_rows(taxonomy), top_n)).alias("s"))
-    return rows.select("jd_id", "doc_id", "s.*")
+def pair_signals(jds: DataFrame, docs: DataFrame, top_n: int = 5, taxonomy: dict[str, list[str]] | None = None, named: bool = True) -> DataFrame:
+    """``jd_id, doc_id, rank, category, label, jd_keywords, frequency, coverage, priority, angles`` of every pair's ``top_n`` signals; ``jd_keywords`` only where ``named``."""
+    words = vocab.taxonomy_rows(taxonomy)
+    spine, side = _keyword_sides(jds, docs, words)
+    names = ["jd_id", "doc_id", "rank", "cat_ord", "frequency", "coverage", "medium", *(["asked"] if named else [])]
+
+    def tell(some: dict, block: dict, kept: dict) -> Iterator[pa.RecordBatch]:
+        side = kept["side"] = kept.get("side") or _Side(block)
+        for ids, _, _, met in side.steps(some):
+            cents = side.coverage(met)
+            pair, entry, medium, rank = side.signals(cents, top_n)
+            doc, e = pair // side.n, pa.array(entry)
+            made = [block["jd_id"].take(pa.array(pair % side.n)), ids.take(pa.array(doc)), pa.array(rank.astype(np.int32)), side.cat.take(e), pa.array(side.frequency[entry]), pa.array(cents[doc, entry] / 100), pa.array(medium)]
+            yield pa.RecordBatch.from_arrays([*made, side.asked.take(e)] if named else made, names)
+
+    rows = packed_meeting(spine, side, tell, f"{_ids(jds, docs)}, rank int, cat_ord int, frequency long, coverage double, medium boolean" + ", asked array<int>" * named)
+    known = dict.fromkeys((c, n) for c, n, *_ in words)
+    table = F.create_map(*[x for c, n in known for x in (F.lit(c), F.struct(F.lit(n).alias("category"), X.title_label(F.lit(n)).alias("label"), F.array(*map(F.lit, vocab.ANGLES.get(n, []))).cast("array<string>").alias("angles")))])
+    told = lambda name: F.element_at(table, F.col("cat_ord"))[name].alias(name)
+    word = F.create_map(*[F.lit(x) for c, _, k, w in words for x in (c * 1000 + k, w)])
+    asked = [F.transform("asked", lambda k: F.element_at(word, k)).alias("jd_keywords")] if named else []
+    return rows.select("jd_id", "doc_id", "rank", told("category"), told("label"), *asked, "frequency", "coverage", F.when(F.col("medium"), "medium").otherwise("high").alias("priority"), told("angles"))
 
 
-def _advised(rows: DataFrame, top_n: int) -> DataFrame:
-    """``advice`` of scored pairs, from their score and the categories of their signals."""
+def _advised(rows: DataFrame) -> DataFrame:
+    """``advice`` of pairs, from their score and the categories of their signals."""
     ords = {name: c for c, name in enumerate(vocab.TAXONOMY)}
-    empty = F.array().cast("array<int>")
-    rows = rows.withColumn("kept", F.when(F.col("cover").isNotNull(), F.transform(top_signals(F.col("cover"), top_n), lambda x: x["cat_ord"])).otherwise(empty))
-    holds = lambda name: F.array_contains("kept", F.lit(ords[name]))
+    holds = lambda name: F.exists("kept", lambda x: x["cat_ord"] == ords[name])
     given = F.filter(F.array(F.when(F.col("score") < 50, vocab.ADVICE["critical"]), F.when(holds("testing_ci_cd"), vocab.ADVICE["testing"]), F.when(holds("data_quality_observability"), vocab.ADVICE["quality"])), lambda a: a.isNotNull())
     return rows.withColumn("advice", X.let(given, lambda g: F.when(F.size(g) == 0, F.array(F.lit(vocab.ADVICE["good"]))).otherwise(g)))
 
 
 def recommendations(jds: DataFrame, docs: DataFrame, top_n: int = 5) -> DataFrame:
     """``jd_id, doc_id, score, advice array<string>`` of every pair; depends on the ``top_n`` signals."""
-    return _advised(scored(jds, docs), top_n).select("jd_id", "doc_id", "score", "advice")
+    return _advised(pairs(jds, docs, signals=top_n)).select("jd_id", "doc_id", "score", "advice")
 
 
 def full_report(jds: DataFrame, docs: DataFrame, top_n: int = 5) -> DataFrame:
-    """One nested row per pair: score, recommendations, signals and keyword gaps, all of one projection of the pair."""
-    rows = _advised(scored(jds, docs), top_n)
-    return rows.select("jd_id", "doc_id", "score", "advice", _told(vocab.taxonomy_rows(), top_n).alias("signals"), _gaps(10).alias("gaps"))
+    """One nested row per pair: score, recommendations, signals and keyword gaps, all of one row of the pair."""
+    rows = _advised(pairs(jds, docs, signals=top_n, gaps=10))
+    return rows.select("jd_id", "doc_id", "score", "advice", _told(vocab.taxonomy_rows()).alias("signals"), "gaps")

@@ -280,17 +280,17 @@ def _coverage_rows(df: DataFrame) -> DataFrame:
 
 @_query(f"{_FIXED} SELECT jd_id, doc_id, category, frequency, shared, coverage FROM cov")
 def category_coverage(spark, d):
-    return _coverage_rows(gap.category_coverage(_jds(spark, d), _docs(spark, d)))
+    return _coverage_rows(gap.category_coverage(_jds(spark, d), _docs(spark, d), named=False))
 
 
 @_query(f"{_OWN} SELECT jd_id, doc_id, category, frequency, shared, coverage FROM cov")
 def category_coverage_derived(spark, d):
-    return _coverage_rows(gap.category_coverage(_jds(spark, d), _docs(spark, d), derived_taxonomy(_jds(spark, d))))
+    return _coverage_rows(gap.category_coverage(_jds(spark, d), _docs(spark, d), derived_taxonomy(_jds(spark, d)), named=False))
 
 
 @_query(f"{_OWN} SELECT jd_id, doc_id, CAST(rank AS INTEGER) AS rank, category, priority, frequency, coverage FROM top")
 def gap_signals_topn(spark, d):
-    rows = gap.pair_signals(_jds(spark, d), _docs(spark, d), taxonomy=derived_taxonomy(_jds(spark, d)))
+    rows = gap.pair_signals(_jds(spark, d), _docs(spark, d), taxonomy=derived_taxonomy(_jds(spark, d)), named=False)
     return rows.select("jd_id", "doc_id", "rank", "category", "priority", "frequency", "coverage")
 
 
@@ -299,7 +299,7 @@ _ANGLES = _values([(c, i, a) for c, xs in vocab.ANGLES.items() for i, a in enume
 
 @_query(f"{_FIXED} SELECT jd_id, doc_id, CAST(rank AS INTEGER) AS rank, top.category, (SELECT string_agg(angle, '|' ORDER BY ord) FROM {_ANGLES} a WHERE a.category = top.category) AS angles FROM top")
 def signal_angles(spark, d):
-    rows = gap.pair_signals(_jds(spark, d), _docs(spark, d))
+    rows = gap.pair_signals(_jds(spark, d), _docs(spark, d), named=False)
     return rows.select("jd_id", "doc_id", "rank", "category", F.array_join("angles", "|").alias("angles"))
 
 

@@ -482,3 +482,41 @@ def test_boxes_of_one_place_keep_the_given_order(spark):
     boxes = [(1, 10.0, 5.0, f"box {i}", i) for i in (3, 1, 2, 0)]
     df = spark.createDataFrame(boxes, f"{BOX}, at int")
     assert layout.page_text(df, at="at").first().text == "box 0\nbox 1\nbox 2\nbox 3"
+
+
+# --- packed pairs -------------------------------------------------------------------------
+
+
+def test_packed_pairs_are_told_as_pair_by_pair(spark, monkeypatch):
+    monkeypatch.setattr(gap, "PACK", 3)  # several blocks of both sides
+    rng = random.Random(11)
+    taxonomy = {"a": ["alpha", "beta", "gamma"], "b": ["delta", "alph", "omega ray", "kappa", "sigma", "theta", "zeta", "iota"], "c": ["none"]}
+    say = lambda: " ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega ray", "kappa", "sigma", "theta", "zeta", "iota", "words", "tests"], k=rng.randint(0, 9)))
+    jds, docs = [(i, say()) for i in range(7)] + [(7, None)], [(i, say()) for i in range(10)] + [(3, "alpha"), (10, None), (None, "beta beta")]
+    jd, doc = spark.createDataFrame(jds, "jd_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    want, signals = [], []
+    for j, jt in jds:
+        for d, dt in docs:
+            for c, name in enumerate(taxonomy):
+                asked = [w for w in taxonomy[name] if w in (jt or "")]
+                if asked:
+                    n, freq = sum(w in (dt or "") for w in asked), sum(jt.count(w) for w in asked)
+                    want.append((j, d, c, freq, n, round(n / len(asked), 2), tuple(w for w in asked if w not in (dt or ""))))
+    got = [(r.jd_id, r.doc_id, r.cat_ord, r.frequency, r.shared, r.coverage, tuple(r.missing)) for r in gap.category_coverage(jd, doc, taxonomy).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    one = {}
+    for j, d, c, freq, n, share, lacks in want:
+        level = 0 if share < 0.3 and freq >= 2 else 1 if share < 0.6 else 2
+        if level < 2:
+            one.setdefault((j, d, lacks if d == 3 else None), []).append((level, -freq, c))
+    signals = [(r.jd_id, r.doc_id, r["rank"], r.cat_ord if "cat_ord" in r else r.category, r.priority, r.frequency) for r in gap.pair_signals(jd, doc, 1, taxonomy).where("doc_id <> 3").collect()]
+    firsts = [(j, d, 1, "abc"[c], ["high", "medium"][level], -less) for (j, d, _), found in one.items() if d not in (3, None) for level, less, c in [min(found)]]
+    assert sorted(signals) == sorted(firsts)
+
+
+def test_pairs_send_no_row_of_pairs_through_expressions(spark):
+    jd = spark.createDataFrame([(1, "python airflow kafka testing")], "jd_id long, text string")
+    doc = spark.createDataFrame([(1, "python pipelines with kafka")], "doc_id long, text string")
+    for rows in (gap.match_scores(jd, doc), gap.pair_signals(jd, doc), gap.category_coverage(jd, doc)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan.split("BroadcastNestedLoopJoin")[0]
