@@ -6,6 +6,10 @@ facade with its comparison, and cover letters.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,10 +74,21 @@ def score(jds: DataFrame, docs: DataFrame, method: str = "formula") -> DataFrame
         return gap.match_scores(jds, docs).select("jd_id", "doc_id", "score", F.lit(label).alias("method_used"))
     if kind != "embedding":
         raise ValueError(f"unknown scoring method {method!r}")
-    left = vector.embed(docs).withColumnRenamed("embedding", "a")
-    right = vector.embed(jds, "jd_id").withColumnRenamed("embedding", "b")
-    similar = F.least(F.greatest(F.floor(vector.cosine(F.col("a"), F.col("b")) * 100 + 1e-9), F.lit(0)), F.lit(100)).cast("int")
-    return gap._meet(left, right).select("jd_id", "doc_id", similar.alias("score"), F.lit("embedding (tfidf fallback)").alias("method_used"))
+    left = docs.select("doc_id", vector.dense_counts(F.col("text")).alias("counts"))
+    right = jds.select("jd_id", vector.dense_counts(F.col("text")).alias("asked"))
+
+    def tell(some: dict, block: dict, kept: dict) -> Iterator[pa.RecordBatch]:
+        a, b = (x.flatten().to_numpy().reshape(len(x), -1) for x in (some["counts"], block["asked"]))
+        norm = lambda v: np.sqrt(np.maximum((v * v).sum(axis=1), 1))
+        for at in range(0, len(a), step := max(1, gap.PAIRS // len(b))):
+            part, ids = a[at : at + step], some["doc_id"].slice(at, step)
+            # counts are whole, so their product is exact in any order
+            cosine = (part @ b.T) / (norm(part)[:, None] * norm(b)[None, :])
+            scores = np.clip(np.floor(cosine * 100 + 1e-9), 0, 100).astype(np.int32)
+            made = [block["jd_id"].take(pa.array(np.tile(np.arange(len(b)), len(ids)))), ids.take(pa.array(np.repeat(np.arange(len(ids)), len(b)))), pa.array(scores.ravel())]
+            yield pa.RecordBatch.from_arrays(made, ["jd_id", "doc_id", "score"])
+
+    return gap.packed_meeting(left, right, tell, f"{gap._ids(jds, docs)}, score int").withColumn("method_used", F.lit("embedding (tfidf fallback)"))
 
 
 def compare(jds: DataFrame, docs: DataFrame) -> DataFrame:

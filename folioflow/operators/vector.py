@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +33,16 @@ def hashed_counts(texts: DataFrame, key: str = "doc_id", dim: int = DIM) -> Data
 
 
 def dense_counts(text: Column, dim: int = DIM) -> Column:
-    """array<double> of ``dim`` entries: words of a text per bucket."""
-    count = lambda bs, i: F.size(F.filter(bs, lambda b: b == i)).cast("double")
-    return X.let(F.transform(X.words(F.lower(text)), lambda w: bucket(w, dim)), lambda bs: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: count(bs, i)))
+    """array<double> of ``dim`` entries: words of a text per bucket; zeros for a null text."""
+
+    @F.arrow_udf("array<double>")
+    def counted(buckets: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(buckets).to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(len(sizes)), sizes) * dim + buckets.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(at, minlength=len(sizes) * dim).astype(np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dim), pa.array(counts))
+
+    return counted(F.coalesce(F.transform(X.words(F.lower(text)), lambda w: bucket(w, dim)), F.array().cast("array<int>")))
 
 
 def embed(texts: DataFrame, key: str = "doc_id", dim: int = DIM) -> DataFrame:
