@@ -111,14 +111,16 @@ def merge(profiles: DataFrame, key: str = "user_id", order: str = "doc_id") -> D
 
 def from_json(text: Column) -> Column:
     """JSON to a profile; blank bullets go, skills are distinct, bullets are enriched; null for what is no JSON object."""
-    p = F.from_json(text, PROFILE)
     good = lambda xs: F.transform(F.filter(F.coalesce(xs, _empty(BULLET)), lambda b: X.strip(b["text"]) != ""), lambda b: bullet(X.strip(b["text"]), "llm"))
     nn = lambda c: F.coalesce(c, F.lit(""))
-    roles = F.transform(F.coalesce(p["experience"], _empty(ROLE)), lambda r: F.struct(nn(r["title"]).alias("title"), nn(r["company"]).alias("company"), nn(r["start"]).alias("start"), nn(r["end"]).alias("end"), nn(r["location"]).alias("location"), good(r["bullets"]).alias("bullets")))
-    projects = F.transform(F.coalesce(p["projects"], _empty(PROJECT)), lambda r: F.struct(nn(r["name"]).alias("name"), F.coalesce(r["tech"], _empty("string")).alias("tech"), good(r["bullets"]).alias("bullets"), nn(r["date"]).alias("date")))
-    whole = F.struct(roles.alias("experience"), projects.alias("projects"), F.array_distinct(F.coalesce(p["skills"], _empty("string"))).alias("skills"), F.coalesce(p["education"], _empty(EDUCATION)).alias("education"), F.coalesce(p["certifications"], _empty("string")).alias("certifications"))
+
+    def whole(p: Column) -> Column:
+        roles = F.transform(F.coalesce(p["experience"], _empty(ROLE)), lambda r: F.struct(nn(r["title"]).alias("title"), nn(r["company"]).alias("company"), nn(r["start"]).alias("start"), nn(r["end"]).alias("end"), nn(r["location"]).alias("location"), good(r["bullets"]).alias("bullets")))
+        projects = F.transform(F.coalesce(p["projects"], _empty(PROJECT)), lambda r: F.struct(nn(r["name"]).alias("name"), F.coalesce(r["tech"], _empty("string")).alias("tech"), good(r["bullets"]).alias("bullets"), nn(r["date"]).alias("date")))
+        return F.struct(roles.alias("experience"), projects.alias("projects"), F.array_distinct(F.coalesce(p["skills"], _empty("string"))).alias("skills"), F.coalesce(p["education"], _empty(EDUCATION)).alias("education"), F.coalesce(p["certifications"], _empty("string")).alias("certifications"))
+
     # from_json gives a struct of nulls for malformed texts; the whole document as a path is null for them
-    return F.when(F.startswith(F.get_json_object(text, "$"), F.lit("{")), whole.cast(PROFILE))
+    return F.when(F.startswith(F.get_json_object(text, "$"), F.lit("{")), X.let(F.from_json(text, PROFILE), lambda p: whole(p).cast(PROFILE)))
 
 
 def from_loose_json(text: Column, source: str = "llm") -> Column:

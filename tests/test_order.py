@@ -5,6 +5,7 @@ import math
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -520,3 +521,11 @@ def test_pairs_send_no_row_of_pairs_through_expressions(spark):
     for rows in (gap.match_scores(jd, doc), gap.pair_signals(jd, doc), gap.category_coverage(jd, doc)):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan.split("BroadcastNestedLoopJoin")[0]
+
+
+# --- read once ----------------------------------------------------------------------------
+
+
+def test_json_is_read_once(spark):
+    plan = spark.createDataFrame([("{}",)], "t string").select(files.json_or_text(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
