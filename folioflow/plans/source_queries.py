@@ -29,7 +29,7 @@ def _as_files(rows: DataFrame, writer: Callable[..., bytes]) -> DataFrame:
     """``path, content``: the first column names the file, the others are what ``writer`` makes its bytes from."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in files.slices(batches):
             path, *fields = (c.to_pylist() for c in b.columns)
             made = [writer(*x) for x in zip(*fields, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(map(str, path), pa.string()), pa.array(made, pa.binary())], ["path", "content"])

@@ -529,3 +529,9 @@ def test_pairs_send_no_row_of_pairs_through_expressions(spark):
 def test_json_is_read_once(spark):
     plan = spark.createDataFrame([("{}",)], "t string").select(files.json_or_text(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_extractors_open_few_files_at_once(spark, monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["x"])
+    parts = list(files.slices(iter([batch, batch.slice(0, 0)])))
+    assert max(p.num_rows for p in parts) <= files.FILES and sum(p.num_rows for p in parts) == 1000
