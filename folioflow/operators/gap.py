@@ -358,11 +358,36 @@ def with_angles(signals: DataFrame) -> DataFrame:
     return signals.withColumn("angles", F.coalesce(F.try_element_at(table, F.col("category")), F.array().cast("array<string>")))
 
 
-def doc_terms(texts: DataFrame, key: str) -> DataFrame:
-    """``key, term, freq, first_pos``: term frequencies with the first position as tie-break."""
+def _term_rows(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(key, F.posexplode(X.tokens(F.col("text"))).alias("pos", "term")).groupBy(key, "term").agg(F.count("*").alias("freq"), F.min("pos").alias("first_pos"))
 
 
+def doc_terms(texts: DataFrame, key: str) -> DataFrame:
+    """``key, term, freq, first_pos``: term frequencies with the first position as tie-break.
+
+    The terms of one row are counted where it is read; only rows whose key occurs several times are shuffled to be counted together.
+    """
+    names = [key, "term", "freq", "first_pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, PACK):
+                keys, column = (c.slice(at, PACK) for c in b.columns)
+                tokens, sizes = _lists(column)
+                coded = tokens.dictionary_encode()
+                row, words = np.repeat(np.arange(len(sizes)), sizes), max(1, len(coded.dictionary))
+                told, first, n = np.unique(row * words + coded.indices.to_numpy(), return_index=True, return_counts=True)
+                place = first - (np.cumsum(sizes) - sizes)[told // words]
+                made = [keys.take(pa.array(told // words)), coded.dictionary.take(pa.array(told % words)), pa.array(n.astype(np.int64)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(made, names)
+
+    again = texts.groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    once = texts.join(again, same, "left_anti").select(key, X.tokens(F.col("text")).alias("tokens"))
+    counted = once.mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, term string, freq long, first_pos int")
+    return counted.unionByName(_term_rows(texts.join(again, same, "left_semi"), key))
+
+
 def _numbers(terms: DataFrame):
     """A function from a term to a number that tells the distinct ``terms`` apart, and their bytes; one action."""
 
@@ -387,7 +412,7 @@ def _sides(jds: DataFrame, docs: DataFrame, words: list[tuple[int, str, int, str
     none = F.array().cast("array<long>")
     asked_terms = jds.select(F.explode(tokens).alias("term")).distinct()
     number, size = _numbers(asked_terms)
-    frequent = doc_terms(jds, "jd_id").where((F.col("freq") >= min_freq) & (F.length("term") > 3))
+    frequent = _term_rows(jds, "jd_id").where((F.col("freq") >= min_freq) & (F.length("term") > 3))
     wanted = frequent.groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("nf"), "first_pos", "term", number(F.col("term")).alias("n")))).alias("want"))
     side = jds.select("jd_id", F.size(tokens).alias("jd_tokens"), F.coalesce(F.transform(tokens, number), none).alias("jd_terms"), _asked(F.col("text"), words).alias("cats")).join(wanted, "jd_id", "left")
     terms = asked_terms.select("term", number(F.col("term")).alias("n"))

@@ -535,3 +535,13 @@ def test_extractors_open_few_files_at_once(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], ["x"])
     parts = list(files.slices(iter([batch, batch.slice(0, 0)])))
     assert max(p.num_rows for p in parts) <= files.FILES and sum(p.num_rows for p in parts) == 1000
+
+
+def test_terms_of_keys_that_occur_once_are_not_shuffled(spark):
+    texts = [(1, "one two one"), (2, None), (None, "nix nix"), (3, "two two"), (3, "one two"), (None, "nix"), (4, ""), (5, "the café python")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.term, r.freq, r.first_pos) for r in gap.doc_terms(df, "doc_id").collect()), key=repr)
+    assert got == sorted(((r.doc_id, r.term, r.freq, r.first_pos) for r in gap._term_rows(df, "doc_id").collect()), key=repr)
+    assert (3, "two", 3, 0) in got and (None, "nix", 3, 0) in got
+    plan = gap.doc_terms(df, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
