@@ -381,7 +381,7 @@ def doc_terms(texts: DataFrame, key: str) -> DataFrame:
                 made = [keys.take(pa.array(told // words)), coded.dictionary.take(pa.array(told % words)), pa.array(n.astype(np.int64)), pa.array(place.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(made, names)
 
-    again = texts.groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again")
+    again = _small(texts.groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1").select("_again"))
     same = F.col(key).eqNullSafe(F.col("_again"))
     once = texts.join(again, same, "left_anti").select(key, X.tokens(F.col("text")).alias("tokens"))
     counted = once.mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, term string, freq long, first_pos int")
