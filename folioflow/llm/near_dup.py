@@ -27,9 +27,11 @@ leader c the difference is at least
 
 where ``in`` is the mass on shingles of c, ``own`` the mass on shingles that no
 other node verified against c has, ``out`` the rest. These are a few numbers a
-node, so most pairs are proven apart without a look at their texts. Members outside
+node. As two nodes may lack different shingles of c, each side is also bounded by its
+cells: shingles are dealt to cells by hash, and where one node's mass in a cell is odd and the other's
+even, they differ there by one at least. So most pairs are proven apart without a look at their texts. Members outside
 the leader's component ask the remaining ones of other components: first those
-of a hash-chosen few, then 16 times as many a round, until all are asked or the
+of a hash-chosen few, then 256 times as many a round, until all are asked or the
 asker is linked. Components only grow, so in the end no pair of a bucket is left
 that is neither tested, nor proven apart, nor inside one component.
 
@@ -198,8 +200,10 @@ def _meeting(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 LANES = 1 << 16
 #: Partners for which a text is sent once.
 CHUNK = 256
-#: Partners asked in the first round; 16 times as many in each that follows.
-FIRST_ASKS = 16
+#: Cells by the hash of a shingle, a bit each: whether the mass in it is odd. Bits that differ are mass that differs.
+CELLS = 512
+#: Partners asked in the first round, and how many times as many in each that follows.
+FIRST_ASKS, MORE_ASKS = 16, 256
 
 
 def with_bands(rows: DataFrame) -> DataFrame:
@@ -228,14 +232,20 @@ def with_bands(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "thash", "text").mapInArrow(run, fields)
 
 
-VERIFIED = "a long, b long, linked boolean, size_a long, size_b long, inside long, rest array<long>, weight array<long>"
+VERIFIED = "a long, b long, linked boolean, size_a long, size_b long, inside long, rest array<long>, weight array<long>, odd array<long>"
+
+
+def _odd_cells(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The cells of odd mass, 64 to a number."""
+    odd = np.bincount((hashes[counts % 2 == 1] % _U(CELLS)).astype(np.int64), minlength=CELLS) % 2
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, rest: bool = False) -> DataFrame:
     """``a, b, linked, size_a, size_b`` of the written ``pairs`` by their texts (``node, text``).
 
-    With ``rest`` also ``inside``, the mass of b on shingles of a, and the
-    shingles of b outside a with their counts.
+    With ``rest`` also ``inside``, the mass of b on shingles of a, the
+    shingles of b outside a with their counts, and ``odd``, the cells of odd mass inside and outside a.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).alias("parts"))
     dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
@@ -243,7 +253,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, rest: bool = False) -> DataFra
     first = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
     dealt = second.unionByName(first).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     names = [c.split()[0] for c in VERIFIED.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, size = Words(), None, 0
@@ -255,10 +265,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, rest: bool = False) -> DataFra
                     held, size = this, int(this[1].sum())
                     continue
                 linked = overlap(held, this) >= SIMILARITY
-                more = (None, None, None)
+                more = (None, None, None, None)
                 if rest:
                     inside, _ = _meeting(this, held)
-                    more = int(this[1][inside].sum()), this[0][~inside].view(np.int64), this[1][~inside]
+                    odd = [_odd_cells(this[0][x], this[1][x]) for x in (inside, ~inside)]
+                    more = int(this[1][inside].sum()), this[0][~inside].view(np.int64), this[1][~inside], np.concatenate(odd)
                 made.append((a, b, linked, size, int(this[1].sum()), *more))
             columns = zip(*made, strict=True) if made else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
@@ -284,9 +295,9 @@ def _with_root(rows: DataFrame, roots: DataFrame, node: str, name: str) -> DataF
 
 
 def _open_buckets(led: DataFrame, roots: DataFrame, first: DataFrame) -> DataFrame:
-    """The buckets of more than one component: ``key, node, lead, spot, size, inside, own, outside``.
+    """The buckets of more than one component: ``key, node, spot, size, inside, own, outside, odd, lead``.
 
-    ``spot`` is a hash-chosen place of the node among the members of its bucket.
+    ``spot`` is a hash-chosen place of the node among the members of its bucket. The leader itself, which all have met, has no ``odd``.
     """
     rooted = _with_root(led, roots, "node", "root")
     several = spread_by(rooted, "key", F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
@@ -296,25 +307,28 @@ def _open_buckets(led: DataFrame, roots: DataFrame, first: DataFrame) -> DataFra
     strange = seen.select("a", "b", F.explode(F.arrays_zip("rest", "weight")).alias("x")).select("a", "b", F.col("x.rest").alias("h"), F.col("x.weight").alias("w"))
     alone = strange.groupBy("a", "h").agg(F.count("*").alias("n"), F.max("b").alias("b"), F.sum("w").alias("w")).where("n = 1")
     own = alone.groupBy("a", "b").agg(F.sum("w").alias("own"))
-    marks = seen.join(own, ["a", "b"], "left").select("a", "b", F.col("size_b").alias("size"), "inside", F.coalesce("own", F.lit(0)).alias("own"))
-    marks = marks.unionByName(seen.groupBy("a").agg(F.max("size_a").alias("size")).select("a", F.col("a").alias("b"), "size", F.col("size").alias("inside"), F.lit(0).alias("own")))
-    marks = marks.select(F.col("a").alias("lead"), F.col("b").alias("node"), "size", "inside", "own", (F.col("size") - F.col("inside") - F.col("own")).alias("outside"))
+    marks = seen.join(own, ["a", "b"], "left").select("a", "b", F.col("size_b").alias("size"), "inside", F.coalesce("own", F.lit(0)).alias("own"), "odd")
+    marks = marks.unionByName(seen.groupBy("a").agg(F.max("size_a").alias("size")).select("a", F.col("a").alias("b"), "size", F.col("size").alias("inside"), F.lit(0).alias("own"), F.lit(None).cast("array<long>").alias("odd")))
+    marks = marks.select(F.col("a").alias("lead"), F.col("b").alias("node"), "size", "inside", "own", "odd", (F.col("size") - F.col("inside") - F.col("own")).alias("outside"))
     spot = F.floor(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) * F.col("m") / (1 << 20))
-    return rows.join(marks, ["lead", "node"]).select("key", "node", "lead", spot.alias("spot"), "size", "inside", "own", "outside")
+    return rows.join(marks, ["lead", "node"]).select("key", "node", "lead", spot.alias("spot"), "size", "inside", "own", "outside", "odd")
 
 
 def _asked_pairs(rows: DataFrame, roots: DataFrame, low: int, high: int) -> DataFrame:
     """``a, b``: members outside the leader's component with those of other components at spots ``low`` to ``high`` that are not proven apart."""
     one, nine = DIFFERENCE
     slack = one * F.col("size") - nine * F.col("own")
-    at = _with_root(_with_root(rows, roots, "node", "root"), roots, "lead", "main").select("key", "node", "root", "main", "spot", "size", "inside", "own", "outside", slack.alias("slack"))
+    at = _with_root(_with_root(rows, roots, "node", "root"), roots, "lead", "main").select("key", "node", "root", "main", "spot", "size", "inside", "own", "outside", "odd", slack.alias("slack"))
     # no member of the bucket is near enough to an asker outside these bounds
     ends = spread_by(at, "key", F.max(F.col("slack") + nine * F.col("inside")).alias("top"), F.max(F.col("slack") - nine * F.col("inside")).alias("bottom"))
     asks = at.where("root <> main").join(ends, "key").where((F.col("top") >= nine * F.col("inside") - F.col("slack")) & (F.col("bottom") >= -nine * F.col("inside") - F.col("slack")))
-    asks = asks.select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "size", "inside", "own", "outside")])
-    told = at.where((F.col("spot") >= low) & (F.col("spot") < high))
-    apart = F.abs(F.col("inside") - F.col("inside_x")) + F.abs(F.col("outside") - F.col("outside_x")) + F.col("own") + F.col("own_x")
-    near = (F.col("root") != F.col("root_x")) & (nine * apart <= one * (F.col("size") + F.col("size_x")))
+    asks = asks.select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "size", "inside", "own", "outside", "odd")])
+    told = at.where(F.col("odd").isNotNull() & (F.col("spot") >= low) & (F.col("spot") < high))
+    within = one * (F.col("size") + F.col("size_x"))
+    mass = F.abs(F.col("inside") - F.col("inside_x")), F.abs(F.col("outside") - F.col("outside_x")) + F.col("own") + F.col("own_x")
+    unlike = [F.bit_count(F.get("odd", F.lit(i)).bitwiseXOR(F.get("odd_x", F.lit(i)))) for i in range(CELLS // 32)]
+    cells = sum(unlike[: CELLS // 64], F.lit(0)), sum(unlike[CELLS // 64 :], F.lit(0))
+    near = (F.col("root") != F.col("root_x")) & (nine * (mass[0] + mass[1]) <= within) & (nine * (F.greatest(mass[0], cells[0]) + F.greatest(mass[1], cells[1])) <= within)
     return asks.join(told, (asks["key"] == told["key"]) & near).select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
@@ -352,13 +366,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
         for done in tested:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        more = materialise(_verified(pairs, texts).select("a", "b", "linked"), "more")
-        found = joined_roots(roots, components(_links(more, roots)))
+        low, high = high, high * MORE_ASKS
+        if pairs.isEmpty():
+            discard(pairs)
+            continue
         tested.append(pairs)
+        more = materialise(_links(_verified(pairs, texts), roots), "more")
+        if not more.isEmpty():
+            found = joined_roots(roots, components(more))
+            discard(roots)
+            roots = found
         discard(more)
-        discard(roots)
-        roots = found
-        low, high = high, high * 16
     for used in (rows, texts, *tested):
         discard(used)
     slim = nodes.select("bag", "node")

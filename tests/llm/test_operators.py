@@ -609,6 +609,31 @@ def test_large_bucket_of_unlike_members_equals_brute_force(spark, monkeypatch):
     assert sum(asked) < 0.25 * len(texts) ** 2 / 2
 
 
+def test_copies_that_lack_other_shingles_are_told_apart_without_their_texts(spark, monkeypatch):
+    """Copies edited with words of a shared pool have few shingles of their own; the cells tell them apart."""
+    texts = [t for t in group_of_copies(300, 11, 24)]
+    want, _ = brute_classes(texts)
+    asked, plain = [], near_dup._verified
+
+    def counted(pairs, *args, **more):
+        asked.append(pairs.count())
+        return plain(pairs, *args, **more)
+
+    monkeypatch.setattr(near_dup, "_verified", counted)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == want
+    assert sum(asked) < 0.02 * len(texts) ** 2 / 2
+
+
+def test_cells_never_differ_by_more_than_the_bags():
+    rng = np.random.default_rng(5)
+    for _ in range(100):
+        hashes = np.sort(rng.integers(0, 1 << 62, 900)).astype(np.uint64)
+        bags = [np.where(rng.random(900) < rng.random(), rng.integers(1, 4, 900), 0) for _ in range(2)]
+        x, y = (near_dup._odd_cells(hashes[b > 0], b[b > 0]) for b in bags)
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= np.abs(bags[0] - bags[1]).sum()
+
+
 def test_pairs_said_to_be_apart_are_apart():
     """The bound that spares a verification never exceeds the true difference of two bags."""
     rng = np.random.default_rng(4)
