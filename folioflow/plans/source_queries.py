@@ -179,8 +179,8 @@ def stream_monthly(spark, d):
 @_query("""SELECT user_id, strftime(start, '%Y-%m-%d %H:%M') AS start, count(*) AS n FROM (
 SELECT user_id, unnest(list_transform(range(0, 12), lambda k: time_bucket(INTERVAL 5 MINUTE, ts) - k * INTERVAL 5 MINUTE)) AS start FROM (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts FROM events)) GROUP BY ALL HAVING count(*) > 1""")
 def stream_rate_alarms(spark, d):
-    """More than one event within an hour, as events are far apart here; a stream with windows and a watermark."""
-    found = _counted(spark, usage.rate_alarms(event_stream(spark, d), limit=1), ["user_id", "start"], "n")
+    """More than one event within an hour, as events are far apart here; a stream of slices with a watermark, then their windows."""
+    found = usage.alarms_of(_counted(spark, usage.slice_counts(event_stream(spark, d)), ["user_id", "slice"], "n"), limit=1)
     return found.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -67,6 +67,27 @@ def rate_alarms(events: DataFrame, window: str = "60 minutes", slide: str = "5 m
     return counted.where(F.col("n") > limit).select("user_id", F.col("w.start").alias("start"), "n")
 
 
+def slice_counts(events: DataFrame, slide: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """``user_id, slice, n``: events by user and slice of time, in update mode; an event is part of one number, however many windows hold it."""
+    marked = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    return marked.groupBy(F.window("ts", slide).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("slice"), "n")
+
+
+def alarms_of(slices: DataFrame, limit: int = 20, slices_a_window: int = 12, slide_seconds: int = 300) -> DataFrame:
+    """:func:`rate_alarms` from the counts of :func:`slice_counts`, as a table.
+
+    A window with more than ``limit`` events needs as many within its length around
+    each of its slices; only such slices are shown to their windows. A user has
+    few slices (288 a day), whatever the number of events.
+    """
+    step = slide_seconds * 1_000_000
+    reach = (slices_a_window - 1) * step
+    around = Window.partitionBy("user_id").orderBy("_at").rangeBetween(-reach, reach)
+    rows = slices.withColumn("_at", F.unix_micros("slice")).withColumn("_around", F.sum("n").over(around)).where(F.col("_around") > limit)
+    shown = rows.select("user_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices_a_window - 1)), lambda k: F.timestamp_micros(F.col("_at") - k.cast("long") * F.lit(step)))).alias("start"), "n")
+    return shown.groupBy("user_id", "start").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+
+
 def repeated_requests(requests: DataFrame, limit: int = 10, late: str = "5 minutes") -> DataFrame:
     """Texts (``text_hash``) sent more than ``limit`` times within five minutes."""
     marked = requests.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -545,3 +545,19 @@ def test_terms_of_keys_that_occur_once_are_not_shuffled(spark):
     assert (3, "two", 3, 0) in got and (None, "nix", 3, 0) in got
     plan = gap.doc_terms(df, "doc_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan
+
+
+# --- alarms of slices -----------------------------------------------------------------------
+
+
+def test_alarms_from_slices_are_those_of_all_windows(spark):
+    rng = random.Random(3)
+    times = [rng.randrange(0, 6 * 3600) for _ in range(150)] + [7200] * 5
+    rows = [(i % 3 if i % 10 else None, t if i != 7 else None) for i, t in enumerate(times)]
+    events = spark.createDataFrame(rows, "user_id int, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
+    slices = usage.slice_counts(events)
+    assert slices.agg(F.sum("n")).first()[0] == len(rows) - 1
+    for limit in (1, 8, 12):
+        want = usage.rate_alarms(events, limit=limit).collect()
+        got = usage.alarms_of(slices, limit=limit).collect()
+        assert sorted(map(str, got)) == sorted(map(str, want))
