@@ -29,6 +29,8 @@ BROADCAST_BYTES = 64 << 20
 PACK = 256
 PAIRS = 1 << 16
 CELLS = 1 << 23
+#: Positions of texts that are walked side by side.
+STEP = 1 << 18
 
 def _bytes(df: DataFrame) -> int:
     """Bytes of the values of ``df``: 8 a number, text and arrays by their own size."""
@@ -250,27 +252,120 @@ def keyword_hits(texts: DataFrame, key: str, words: list[tuple[int, str, int, st
     return texts.select(key, hits_of(F.col("text"), words).alias("hits"))
 
 
+class _Automaton:
+    """Finds all of ``words`` at all positions of many texts at once: a trie over bytes, walked from every position side by side.
+
+    Positions that no word goes on at leave, so the work is about a few steps a byte, whatever the number of words.
+    """
+
+    def __init__(self, words: list[str]):
+        coded = [w.encode() for w in words]
+        alphabet = sorted({b for w in coded for b in w})
+        # class 0 is any other byte, node 0 is dead, node 1 the root
+        self.kind = np.zeros(256, np.uint8 if len(alphabet) < 256 else np.uint16)
+        self.kind[alphabet] = np.arange(1, len(alphabet) + 1)
+        steps, ends = [{}, {}], [-1, -1]
+        for i, w in enumerate(coded):
+            at = 1
+            for b in w:
+                if b not in steps[at]:
+                    steps[at][b] = len(steps)
+                    steps.append({})
+                    ends.append(-1)
+                at = steps[at][b]
+            ends[at] = i
+        self.width, self.ends = len(alphabet) + 1, np.array(ends, np.int32)
+        self.next = np.zeros(len(steps) * self.width, np.int32)
+        for at, known in enumerate(steps):
+            for b, to in known.items():
+                self.next[at * self.width + int(self.kind[b])] = to
+        self.length = np.array([len(w) for w in coded], np.int64)
+        self.folds = np.array([_overlaps_itself(w) for w in words], bool)
+
+    def _found(self, kinds: np.ndarray, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """(position, word) of all words that begin from ``at`` up to ``to``; ``kinds`` ends with a 0."""
+        spot, state, places, found = np.arange(at, to), np.ones(to - at, np.int32), [], []
+        while len(spot):
+            state = self.next[state * self.width + kinds[spot]]
+            on = np.flatnonzero(state)
+            spot, state = spot[on], state[on]
+            word = self.ends[state]
+            ended = np.flatnonzero(word >= 0)
+            places.append((spot[ended], word[ended]))
+            spot = spot + 1
+        # a word of k bytes was told at its last one
+        places = [(x - depth, w) for depth, (x, w) in enumerate(places)]
+        return np.concatenate([x for x, _ in places]), np.concatenate([w for _, w in places])
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, word, occurrences that don't overlap) of the words of each text, as ``str.count`` has them."""
+        coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts.to_pylist()]
+        starts = np.cumsum([0, *(len(t) + 1 for t in coded)])
+        kinds = self.kind[np.frombuffer(b"\0".join(coded) + b"\0", np.uint8)]
+        kinds[starts[1:] - 1] = 0
+        words, told, again = len(self.ends), [], []
+        for at in range(0, len(kinds), STEP):
+            spot, word = self._found(kinds, at, min(at + STEP, len(kinds)))
+            key = (np.searchsorted(starts, spot, "right") - 1) * words + word
+            folds = self.folds[word]
+            told.append(np.unique(key[~folds], return_counts=True))
+            again.append((key[folds], spot[folds]))
+        keys, n = (np.concatenate(x) for x in zip(*told, strict=True))
+        key, spot = (np.concatenate(x) for x in zip(*again, strict=True))
+        kept = key[self._apart(key, spot, words)]
+        keys, n = np.concatenate([keys, kept]), np.concatenate([n, np.ones(len(kept), np.int64)])
+        keys, place = np.unique(keys, return_inverse=True)
+        return keys // words, keys % words, np.bincount(place, n, len(keys)).astype(np.int64)
+
+    def _apart(self, key: np.ndarray, spot: np.ndarray, words: int) -> np.ndarray:
+        """Which of the hits of words that can overlap themselves count, from the left."""
+        order = np.lexsort((spot, key))
+        key, spot = key[order], spot[order]
+        length = self.length[key % words]
+        close = np.flatnonzero((key[1:] == key[:-1]) & (spot[1:] - spot[:-1] < length[1:])) + 1
+        kept = np.ones(len(key), bool)
+        last, end = -1, 0
+        for i in close.tolist():
+            # the first of a run of hits that are close counts
+            if i - 1 != last:
+                end = spot[i - 1] + length[i]
+            last = i
+            if spot[i] < end:
+                kept[i] = False
+            else:
+                end = spot[i] + length[i]
+        return order[kept]
+
+
 def vocabulary_counts(texts: DataFrame, key: str, words: list[tuple[int, str, int, str]]) -> DataFrame:
     """``key, cat_ord, kw_ord, n``: the same hits as rows, for vocabularies of thousands of words.
 
-    Each text is read once for the longest words at its positions. These are counted by
-    text and word, and a relation from a word to its prefixes (broadcast, as large as the vocabulary)
-    closes the set. Words that can overlap themselves are only marked there, and counted in the texts that hold them.
+    Each text is read once (:class:`_Automaton`), where it lies; nothing is shuffled. A row with its key repeated has rows of its own.
     """
-    spark = texts.sparkSession
-    all_words = sorted({w for *_, w in words})
+    known = sorted({w for *_, w in words})
     ids: dict[str, list[tuple[int, int]]] = {}
     for c, _, k, w in words:
         ids.setdefault(w, []).append((c, k))
-    closed = [(w, w[:n], c, k, _overlaps_itself(w[:n])) for w in all_words for n in range(1, len(w) + 1) for c, k in ids.get(w[:n], ())]
-    prefixes = F.broadcast(spark.createDataFrame(closed, "longest string, word string, cat_ord int, kw_ord int, folds boolean"))
-    low = F.lower("text")
-    found = texts.select(key, F.regexp_extract_all(low, F.lit(f"(?=({_trie(all_words)}))"), F.lit(1)).alias("found"))
-    met = found.select(key, F.explode("found").alias("longest")).groupBy(key, "longest").agg(F.count("*").alias("n")).join(prefixes, "longest")
-    plain = met.where(~F.col("folds")).groupBy(key, "cat_ord", "kw_ord").agg(F.sum("n").alias("n"))
-    marked = met.where("folds").select(key, "cat_ord", "kw_ord", "word").distinct().groupBy(key).agg(F.collect_list(F.struct("cat_ord", "kw_ord", "word")).alias("marked"))
-    counted = texts.select(key, low.alias("low")).join(marked, key).select(key, F.explode(F.transform("marked", lambda m: F.struct(m["cat_ord"].alias("cat_ord"), m["kw_ord"].alias("kw_ord"), X.occurrences(F.col("low"), m["word"]).cast("long").alias("n")))).alias("m"))
-    return plain.unionByName(counted.select(key, "m.*"))
+    names = [key, "cat_ord", "kw_ord", "n"]
+    entries = [ids[w] for w in known]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _Automaton(known)
+        sizes = np.array([len(e) for e in entries], np.int64)
+        first = np.cumsum(sizes) - sizes
+        ords = np.array([x for e in entries for x in e], np.int32).reshape(-1, 2)
+        for b in batches:
+            for at in range(0, b.num_rows, PACK):
+                keys, column = (c.slice(at, PACK) for c in b.columns)
+                row, word, n = finder.counts(column)
+                # a word that is several keywords counts for each
+                times = sizes[word]
+                place = np.repeat(np.arange(len(row)), times)
+                entry = first[word][place] + np.arange(len(place)) - (np.cumsum(times) - times)[place]
+                made = [keys.take(pa.array(row[place])), pa.array(ords[entry, 0]), pa.array(ords[entry, 1]), pa.array(n[place])]
+                yield pa.RecordBatch.from_arrays(made, names)
+
+    return texts.select(key, F.lower("text").alias("low")).mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, cat_ord int, kw_ord int, n long")
 
 
 def keyword_frequency(texts: DataFrame, key: str, words: list[tuple[int, str, int, str]]) -> DataFrame:

@@ -377,6 +377,19 @@ def test_pairs_shuffle_nothing_behind_their_meeting(spark):
     assert "Exchange" not in above and "Window" not in above
 
 
+def test_vocabulary_counts_are_those_of_str_count(spark, monkeypatch):
+    monkeypatch.setattr(gap, "STEP", 37)
+    rng = random.Random(6)
+    known = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 4))) for _ in range(40)] + ["aaa", "test", "ab\0a"]
+    words = [(i % 3, "c", i, w) for i, w in enumerate(known)]
+    texts = ["".join(rng.choice("aaabé \0") for _ in range(rng.randint(0, 90))) for _ in range(40)] + ["a" * 500, None, "", "testest ab\0ab\0a"]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    plan = gap.vocabulary_counts(df, "doc_id", words)
+    got = sorted(map(tuple, plan.collect()))
+    assert got == sorted((i // 2, c, k, t.lower().count(w)) for i, t in enumerate(texts) if t for c, _, k, w in words if w in t.lower())
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 # --- loose JSON and vectors ---------------------------------------------------------------
 
 
