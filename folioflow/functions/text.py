@@ -97,9 +97,9 @@ def clean_latex(text: Column) -> Column:
 
 
 def escape_latex(text: Column) -> Column:
-    """LaTeX specials escaped in one pass over the characters, so nothing is escaped twice."""
+    """LaTeX specials escaped in one pass, so nothing is escaped twice: a special is a piece of its own, what lies between is one."""
     table = F.create_map(*[F.lit(x) for kv in vocab.LATEX_ESCAPES.items() for x in kv])
-    pieces = F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(table, c), c))
+    pieces = F.transform(F.regexp_extract_all(text, F.lit(r"[&%$#_{}~^\\]|[^&%$#_{}~^\\]+"), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c))
     return F.when(text.rlike(r"[&%$#_{}~^\\]"), F.array_join(pieces, "")).otherwise(text)
 
 

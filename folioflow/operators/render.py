@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_latex as esc
+from ..functions.text import let
 
 MAX_BULLETS = 6
 
@@ -74,6 +75,11 @@ def certifications(names: Column) -> Column:
     return F.when(F.size(names) == 0, "").otherwise(_join(["\\section{Certifications}\n \\begin{itemize}[leftmargin=0.15in, label={}]\n    \\small{\\item{ ", body, " }}\n \\end{itemize}"]))
 
 
+def sections(profile: Column) -> Column:
+    """struct<experience, projects, education> of a profile that is built once, however it is made; take it apart by ``inline`` of an array of it."""
+    return let(profile, lambda p: F.struct(experience(p["experience"]).alias("experience"), projects(p["projects"]).alias("projects"), education(p["education"]).alias("education")))
+
+
 def fill(template: Column, values: dict[str, Column]) -> Column:
     """Each ``{{KEY}}`` replaced, in the order given; a value that holds a later key's mark is filled too."""
     for key, value in values.items():

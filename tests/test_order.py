@@ -574,3 +574,14 @@ def test_alarms_from_slices_are_those_of_all_windows(spark):
         want = usage.rate_alarms(events, limit=limit).collect()
         got = usage.alarms_of(slices, limit=limit).collect()
         assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_escaping_reads_pieces_not_characters(spark):
+    from folioflow.functions import text as X
+    from folioflow.functions import vocab
+
+    texts = ["", None, "plain", "a & b_c\n100% \\x{y}~^", "##", "é😀#é"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", X.escape_latex(F.col("t")).alias("e"))
+    want = [t if t is None else "".join(vocab.LATEX_ESCAPES.get(c, c) for c in t) for t in texts]
+    assert [r.e for r in df.orderBy("i").collect()] == want
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
