@@ -29,8 +29,11 @@ BROADCAST_BYTES = 64 << 20
 PACK = 256
 PAIRS = 1 << 16
 CELLS = 1 << 23
-#: Positions of texts that are walked side by side.
+#: Positions of texts that are walked side by side, and bytes of texts that are searched at a time.
 STEP = 1 << 18
+TEXT_BYTES = 1 << 22
+#: Terms of descriptions of up to this many bytes, as counted, go to the tasks as they are.
+TERM_BYTES = 16 << 20
 
 def _bytes(df: DataFrame) -> int:
     """Bytes of the values of ``df``: 8 a number, text and arrays by their own size."""
@@ -143,14 +146,16 @@ class _Side:
             yield some["doc_id"], holds, knows, (knows @ self.by_word).astype(np.int64)
 
     def coverage(self, met: np.ndarray) -> np.ndarray:
-        return self.cents[np.arange(len(self.jd)), met]
+        return self.cents.ravel().take(met + np.arange(len(self.jd)) * self.cents.shape[1])
 
     def scores(self, holds: np.ndarray, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(shared, overlap, category_mean, score), a row for each document and a column for each description."""
         shared = (holds @ self.by_term).astype(np.int64)
         overlap = shared / np.maximum(self.tokens, 1)
-        total = np.concatenate([np.zeros((len(cents), 1), np.int64), np.cumsum(cents, axis=1, dtype=np.int64)], axis=1)
-        mean = (total[:, self.starts + self.n_cats] - total[:, self.starts]) / np.maximum(self.n_cats, 1) / 100
+        total, some = np.zeros((len(cents), self.n), np.int64), np.flatnonzero(self.n_cats)
+        if len(some):
+            total[:, some] = np.add.reduceat(cents, self.starts[some], axis=1, dtype=np.int64)
+        mean = total / np.maximum(self.n_cats, 1) / 100
         return shared, overlap, mean, np.minimum(np.floor((0.5 * overlap + 0.5 * mean) * 100), 100).astype(np.int32)
 
     def signals(self, cents: np.ndarray, top_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -235,18 +240,6 @@ def hits_of(text: Column, words: list[tuple[int, str, int, str]]) -> Column:
     return F.coalesce(X.let(F.struct(low.alias("low"), F.regexp_extract_all(low, F.lit(pattern), F.lit(1)).alias("found")), lambda x: counted(x["low"], x["found"])), none)
 
 
-def keywords_in(text: Column, words: list[tuple[int, str, int, str]]) -> Column:
-    """array<struct<cat_ord, kw_ord>>: the keywords of :func:`hits_of` without their numbers."""
-    none = F.array().cast("array<struct<cat_ord:int,kw_ord:int>>")
-    if not words:
-        return none
-    pattern, rows, _ = _keyword_table(words)
-    table = F.array(*[F.struct(F.lit(c).alias("cat_ord"), F.lit(k).alias("kw_ord")) for c, _, k, _ in words])
-    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
-    present = F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda f: F.element_at(rows, f)))))
-    return F.coalesce(F.transform(present, lambda i: F.get(table, i)), none)
-
-
 def keyword_hits(texts: DataFrame, key: str, words: list[tuple[int, str, int, str]]) -> DataFrame:
     """``key, hits`` (:func:`hits_of`) of every text."""
     return texts.select(key, hits_of(F.col("text"), words).alias("hits"))
@@ -279,24 +272,47 @@ class _Automaton:
         for at, known in enumerate(steps):
             for b, to in known.items():
                 self.next[at * self.width + int(self.kind[b])] = to
+        first = self.next[self.width : 2 * self.width]
+        self.pair = self.next.reshape(-1, self.width)[first].ravel()
+        self.single = self.ends[first]
         self.length = np.array([len(w) for w in coded], np.int64)
         self.folds = np.array([_overlaps_itself(w) for w in words], bool)
 
     def _found(self, kinds: np.ndarray, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
         """(position, word) of all words that begin from ``at`` up to ``to``; ``kinds`` ends with a 0."""
-        spot, state, places, found = np.arange(at, to), np.ones(to - at, np.int32), [], []
+        places = []
+        if (self.single >= 0).any():
+            word = self.single[kinds[at:to]]
+            ended = np.flatnonzero(word >= 0)
+            places.append((ended + at, word[ended]))
+        else:
+            places.append((np.zeros(0, np.int64), np.zeros(0, np.int32)))
+        # the first two bytes are one step; the last position has no second one
+        state = self.pair[kinds[at : min(to, len(kinds) - 1)].astype(np.int32) * self.width + kinds[at + 1 : to + 1]]
+        spot = np.flatnonzero(state)
+        state, spot = state[spot], spot + at + 1
         while len(spot):
-            state = self.next[state * self.width + kinds[spot]]
-            on = np.flatnonzero(state)
-            spot, state = spot[on], state[on]
             word = self.ends[state]
             ended = np.flatnonzero(word >= 0)
             places.append((spot[ended], word[ended]))
             spot = spot + 1
+            state = self.next[state * self.width + kinds[spot]]
+            on = np.flatnonzero(state)
+            spot, state = spot[on], state[on]
         # a word of k bytes was told at its last one
         places = [(x - depth, w) for depth, (x, w) in enumerate(places)]
         return np.concatenate([x for x, _ in places]), np.concatenate([w for _, w in places])
 
+    def present(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, word) of the words that each text holds, once each; ``data`` is the texts' bytes, ``ends`` where each text ends."""
+        kinds, words, told = np.append(self.kind[data], 0).astype(self.kind.dtype), len(self.length), []
+        for at in range(0, len(data), STEP):
+            spot, word = self._found(kinds, at, min(at + STEP, len(data)))
+            row = np.searchsorted(ends, spot, "right")
+            told.append(np.unique((row * words + word)[spot + self.length[word] <= ends[row]]))
+        keys = np.unique(np.concatenate(told)) if told else np.zeros(0, np.int64)
+        return keys // words, keys % words
+
     def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, word, occurrences that don't overlap) of the words of each text, as ``str.count`` has them."""
         coded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts.to_pylist()]
@@ -374,9 +390,102 @@ def keyword_frequency(texts: DataFrame, key: str, words: list[tuple[int, str, in
     return rows.select(key, F.element_at(names, F.col("cat_ord")).alias("category"), "n_keywords", "frequency")
 
 
-def _doc_keywords(words: list[tuple[int, str, int, str]]) -> Column:
-    """The numbers of the keywords of a text, 1000 to a category."""
-    return F.transform(keywords_in(F.col("text"), words), lambda h: h["cat_ord"] * 1000 + h["kw_ord"])
+class _Finder:
+    """Finds the keywords and the terms (as :func:`folioflow.functions.text.tokens` cuts them) of many lower-case texts at once, on their bytes."""
+
+    LETTER, GOES_ON = (np.array([re.fullmatch(p, chr(b)) is not None for b in range(256)]) for p in (r"[a-zA-Z]", r"[a-zA-Z0-9\-/+.#]"))
+
+    def __init__(self, words: list[tuple[int, str, int, str]], terms: pa.Array | None):
+        numbers: dict[str, list[int]] = {}
+        for c, _, k, w in words:
+            numbers.setdefault(w, []).append(c * 1000 + k)
+        self.everywhere = numbers.pop("", [])
+        self.keywords = [np.array(x, np.int32) for x in numbers.values()]
+        self.automaton = _Automaton(list(numbers)) if numbers else None
+        self.terms = terms
+
+    @staticmethod
+    def blocks(column: pa.Array) -> Iterator[tuple[int, int]]:
+        """(first row, rows) of some of the texts at a time, about ``TEXT_BYTES`` of them."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right")))
+            yield at, to - at
+            at = to
+
+    def find(self, texts: pa.Array) -> tuple[pa.ListArray, pa.ListArray | None]:
+        """(numbers of the keywords, places of the terms among all terms) that each text holds; a null text has none."""
+        there = texts.is_valid().to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        data, ends = np.frombuffer(b"".join(pc.fill_null(texts, "").cast(pa.binary()).to_pylist()), np.uint8), np.cumsum(sizes)
+        rows, told = [np.repeat(np.flatnonzero(there), len(self.everywhere))], [np.tile(np.array(self.everywhere, np.int32), int(there.sum()))]
+        if self.automaton and len(data):
+            row, word = self.automaton.present(data, ends)
+            times = np.array([len(x) for x in self.keywords])[word]
+            rows.append(np.repeat(row, times))
+            told.append(np.concatenate([np.zeros(0, np.int32), *[self.keywords[w] for w in word.tolist()]]))
+        row, told = np.concatenate(rows), np.concatenate(told)
+        order = np.argsort(row, kind="stable")
+        keywords = _grouped(row[order], len(sizes), pa.array(told[order]))
+        if self.terms is None:
+            return keywords, None
+        row, place = self._terms(data, ends)
+        return keywords, _grouped(row, len(sizes), pa.array(place))
+
+    def _terms(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place among the terms) of the terms of each text, once each."""
+        if not len(data) or not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        on = self.GOES_ON[data]
+        begins = on.copy()
+        begins[1:] &= ~on[:-1]
+        cuts = ends[:-1][ends[:-1] < len(data)]  # a run ends with its text
+        begins[cuts] = on[cuts]
+        # a token is a run from its first letter on
+        run = np.cumsum(begins, dtype=np.int32)
+        letters = np.flatnonzero(self.LETTER[data])
+        of = run[letters]
+        first = np.ones(len(letters), bool)
+        first[1:] = of[1:] != of[:-1]
+        start, of = letters[first], of[first]
+        starts = np.flatnonzero(begins)
+        stops = np.append(starts[1:], len(data))  # the next run's start; the run itself ends at the first byte that doesn't go on
+        off = np.append(np.flatnonzero(~on), len(data))
+        stop = np.minimum(stops[of - 1], off[np.searchsorted(off, start)])
+        long = stop - start > 2
+        start, stop = start[long], stop[long]
+        # tokens and what lies between them, as slices of the bytes
+        bounds = np.empty(2 * len(start) + 1, np.int32)
+        bounds[0], bounds[1::2], bounds[2::2] = 0, start, stop
+        slices = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+        place = pc.fill_null(pc.index_in(slices, value_set=self.terms), -1).to_numpy(zero_copy_only=False)[1::2].astype(np.int64)
+        known = np.flatnonzero(place >= 0)
+        keys = np.unique(np.searchsorted(ends, start[known], "right") * len(self.terms) + place[known])
+        return keys // len(self.terms), keys % len(self.terms)
+
+
+def _doc_side(docs: DataFrame, words: list[tuple[int, str, int, str]], terms: pa.Table | None = None) -> DataFrame:
+    """``doc_id, keywords, have``: the numbers of the keywords of a text, 1000 to a category, and of those of ``terms`` (``term, n``) that it holds.
+
+    A text is read once, where it lies; nothing is shuffled.
+    """
+    names = ["doc_id", "keywords", "have"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = None if terms is None else terms["term"].combine_chunks().cast(pa.binary())
+        number = None if terms is None else terms["n"].combine_chunks()
+        finder = _Finder(words, asked)
+        for b in batches:
+            for at, n in finder.blocks(b.column(1)):
+                keywords, places = finder.find(b.column(1).slice(at, n))
+                if places is None:
+                    have = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int64()))
+                else:
+                    have = pa.ListArray.from_arrays(places.offsets, number.take(places.values))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), keywords, have], names)
+
+    return docs.select("doc_id", F.lower("text").alias("low")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, keywords array<int>, have array<long>")
 
 
 def _asked(text: Column, words: list[tuple[int, str, int, str]]) -> Column:
@@ -393,7 +502,7 @@ def _keyword_sides(jds: DataFrame, docs: DataFrame, words: list[tuple[int, str,
     none = F.array().cast("array<long>")
     unwanted = F.lit(None).cast("array<struct<nf:long,first_pos:int,term:string,n:long>>")
     side = jds.select("jd_id", F.lit(0).alias("jd_tokens"), none.alias("jd_terms"), _asked(F.col("text"), words).alias("cats"), unwanted.alias("want"))
-    return docs.select("doc_id", _doc_keywords(words).alias("keywords"), none.alias("have")), side
+    return _doc_side(docs, words), side
 
 
 def category_coverage(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None, named: bool = True) -> DataFrame:
@@ -511,17 +620,34 @@ def _sides(jds: DataFrame, docs: DataFrame, words: list[tuple[int, str, int, str
     wanted = frequent.groupBy("jd_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("freq")).alias("nf"), "first_pos", "term", number(F.col("term")).alias("n")))).alias("want"))
     side = jds.select("jd_id", F.size(tokens).alias("jd_tokens"), F.coalesce(F.transform(tokens, number), none).alias("jd_terms"), _asked(F.col("text"), words).alias("cats")).join(wanted, "jd_id", "left")
     terms = asked_terms.select("term", number(F.col("term")).alias("n"))
+    if size <= TERM_BYTES:
+        return _held_side(docs, words, terms.toArrow()), side
     terms = F.broadcast(terms) if size <= BROADCAST_BYTES else terms
     held = docs.select("doc_id", F.explode(tokens).alias("term")).join(terms, "term").groupBy("doc_id").agg(F.collect_list("n").alias("have"))
-    spine = docs.select("doc_id", _doc_keywords(words).alias("keywords")).join(held, "doc_id", "left").withColumn("have", F.coalesce("have", none))
+    spine = _doc_side(docs, words).drop("have").join(held, "doc_id", "left").withColumn("have", F.coalesce("have", none))
     return spine.select("doc_id", "keywords", "have"), side
 
 
+def _held_side(docs: DataFrame, words: list[tuple[int, str, int, str]], terms: pa.Table) -> DataFrame:
+    """:func:`_doc_side` where rows of one ``doc_id`` hold the terms of all of them, and rows without one none. Only rows of repeated ids are shuffled."""
+    none = F.array().cast("array<long>")
+    again = _small(docs.groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("_n")).where("_n > 1 AND _again IS NOT NULL").select("_again"))
+    same = F.col("doc_id") == F.col("_again")
+    once = _doc_side(docs.join(again, same, "left_anti"), words, terms).withColumn("have", F.when(F.col("doc_id").isNull(), none).otherwise(F.col("have")))
+    more = _doc_side(docs.join(again, same, "left_semi"), words, terms)
+    held = more.select("doc_id", F.explode("have").alias("n")).distinct().groupBy("doc_id").agg(F.collect_list("n").alias("have"))
+    return once.unionByName(more.drop("have").join(held, "doc_id", "left").withColumn("have", F.coalesce("have", none)))
+
+
 SIGNAL = "struct<low: boolean, less: long, cat_ord: int, coverage: double, asked: array<int>>"
 
 
-def pairs(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None, min_freq: int = 2, signals: int | None = None, gaps: int | None = None) -> DataFrame:
-    """Every pair as one row: ``jd_id, doc_id, jd_tokens, shared, overlap, category_mean, score``.
+#: Figures of a pair, in their order.
+FIGURES = {"jd_tokens": "int", "shared": "long", "overlap": "double", "category_mean": "double", "score": "int"}
+
+
+def pairs(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None, min_freq: int = 2, signals: int | None = None, gaps: int | None = None, figures: tuple[str, ...] = tuple(FIGURES)) -> DataFrame:
+    """Every pair as one row: ``jd_id, doc_id, jd_tokens, shared, overlap, category_mean, score``, or only some of these ``figures``.
 
     ``shared`` counts the distinct tokens of both. The score is half token overlap, half mean coverage of the
     description's categories, times 100, truncated. Coverage is summed in whole hundredths, so
@@ -530,15 +656,16 @@ def pairs(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None
     document lacks as ``array<struct<rank, term, freq>>`` (null if none).
     """
     spine, side = _sides(jds, docs, vocab.taxonomy_rows(taxonomy), min_freq)
-    names = ["jd_id", "doc_id", "jd_tokens", "shared", "overlap", "category_mean", "score", *(["kept"] if signals else []), *(["gaps"] if gaps else [])]
+    names = ["jd_id", "doc_id", *figures, *(["kept"] if signals else []), *(["gaps"] if gaps else [])]
 
     def tell(some: dict, block: dict, kept: dict) -> Iterator[pa.RecordBatch]:
         side = kept["side"] = kept.get("side") or _Side(block)
         for ids, holds, _, met in side.steps(some):
             cents, n = side.coverage(met), len(ids) * side.n
             at = pa.array(np.tile(np.arange(side.n), len(ids)))
-            numbers = [pa.array(x.ravel()) for x in side.scores(holds, cents)]
-            made = [block["jd_id"].take(at), ids.take(pa.array(np.repeat(np.arange(len(ids)), side.n))), block["jd_tokens"].take(at), *numbers]
+            numbers = dict(zip(["shared", "overlap", "category_mean", "score"], side.scores(holds, cents), strict=True))
+            made = [block["jd_id"].take(at), ids.take(pa.array(np.repeat(np.arange(len(ids)), side.n)))]
+            made += [block[c].take(at) if c == "jd_tokens" else pa.array(numbers[c].ravel()) for c in figures]
             if signals:
                 pair, entry, medium, _ = side.signals(cents, signals)
                 e = pa.array(entry)
@@ -550,25 +677,41 @@ def pairs(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None
                 made.append(_grouped(pair, n, pa.StructArray.from_arrays(fields, ["rank", "term", "freq"])))
             yield pa.RecordBatch.from_arrays(made, names)
 
-    kinds = [_ids(jds, docs), "jd_tokens int, shared long, overlap double, category_mean double, score int", *([f"kept array<{SIGNAL}>"] if signals else []), *(["gaps array<struct<rank: int, term: string, freq: long>>"] if gaps else [])]
+    kinds = [_ids(jds, docs), *[f"{c} {FIGURES[c]}" for c in figures], *([f"kept array<{SIGNAL}>"] if signals else []), *(["gaps array<struct<rank: int, term: string, freq: long>>"] if gaps else [])]
     rows = packed_meeting(spine, side, tell, ", ".join(kinds))
     return rows.withColumn("gaps", F.when(F.size("gaps") > 0, F.col("gaps"))) if gaps else rows
 
 
 def keyword_gaps(jds: DataFrame, docs: DataFrame, min_freq: int = 2, top_n: int = 10) -> DataFrame:
     """``jd_id, doc_id, rank, term, freq``: terms of a description that a résumé lacks, by frequency, then first occurrence."""
-    rows = pairs(jds, docs, {}, min_freq, gaps=top_n)
+    rows = pairs(jds, docs, {}, min_freq, gaps=top_n, figures=())
     return rows.select("jd_id", "doc_id", F.explode("gaps").alias("g")).select("jd_id", "doc_id", "g.rank", "g.term", "g.freq")
 
 
 def token_overlap(jds: DataFrame, docs: DataFrame) -> DataFrame:
     """``jd_id, doc_id, shared, jd_tokens``: distinct tokens that both have, for pairs that share any."""
-    return pairs(jds, docs, {}).where("shared > 0").select("jd_id", "doc_id", "shared", "jd_tokens")
+    return pairs(jds, docs, {}, figures=("jd_tokens", "shared")).where("shared > 0").select("jd_id", "doc_id", "shared", "jd_tokens")
 
 
 def match_scores(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
     """``jd_id, doc_id, overlap, category_mean, score`` of every pair."""
-    return pairs(jds, docs, taxonomy).select("jd_id", "doc_id", "overlap", "category_mean", "score")
+    return pairs(jds, docs, taxonomy, figures=("overlap", "category_mean", "score"))
+
+
+def score_counts(jds: DataFrame, docs: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
+    """``score, pairs``: how many of all pairs have each score.
+
+    Pairs are counted where they are made; only the counts of each meeting of two packed rows are shuffled.
+    """
+    spine, side = _sides(jds, docs, vocab.taxonomy_rows(taxonomy))
+
+    def tell(some: dict, block: dict, kept: dict) -> Iterator[pa.RecordBatch]:
+        side = kept["side"] = kept.get("side") or _Side(block)
+        for _, holds, _, met in side.steps(some):
+            score, n = np.unique(side.scores(holds, side.coverage(met))[-1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(score), pa.array(n.astype(np.int64))], ["score", "n"])
+
+    return packed_meeting(spine, side, tell, "score int, n long").groupBy("score").agg(F.sum("n").alias("pairs"))
 
 
 def best_descriptions(jds: DataFrame, docs: DataFrame, k: int = 3, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
@@ -577,7 +720,7 @@ def best_descriptions(jds: DataFrame, docs: DataFrame, k: int = 3, taxonomy: dic
     Pairs are ranked where they are made; only ``k`` of a document are shuffled from a task.
     """
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "jd_id")
-    rows = match_scores(jds, docs, taxonomy).select("doc_id", "jd_id", "score").withColumn("rank", F.row_number().over(w))
+    rows = pairs(jds, docs, taxonomy, figures=("score",)).withColumn("rank", F.row_number().over(w))
     return rows.where(F.col("rank") <= k).select("doc_id", "rank", "jd_id", "score")
 
 
@@ -630,10 +773,10 @@ def _advised(rows: DataFrame) -> DataFrame:
 
 def recommendations(jds: DataFrame, docs: DataFrame, top_n: int = 5) -> DataFrame:
     """``jd_id, doc_id, score, advice array<string>`` of every pair; depends on the ``top_n`` signals."""
-    return _advised(pairs(jds, docs, signals=top_n)).select("jd_id", "doc_id", "score", "advice")
+    return _advised(pairs(jds, docs, signals=top_n, figures=("score",))).select("jd_id", "doc_id", "score", "advice")
 
 
 def full_report(jds: DataFrame, docs: DataFrame, top_n: int = 5) -> DataFrame:
     """One nested row per pair: score, recommendations, signals and keyword gaps, all of one row of the pair."""
-    rows = _advised(pairs(jds, docs, signals=top_n, gaps=10))
+    rows = _advised(pairs(jds, docs, signals=top_n, gaps=10, figures=("score",)))
     return rows.select("jd_id", "doc_id", "score", "advice", _told(vocab.taxonomy_rows()).alias("signals"), "gaps")

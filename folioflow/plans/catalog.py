@@ -328,8 +328,8 @@ def best_descriptions(spark, d):
 
 @_query(f"{_OWN} SELECT CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'moderate' WHEN score >= 50 THEN 'weak' ELSE 'decline' END AS band, count(*) AS pairs, CAST(sum(score) AS BIGINT) AS total FROM scores GROUP BY ALL")
 def score_bands(spark, d):
-    s = gap.match_scores(_jds(spark, d), _docs(spark, d), derived_taxonomy(_jds(spark, d)))
-    return s.groupBy(gap.band(F.col("score")).alias("band")).agg(F.count("*").alias("pairs"), F.sum("score").alias("total"))
+    s = gap.score_counts(_jds(spark, d), _docs(spark, d), derived_taxonomy(_jds(spark, d)))
+    return s.groupBy(gap.band(F.col("score")).alias("band")).agg(F.sum("pairs").alias("pairs"), F.sum(F.col("score") * F.col("pairs")).alias("total"))
 
 
 @_query(f"""{_FIXED}, fl AS (SELECT jd_id, doc_id, bool_or(category = 'testing_ci_cd') AS t, bool_or(category = 'data_quality_observability') AS q FROM top GROUP BY ALL)

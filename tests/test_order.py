@@ -585,3 +585,52 @@ def test_escaping_reads_pieces_not_characters(spark):
     want = [t if t is None else "".join(vocab.LATEX_ESCAPES.get(c, c) for c in t) for t in texts]
     assert [r.e for r in df.orderBy("i").collect()] == want
     assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+# --- documents are read once ----------------------------------------------------------------
+
+
+def test_finder_finds_what_the_patterns_find(monkeypatch):
+    import re
+
+    from folioflow.functions import vocab
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ab3-./+# é\n_") for _ in range(rng.randint(0, 60))) for _ in range(200)]
+    texts += [None, "", "abb", "abb", "-abb", "3a.b", "é", "ab", "a" * 300, "abb\0aba", "x" * 5000]
+    tokens = [{x for x in re.findall(vocab.TOKEN, t or "") if len(x) > 2} for t in texts]
+    terms = sorted(set().union(*tokens))[::2]
+    words = [(0, "g", k, w) for k, w in enumerate(["a", "ab", "abb", "b3", "é", ". ", "aa", ""])] + [(1, "h", 0, "ab")]
+    for step, size in ((7, 40), (1 << 18, 1 << 22)):
+        monkeypatch.setattr(gap, "STEP", step)
+        monkeypatch.setattr(gap, "TEXT_BYTES", size)
+        finder, column = gap._Finder(words, pa.array(terms).cast(pa.binary())), pa.array(texts)
+        keywords, places = [], []
+        for at, n in finder.blocks(column):
+            k, p = finder.find(column.slice(at, n))
+            keywords += k.to_pylist()
+            places += p.to_pylist()
+        assert [sorted(x) for x in keywords] == [sorted(c * 1000 + k for c, _, k, w in words if t is not None and w in t) for t in texts]
+        assert [[terms[i] for i in x] for x in places] == [sorted(x & set(terms)) for x in tokens]
+
+
+def test_scores_do_not_depend_on_how_documents_meet_the_terms(spark, monkeypatch):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choices(["python", "airflow", "c++", "spark/sql", "etl-jobs", "kafka", "the", "Go"], k=n))
+    jd = spark.createDataFrame([(i, say(6)) for i in range(5)] + [(5, None)], "jd_id long, text string")
+    docs = [(i, say(rng.randint(0, 5))) for i in range(20)] + [(3, "c++"), (3, None), (None, "python"), (None, "kafka airflow"), (20, None)]
+    doc = spark.createDataFrame(docs, "doc_id long, text string")
+    figures = lambda: sorted(map(repr, gap.pairs(jd, doc, gaps=3).collect()))
+    got = figures()
+    counts = {r.score: r.pairs for r in gap.score_counts(jd, doc).collect()}
+    assert counts == {r.score: r.n for r in gap.match_scores(jd, doc).groupBy("score").agg(F.count("*").alias("n")).collect()}
+    monkeypatch.setattr(gap, "TERM_BYTES", -1)  # the terms stay a table
+    assert figures() == got
+
+
+def test_scores_shuffle_no_terms_of_documents(spark):
+    jd = spark.createDataFrame([(1, "python airflow kafka testing")], "jd_id long, text string")
+    doc = spark.createDataFrame([(1, "python pipelines with kafka"), (2, None)], "doc_id long, text string")
+    spine, _ = gap._sides(jd, doc, [(0, "g", 0, "kafka")])
+    plan = spine._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "MapInArrow" in plan
