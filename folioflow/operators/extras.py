@@ -71,7 +71,7 @@ def score(jds: DataFrame, docs: DataFrame, method: str = "formula") -> DataFrame
     kind = method.lower()
     if kind in ("formula", "claude"):
         label = "formula" if kind == "formula" else "formula (fallback)"
-        return gap.match_scores(jds, docs).select("jd_id", "doc_id", "score", F.lit(label).alias("method_used"))
+        return gap.pairs(jds, docs, figures=("score",)).select("jd_id", "doc_id", "score", F.lit(label).alias("method_used"))
     if kind != "embedding":
         raise ValueError(f"unknown scoring method {method!r}")
     left = docs.select("doc_id", vector.dense_counts(F.col("text")).alias("counts"))
@@ -93,7 +93,7 @@ def score(jds: DataFrame, docs: DataFrame, method: str = "formula") -> DataFrame
 
 def compare(jds: DataFrame, docs: DataFrame) -> DataFrame:
     """The formula beside the language model's score, which offline is the formula."""
-    return gap.match_scores(jds, docs).select("jd_id", "doc_id", F.col("score").alias("formula"), F.col("score").alias("model"))
+    return gap.pairs(jds, docs, figures=("score",)).select("jd_id", "doc_id", F.col("score").alias("formula"), F.col("score").alias("model"))
 
 
 def cover_letter(name: Column, company: Column, skills: Column) -> Column:
