@@ -12,8 +12,9 @@ which is the order given to their merges here.
 *Units.* Where the normaliser does no more than set marks and no piece holds a
 mark or a line break behind another character, no token crosses the border
 between two units (a run of marks with what follows it). The library then
-encodes each unit that a worker has not seen lately; the ids of a text are those of its
-units. Other models get whole texts.
+encodes each unit that a worker has not seen lately, those of a BPE model as the lines of
+one text; the ids of a text are those of its units. Units are found on the bytes of many
+texts at once. Other models get whole texts.
 
 *Parity.* Each row is also encoded as a whole with the ``sentencepiece`` library;
 ``parity`` says for each row that the ids are equal. The ids given out are those
@@ -42,13 +43,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, read_table, whole_text
-from .tokens import BYTE, MARK, NORMAL, UNIT, UNKNOWN, load_model, model_path
+from .tokens import BYTE, MARK, NORMAL, UNKNOWN, load_model, model_path
 
 #: Characters handed to the library at once: bounds what a worker holds in tokens.
 BATCH_CHARS = 1 << 20
 #: Units that one worker keeps, and the length beyond which it keeps none (memory only, never results).
 CACHE_UNITS = 400_000
 LONG_UNIT = 64
+#: Units encoded as the lines of one text.
+LINES = 64
 
 
 @lru_cache(maxsize=2)
@@ -132,6 +135,7 @@ class Units:
         self.path, self.known = path, {}
         joined = any(MARK in p.lstrip(MARK) or ("\n" in p and len(p) > 1) for p, _, _ in load_model(path)["pieces"])
         self.whole = joined or build_marked(path) is None
+        self.line = None if self.whole else self.line_id()
 
     def encode(self, texts: list[str], threads: int) -> list[bytes]:
         if self.whole:
@@ -139,18 +143,53 @@ class Units:
         known = self.known
         if len(known) > CACHE_UNITS:
             known.clear()
-        units = [UNIT.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = list({u for us in units for u in us if u not in known})
+        units, bounds = self.units(texts)
+        coded = units.dictionary_encode()
+        told = coded.dictionary.to_pylist()
+        new = [u for u in told if u not in known]
         if new:
             os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
             os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-            known.update((u, packed(e.ids)) for u, e in zip(new, build_marked(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True))
-        out = [b"".join([known[u] for u in us]) for us in units]
+            known.update(zip(new, self.encode_units([u.replace(" ", MARK) for u in new]), strict=True))
+        ids = pa.array([known[u] for u in told], pa.large_binary()).take(coded.indices)
+        data, ends = memoryview(ids.buffers()[2] or b""), np.frombuffer(ids.buffers()[1], np.int64)[bounds] if len(ids) else bounds
         for u in new:
             if len(u) > LONG_UNIT:  # met once, as a rule
                 del known[u]
+        return [bytes(data[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+    def line_id(self) -> int | None:
+        """The id of a line break where units can be encoded as lines of one text: a BPE model's merges don't cross it, and nothing else has its id."""
+        m, ids = load_model(self.path), build_marked(self.path).encode("\n", add_special_tokens=False).ids
+        return ids[0] if m["bpe"] and len(ids) == 1 and m["pieces"][ids[0]][2] in (NORMAL, BYTE) else None
+
+    def encode_units(self, units: list[str]) -> list[bytes]:
+        """The packed ids of marked units, each encoded on its own or as a line among others."""
+        encode = lambda texts: build_marked(self.path).encode_batch_fast(texts, add_special_tokens=False)
+        if self.line is None:
+            return [packed(e.ids) for e in encode(units)]
+        out = []
+        # a unit with a line break is the line break alone
+        parts = [units[at : at + LINES] for at in range(0, len(units), LINES)]
+        for part, e in zip(parts, encode(["\n".join("" if u == "\n" else u for u in part) for part in parts]), strict=True):
+            ids = np.array(e.ids, "<i4")
+            cuts, raw = np.flatnonzero(ids == self.line).tolist(), ids.tobytes()
+            out += [packed([self.line]) if u == "\n" else raw[4 * a : 4 * b] for u, a, b in zip(part, [0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True)]
         return out
 
+    @staticmethod
+    def units(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(the units of all texts as slices of their bytes, marks as blanks; where the units of each text begin and end among them)."""
+        coded = [f" {t.replace(MARK, ' ')}".encode() if t else b"" for t in texts]
+        data, cuts = np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)])
+        blank, line = data == 32, data == 10
+        begins = line | blank
+        begins[1:] &= ~(blank[1:] & blank[:-1])
+        begins[1:] |= line[:-1]
+        begins[cuts[:-1][cuts[:-1] < len(data)]] = True
+        starts = np.append(np.flatnonzero(begins), len(data))
+        return pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)]), np.searchsorted(starts, cuts)
+
 
 def packed(ids: list[int]) -> bytes:
     return np.array(ids, "<i4").tobytes()

@@ -410,6 +410,22 @@ def test_units_and_packed_decoding_equal_the_library():
     assert spm.decode_packed([spm.packed(x) for x in odd], path) == spm.decode_batch(odd, path)
 
 
+def test_units_are_found_on_bytes_and_encoded_as_lines():
+    path, rng = tokens.model_path(), random.Random(9)
+    texts = ["", " ", "\n", "a\n\nb", "\n a  b\n", "\u2581 x", "a\u2581\u2581b \n\u2581", "\u6f22\u5b57\r\n\tz", "x" * 200 + " y", "\0 a\n"]
+    texts += ["".join(rng.choice("ab \n\u2581\u00e9\t\U0001f600") for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    units, bounds = spm.Units.units(texts)
+    marked = [u.replace(" ", "\u2581") for u in units.to_pylist()]
+    assert [marked[a:b] for a, b in zip(bounds, bounds[1:])] == [tokens.UNIT.findall("\u2581" + t.replace(" ", "\u2581")) if t else [] for t in texts]
+    want = [spm.packed(e.ids) for e in spm.build_marked(path).encode_batch_fast(marked, add_special_tokens=False)]
+    lines = spm.Units(path)
+    assert lines.line is not None and lines.encode_units(marked) == want
+    lines.line = None
+    assert lines.encode_units(marked) == want
+    for some in ([], [""], texts[:3]):
+        assert spm.Units(path).encode(some, 2) == [spm.packed(x) for x in spm.encode_batch(some, path, 2)]
+
+
 def test_unequal_rows_are_marked_and_keep_their_ids(spark, monkeypatch):
     class Other:
         def encode_as_numpy(self, texts, num_threads):
