@@ -634,3 +634,14 @@ def test_scores_shuffle_no_terms_of_documents(spark):
     spine, _ = gap._sides(jd, doc, [(0, "g", 0, "kafka")])
     plan = spine._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract_all" not in plan and "MapInArrow" in plan
+
+
+def test_compare_tells_the_score_of_a_pair_alone(spark):
+    from folioflow.operators import extras
+
+    jd = spark.createDataFrame([(1, "python airflow kafka testing"), (2, None), (3, "kafka spark spark")], "jd_id long, text string")
+    doc = spark.createDataFrame([(1, "python pipelines with kafka"), (2, None), (3, ""), (3, "spark"), (None, "airflow")], "doc_id long, text string")
+    got, want = extras.compare(jd, doc), rows_of(gap.match_scores(jd, doc), "jd_id", "doc_id", "score")
+    assert rows_of(got, "jd_id", "doc_id", "formula") == rows_of(got, "jd_id", "doc_id", "model") == want and len(want) == 15
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [c for c in ("overlap", "category_mean") if c in plan]
